@@ -64,7 +64,8 @@ class CurationConfig:
     prompt: PromptFormat = field(default_factory=PromptFormat)
     blocklist: tuple[str, ...] = lexicons.BLOCKLIST
     obfuscations: tuple[str, ...] = lexicons.OBFUSCATIONS
-    meta_patterns: tuple[str, ...] = lexicons.META_PATTERNS
+    meta_phrases: tuple[str, ...] = lexicons.META_PHRASES
+    meta_patterns: tuple[tuple[str, str], ...] = lexicons.META_PATTERNS
     keywords: tuple[tuple[str, tuple[str, ...]], ...] = lexicons.CONTEXT_KEYWORDS
     fallback_label: str = lexicons.FALLBACK_LABEL
     # Fixed value: a score from here on counts as a positive example.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -10,37 +9,16 @@ from pyspark.sql import functions as F
 
 from sievework import lexicons
 from sievework.config import LengthBounds
-from sievework.functions.text import SPACE_CHARS, WORD, word_count
+from sievework.functions.expr import caseless, contains_any, let
+from sievework.functions.lexicon import at_word_start, has_word, quote, with_lead
+from sievework.functions.text import SPACE_CHARS, word_count
 
-TOMBSTONE = r"(?i)\[(?:removed|deleted)\]"
+TOMBSTONES = ("[removed]", "[deleted]")
 
 # What people write in place of a letter to get past a filter.
 LETTER_SWAPS = {"i": "[i1!|]", "a": "[a@4]", "e": "[e3]", "o": "[o0]"}
 
 
-def quote(word: str) -> str:
-    """`word` as a regex that matches it literally."""
-    return re.sub(r"([^\w\s])", r"\\\1", word.strip())
-
-
-def at_word_start(alternatives: Iterable[str], first: str | None = None) -> str:
-    """One case-insensitive regex for any of `alternatives` at a word start.
-
-    The end is left open, so an entry also matches longer words. `first` lists
-    the characters a match can begin with; the engine then rules out most
-    positions with one class test.
-    """
-    gate = f"(?=[{first}])" if first else ""
-    return rf"(?iu){gate}(?<![{WORD}])(?:{'|'.join(alternatives)})"
-
-
-def words_regex(words: Iterable[str]) -> str:
-    words = [w.strip() for w in words]
-    first = "".join(sorted({w[0].lower() for w in words if w[0].isalpha()}))
-    plain = all(w[0].isalpha() for w in words)
-    return at_word_start([quote(w) for w in words], first if plain else None)
-
-
 def obfuscation_patterns(
     words: Iterable[str], swaps: Mapping[str, str] = LETTER_SWAPS
 ) -> tuple[str, ...]:
@@ -51,7 +29,8 @@ def obfuscation_patterns(
 
 
 def is_tombstone(text: Column) -> Column:
-    return text.rlike(TOMBSTONE)
+    """The text holds the mark of a removed post."""
+    return let(F.lower(text), lambda t: contains_any(t, TOMBSTONES))
 
 
 def is_empty(text: Column) -> Column:
@@ -62,21 +41,22 @@ def length_ok(
     text: Column, bounds: LengthBounds = LengthBounds(), n_words: Column | None = None
 ) -> Column:
     n_words = word_count(text) if n_words is None else n_words
-    return n_words.between(bounds.min_words, bounds.max_words) & (
-        F.length(text) <= bounds.max_chars
-    )
+    in_words = let(n_words, lambda n: n.between(bounds.min_words, bounds.max_words))
+    return (F.length(text) <= bounds.max_chars) & in_words
 
 
 def has_listed_word(text: Column, words: Iterable[str] = lexicons.BLOCKLIST) -> Column:
-    words = tuple(words)
-    return text.rlike(words_regex(words)) if words else F.lit(False)
+    return has_word(text, words)
 
 
 def has_obfuscated_word(
     text: Column, patterns: Iterable[str] = lexicons.OBFUSCATIONS
 ) -> Column:
+    """A word starts with one of `patterns`, which are given in lower case."""
     patterns = tuple(patterns)
-    return text.rlike(at_word_start(patterns)) if patterns else F.lit(False)
+    if not patterns:
+        return F.lit(False)
+    return with_lead(text).rlike(at_word_start("|".join(patterns)))
 
 
 def is_offensive(
@@ -87,15 +67,27 @@ def is_offensive(
     return has_listed_word(text, words) | has_obfuscated_word(text, patterns)
 
 
-def is_meta_post(text: Column, patterns: Iterable[str] = lexicons.META_PATTERNS) -> Column:
-    patterns = tuple(patterns)
-    return text.rlike(f"(?iu)(?:{'|'.join(patterns)})") if patterns else F.lit(False)
+def is_meta_post(
+    text: Column,
+    phrases: Iterable[str] = lexicons.META_PHRASES,
+    patterns: Iterable[tuple[str, str]] = lexicons.META_PATTERNS,
+) -> Column:
+    """A phrase occurs anywhere, or a pattern does; a pattern comes with a plain
+    part that must occur for it to match."""
+
+    def test(t: Column) -> Column:
+        found = contains_any(t, phrases)
+        for part, pattern in patterns:
+            found = found | (F.contains(t, F.lit(part)) & t.rlike(pattern))
+        return found
+
+    return let(caseless(text), test)
 
 
 def row_drop_reason(
     text: Column, bounds: LengthBounds = LengthBounds(), n_words: Column | None = None
 ) -> Column:
     """The first row rule a normalised text fails, or null."""
-    return F.when(is_tombstone(text) | is_empty(text), "dead_or_empty").when(
+    return F.when(is_empty(text) | is_tombstone(text), "dead_or_empty").when(
         ~length_ok(text, bounds, n_words), "length"
     )

@@ -13,66 +13,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from sievework.functions.expr import let
 from sievework.functions.text import words
 
 # Shingles reduced at a time, so one long text needs little memory.
-BLOCK = 2048
-SIGNATURE_SEED = 1
+BLOCK = 512
+# Fixed value: multiplier of the published 64-bit murmur finaliser.
+MIX = 0xFF51AFD7ED558CCD
+WORD_RUN = re.compile(r"\w+")
 
 
 def word_shingles(text: Column, k: int = 3) -> Column:
     """Distinct runs of `k` lower-cased words. A shorter text is one shingle, a
     text without words has none."""
-    tokens = words(text)
-    n = F.size(tokens)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))),
-        lambda start: F.array_join(F.slice(tokens, start, k), " "),
-    )
-    return F.when(n > 0, F.array_distinct(grams)).otherwise(
-        F.array().cast("array<string>")
-    )
 
+    def grams(tokens: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (k - 1), F.lit(1)))
+        runs = F.transform(starts, lambda at: F.array_join(F.slice(tokens, at, k), " "))
+        return F.when(F.size(tokens) > 0, F.array_distinct(runs)).otherwise(
+            F.array().cast("array<string>")
+        )
 
-@lru_cache
-def hash_family(num_perm: int, seed: int = SIGNATURE_SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of a multiply-add-shift family, from MD5."""
+    return let(words(text), grams)
+
+
+def odd_numbers(name: str, n: int) -> np.ndarray:
+    """`n` odd 64-bit multipliers, from the MD5 of their name and number."""
+    digests = (hashlib.md5(f"{name}:{i}".encode()).hexdigest() for i in range(n))
+    return np.array([int(d[:16], 16) | 1 for d in digests], dtype=np.uint64)
+
+
+class _WordHashes(dict):
+    """First eight bytes of a word's MD5, worked out once per word."""
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode()).digest()
+        self[word] = value = int.from_bytes(digest[:8], "big")
+        return value
 
-    def draw(name: str) -> np.ndarray:
-        digests = (hashlib.md5(f"{name}{seed}:{i}".encode()) for i in range(num_perm))
-        return np.array([int(d.hexdigest()[:16], 16) for d in digests], dtype=np.uint64)
 
-    return draw("a") | np.uint64(1), draw("b")
+def _shingle_hashes(word_hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One number per run of as many words as there are `places`: the sum of its
+    word hashes, each times the multiplier of its place, then mixed."""
+    n = max(len(word_hashes) - len(places) + 1, 1)
+    total = np.zeros(n, dtype=np.uint64)
+    for j in range(min(len(places), len(word_hashes))):
+        total += word_hashes[j : j + n] * places[j]
+    total ^= total >> np.uint64(33)
+    total *= np.uint64(MIX)
+    return total ^ (total >> np.uint64(33))
 
 
-def _signature(tokens: list[str], k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    last = max(len(tokens) - k, 0)
-    grams = {" ".join(tokens[i : i + k]) for i in range(last + 1)}
-    digests = b"".join(hashlib.sha1(g.encode()).digest()[:4] for g in grams)
-    hashes = np.frombuffer(digests, dtype=">u4").astype(np.uint64)[:, None]
-    lowest = np.full(a.shape, np.iinfo(np.uint64).max, dtype=np.uint64)
+def _lowest(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """Per multiplier the high half of the lowest product modulo 2^64."""
+    lowest = np.full(multipliers.shape, np.iinfo(np.uint64).max, dtype=np.uint64)
     for start in range(0, len(hashes), BLOCK):
-        np.minimum(lowest, (hashes[start : start + BLOCK] * a + b).min(axis=0), out=lowest)
+        products = hashes[start : start + BLOCK, None] * multipliers
+        np.minimum(lowest, products.min(axis=0), out=lowest)
     return (lowest >> np.uint64(32)).astype(np.int64)
 
 
-def minhash_signature(
-    text: Column, num_perm: int = 128, k: int = 3, seed: int = SIGNATURE_SEED
-) -> Column:
+def minhash_signature(text: Column, num_perm: int = 128, k: int = 3) -> Column:
     """MinHash over the word shingles of `text`; null for a text without words.
 
-    A shingle is hashed to the first four bytes of its SHA-1, then to the high
-    half of `a * h + b` modulo 2^64 per permutation.
+    Words are hashed once each, shingles and permutations are array arithmetic.
     """
-    word = re.compile(r"\w+")
+    places, multipliers = odd_numbers("place", k), odd_numbers("permutation", num_perm)
 
     @pandas_udf(T.ArrayType(T.LongType()))
     def signature(texts: pd.Series) -> pd.Series:
-        a, b = hash_family(num_perm, seed)
+        hash_of = _WordHashes()
 
         def one(text):
-            tokens = word.findall(text.lower()) if text else None
-            return _signature(tokens, k, a, b) if tokens else None
+            tokens = WORD_RUN.findall(text.lower()) if text else None
+            if not tokens:
+                return None
+            hashes = np.fromiter(map(hash_of.__getitem__, tokens), np.uint64, len(tokens))
+            return _lowest(_shingle_hashes(hashes, places), multipliers)
 
         return texts.map(one)
 

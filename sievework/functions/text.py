@@ -4,9 +4,10 @@ Everything runs inside the JVM except entity decoding and NFKC folding, for
 which Spark has no function. Only texts that may change under those two are
 handed to Python; for all others the Arrow batch carries a null.
 
-Whitespace is spelled out as one character class because `\\s` differs between
-regex engines. The patterns use possessive runs so that long runs of blanks cost
-linear time.
+A regex pass costs many times a byte search, so each rule first looks for
+something without which it cannot apply. Whitespace is spelled out as a
+character class because the shorthand differs between regex engines, and
+possessive runs keep long blanks linear.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from sievework.functions.expr import caseless, contains_any, is_ascii, let
+
 # The characters Unicode-aware tools treat as whitespace.
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -27,47 +30,50 @@ SPACE_CHARS = (
     "\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = (
-    r"\t-\r\x1c-\x20\x85\xa0\u1680"
-    r"\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-)
-WORD = r"\p{L}\p{N}_"
-
-# ASCII and the Latin letters and dashes and quotes below are their own NFKC
+RARE_SPACE_CHARS = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+# The same as the inside of a regex class, with the frequent, the rare
+# single-byte and the wide ones apart.
+FREQUENT_SPACE = r" \n\t\r"
+RARE_SPACE = r"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+WIDE_SPACE = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = FREQUENT_SPACE + RARE_SPACE + WIDE_SPACE
+# Letters, digits and underscore; the ASCII part first because it is tested fast.
+WORD = r"a-zA-Z0-9_\p{L}\p{N}"
+
+# ASCII, the Latin letters and the dashes and quotes below are their own NFKC
 # form in any sequence, so a text made only of them needs no folding.
-FOLD_INERT = r"\x00-\x7f\u00c0-\u00ff\u2013\u2014\u2018\u2019\u201c\u201d"
+FOLD_INERT = r"^[\x00-\x7f\u00c0-\u00ff\u2013\u2014\u2018\u2019\u201c\u201d]*+$"
 
 URL = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 EDIT_NOTE = rf"(?isu)edit[{SPACE}]*+(?:\p{{Nd}}++[{SPACE}]*+)?:.*$"
 REPEATED_PUNCT = r"([!?.,])\1{2,}"
-# A single blank between words is already right, so only other runs match.
-BLANK_RUN = rf" [{SPACE}]+|[{SPACE}&&[^ ]][{SPACE}]*"
 
 
-@pandas_udf(T.StringType())
-def _decode_and_fold(texts: pd.Series) -> pd.Series:
-    def fix(text):
-        if text is None:
-            return None
-        if "&" in text:
-            text = html.unescape(html.unescape(text))
-        return unicodedata.normalize("NFKC", text)
+def _decode(text: str) -> str:
+    return html.unescape(html.unescape(text))
+
+
+def _fold(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
+
 
-    return texts.map(fix, na_action="ignore")
+@pandas_udf(T.StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    return texts.map(_decode, na_action="ignore")
 
 
 @pandas_udf(T.StringType())
-def _decode(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: html.unescape(html.unescape(text)), na_action="ignore")
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(_fold, na_action="ignore")
 
 
 @pandas_udf(T.StringType())
-def _fold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: unicodedata.normalize("NFKC", text), na_action="ignore")
+def _decoded_and_folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: _fold(_decode(text)), na_action="ignore")
 
 
 def _only_where(condition: Column, udf, text: Column) -> Column:
-    return F.when(condition, udf(F.when(condition, text))).otherwise(text)
+    return F.coalesce(udf(F.when(condition, text)), text)
 
 
 def _has_entity(text: Column) -> Column:
@@ -75,7 +81,7 @@ def _has_entity(text: Column) -> Column:
 
 
 def _may_fold(text: Column) -> Column:
-    return text.rlike(rf"[^{FOLD_INERT}]")
+    return ~is_ascii(text) & ~text.rlike(FOLD_INERT)
 
 
 def null_to_empty(text: Column) -> Column:
@@ -84,46 +90,86 @@ def null_to_empty(text: Column) -> Column:
 
 def unescape_entities(text: Column) -> Column:
     """Decode HTML entities twice, since scraped text is often encoded twice."""
-    return _only_where(_has_entity(text), _decode, text)
+    return _only_where(_has_entity(text), _decoded, text)
 
 
 def fold_unicode(text: Column) -> Column:
     """NFKC form."""
-    return _only_where(_may_fold(text), _fold, text)
+    return _only_where(_may_fold(text), _folded, text)
 
 
 def strip_invisible(text: Column) -> Column:
     """Zero-width and no-break spaces become plain blanks."""
-    return F.translate(text, "\u200b\xa0", "  ")
+    visible = F.replace(text, F.lit("\u200b"), F.lit(" "))
+    return F.replace(visible, F.lit("\xa0"), F.lit(" "))
 
 
 def strip_urls(text: Column) -> Column:
-    return F.regexp_replace(text, URL, "")
+    def fix(t: Column) -> Column:
+        return F.when(
+            contains_any(t, ("http", "www.")), F.regexp_replace(t, URL, "")
+        ).otherwise(t)
+
+    return let(text, fix)
 
 
 def strip_edit_note(text: Column) -> Column:
     """Delete from an "edit:" note, with the asterisks and blanks that lead to
     it, to the end of the text."""
-    head = F.rtrim(F.regexp_replace(text, EDIT_NOTE, ""), F.lit(SPACE_CHARS))
-    plain = F.rtrim(head, F.lit("*"))
-    # Line breaks before the asterisks go too, other blanks there stay.
-    cut = F.when(plain == head, head).otherwise(F.rtrim(plain, F.lit("\n")))
-    return F.when(text.rlike(EDIT_NOTE), cut).otherwise(text)
+
+    def cut(t: Column) -> Column:
+        head = F.rtrim(F.regexp_replace(t, EDIT_NOTE, ""), F.lit(SPACE_CHARS))
+        plain = F.rtrim(head, F.lit("*"))
+        # Line breaks before the asterisks go too, other blanks there stay.
+        return F.when(plain == head, head).otherwise(F.rtrim(plain, F.lit("\n")))
+
+    def fix(t: Column) -> Column:
+        noted = F.contains(caseless(t), F.lit("edit")) & t.rlike(EDIT_NOTE)
+        return F.when(noted, cut(t)).otherwise(t)
+
+    return let(text, fix)
 
 
 def cap_repeated_punct(text: Column) -> Column:
     """Three or more of the same mark in a row become two."""
-    return F.regexp_replace(text, REPEATED_PUNCT, "$1$1")
+
+    def fix(t: Column) -> Column:
+        return F.when(
+            contains_any(t, ("!!!", "???", "...", ",,,")),
+            F.regexp_replace(t, REPEATED_PUNCT, "$1$1"),
+        ).otherwise(t)
+
+    return let(text, fix)
+
+
+def blanks_to_spaces(text: Column) -> Column:
+    """Each whitespace character becomes a plain blank."""
+    for ch in "\n\t\r":
+        text = F.replace(text, F.lit(ch), F.lit(" "))
+
+    def fix(t: Column) -> Column:
+        rare = contains_any(t, RARE_SPACE_CHARS) | (
+            ~is_ascii(t) & t.rlike(f"[{WIDE_SPACE}]")
+        )
+        return F.when(rare, F.regexp_replace(t, f"[{RARE_SPACE}{WIDE_SPACE}]", " ")).otherwise(t)
+
+    return let(text, fix)
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, BLANK_RUN, " "))
+    """One blank for each run of whitespace, none at the ends."""
+
+    def fix(t: Column) -> Column:
+        doubled = F.contains(t, F.lit("  "))
+        return F.trim(F.when(doubled, F.regexp_replace(t, " {2,}", " ")).otherwise(t))
+
+    return let(blanks_to_spaces(text), fix)
 
 
 def normalise_text(text: Column) -> Column:
     """All of the above in order."""
     text = null_to_empty(text)
-    text = _only_where(_has_entity(text) | _may_fold(text), _decode_and_fold, text)
+    text = _only_where(_has_entity(text) | _may_fold(text), _decoded_and_folded, text)
     for step in (
         strip_invisible,
         strip_urls,
@@ -135,15 +181,19 @@ def normalise_text(text: Column) -> Column:
     return text
 
 
-def word_count(text: Column) -> Column:
-    """Number of runs of non-blank characters."""
-    return F.regexp_count(text, F.lit(rf"[^{SPACE}]+"))
+def word_count_normalised(text: Column) -> Column:
+    """Words of a text with single blanks between them."""
 
+    def count(t: Column) -> Column:
+        blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+        return F.when(t == "", F.lit(0)).otherwise(blanks + 1)
 
-def word_count_normalised(text: Column) -> Column:
-    """`word_count` of a normalised text: single blanks plus one."""
-    blanks = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(text == "", F.lit(0)).otherwise(blanks + 1)
+    return let(text, count)
+
+
+def word_count(text: Column) -> Column:
+    """Number of runs of non-blank characters."""
+    return word_count_normalised(collapse_whitespace(text))
 
 
 def char_count(text: Column) -> Column:
@@ -153,4 +203,4 @@ def char_count(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"([{WORD}]+)"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(f"([{WORD}]+)"), 1)

@@ -78,10 +78,16 @@ OBFUSCATIONS = (
     r"r[e3]t[a@4]rd",
 )
 
-# Posts about the forum rather than content for it.
-META_PATTERNS = (
+# Phrases of posts about the forum rather than content for it.
+META_PHRASES = (
     "joke thread", "submit your", "upvote", "downvote", "r/jokes", "/r/",
-    "repost", r"this sub(?:reddit)?(?![\p{L}\p{N}_])",
-    r"karma(?![\p{L}\p{N}_])", "front page", "tl;dr", r"\[meta\]",
-    "announcement", "contest", "winner", r"rule \p{Nd}",
+    "repost", "front page", "tl;dr", "[meta]", "announcement", "contest",
+    "winner",
+)
+
+# The same as patterns, each with a plain part of it.
+META_PATTERNS = (
+    ("this sub", r"this sub(?:reddit)?(?![a-z0-9_\p{L}\p{N}])"),
+    ("karma", r"karma(?![a-z0-9_\p{L}\p{N}])"),
+    ("rule ", r"rule \p{Nd}"),
 )

@@ -13,7 +13,8 @@ from pyspark.sql.functions import pandas_udf
 
 from sievework import lexicons
 from sievework.config import EmbeddingSettings
-from sievework.functions.rules import words_regex
+from sievework.functions.expr import let
+from sievework.functions.lexicon import count_words, found_words, has_word, may_share_text
 
 Keywords = Sequence[tuple[str, Sequence[str]]]
 # Takes texts, returns one vector per text.
@@ -24,22 +25,37 @@ MAX_LABELS = 10_000
 
 
 def keyword_hits(text: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS) -> Column:
-    """Keyword matches per label, in the order of the labels."""
-    return F.array(*[F.regexp_count(text, F.lit(words_regex(kws))) for _, kws in keywords])
+    """Keyword matches per label, in the order of the labels.
 
+    One pass extracts the words of all labels; each label is then counted in
+    that short extract.
+    """
+    lists = [kws for _, kws in keywords]
+    if may_share_text(lists):
+        return F.array(*[count_words(text, kws) for kws in lists])
+    none = F.array(*[F.lit(0) for _ in lists])
+    return let(
+        found_words(text, lists),
+        lambda found: F.when(found == "", none).otherwise(
+            F.array(*[count_words(found, kws) for kws in lists])
+        ),
+    )
 
-def tag_by_keywords(text: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS) -> Column:
-    """The label with most hits, the earlier one on ties, "" without a hit.
 
-    The largest of (hits, -position, label) structs, so hits are counted once.
-    """
-    candidates = [F.struct(F.lit(0).alias("n"), F.lit(1).alias("o"), F.lit("").alias("label"))]
-    for position, (label, kws) in enumerate(keywords):
-        hits = F.regexp_count(text, F.lit(words_regex(kws)))
-        candidates.append(
-            F.struct(hits.alias("n"), F.lit(-position).alias("o"), F.lit(label).alias("label"))
-        )
-    return F.greatest(*candidates)["label"]
+def tag_by_hits(hits: Column, labels: Sequence[str]) -> Column:
+    """The label with most hits, the earlier one on ties, "" without a hit."""
+    names = F.array(*[F.lit(label) for label in labels])
+
+    def pick(h: Column) -> Column:
+        first_best = F.array_position(h, F.array_max(h)).cast("int")
+        return F.when(F.array_max(h) > 0, F.element_at(names, first_best)).otherwise("")
+
+    return let(hits, pick)
+
+
+def tag_by_keywords(text: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS) -> Column:
+    """The label whose keywords occur most often in `text`."""
+    return tag_by_hits(keyword_hits(text, keywords), [label for label, _ in keywords])
 
 
 def has_own_keyword(
@@ -48,7 +64,7 @@ def has_own_keyword(
     """Whether a text holds a keyword of the label it carries."""
     own = F.lit(False)
     for name, kws in keywords:
-        own = F.when(label == name, text.rlike(words_regex(kws))).otherwise(own)
+        own = F.when(label == name, has_word(text, kws)).otherwise(own)
     return own
 
 

@@ -73,7 +73,7 @@ def clean(
     rest = distinct.join(near, list(KEY), "left_anti").withColumn(
         "reason",
         F.when(is_offensive(text, config.blocklist, config.obfuscations), "offensive").when(
-            is_meta_post(text, config.meta_patterns), "meta"
+            is_meta_post(text, config.meta_phrases, config.meta_patterns), "meta"
         ),
     )
     filtered = materialise(rest, "filtered")
