@@ -22,8 +22,9 @@ from sievework.functions.rules import is_meta_post, is_offensive, row_drop_reaso
 from sievework.functions.text import normalise_text, word_count_normalised
 from sievework.operators.exact_dedup import exact_dedup_keep_best
 from sievework.operators.near_dup import near_duplicates
-from sievework.operators.reports import funnel_report
+from sievework.operators.reports import STAGES, funnel_report
 from sievework.operators.tagging import Encoder, tag_two_pass
+from sievework.sources.writers import write_report_json
 from sievework.storage import materialise
 
 KEY = ("source", "source_id")
@@ -104,6 +105,28 @@ def clean(
     return CleanResult(rows, drops)
 
 
+def write_report(result: CleanResult, path: str) -> None:
+    """Write the counts of a run as one JSON record."""
+    spark = result.rows.sparkSession
+    stages = {row["stage"]: row for row in result.funnel().collect()}
+    stats = {"raw": sum(r["dropped"] for r in stages.values()) + stages["final"]["remaining"]}
+    stats |= {f"dropped_{stage}": stages[stage]["dropped"] for stage in STAGES}
+    stats["final"] = stages["final"]["remaining"]
+    # One pass over the cleaned rows; the groups are labels times sources.
+    counts = result.rows.groupBy("context", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count("score").alias("scored")
+    )
+    counts = materialise(counts, "distribution")
+    distributions = {}
+    for column in ("context", "source"):
+        sums = counts.groupBy(column).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), column)
+        distributions[column] = {row[column]: row["n"] for row in sums.collect()}
+    with_scores = counts.agg(F.sum("scored")).first()[0] or 0
+    write_report_json(
+        spark, path, stats, distributions["context"], distributions["source"], with_scores
+    )
+
+
 def _labels(config: CurationConfig) -> tuple[str, ...]:
     if config.keywords == lexicons.CONTEXT_KEYWORDS:
         return lexicons.LABELS

@@ -11,6 +11,11 @@ from sievework.config import PromptFormat
 from sievework.functions.prompts import format_example, score_to_int
 from sievework.storage import path_complete
 
+REPORT_SCHEMA = (
+    "stats map<string,long>, context_distribution map<string,long>,"
+    " source_distribution map<string,long>, with_scores long"
+)
+
 
 def write_raw_cached(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False
@@ -50,9 +55,5 @@ def write_report_json(
     with_scores: int,
 ) -> None:
     """The counts of a run as one JSON record."""
-    schema = (
-        "stats map<string,long>, context_distribution map<string,long>,"
-        " source_distribution map<string,long>, with_scores long"
-    )
     row = (dict(stats), dict(contexts), dict(sources), with_scores)
-    spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").json(path)
+    spark.createDataFrame([row], REPORT_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
