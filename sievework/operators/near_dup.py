@@ -17,6 +17,7 @@ settled before the first round.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +62,10 @@ def lsh_buckets(
     )
     return (
         with_band_keys(df.withColumn(score, nan_to_null(F.col(score))), text, settings)
-        .select(order.alias("place"), F.explode("bands").alias("bucket"))
+        # The outer form keeps Spark from testing the signature in a filter of its
+        # own, below this step, which would compute it twice.
+        .select(order.alias("place"), F.explode_outer("bands").alias("bucket"))
+        .where("bucket IS NOT NULL")
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.min("place").alias("best"))
         .where("n_rows > 1")
@@ -93,6 +97,24 @@ def _heads(members: DataFrame) -> DataFrame:
     )
 
 
+def _decided(members: DataFrame, n_members: int, settings: NearDupSettings) -> DataFrame:
+    """One round: places with `kept`, for all that can be told now."""
+    heads = _heads(members)
+    led = heads.groupBy(F.col("head").alias("place")).agg(F.count(F.lit(1)).alias("led"))
+    held = members.groupBy("place").agg(F.count(F.lit(1)).alias("held"))
+    kept = led.join(held, "place").where("led = held").select("place")
+    settled = heads.join(kept.withColumnRenamed("place", "head"), "head", "left_semi")
+    losers = (
+        _join_buckets(members, settled, n_members, settings)
+        .where("place > head")
+        .select("place")
+        .distinct()
+    )
+    return kept.withColumn("kept", F.lit(True)).unionByName(
+        losers.withColumn("kept", F.lit(False))
+    )
+
+
 def near_duplicates(
     df: DataFrame,
     text: str = "text",
@@ -104,15 +126,18 @@ def near_duplicates(
 
     Runs jobs: each round ends with a table in the shared folder.
     """
-    keyed = with_band_keys(
-        df.select(*key, text, nan_to_null(F.col(score)).alias(score)), text, settings
-    ).drop(text)
+    # Stored before it is sorted: a range sort reads its input twice, and the
+    # signatures are the costly part.
+    keyed = materialise(
+        with_band_keys(
+            df.select(*key, text, nan_to_null(F.col(score)).alias(score)), text, settings
+        ).select(*key, score, F.transform("bands", F.unhex).alias("bands")),
+        "signatures",
+    )
     # One range sort turns score and key into an ordered long.
     placed = materialise(
         keyed.orderBy(*quality_order(score, key)).select(
-            *key,
-            F.monotonically_increasing_id().alias("place"),
-            F.transform("bands", F.unhex).alias("bands"),
+            *key, F.monotonically_increasing_id().alias("place"), "bands"
         ),
         "placed",
     )
@@ -124,38 +149,20 @@ def near_duplicates(
         "members",
     )
 
-    dropped: list[DataFrame] = []
+    rounds: list[DataFrame] = []
     n_members = members.count()
     while n_members:
-        heads = materialise(_heads(members), "heads")
-        led = heads.groupBy(F.col("head").alias("place")).agg(F.count(F.lit(1)).alias("led"))
-        held = members.groupBy("place").agg(F.count(F.lit(1)).alias("held"))
-        kept = materialise(
-            led.join(held, "place").where("led = held").select("place"), "kept"
-        )
-        settled = heads.join(kept.withColumnRenamed("place", "head"), "head", "left_semi")
-        losers = materialise(
-            _join_buckets(members, settled, n_members, settings)
-            .where("place > head")
-            .select("place")
-            .distinct(),
-            "losers",
-        )
-        dropped.append(losers)
-        members = materialise(
-            members.join(kept.unionByName(losers), "place", "left_anti"), "members"
-        )
+        decided = materialise(_decided(members, n_members, settings), "decided")
+        rounds.append(decided.where("NOT kept").select("place"))
+        members = materialise(members.join(decided, "place", "left_anti"), "members")
         n_members = members.count()
 
     no_tokens = placed.where("bands IS NULL").select(*key, F.lit("no_tokens").alias("reason"))
-    if not dropped:
+    if not rounds:
         return no_tokens
-    places = dropped[0]
-    for more in dropped[1:]:
-        places = places.unionByName(more)
     return (
         placed.select(*key, "place")
-        .join(places, "place")
+        .join(reduce(DataFrame.unionByName, rounds), "place")
         .select(*key, F.lit("near_dup").alias("reason"))
         .unionByName(no_tokens)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework import lexicons
@@ -16,6 +16,11 @@ from sievework.storage import materialise
 STAGES = ("dead_or_empty", "length", "exact_dup", "near_dup", "offensive", "meta")
 
 
+def percent(part: Column, whole: Column) -> Column:
+    """Share in percent, null of nothing."""
+    return F.round(F.try_divide(100.0 * part, whole), 1)
+
+
 def funnel_report(drops: DataFrame) -> DataFrame:
     """Funnel from `drops(stage, dropped)`, which holds the stage "final" for the
     rows that remain: dropped and remaining rows per stage, in order."""
@@ -30,18 +35,21 @@ def funnel_report(drops: DataFrame) -> DataFrame:
         "stage",
         F.coalesce("dropped", F.lit(0)).cast("long").alias("n"),
     )
-    everything = Window.orderBy("step")
-    total = F.sum("n").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    gone = F.sum("n").over(everything.rowsBetween(Window.unboundedPreceding, 0))
+    # Seven rows, so one window over all of them.
+    so_far = Window.orderBy("step")
+    whole = so_far.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     final = F.col("stage") == "final"
-    return rows.select(
-        "step",
-        "stage",
-        F.when(final, 0).otherwise(F.col("n")).cast("long").alias("dropped"),
-        F.when(final, F.col("n")).otherwise(total - gone).cast("long").alias("remaining"),
-        F.round(
-            100 * F.when(final, F.col("n")).otherwise(total - gone) / total, 1
-        ).alias("percent_of_raw"),
+    left = F.when(final, F.col("n")).otherwise(F.col("total") - F.col("gone"))
+    return (
+        rows.withColumn("total", F.sum("n").over(whole))
+        .withColumn("gone", F.sum("n").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
+        .select(
+            "step",
+            "stage",
+            F.when(final, 0).otherwise(F.col("n")).cast("long").alias("dropped"),
+            left.cast("long").alias("remaining"),
+            percent(left, F.col("total")).alias("percent_of_raw"),
+        )
     )
 
 
@@ -73,7 +81,7 @@ def tag_coverage(df: DataFrame, tag: str = "context") -> DataFrame:
     return df.agg(
         tagged.alias("n_tagged"),
         F.count(F.lit(1)).alias("n_rows"),
-        F.round(100 * tagged / F.count(F.lit(1)), 1).alias("percent_tagged"),
+        percent(tagged, F.count(F.lit(1))).alias("percent_tagged"),
     )
 
 
@@ -140,5 +148,5 @@ def score_quantiles(
         *columns,
         F.max("v").alias("highest"),
         above.alias("n_positive"),
-        F.round(100 * above / F.lit(total), 1).alias("percent_positive"),
+        percent(above, F.lit(total)).alias("percent_positive"),
     )

@@ -323,7 +323,8 @@ def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lsh_band_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = near_dup.with_band_keys(documents(spark, sf_dir), settings=NEAR_DUP)
-    return keyed.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
+    keys = keyed.select("doc_id", F.posexplode_outer("bands").alias("band", "bucket"))
+    return keys.where("bucket IS NOT NULL")
 
 
 def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,7 +372,7 @@ def encode_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = documents(spark, sf_dir).select(
         "doc_id", tagging.encode_texts(F.col("text"), WordHashEncoder).alias("vector")
     )
-    return vectors.select("doc_id", F.posexplode("vector").alias("dim", "n")).where("n > 0")
+    return vectors.select("doc_id", F.posexplode_outer("vector").alias("dim", "n")).where("n > 0")
 
 
 def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

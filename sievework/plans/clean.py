@@ -28,6 +28,8 @@ from sievework.sources.writers import write_report_json
 from sievework.storage import materialise
 
 KEY = ("source", "source_id")
+# The report is one record, so the names in it pass through the driver.
+MAX_REPORT_NAMES = 100_000
 
 
 @dataclass(frozen=True)
@@ -120,7 +122,10 @@ def write_report(result: CleanResult, path: str) -> None:
     distributions = {}
     for column in ("context", "source"):
         sums = counts.groupBy(column).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), column)
-        distributions[column] = {row[column]: row["n"] for row in sums.collect()}
+        listed = sums.limit(MAX_REPORT_NAMES + 1).collect()
+        if len(listed) > MAX_REPORT_NAMES:
+            raise ValueError(f"too many values of {column} for one record; use the report tables")
+        distributions[column] = {row[column]: row["n"] for row in listed}
     with_scores = counts.agg(F.sum("scored")).first()[0] or 0
     write_report_json(
         spark, path, stats, distributions["context"], distributions["source"], with_scores
