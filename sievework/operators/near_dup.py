@@ -83,8 +83,11 @@ def _join_buckets(
     all other buckets are shuffled.
     """
     hot_size = max(settings.hot_floor, int(n_members * settings.hot_share))
-    hot = buckets.where(F.col("n") > hot_size).select("bucket", "head")
-    cold = buckets.where(F.col("n") <= hot_size).select("bucket", "head")
+    narrow = buckets.select("bucket", "head")
+    if (buckets.agg(F.max("n")).first()[0] or 0) <= hot_size:
+        return members.join(narrow, "bucket")
+    hot = narrow.where(F.col("n") > hot_size)
+    cold = narrow.where(F.col("n") <= hot_size)
     marked = members.join(F.broadcast(hot), "bucket", "left")
     return marked.where("head IS NOT NULL").unionByName(
         marked.where("head IS NULL").drop("head").join(cold, "bucket")
@@ -97,24 +100,6 @@ def _heads(members: DataFrame) -> DataFrame:
     )
 
 
-def _decided(members: DataFrame, n_members: int, settings: NearDupSettings) -> DataFrame:
-    """One round: places with `kept`, for all that can be told now."""
-    heads = _heads(members)
-    led = heads.groupBy(F.col("head").alias("place")).agg(F.count(F.lit(1)).alias("led"))
-    held = members.groupBy("place").agg(F.count(F.lit(1)).alias("held"))
-    kept = led.join(held, "place").where("led = held").select("place")
-    settled = heads.join(kept.withColumnRenamed("place", "head"), "head", "left_semi")
-    losers = (
-        _join_buckets(members, settled, n_members, settings)
-        .where("place > head")
-        .select("place")
-        .distinct()
-    )
-    return kept.withColumn("kept", F.lit(True)).unionByName(
-        losers.withColumn("kept", F.lit(False))
-    )
-
-
 def near_duplicates(
     df: DataFrame,
     text: str = "text",
@@ -149,20 +134,29 @@ def near_duplicates(
         "members",
     )
 
-    rounds: list[DataFrame] = []
-    n_members = members.count()
-    while n_members:
-        decided = materialise(_decided(members, n_members, settings), "decided")
-        rounds.append(decided.where("NOT kept").select("place"))
-        members = materialise(members.join(decided, "place", "left_anti"), "members")
-        n_members = members.count()
+    kept = []
+    rest, n_rest = members, members.count()
+    while n_rest:
+        heads = materialise(_heads(rest), "heads")
+        led = heads.groupBy("head").agg(F.count(F.lit(1)).alias("led"))
+        held = rest.groupBy(F.col("place").alias("head")).agg(F.count(F.lit(1)).alias("held"))
+        leaders = led.join(held, "head").where("led = held")
+        # Buckets whose head is kept. All their members are decided by that.
+        settled = materialise(heads.join(leaders, "head", "left_semi"), "settled")
+        kept.append(settled.select(F.col("head").alias("place")))
+        decided = _join_buckets(rest, settled, n_rest, settings).select("place").distinct()
+        rest = materialise(rest.join(decided, "place", "left_anti"), "rest")
+        n_rest = rest.count()
 
     no_tokens = placed.where("bands IS NULL").select(*key, F.lit("no_tokens").alias("reason"))
-    if not rounds:
+    if not kept:
         return no_tokens
+    losers = members.select("place").join(
+        reduce(DataFrame.unionByName, kept), "place", "left_anti"
+    )
     return (
         placed.select(*key, "place")
-        .join(reduce(DataFrame.unionByName, rounds), "place")
+        .join(losers.distinct(), "place")
         .select(*key, F.lit("near_dup").alias("reason"))
         .unionByName(no_tokens)
     )

@@ -23,7 +23,7 @@ from sievework.operators.exact_dedup import exact_dedup_keep_best
 from sievework.plans import clean as cleaning
 from sievework.sources import readers, writers
 from sievework.sources.schemas import TRAINING_RECORD
-from sievework.storage import scratch_path
+from sievework.storage import materialise, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -223,7 +223,8 @@ def write_raw_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_training_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "training")
-    writers.write_training_jsonl(split.stratified_split(with_fallback(spark, sf_dir)), path)
+    rows = materialise(with_fallback(spark, sf_dir), "tagged")
+    writers.write_training_jsonl(split.stratified_split(rows), path)
     return spark.read.schema(TRAINING_RECORD).json(path)
 
 

@@ -79,15 +79,21 @@ def clean(
             is_meta_post(text, config.meta_phrases, config.meta_patterns), "meta"
         ),
     )
-    filtered = materialise(rest, "filtered")
-    rows = tag_two_pass(
-        filtered.where("reason IS NULL").drop("reason"),
-        keywords=config.keywords,
-        make_encoder=make_encoder,
-        labels=_labels(config),
-        settings=config.embedding,
-        fallback=config.fallback_label,
+    # Tagged in the same pass, dropped rows as nulls, and stored: later readers
+    # must not run the encoder again.
+    filtered = materialise(
+        tag_two_pass(
+            rest.withColumn("_clean", F.when(F.col("reason").isNull(), text)),
+            text="_clean",
+            keywords=config.keywords,
+            make_encoder=make_encoder,
+            labels=_labels(config),
+            settings=config.embedding,
+            fallback=config.fallback_label,
+        ).drop("_clean"),
+        "filtered",
     )
+    rows = filtered.where("reason IS NULL").drop("reason")
 
     by_rule = unique.where("reason IS NOT NULL").select(
         F.col("reason").alias("stage"), F.col("copies").alias("dropped")

@@ -1,15 +1,20 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sievework import lexicons
 from sievework.config import EmbeddingSettings
 from sievework.operators import reports, tagging
 
+# The encoders below travel to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def test_obvious_contexts(apply):
     texts = [
