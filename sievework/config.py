@@ -33,8 +33,8 @@ class NearDupSettings:
     bands: int | None = None
     rows: int | None = None
     # A bucket above this share of all memberships is joined by broadcast, so
-    # at most 1 / hot_share bucket rows are ever broadcast.
-    hot_share: float = 0.001
+    # at most 1 / hot_share rows of 24 bytes are ever broadcast.
+    hot_share: float = 1e-5
     hot_floor: int = 100_000
 
 

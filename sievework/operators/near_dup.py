@@ -109,7 +109,8 @@ def near_duplicates(
 ) -> DataFrame:
     """Keys of the rows to drop, with the reason `near_dup` or `no_tokens`.
 
-    Runs jobs: each round ends with a table in the shared folder.
+    `key` must identify a row. Runs jobs: each round ends with a table in the
+    shared folder.
     """
     # Stored before it is sorted: a range sort reads its input twice, and the
     # signatures are the costly part.
@@ -162,6 +163,14 @@ def near_duplicates(
     )
 
 
+def without_rows(df: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
+    """`df` without the rows whose key is in `gone`; null parts of a key match."""
+    same = reduce(
+        lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+    )
+    return df.alias("l").join(gone.alias("r"), same, "left_anti")
+
+
 def drop_near_duplicates(
     df: DataFrame,
     text: str = "text",
@@ -170,4 +179,4 @@ def drop_near_duplicates(
     settings: NearDupSettings = NearDupSettings(),
 ) -> DataFrame:
     """`df` without the rows of `near_duplicates`."""
-    return df.join(near_duplicates(df, text, score, key, settings), list(key), "left_anti")
+    return without_rows(df, near_duplicates(df, text, score, key, settings), key)

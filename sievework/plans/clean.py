@@ -21,13 +21,14 @@ from sievework.config import CurationConfig
 from sievework.functions.rules import is_meta_post, is_offensive, row_drop_reason
 from sievework.functions.text import normalise_text, word_count_normalised
 from sievework.operators.exact_dedup import exact_dedup_keep_best
-from sievework.operators.near_dup import near_duplicates
+from sievework.operators.near_dup import near_duplicates, without_rows
 from sievework.operators.reports import STAGES, funnel_report
 from sievework.operators.tagging import Encoder, tag_two_pass
 from sievework.sources.writers import write_report_json
 from sievework.storage import materialise
 
 KEY = ("source", "source_id")
+ROW_KEY = (*KEY, "_text")
 # The report is one record, so the names in it pass through the driver.
 MAX_REPORT_NAMES = 100_000
 
@@ -69,11 +70,18 @@ def clean(
         exact_dedup_keep_best(judged, key=KEY, by=[F.col("reason")], count_as="copies"),
         "unique",
     )
-    distinct = unique.where("reason IS NULL").drop("reason", "copies")
-    near = materialise(near_duplicates(distinct, key=KEY, settings=config.near_dup), "near")
+    # Sources may reuse or lack an id; with the hash of its text a row has a key.
+    distinct = (
+        unique.where("reason IS NULL")
+        .drop("reason", "copies")
+        .withColumn("_text", F.xxhash64("text"))
+    )
+    near = materialise(
+        near_duplicates(distinct, key=ROW_KEY, settings=config.near_dup), "near"
+    )
 
     text = F.col("text")
-    rest = distinct.join(near, list(KEY), "left_anti").withColumn(
+    rest = without_rows(distinct, near, ROW_KEY).drop("_text").withColumn(
         "reason",
         F.when(is_offensive(text, config.blocklist, config.obfuscations), "offensive").when(
             is_meta_post(text, config.meta_phrases, config.meta_patterns), "meta"

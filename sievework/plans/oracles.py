@@ -22,9 +22,10 @@ def text_literal(value: str) -> str:
 
 
 def unescaped(x: str) -> str:
+    """The entities of the pages, which may lack their semicolon, decoded twice."""
     for _ in range(2):
-        for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-            x = f"replace({x}, '{entity}', '{char}')"
+        for name, char in (("quot", '"'), ("middot", "·"), ("copy", "©"), ("amp", "&")):
+            x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
     return x
 
 

@@ -174,3 +174,17 @@ def test_word_pattern_of_the_two_shingle_forms_agree(apply):
     from sievework.functions.text import words
 
     assert apply(words, texts) == [re.findall(r"\w+", t.lower()) for t in texts]
+
+
+def test_ids_may_repeat_or_lack(spark):
+    from sievework.plans.clean import clean
+
+    body = " ".join(f"w{i}" for i in range(50))
+    rows = [
+        ("s", None, body, 2.0), ("s", None, body + "!", 1.0), ("s", None, "a text of its own", 1.0),
+        ("s", "7", body + "?", 0.0), ("s", "7", "and yet another text", 0.0),
+    ]
+    result = clean(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r["text"] for r in result.rows.collect()) == sorted(
+        [body, "a text of its own", "and yet another text"]
+    )
