@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,8 @@ from sievework.functions.text import words
 
 # Shingles reduced at a time, so one long text needs little memory.
 BLOCK = 512
+# Characters worked on at a time, so a batch of long texts needs little memory.
+PORTION = 4_000_000
 # Fixed value: multiplier of the published 64-bit murmur finaliser.
 MIX = 0xFF51AFD7ED558CCD
 WORD_RUN = re.compile(r"\w+")
@@ -52,48 +56,97 @@ class _WordHashes(dict):
         return value
 
 
-def _shingle_hashes(word_hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """One number per run of as many words as there are `places`: the sum of its
-    word hashes, each times the multiplier of its place, then mixed."""
-    n = max(len(word_hashes) - len(places) + 1, 1)
-    total = np.zeros(n, dtype=np.uint64)
-    for j in range(min(len(places), len(word_hashes))):
-        total += word_hashes[j : j + n] * places[j]
+def _shingle_hashes(
+    tokens: list[list[str]], places: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """One number per shingle of all texts in a row, and where each text begins
+    in it; every text has a word.
+
+    The number is the sum of the word hashes, each times the multiplier of its
+    place, then mixed.
+    """
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    hash_of = _WordHashes()
+    all_words = chain.from_iterable(tokens)
+    hashes = np.fromiter(map(hash_of.__getitem__, all_words), np.uint64, sizes.sum())
+    n_grams = np.maximum(sizes - len(places) + 1, 1)
+    edges = np.concatenate(([0], np.cumsum(n_grams)))
+    ends = np.repeat(np.cumsum(sizes), n_grams)
+    first = np.arange(edges[-1]) + np.repeat(np.cumsum(sizes) - sizes - edges[:-1], n_grams)
+    total = np.zeros(edges[-1], dtype=np.uint64)
+    for j, multiplier in enumerate(places):
+        # Only a text of fewer words than a shingle runs out of words.
+        word = hashes[np.minimum(first + j, len(hashes) - 1)]
+        total += np.where(first + j < ends, word, np.uint64(0)) * multiplier
     total ^= total >> np.uint64(33)
     total *= np.uint64(MIX)
-    return total ^ (total >> np.uint64(33))
+    return total ^ (total >> np.uint64(33)), edges
+
+
+def _lowest(hashes: np.ndarray, edges: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """Per text and multiplier the high half of the lowest product modulo 2^64."""
+    lowest = np.empty((len(edges) - 1, len(multipliers)), dtype=np.uint64)
+    text = 0
+    while text < len(lowest):
+        begin = edges[text]
+        stop = max(int(np.searchsorted(edges, begin + BLOCK, side="right")) - 1, text + 1)
+        products = hashes[begin : min(edges[stop], begin + BLOCK), None] * multipliers
+        lowest[text:stop] = np.minimum.reduceat(products, edges[text:stop] - begin, axis=0)
+        # What a single long text has beyond the first block.
+        for start in range(begin + BLOCK, edges[stop], BLOCK):
+            products = hashes[start : min(edges[stop], start + BLOCK), None] * multipliers
+            np.minimum(lowest[text], products.min(axis=0), out=lowest[text])
+        text = stop
+    return (lowest >> np.uint64(32)).astype(np.int64)
 
 
-def _lowest(hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """Per multiplier the high half of the lowest product modulo 2^64."""
-    lowest = np.full(multipliers.shape, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for start in range(0, len(hashes), BLOCK):
-        products = hashes[start : start + BLOCK, None] * multipliers
-        np.minimum(lowest, products.min(axis=0), out=lowest)
-    return (lowest >> np.uint64(32)).astype(np.int64)
+def _signatures(texts: pd.Series, places: np.ndarray, multipliers: np.ndarray) -> Iterator:
+    """Index label and signature of each text that has words."""
+    present = texts[texts.notna()]
+    portions = (present.str.len().cumsum() // PORTION).to_numpy()
+    for portion in np.unique(portions):
+        part = present[portions == portion]
+        tokens = [WORD_RUN.findall(text.lower()) for text in part]
+        labels = [label for label, found in zip(part.index, tokens) if found]
+        tokens = [found for found in tokens if found]
+        if tokens:
+            yield from zip(labels, _lowest(*_shingle_hashes(tokens, places), multipliers))
+
+
+def _per_text(return_type: T.DataType, num_perm: int, k: int, convert):
+    """An Arrow function from texts to `convert(signature)`, null without words."""
+    places, multipliers = odd_numbers("place", k), odd_numbers("permutation", num_perm)
+
+    @pandas_udf(return_type)
+    def run(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), dtype=object).set_axis(texts.index)
+        found = dict(_signatures(texts, places, multipliers))
+        if found:
+            out.loc[list(found)] = pd.Series(map(convert, found.values()), list(found))
+        return out
+
+    return run
 
 
 def minhash_signature(text: Column, num_perm: int = 128, k: int = 3) -> Column:
     """MinHash over the word shingles of `text`; null for a text without words.
 
-    Words are hashed once each, shingles and permutations are array arithmetic.
+    Words are hashed once each; shingles and permutations are array arithmetic
+    over many texts at a time.
     """
-    places, multipliers = odd_numbers("place", k), odd_numbers("permutation", num_perm)
+    return _per_text(T.ArrayType(T.LongType()), num_perm, k, lambda signature: signature)(text)
 
-    @pandas_udf(T.ArrayType(T.LongType()))
-    def signature(texts: pd.Series) -> pd.Series:
-        hash_of = _WordHashes()
 
-        def one(text):
-            tokens = WORD_RUN.findall(text.lower()) if text else None
-            if not tokens:
-                return None
-            hashes = np.fromiter(map(hash_of.__getitem__, tokens), np.uint64, len(tokens))
-            return _lowest(_shingle_hashes(hashes, places), multipliers)
+def lsh_keys(text: Column, bands: int, rows: int, num_perm: int = 128, k: int = 3) -> Column:
+    """The LSH bucket keys of `text`: per band the MD5 of its number and its
+    part of the MinHash signature; null for a text without words."""
 
-        return texts.map(one)
+    def keys(signature: np.ndarray) -> list[bytes]:
+        values = [str(value) for value in signature[: bands * rows].tolist()]
+        parts = (f"{i}:{','.join(values[i * rows : (i + 1) * rows])}" for i in range(bands))
+        return [hashlib.md5(part.encode()).digest() for part in parts]
 
-    return signature(text)
+    return _per_text(T.ArrayType(T.BinaryType()), num_perm, k, keys)(text)
 
 
 @lru_cache
@@ -114,13 +167,3 @@ def optimal_bands(threshold: float, num_perm: int, steps: int = 1000) -> tuple[i
         for rows in range(1, num_perm // bands + 1)
     )
     return min(shapes, key=lambda shape: error(*shape))
-
-
-def band_keys(signature: Column, bands: int, rows: int) -> Column:
-    """One MD5 per band of the signature; the band number is part of the key."""
-
-    def key(band: int) -> Column:
-        part = F.slice(signature, band * rows + 1, rows).cast("array<string>")
-        return F.md5(F.concat(F.lit(f"{band}:"), F.array_join(part, ",")))
-
-    return F.when(signature.isNotNull(), F.array(*[key(i) for i in range(bands)]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.config import NearDupSettings
-from sievework.functions.shingles import band_keys, minhash_signature, optimal_bands
+from sievework.functions.shingles import lsh_keys, optimal_bands
 from sievework.operators.exact_dedup import nan_to_null, quality_order
 from sievework.storage import materialise
 
@@ -40,8 +40,8 @@ def with_band_keys(
 ) -> DataFrame:
     """Add `bands`, the LSH bucket keys of each row; null where there are no words."""
     bands, rows = band_shape(settings)
-    signature = minhash_signature(F.col(text), settings.num_perm, settings.shingle_size)
-    return df.withColumn("bands", band_keys(signature, bands, rows))
+    keys = lsh_keys(F.col(text), bands, rows, settings.num_perm, settings.shingle_size)
+    return df.withColumn("bands", keys)
 
 
 def lsh_buckets(
@@ -69,7 +69,11 @@ def lsh_buckets(
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.min("place").alias("best"))
         .where("n_rows > 1")
-        .select("bucket", "n_rows", *[F.col(f"best.row.{c}").alias(f"head_{c}") for c in key])
+        .select(
+            F.lower(F.hex("bucket")).alias("bucket"),
+            "n_rows",
+            *[F.col(f"best.row.{c}").alias(f"head_{c}") for c in key],
+        )
     )
 
 
@@ -117,7 +121,7 @@ def near_duplicates(
     keyed = materialise(
         with_band_keys(
             df.select(*key, text, nan_to_null(F.col(score)).alias(score)), text, settings
-        ).select(*key, score, F.transform("bands", F.unhex).alias("bands")),
+        ).select(*key, score, "bands"),
         "signatures",
     )
     # One range sort turns score and key into an ordered long.

@@ -325,7 +325,7 @@ def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lsh_band_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = near_dup.with_band_keys(documents(spark, sf_dir), settings=NEAR_DUP)
     keys = keyed.select("doc_id", F.posexplode_outer("bands").alias("band", "bucket"))
-    return keys.where("bucket IS NOT NULL")
+    return keys.where("bucket IS NOT NULL").withColumn("bucket", F.lower(F.hex("bucket")))
 
 
 def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,34 @@ def test_signature_estimates_jaccard(apply):
     assert abs(sum(x == y for x, y in zip(a, b)) / 512 - exact) < 0.1
 
 
+def test_signature_equals_its_definition(apply, monkeypatch):
+    """Texts of all lengths in one batch, against one shingle at a time."""
+    import hashlib
+
+    places = [int(n) for n in shingles.odd_numbers("place", 3)]
+    multipliers = [int(n) for n in shingles.odd_numbers("permutation", 8)]
+    full = 2**64 - 1
+
+    def signature(value):
+        tokens = re.findall(r"\w+", value.lower())
+        if not tokens:
+            return None
+        hashes = [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in tokens]
+        grams = []
+        for i in range(max(len(hashes) - 2, 1)):
+            x = sum(h * p for h, p in zip(hashes[i : i + 3], places)) & full
+            x = ((x ^ x >> 33) * shingles.MIX) & full
+            grams.append(x ^ x >> 33)
+        return [min(g * m & full for g in grams) >> 32 for m in multipliers]
+
+    monkeypatch.setattr(shingles, "BLOCK", 16)
+    monkeypatch.setattr(shingles, "PORTION", 300)
+    draw = random.Random(5)
+    sizes = [0, 1, 2, 3, 4, 17, 18, 19, 200, 0, 2, 50, 1, 1, 33]
+    texts = [" ".join(f"W{draw.randrange(30)}," for _ in range(n)) for n in sizes]
+    assert apply(lambda t: shingles.minhash_signature(t, 8), texts) == [signature(t) for t in texts]
+
+
 def test_long_text_is_hashed_whole(apply):
     body = " ".join(f"w{i}" for i in range(20_000))
     a, b = apply(lambda t: shingles.minhash_signature(t), [body, body + " tail words here"])
