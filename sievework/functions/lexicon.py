@@ -15,7 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievework.functions.expr import caseless
-from sievework.functions.text import WORD
+
+# Listed one by one: the regex engine tests such a class with one table look-up.
+ASCII_WORD = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
 
 
 def quote(word: str) -> str:
@@ -50,8 +52,19 @@ def prefix_tree(words: Iterable[str]) -> str:
     return f"(?:{'|'.join(branches)}){'?' if ends_here else ''}"
 
 
-def at_word_start(pattern: str) -> str:
-    return f"[^{WORD}]({pattern})"
+def at_word_start(pattern: str, first: Iterable[str] = ()) -> str:
+    """`pattern` as a group, after a character that is not part of a word.
+
+    `first` are the characters a match can begin with. Most positions fail one
+    of two plain class tests; only then is the Unicode test made.
+    """
+    begin = f"(?=[{''.join(sorted(set(first)))}])" if first else ""
+    return rf"[^{ASCII_WORD}]{begin}(?<![\p{{L}}\p{{N}}])({pattern})"
+
+
+def words_pattern(words: Sequence[str]) -> str:
+    """A regex for clean, lower-cased words at a word start."""
+    return at_word_start(prefix_tree(words), {word[0] for word in words})
 
 
 def with_lead(text: Column) -> Column:
@@ -61,13 +74,13 @@ def with_lead(text: Column) -> Column:
 
 def has_word(text: Column, words: Iterable[str]) -> Column:
     """Whether `text` holds a word that starts with one of `words`."""
-    tree = prefix_tree(reachable(words))
-    return with_lead(text).rlike(at_word_start(tree)) if tree else F.lit(False)
+    words = reachable(words)
+    return with_lead(text).rlike(words_pattern(words)) if words else F.lit(False)
 
 
 def count_words(text: Column, words: Iterable[str]) -> Column:
     """Matches of `words` in `text`, none overlapping another."""
-    return F.regexp_count(with_lead(text), F.lit(at_word_start(prefix_tree(reachable(words)))))
+    return F.regexp_count(with_lead(text), F.lit(words_pattern(reachable(words))))
 
 
 def may_share_text(lists: Sequence[Iterable[str]]) -> bool:
@@ -83,6 +96,6 @@ def found_words(text: Column, lists: Sequence[Iterable[str]]) -> Column:
     Counting a list in this extract gives the count in the text, unless
     `may_share_text`.
     """
-    union = dict.fromkeys(word for words in lists for word in reachable(words))
-    pattern = at_word_start(prefix_tree(union))
-    return F.array_join(F.regexp_extract_all(with_lead(text), F.lit(pattern), 1), "\n")
+    union = list(dict.fromkeys(word for words in lists for word in reachable(words)))
+    found = F.regexp_extract_all(with_lead(text), F.lit(words_pattern(union)), 1)
+    return F.array_join(found, "\n")
