@@ -382,12 +382,16 @@ def jaccard_components(
 def keep_one_per_component(
     df: DataFrame, id: str = "doc_id", text: str = "text", settings: JoinSettings = JoinSettings()
 ) -> DataFrame:
-    """The rows of `df` whose id is the smallest of their component, each text
-    once; rows without an id stay. Runs jobs."""
+    """Of each component the row with its smallest id, with all columns of `df`;
+    rows without an id stay. Of several rows with that id each text stays once.
+    Runs jobs."""
     found = jaccard_components(df, id, text, settings)
-    # One row per id, however often the id is repeated.
-    keep = found.where(F.col(id).isNotNull()).groupBy(id).agg(
-        F.min("component_id").alias("_least"), F.max("n_shingles").alias("_n")
-    ).where(F.col("_least") == F.col(id)).select(id)
-    kept = df.join(keep, id, "left_semi").dropDuplicates([id])
+    keep = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
+    # Partitioned by id for both steps, so the text is shuffled once.
+    kept = (
+        df.withColumn("_text", F.xxhash64(F.col(text)))
+        .join(keep, id, "left_semi")
+        .dropDuplicates([id, "_text"])
+        .drop("_text")
+    )
     return kept.unionByName(df.where(F.col(id).isNull()))

@@ -48,7 +48,7 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, {WORD_LIST.format(LOWER_AZ)} AS w FROM documents),
         grams AS (
             SELECT DISTINCT doc_id, unnest(CASE
-                WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+                WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM worded),
         sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
         common AS (
