@@ -1,0 +1,22 @@
+"""Values that a Python worker keeps from one task to the next."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Callable, Hashable
+from types import ModuleType
+from typing import Any
+
+STORE = "sievework_worker_values"
+
+
+def per_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """`make()`, called once per worker process and key.
+
+    Functions travel to a worker anew with each task, and so do the globals of
+    their modules; a module of the process itself stays.
+    """
+    store = sys.modules.setdefault(STORE, ModuleType(STORE)).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
