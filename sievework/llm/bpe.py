@@ -48,14 +48,18 @@ class Merges:
         left = np.array([vocab[a] for a, _ in pairs], dtype=np.int64)
         right = np.array([vocab[b] for _, b in pairs], dtype=np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
-        keys = left << 32 | right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.made = made
+        self.rank_of = ragged.Index(self._key(left, right))
         self.byte_ids = np.array([vocab[sign] for sign in byte_signs()], dtype=np.int64)
 
+    @staticmethod
+    def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return ragged.mix((left << 32 | right).astype(np.uint64))
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = ragged.lookup(left << 32 | right, self.keys)
-        return np.where(at < 0, NO_RANK, self.ranks[at]), self.made[at]
+        """Rank of each pair, and the symbol it becomes."""
+        rank = self.rank_of.find(self._key(left, right))
+        return np.where(rank < 0, NO_RANK, rank), self.made[rank]
 
     def merge(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all sequences and where each begins. `begins` holds the end too;
@@ -98,7 +102,7 @@ class Merges:
             ids, sequence, last = ids[stay], sequence[stay], last[stay]
             rank, made = rank[stay], made[stay]
             # Only pairs that hold a merged symbol have another rank now.
-            touched = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            touched = np.concatenate((at, at[at > 0] - 1))
             rank[touched], made[touched] = self._rank(
                 ids[touched], ids[np.minimum(touched + 1, len(ids) - 1)]
             )
@@ -134,8 +138,7 @@ class Encoder:
     def _forget(self) -> None:
         """An empty store, but for the special tokens, which come first."""
         self.special_at = {text: i for i, text in enumerate(self.special_ids)}
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.entry = np.zeros(0, dtype=np.int64)
+        self.store = ragged.Index()
         self.pool = np.array(list(self.special_ids.values()), dtype=np.uint32)
         self.begins = np.arange(len(self.pool) + 1)
 
@@ -183,8 +186,8 @@ class Encoder:
     def _entries(self, codes: np.ndarray, text: str, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Where the ids of each pre-token are in the store."""
         hashes = ragged.span_hashes(codes, starts, stops)
-        at = ragged.lookup(hashes, self.keys)
-        missing = np.flatnonzero(at < 0)
+        entries = self.store.find(hashes)
+        missing = np.flatnonzero(entries < 0)
         if len(missing):
             new, first = np.unique(hashes[missing], return_index=True)
             first = missing[first]
@@ -192,14 +195,11 @@ class Encoder:
             sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
             data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
             ids, begins = self.merges.merge(data, np.concatenate(([0], np.cumsum(sizes))))
-            entries = np.arange(len(new)) + len(self.begins) - 1
+            self.store.add(new, np.arange(len(new)) + len(self.begins) - 1)
             self.begins = np.concatenate((self.begins, begins[1:] + len(self.pool)))
             self.pool = np.concatenate((self.pool, ids.astype(np.uint32)))
-            where = np.searchsorted(self.keys, new)
-            self.keys = np.insert(self.keys, where, new)
-            self.entry = np.insert(self.entry, where, entries)
-            at = ragged.lookup(hashes, self.keys)
-        return self.entry[at]
+            entries[missing] = self.store.find(hashes[missing])
+        return entries
 
     def _portion(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Store entries of all tokens of all texts, and where each text begins."""
@@ -233,7 +233,7 @@ class Encoder:
         """Portions of `texts` as (first text, entries, first entry of each text)."""
         sizes = np.concatenate(([0], np.cumsum([len(text) for text in texts], dtype=np.int64)))
         for first, last in ragged.portions(sizes, PORTION):
-            if len(self.keys) > KEPT:
+            if self.store.count > KEPT:
                 self._forget()
             yield first, *self._portion(texts[first:last])
 

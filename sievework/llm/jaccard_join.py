@@ -128,8 +128,7 @@ class Filing:
 
     def __init__(self, frequent: np.ndarray, light: int, settings: JoinSettings):
         # `frequent` is in ascending order of frequency.
-        self.by_value = np.argsort(frequent)
-        self.frequent = frequent[self.by_value]
+        self.frequent = ragged.Index(frequent)
         self.light, self.settings = light, settings
 
     def keys(self, grams: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
@@ -149,12 +148,6 @@ class Filing:
         keys = np.concatenate((*subsets, rare))
         return keys, len(keys) - scanned + min(n_filed(n, s), scanned)
 
-    def places(self, grams: np.ndarray) -> np.ndarray:
-        found = ragged.lookup(grams, self.frequent)
-        if not len(self.frequent):
-            return found
-        return np.where(found < 0, -1, self.by_value[found])
-
 
 def _lists(values: np.ndarray, begins: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(
@@ -192,7 +185,7 @@ def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSet
         for batch in batches:
             for row, data, offsets in ragged.text_portions(batch.column("text")):
                 grams, begins = gram_sets(data, offsets, k)
-                place = filing.places(grams)
+                place = filing.frequent.find(grams)
                 filed = [
                     filing.keys(grams[a:b], place[a:b]) for a, b in zip(begins[:-1], begins[1:])
                 ]

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.jaccard_join import jaccard_components
 from sievework.llm.mixing import mix
+from sievework.llm.packing import pack
+from sievework.llm.quality import BASE, judged
 from sievework.llm.sharding import shard
+from sievework.llm.token_counts import token_counts
+
+
+# The vocabulary file the token queries are for; any path can be given.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,21 +28,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", *[f"_quality.{name}" for name in (*BASE, "base_failed", "kept")])
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), VOCABULARY)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), VOCABULARY)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op4_token_counts": op4_token_counts,
     "op6_mixing": op6_mixing,
+    "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
@@ -43,6 +67,38 @@ LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 WORD_LIST = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": f"""
+        WITH worded AS (
+            SELECT doc_id, coalesce(text, '') AS t, {WORD_LIST.format("coalesce(text, '')")} AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)),
+                    lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM documents),
+        windows AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM (
+                SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS gram FROM (
+                    SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM worded))),
+        repeated AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(3) r(k) WHERE times > 1 GROUP BY 1),
+        figures AS (
+            SELECT doc_id, t, w, lines, len(w) AS n_words,
+                length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+                length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                coalesce(n, 0) AS n_repeat_words
+            FROM worded LEFT JOIN repeated USING (doc_id)),
+        judged AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+                10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                OR 2 * n_dup_lines > len(lines)
+                OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) < n_words
+                OR 10 * (length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')))
+                    > 7 * (length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')))
+                OR 20 * len(list_distinct(w)) < n_words AS rejected
+            FROM figures)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars,
+            n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+            n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+        FROM judged""",
     "op10_jaccard_join": f"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, {WORD_LIST.format(LOWER_AZ)} AS w FROM documents),

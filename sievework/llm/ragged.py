@@ -135,10 +135,47 @@ def odd_numbers(name: str, n: int) -> np.ndarray:
     return mix(start + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
-def lookup(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-    """Index of each key in `sorted_keys`, -1 where it is not there."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, dtype=np.int64)
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == keys, at, -1)
+class Index:
+    """From 64-bit numbers to small ones, for whole arrays at a time: a table
+    with linear probing, at most half full."""
+
+    def __init__(self, keys: np.ndarray = np.zeros(0, np.uint64), values: np.ndarray | None = None):
+        self.count, self.mask = 0, np.uint64((1 << 10) - 1)
+        self.keys = np.zeros(1 << 10, dtype=np.uint64)
+        self.values = np.full(1 << 10, -1, dtype=np.int64)
+        self.add(keys, np.arange(len(keys)) if values is None else values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add keys that are not there yet, with values from 0 on."""
+        self.count += len(keys)
+        if 2 * self.count > len(self.keys):
+            used = self.values >= 0
+            keys = np.concatenate((self.keys[used], keys))
+            values = np.concatenate((self.values[used], values))
+            size = 1 << int(2 * self.count).bit_length()
+            self.mask = np.uint64(size - 1)
+            self.keys = np.zeros(size, dtype=np.uint64)
+            self.values = np.full(size, -1, dtype=np.int64)
+        step = np.uint64(0)
+        while len(keys):
+            slot = (keys + step) & self.mask
+            free = self.values[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            self.values[slot[free]] = values[free]
+            # Of several keys for one free slot the last has it.
+            rest = ~free | (self.keys[slot] != keys)
+            keys, values, step = keys[rest], values[rest], step + np.uint64(1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where it is not there."""
+        slot = keys & self.mask
+        found = self.values[slot]
+        pending = np.flatnonzero((self.keys[slot] != keys) & (found >= 0))
+        step = np.uint64(0)
+        while len(pending):
+            step += np.uint64(1)
+            wanted = keys[pending]
+            slot = (wanted + step) & self.mask
+            found[pending] = self.values[slot]
+            pending = pending[(self.keys[slot] != wanted) & (found[pending] >= 0)]
+        return found
