@@ -42,7 +42,7 @@ class JoinSettings:
     percent_of: int = 100
     # Texts whose n-grams are counted to order them. The order decides which
     # lists are scanned, never which pairs are found.
-    sample_texts: int = 20_000
+    sample_texts: int = 5_000
     # An n-gram in that many texts of the sample is frequent; so many of the most
     # frequent ones are put at the end of the order.
     frequent_from: int = 3
@@ -51,6 +51,9 @@ class JoinSettings:
     light_most: int = 12
     # Cost of checking one pair, in rows of a list.
     check_cost: float = 4.0
+    # Parts of a sketch: how many n-grams of a set fall into each. Two sets have
+    # no more in common than the smaller number of each part, summed up.
+    parts: int = 128
     # Ids of texts that may be broadcast (8 bytes each); more are joined by shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -122,6 +125,14 @@ def digests(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return ragged.mix(spread[begins[1:]] - spread[begins[:-1]] + np.diff(begins).astype(np.uint64))
 
 
+def sketches(grams: np.ndarray, begins: np.ndarray, parts: int) -> np.ndarray:
+    """Per set the number of its n-grams in each part, by their high bits."""
+    n = len(begins) - 1
+    owner = np.repeat(np.arange(n), np.diff(begins))
+    part = (ragged.mix(grams) >> np.uint64(32)).astype(np.int64) % parts
+    return np.bincount(owner * parts + part, minlength=n * parts).astype(np.int32)
+
+
 class Filing:
     """The lists a set is filed in: `keys` of all lists, of which the first
     `n_filed` make it known to larger sets, while in the others it only looks."""
@@ -177,8 +188,8 @@ def with_sets(df: DataFrame, settings: JoinSettings) -> DataFrame:
 
 
 def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSettings) -> DataFrame:
-    """`id, n, digest, n_filed, keys` of each row of `df(id, text)`."""
-    k = settings.words
+    """`id, n, digest, n_filed, keys, sketch` of each row of `df(id, text)`."""
+    k, parts = settings.words, settings.parts
 
     def run(batches):
         filing = Filing(frequent, light, settings)
@@ -198,12 +209,16 @@ def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSet
                         pa.array(digests(grams, begins).view(np.int64)),
                         pa.array(np.array([n for _, n in filed], dtype=np.int32)),
                         _lists(keys, sizes),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(len(begins), dtype=np.int32) * parts),
+                            pa.array(sketches(grams, begins, parts)),
+                        ),
                     ],
-                    names=["id", "n", "digest", "n_filed", "keys"],
+                    names=["id", "n", "digest", "n_filed", "keys", "sketch"],
                 )
 
     return df.mapInArrow(
-        run, "id long, n long, digest long, n_filed int, keys array<long>"
+        run, "id long, n long, digest long, n_filed int, keys array<long>, sketch array<int>"
     )
 
 
@@ -288,12 +303,34 @@ def _links(pairs: DataFrame, sets: DataFrame, settings: JoinSettings) -> DataFra
     return both.where(s.percent_of * common >= s.percent * (total - common)).select("u", "v")
 
 
-def _sets_of(df: DataFrame, rows: DataFrame, pairs: DataFrame, settings: JoinSettings) -> DataFrame:
-    """`digest, grams` of the sets that occur in `pairs`, from one text each."""
+def _possible(rows: DataFrame, pairs: DataFrame, settings: JoinSettings) -> DataFrame:
+    """The `pairs(u, v)` whose sketches leave room for a link, with the id of one
+    text for each set. Sketches are a fraction of the size of the sets."""
+    s = settings
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
-    ids = materialise(
-        rows.groupBy("digest").agg(F.min("id").alias("id")).join(wanted, "digest").select("id"), "ids"
+    known = materialise(
+        rows.join(wanted, "digest")
+        .groupBy("digest")
+        .agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")),
+        "sketches",
+    )
+
+    def side(name: str) -> DataFrame:
+        return known.select(*[F.col(c).alias(c if c == "digest" else f"{c}_{name}") for c in known.columns]) \
+            .withColumnRenamed("digest", name)
+
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    room = F.aggregate(
+        F.zip_with("sketch_u", "sketch_v", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x
     )
+    total = F.col("n_u") + F.col("n_v")
+    fits = F.expr(_can_link("n_u", "n_v", s)) & (s.percent_of * room >= s.percent * (total - room))
+    return both.where(fits).select("u", "v", "id_u", "id_v")
+
+
+def _sets_of(df: DataFrame, pairs: DataFrame, settings: JoinSettings) -> DataFrame:
+    """`digest, grams` of the sets that occur in `pairs`, from one text each."""
+    ids = materialise(pairs.select(F.explode(F.array("id_u", "id_v")).alias("id")).distinct(), "ids")
     # Broadcast up to a stated size, else joined by shuffle.
     few = ids.count() <= settings.broadcast_ids
     texts = df.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -352,13 +389,16 @@ def jaccard_components(
         "pairs",
     )
     have = rows.where("id IS NOT NULL")
-    sets = materialise(_sets_of(known, have, starred, settings), "grams")
-    links = materialise(_links(starred, sets, settings), "links")
-    roots = components(links)
 
+    def links_of(candidates: DataFrame) -> DataFrame:
+        possible = materialise(_possible(have, candidates, settings), "possible")
+        sets = materialise(_sets_of(known, possible, settings), "grams")
+        return materialise(_links(possible.select("u", "v"), sets, settings), "links")
+
+    links = links_of(starred)
+    roots = components(links)
     crossing = materialise(_cross_pairs(members, roots, starred, settings), "pairs")
-    more_sets = materialise(_sets_of(known, have, crossing, settings), "grams")
-    roots = components(links.unionByName(_links(crossing, more_sets, settings)))
+    roots = components(links.unionByName(links_of(crossing)))
 
     by_digest = have.groupBy("digest").agg(F.min("id").alias("least")).join(
         roots.withColumnRenamed("node", "digest"), "digest", "left"

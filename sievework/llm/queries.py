@@ -14,6 +14,7 @@ from sievework.llm.packing import pack
 from sievework.llm.quality import BASE, judged
 from sievework.llm.sharding import shard
 from sievework.llm.token_counts import token_counts
+from sievework.llm.vector_search import top_k
 
 
 # The vocabulary file the token queries are for; any path can be given.
@@ -45,6 +46,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), VOCABULARY)
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_token_counts": op4_token_counts,
     "op6_mixing": op6_mixing,
+    "op7_top_k": op7_top_k,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
@@ -99,6 +105,17 @@ ORACLES: dict[str, str] = {
             n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
             n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
         FROM judged""",
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op10_jaccard_join": f"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, {WORD_LIST.format(LOWER_AZ)} AS w FROM documents),
