@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.jaccard_join import jaccard_components
+from sievework.llm.language import identified
 from sievework.llm.mixing import mix
 from sievework.llm.packing import pack
 from sievework.llm.quality import BASE, judged
@@ -42,6 +43,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), VOCABULARY)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = identified(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    names = ("held_out", "lang_pred", "score", "ambiguous")
+    return rows.select("doc_id", *[f"_language.{name}" for name in names])
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_top_k": op7_top_k,
     "op9_packing": op9_packing,
