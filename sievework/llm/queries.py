@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.class_lm import scored
 from sievework.llm.jaccard_join import jaccard_components
 from sievework.llm.language import identified
 from sievework.llm.mixing import mix
@@ -39,6 +40,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(documents(spark, sf_dir))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), VOCABULARY)
 
@@ -68,6 +73,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
+    "op3_class_lm": op3_class_lm,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
