@@ -16,6 +16,7 @@ from sievework.llm.packing import pack
 from sievework.llm.quality import BASE, judged
 from sievework.llm.sharding import shard
 from sievework.llm.token_counts import token_counts
+from sievework.llm.toxicity import toxicity
 from sievework.llm.vector_search import top_k
 
 
@@ -62,6 +63,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), VOCABULARY)
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_top_k": op7_top_k,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
 }
