@@ -1,28 +1,63 @@
-"""The corpus pipeline: quality, language, near duplicates, mix and packing."""
+"""The corpus pipeline: quality, language, near duplicates, mix and packing.
+
+Each stage takes the session, the documents that the stage before kept, and the
+folder of the tables, and returns documents with the same columns; the last
+returns the pieces of the packed sequences. Tables between stages are Parquet in
+the shared folder, so a lost executor costs tasks, not stages.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm.jaccard_join import keep_one_per_component
+from sievework.llm.language import UNKNOWN, identified
 from sievework.llm.mixing import mixed_documents
+from sievework.llm.packing import pack
+from sievework.llm.quality import judged
 from sievework.storage import materialise
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base test or a rule go."""
+    return judged(docs).where("_quality.kept").drop("_quality")
+
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language, or in two about equally, go."""
+    known = identified(docs).where(f"_language.lang_pred <> '{UNKNOWN}' AND NOT _language.ambiguous")
+    return known.drop("_language")
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
     return keep_one_per_component(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document is there as often as the mix takes it: not at all, once or
+    twice."""
     return mixed_documents(docs)
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return pack(docs, VOCABULARY)
+
+
 STAGES = [
-    ("near duplicates", near_duplicates),
+    ("quality rules", quality_rules),
+    ("language id", language_id),
+    ("jaccard join", jaccard_join),
     ("mixing", mixing),
+    ("packing", packing),
 ]
 
-# The stages draw, cluster and learn, which SQL cannot express.
+# The stages learn, draw and tokenise, which SQL cannot express; tests hold the
+# result against brute-force versions.
 ORACLE_SQL = None
 
 

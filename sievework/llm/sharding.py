@@ -54,16 +54,20 @@ def _assigned(slots: DataFrame, loads: DataFrame, n_shards: int) -> DataFrame:
     """Put each slot, largest first, on the shard that is then the least loaded.
     `loads(shard, bytes)` is what shards hold already. The `n_slots` slots are one
     array, so this is one row however large the data is."""
-    start = loads.agg(
-        F.map_from_entries(F.collect_list(F.struct("shard", "bytes"))).alias("held")
-    ).select(
-        F.expr(f"transform(sequence(0, {n_shards - 1}), i -> coalesce(held[i], 0L))").alias("loads")
+    # Slots and loads as rows of one table, so that one aggregate makes the row.
+    slot = F.struct((-F.col("bytes")).alias("minus"), "virtual_slot")
+    load = F.struct("shard", "bytes")
+    both = slots.select(slot.alias("slot"), F.lit(None).cast("struct<shard:int,bytes:bigint>").alias("load")).unionByName(
+        loads.select(F.lit(None).cast("struct<minus:bigint,virtual_slot:int>").alias("slot"), load.alias("load"))
     )
-    queue = slots.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "virtual_slot"))).alias("queue")
+    # Aggregates leave out nulls.
+    row = both.agg(
+        F.array_sort(F.collect_list("slot")).alias("queue"),
+        F.map_from_entries(F.collect_list("load")).alias("held"),
+    ).select(
+        "queue", F.expr(f"transform(sequence(0, {n_shards - 1}), i -> coalesce(held[i], 0L))").alias("loads")
     )
-    # Two tables of one row each.
-    filled = queue.withColumn("one", F.lit(1)).join(start.withColumn("one", F.lit(1)), "one").select(
+    filled = row.select(
         F.expr(
             """
             aggregate(
@@ -96,17 +100,18 @@ def rebalanced(slot_map: DataFrame, slots: DataFrame, settings: ShardSettings) -
     and the slots of shards that are gone, is placed anew.
     """
     old = slot_map.select("virtual_slot", "shard", "version").join(slots, "virtual_slot")
-    whole = slots.agg(F.sum("bytes").alias("total"))
+    total = slots.agg(F.sum("bytes")).first()[0] or 0
     by_size = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot")
     held = old.withColumn("upto", F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    share = F.col("total") / settings.n_shards * (1 + settings.tolerance)
-    stays = (F.col("upto") <= share) & (F.col("shard") < settings.n_shards)
-    judged = materialise(held.crossJoin(F.broadcast(whole)).withColumn("stays", stays).drop("total"), "slots")
+    share = total / settings.n_shards * (1 + settings.tolerance)
+    judged = materialise(
+        held.withColumn("stays", (F.col("upto") <= share) & (F.col("shard") < settings.n_shards)), "slots"
+    )
     kept = judged.where("stays").select("virtual_slot", "bytes", "shard")
     loads = kept.groupBy("shard").agg(F.sum("bytes").alias("bytes"))
     moved = _assigned(judged.where("NOT stays").select("virtual_slot", "bytes"), loads, settings.n_shards)
-    version = slot_map.agg((F.max("version") + 1).alias("version"))
-    return kept.unionByName(moved).crossJoin(F.broadcast(version))
+    version = slot_map.agg(F.max("version")).first()[0] + 1
+    return kept.unionByName(moved).withColumn("version", F.lit(version))
 
 
 def write_map(slot_map: DataFrame, folder: str) -> DataFrame:

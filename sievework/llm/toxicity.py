@@ -1,10 +1,10 @@
 """Toxicity by two language models with Kneser-Ney smoothing.
 
 One model is of toxic texts, one of ordinary texts. A word is predicted from the
-word before; where that pair is rare, from how many different words it follows;
-where the word is rare, from the same figure of its beginning; and below that
-from counts that both models share, so expressions that neither model
-knows say nothing. The difference of the two log-likelihoods per word is turned
+word before; where that pair is rare, from how many texts the word is in; where the word is
+rare, from the same figure of its beginning; and all of them fall back on
+counts that both models share, so rare expressions
+say little. The difference of the two log-likelihoods per word is turned
 into a probability by a logistic curve, fitted on texts the models have not seen.
 """
 
@@ -38,10 +38,15 @@ class ToxicSettings:
     # at most so many of the most frequent of each kind.
     least_count: int = 3
     most_terms: int = 300_000
+    # Pairs count after words that so many texts of each label have.
+    least_context: int = 50
     # Standard errors by which a ratio is taken to be nearer to none.
     chance: float = 2.0
-    # What the models may differ by at one word, in natural logarithms.
+    # What one word may tell for an ordinary and for a toxic text, in natural
+    # logarithms, and from where on it is strong evidence.
+    least_per_word: float = -0.2
     most_per_word: float = 8.0
+    strong: float = 1.0
 
 
 LETTER_OR_BYTE = np.zeros(256, dtype=bool)
@@ -50,6 +55,9 @@ for _first, _last in ("az", "AZ", "09"):
     LETTER_OR_BYTE[ord(_first) : ord(_last) + 1] = True
 
 
+KINDS = ("pair", "word", "stem")
+
+
 class Words:
     """Words without the signs around them: per word its hash, that of its
     beginning, and that of the pair with the word before."""
@@ -86,8 +94,17 @@ def _labelled(df: DataFrame, labels: DataFrame, id: str, text: str, label: str,
     return rows.join(F.broadcast(chosen), "id").select("fold", "toxic", "text")
 
 
+def _once_per_text(term: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places that hold each term of each text once."""
+    order = np.lexsort((term, owner))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(term[order]) != 0) | (np.diff(owner[order]) != 0)
+    return order[new]
+
+
 def _terms(texts: DataFrame, s: ToxicSettings) -> DataFrame:
-    """Texts per label with each pair, and the word and the stem in it."""
+    """`kind, term, before, word` with the number of texts of each label that it
+    is in: `n0` ordinary, `n1` toxic. Only pairs have a `before` and a `word`."""
 
     def run(batches):
         for batch in batches:
@@ -95,36 +112,29 @@ def _terms(texts: DataFrame, s: ToxicSettings) -> DataFrame:
             for row, data, offsets in ragged.text_portions(batch.column("text")):
                 words = Words(data, offsets, s.stem)
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(words.firsts))
-                # A pair counts once per text, however often it is repeated there.
-                order = np.lexsort((words.pair, owner))
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (np.diff(words.pair[order]) != 0) | (np.diff(owner[order]) != 0)
-                once = order[new]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[once].view(np.int64)) for x in (words.pair, words.before, words.word, words.stem)]
-                    + [pa.array(toxic[row + owner[once]])],
-                    names=["pair", "before", "word", "stem", "toxic"],
-                )
-
-    rows = texts.mapInArrow(run, "pair long, before long, word long, stem long, toxic long")
-    toxic = F.col("toxic")
-    return rows.groupBy("pair", "before", "word", "stem").agg(
-        F.sum(toxic).alias("n1"), F.sum(1 - toxic).alias("n0")
+                for kind, name in enumerate(KINDS):
+                    at = _once_per_text(getattr(words, name), owner)
+                    of_pair = [x[at] if name == "pair" else np.zeros(len(at), np.uint64) for x in (words.before, words.word)]
+                    columns = [getattr(words, name)[at], *of_pair]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), kind, np.int32)), *[pa.array(x.view(np.int64)) for x in columns],
+                         pa.array(toxic[row + owner[at]])],
+                        names=["kind", "term", "before", "word", "toxic"],
+                    )
+
+    rows = texts.mapInArrow(run, "kind int, term long, before long, word long, toxic long")
+    return rows.groupBy("kind", "term", "before", "word").agg(
+        F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")
     )
 
 
 class Counts:
-    """Kept terms of one kind with their counts per label; ordinary first."""
-
-    def __init__(self, terms: DataFrame, columns: list[str], s: ToxicSettings):
-        kept = (
-            terms.where(F.col("n0") + F.col("n1") >= s.least_count)
-            .orderBy(F.desc(F.col("n0") + F.col("n1")), columns[0])
-            .limit(s.most_terms)
-            .select(*columns, "n0", "n1")
-            .toPandas()
-        )
-        self.hashes = {c: kept[c].to_numpy(np.int64).view(np.uint64) for c in columns}
+    """The most frequent terms of a kind with their counts, ordinary first."""
+
+    def __init__(self, terms: DataFrame, s: ToxicSettings):
+        both = F.col("n0") + F.col("n1")
+        kept = terms.where(both >= s.least_count).orderBy(F.desc(both), "term").limit(s.most_terms).toPandas()
+        self.hashes = {c: kept[c].to_numpy(np.int64).view(np.uint64) for c in ("term", "before", "word")}
         self.n = kept[["n0", "n1"]].to_numpy(np.float64).T
 
 
@@ -152,30 +162,29 @@ class ToxicModel:
 
     def __init__(self, terms: DataFrame, s: ToxicSettings):
         self.settings = s
-        # Lower levels count different pairs, not occurrences.
-        seen = [(F.col(f"n{i}") > 0).cast("long").alias(f"n{i}") for i in (0, 1)]
-        types = terms.select("word", "stem", *seen)
         sums = [F.sum(f"n{i}").alias(f"n{i}") for i in (0, 1)]
-        all_words = materialise(types.groupBy("word", "stem").agg(*sums), "words")
-        all_stems = materialise(all_words.groupBy("stem").agg(*sums), "stems")
         some = [F.count_if(F.col(f"n{i}") > 0).alias(f"t{i}") for i in (0, 1)]
 
-        def level(table: DataFrame, columns: list[str]) -> tuple[Counts, Level]:
+        def lower_level(kind: int) -> tuple[Counts, Level]:
+            table = terms.where(F.col("kind") == kind)
             total = table.agg(*sums, *some).first()
-            size = np.array([[float(total[f"n{i}"] or 0)] for i in (0, 1)])
-            kinds = np.array([[float(total[f"t{i}"] or 0)] for i in (0, 1)])
-            kept = Counts(table, columns, s)
+            size, types = (np.array([[float(total[f"{x}{i}"] or 0)] for i in (0, 1)]) for x in "nt")
+            kept = Counts(table, s)
+            # The counts of both labels together, as what both fall back on.
             shared = kept.n.sum(axis=0) / max(size.sum(), 1)
-            return kept, Level(kept.n, size, kinds, shared, s)
-
-        stems, stem_level = level(all_stems, ["stem"])
-        words, word_level = level(all_words, ["word", "stem"])
-        pairs = Counts(terms, ["pair", "before", "word"], s)
-        word_index = ragged.Index(words.hashes["word"])
-
-        context = materialise(
-            terms.groupBy("before").agg(*sums, *some).where(F.col("n0") + F.col("n1") >= s.least_count), "contexts"
-        ).orderBy(F.desc(F.col("n0") + F.col("n1")), "before").limit(s.most_terms).toPandas()
+            return kept, Level(kept.n, size, types, shared, s)
+
+        words, word_level = lower_level(1)
+        stems, stem_level = lower_level(2)
+        all_pairs = terms.where(F.col("kind") == 0)
+        pairs = Counts(all_pairs, s)
+        # Only words that both labels have often tell what follows them.
+        context = (
+            all_pairs.groupBy("before").agg(*sums, *some)
+            .where(F.least("n0", "n1") >= s.least_context)
+            .orderBy(F.desc(F.col("n0") + F.col("n1")), "before").limit(s.most_terms).toPandas()
+        )
+        word_index = ragged.Index(words.hashes["term"])
         at = ragged.Index(context["before"].to_numpy(np.int64).view(np.uint64)).find(pairs.hashes["before"])
         below = word_index.find(pairs.hashes["word"])
         whole = (at >= 0) & (below >= 0)
@@ -183,14 +192,14 @@ class ToxicModel:
         pair_level = Level(pairs.n[:, whole], *after, word_level.p[:, below[whole]], s)
         # From the most to the least special; the first that says something counts.
         self.levels = [
-            ("pair", ragged.Index(pairs.hashes["pair"][whole]), pair_level.ratio),
+            ("pair", ragged.Index(pairs.hashes["term"][whole]), pair_level.ratio),
             ("word", word_index, word_level.ratio),
-            ("stem", ragged.Index(stems.hashes["stem"]), stem_level.ratio),
+            ("stem", ragged.Index(stems.hashes["term"]), stem_level.ratio),
         ]
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text the mean log-likelihood ratio of a word, and the logarithm of
-        the number of words."""
+        """Per text the mean log-likelihood ratio of a word, the share of words
+        that are strong evidence, and the logarithm of the number of words."""
         words = Words(data, offsets, self.settings.stem)
         ratio = np.zeros(len(words.word))
         for name, index, ratios in reversed(self.levels):
@@ -198,23 +207,24 @@ class ToxicModel:
             if len(ratios):
                 said = np.where(at >= 0, ratios[at], 0.0)
                 ratio = np.where(said != 0, said, ratio)
-        most = self.settings.most_per_word
-        sums = ragged.sums_by(np.clip(ratio, -most, most), words.firsts)
+        s = self.settings
         n = np.diff(words.firsts)
-        return np.stack((sums / np.maximum(n, 1), np.log1p(n)), axis=1)
+        mean = ragged.sums_by(np.clip(ratio, s.least_per_word, s.most_per_word), words.firsts) / np.maximum(n, 1)
+        strong = ragged.sums_by(ratio > s.strong, words.firsts) / np.maximum(n, 1)
+        return np.stack((mean, np.sqrt(strong), np.log1p(n)), axis=1)
 
     def fit_curve(self, features: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic regression on the features, each label with its own weight."""
+        """Logistic regression on the features, by Newton steps."""
         x = np.column_stack((np.ones(len(features)), features))
-        self.centre = x[:, 1:].mean(axis=0) if len(x) else np.zeros(2)
-        self.spread = np.maximum(x[:, 1:].std(axis=0), 1e-9) if len(x) else np.ones(2)
+        self.centre = x[:, 1:].mean(axis=0) if len(x) else np.zeros(3)
+        self.spread = np.maximum(x[:, 1:].std(axis=0), 1e-9) if len(x) else np.ones(3)
         x[:, 1:] = (x[:, 1:] - self.centre) / self.spread
-        self.weights = np.array([0.0, 1.0, 0.0])
+        self.weights = np.array([0.0, 1.0, 0.0, 0.0])
         if 0 < toxic.sum() < len(toxic):
             for _ in range(50):
                 p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
                 slope = x.T @ (toxic - p) - 1e-3 * self.weights
-                bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3)
+                bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(4)
                 self.weights += np.linalg.solve(bend, slope)
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -224,7 +234,7 @@ class ToxicModel:
 
 def fit(df: DataFrame, labels: DataFrame, id: str, text: str, label: str, s: ToxicSettings) -> ToxicModel:
     """The models and the curve. The driver sees kept terms, of bounded number,
-    and two figures per text of the bounded sample."""
+    and three figures per text of the bounded sample."""
     sample = materialise(_labelled(df, labels, id, text, label, s), "labelled")
     model = ToxicModel(materialise(_terms(sample.where(F.col("fold") != s.curve_fold), s), "terms"), s)
 
@@ -233,13 +243,13 @@ def fit(df: DataFrame, labels: DataFrame, id: str, text: str, label: str, s: Tox
             for row, data, offsets in ragged.text_portions(batch.column("text")):
                 found = model.features(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("toxic").slice(row, len(found)), pa.array(found[:, 0]), pa.array(found[:, 1])],
-                    names=["toxic", "ratio", "size"],
+                    [batch.column("toxic").slice(row, len(found)), *[pa.array(column) for column in found.T.copy()]],
+                    names=["toxic", "mean", "strong", "size"],
                 )
 
-    unseen = sample.where(F.col("fold") == s.curve_fold).mapInArrow(run, "toxic boolean, ratio double, size double")
+    unseen = sample.where(F.col("fold") == s.curve_fold).mapInArrow(run, "toxic boolean, mean double, strong double, size double")
     points = unseen.toPandas()
-    model.fit_curve(points[["ratio", "size"]].to_numpy(np.float64), points["toxic"].to_numpy(np.float64))
+    model.fit_curve(points[["mean", "strong", "size"]].to_numpy(np.float64), points["toxic"].to_numpy(np.float64))
     return model
 
 
