@@ -230,19 +230,22 @@ def mixed_documents(
     taken = copies(sized, source_targets(sized, settings), settings)
     # Equal rows, of which there may be several, get the copies in any order.
     lists = taken.groupBy("id", "source", "digest").agg(F.collect_list("copies").alias("_copies"))
-    rows = df.withColumn("_digest", F.xxhash64(F.col(text)))
-    same = F.expr(f"r.`{id}` <=> l.id AND r.`{source}` <=> l.source AND r._digest = l.digest")
-    joined = rows.alias("r").join(lists.where("exists(_copies, n -> n > 0)").alias("l"), same)
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+        F.col(id).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"),
+        F.xxhash64(F.col(text)).alias("_digest"),
+    )
+    same = F.expr("_id <=> id AND _source <=> source AND _digest = digest")
+    joined = rows.join(lists.where("exists(_copies, n -> n > 0)"), same)
     # Nearly all lists hold one number; only the others need a row number.
-    one = joined.where("size(_copies) = 1").withColumn("_n", F.col("_copies")[0])
-    at = F.row_number().over(Window.partitionBy("l.id", "l.source", "l.digest").orderBy(F.lit(1)))
+    one = joined.where("size(_copies) = 1").select("_row", F.col("_copies")[0].alias("_n"))
+    at = F.row_number().over(Window.partitionBy("_id", "_source", "_digest").orderBy(F.lit(1)))
     many = joined.where("size(_copies) > 1").withColumn("_at", at)
-    many = many.withColumn("_n", F.col("_copies")[F.col("_at") - 1]).drop("_at")
-    columns = [F.col(f"r.`{c}`").alias(c) for c in df.columns]
+    many = many.select("_row", F.col("_copies")[F.col("_at") - 1].alias("_n"))
     times = F.sequence(F.lit(1), F.col("_n").cast("int"))
     return (
         one.unionByName(many)
         .where("_n > 0")
-        .select(*columns, F.explode(times).alias("_copy"))
-        .drop("_copy")
+        .select("_row", F.explode(times).alias("_copy"))
+        .select(*[F.col(f"_row.`{c}`").alias(c) for c in df.columns])
     )
