@@ -51,9 +51,6 @@ class JoinSettings:
     light_most: int = 12
     # Cost of checking one pair, in rows of a list.
     check_cost: float = 4.0
-    # Parts of a sketch: how many n-grams of a set fall into each. Two sets have
-    # no more in common than the smaller number of each part, summed up.
-    parts: int = 128
     # Ids of texts that may be broadcast (8 bytes each); more are joined by shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -125,12 +122,27 @@ def digests(grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return ragged.mix(spread[begins[1:]] - spread[begins[:-1]] + np.diff(begins).astype(np.uint64))
 
 
-def sketches(grams: np.ndarray, begins: np.ndarray, parts: int) -> np.ndarray:
-    """Per set the number of its n-grams in each part, by their high bits."""
-    n = len(begins) - 1
-    owner = np.repeat(np.arange(n), np.diff(begins))
-    part = (ragged.mix(grams) >> np.uint64(32)).astype(np.int64) % parts
-    return np.bincount(owner * parts + part, minlength=n * parts).astype(np.int32)
+def sketches(grams: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Per set how many of its n-grams fall into each of some parts. Two sets have
+    no more in common than the smaller number of each part, summed up.
+
+    The parts are a power of two, about half the size of the set, so those of
+    two similar sets are as many or twice as many. Null where a number is too large
+    for a byte; such a set is checked without a sketch.
+    """
+    sizes = np.diff(begins)
+    parts = 1 << np.maximum(np.log2(np.maximum(sizes, 1)).astype(np.int64) - 1, 3)
+    edges = np.concatenate(([0], np.cumsum(parts)))
+    part = (ragged.mix(grams) >> np.uint64(32)).astype(np.int64) & np.repeat(parts - 1, sizes)
+    counts = np.bincount(np.repeat(edges[:-1], sizes) + part, minlength=edges[-1])
+    fits = np.ones(len(sizes), dtype=bool)
+    if len(sizes):
+        fits = np.maximum.reduceat(counts, edges[:-1]) <= 127
+    return pa.ListArray.from_arrays(
+        pa.array(edges.astype(np.int32)),
+        pa.array(np.minimum(counts, 127).astype(np.int8)),
+        mask=pa.array(~fits),
+    )
 
 
 class Filing:
@@ -189,7 +201,7 @@ def with_sets(df: DataFrame, settings: JoinSettings) -> DataFrame:
 
 def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSettings) -> DataFrame:
     """`id, n, digest, n_filed, keys, sketch` of each row of `df(id, text)`."""
-    k, parts = settings.words, settings.parts
+    k = settings.words
 
     def run(batches):
         filing = Filing(frequent, light, settings)
@@ -209,16 +221,13 @@ def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSet
                         pa.array(digests(grams, begins).view(np.int64)),
                         pa.array(np.array([n for _, n in filed], dtype=np.int32)),
                         _lists(keys, sizes),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(len(begins), dtype=np.int32) * parts),
-                            pa.array(sketches(grams, begins, parts)),
-                        ),
+                        sketches(grams, begins),
                     ],
                     names=["id", "n", "digest", "n_filed", "keys", "sketch"],
                 )
 
     return df.mapInArrow(
-        run, "id long, n long, digest long, n_filed int, keys array<long>, sketch array<int>"
+        run, "id long, n long, digest long, n_filed int, keys array<long>, sketch array<tinyint>"
     )
 
 
@@ -320,8 +329,16 @@ def _possible(rows: DataFrame, pairs: DataFrame, settings: JoinSettings) -> Data
             .withColumnRenamed("digest", name)
 
     both = pairs.join(side("u"), "u").join(side("v"), "v")
-    room = F.aggregate(
-        F.zip_with("sketch_u", "sketch_v", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x
+    def folded(name: str, other: str) -> str:
+        """A sketch with as many parts as the other, if that has half as many."""
+        mine, n = f"sketch_{name}", f"size(sketch_{other})"
+        half = f"transform(slice({mine}, 1, {n}), (x, i) -> int(x) + {mine}[i + {n}])"
+        return f"case when size({mine}) > {n} then {half} else transform({mine}, x -> int(x)) end"
+
+    room = F.expr(
+        f"""case when sketch_u is null or sketch_v is null then least(n_u, n_v)
+        else aggregate(zip_with({folded("u", "v")}, {folded("v", "u")}, (a, b) -> least(a, b)), 0L, (s, x) -> s + x)
+        end"""
     )
     total = F.col("n_u") + F.col("n_v")
     fits = F.expr(_can_link("n_u", "n_v", s)) & (s.percent_of * room >= s.percent * (total - room))
@@ -384,10 +401,10 @@ def jaccard_components(
     contested = materialise(heads.where("head <> last").select("key", "head"), "contested")
     members = materialise(postings.join(contested, "key"), "members")
 
-    starred = materialise(
-        members.where("digest <> head").select(F.col("head").alias("u"), F.col("digest").alias("v")).distinct(),
-        "pairs",
-    )
+    # Each set is compared with one head first, the one it meets in most lists.
+    met = members.where("digest <> head").groupBy("digest", "head").agg(F.count(F.lit(1)).alias("lists"))
+    nearest = met.groupBy("digest").agg(F.max(F.struct("lists", "head")).alias("best"))
+    starred = materialise(nearest.select(F.col("best.head").alias("u"), F.col("digest").alias("v")), "pairs")
     have = rows.where("id IS NOT NULL")
 
     def links_of(candidates: DataFrame) -> DataFrame:
