@@ -35,7 +35,6 @@ class NearDupSettings:
     # A bucket above this share of all memberships is joined by broadcast, so
     # at most 1 / hot_share rows of 24 bytes are ever broadcast.
     hot_share: float = 1e-5
-    hot_floor: int = 100_000
 
 
 @dataclass(frozen=True)

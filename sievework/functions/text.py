@@ -118,10 +118,12 @@ def strip_edit_note(text: Column) -> Column:
     it, to the end of the text."""
 
     def cut(t: Column) -> Column:
-        head = F.rtrim(F.regexp_replace(t, EDIT_NOTE, ""), F.lit(SPACE_CHARS))
-        plain = F.rtrim(head, F.lit("*"))
-        # Line breaks before the asterisks go too, other blanks there stay.
-        return F.when(plain == head, head).otherwise(F.rtrim(plain, F.lit("\n")))
+        def marks_off(head: Column) -> Column:
+            plain = F.rtrim(head, F.lit("*"))
+            # Line breaks before the asterisks go too, other blanks there stay.
+            return F.when(plain == head, head).otherwise(F.rtrim(plain, F.lit("\n")))
+
+        return let(F.rtrim(F.regexp_replace(t, EDIT_NOTE, ""), F.lit(SPACE_CHARS)), marks_off)
 
     def fix(t: Column) -> Column:
         noted = F.contains(caseless(t), F.lit("edit")) & t.rlike(EDIT_NOTE)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.config import NearDupSettings
@@ -44,6 +44,14 @@ def with_band_keys(
     return df.withColumn("bands", keys)
 
 
+def near_dup_order(score: str, key: Sequence[str], tie: Sequence[str] | None = None) -> list[Column]:
+    """Best score first, unscored last. Equal scores are ordered by a hash of `tie`
+    (by default the key), then by key: texts that drift from one to the next in
+    key order, as versions of a page do, would else be settled one by one."""
+    scores, keys = quality_order(score, key)[:2], quality_order(score, key)[2:]
+    return [*scores, F.md5(F.concat_ws("\x1f", *(tie or key))), *keys]
+
+
 def lsh_buckets(
     df: DataFrame,
     text: str = "text",
@@ -56,10 +64,9 @@ def lsh_buckets(
     The collisions of a bucket are all pairs of its members; size and head say
     the same without writing out the pairs.
     """
-    order = F.struct(
-        *[c.alias(f"_o{i}") for i, c in enumerate(quality_order(score, key))],
-        F.struct(*key).alias("row"),
-    )
+    fields = near_dup_order(score, key)
+    named = [x for i, c in enumerate(fields) for x in (F.lit(f"_o{i}"), c)]
+    order = F.named_struct(*named, F.lit("row"), F.struct(*key))
     return (
         with_band_keys(df.withColumn(score, nan_to_null(F.col(score))), text, settings)
         # The outer form keeps Spark from testing the signature in a filter of its
@@ -86,10 +93,8 @@ def _join_buckets(
     number, are broadcast, so their members stay where they are; the members of
     all other buckets are shuffled.
     """
-    hot_size = max(settings.hot_floor, int(n_members * settings.hot_share))
+    hot_size = int(n_members * settings.hot_share)
     narrow = buckets.select("bucket", "head")
-    if (buckets.agg(F.max("n")).first()[0] or 0) <= hot_size:
-        return members.join(narrow, "bucket")
     hot = narrow.where(F.col("n") > hot_size)
     cold = narrow.where(F.col("n") <= hot_size)
     marked = members.join(F.broadcast(hot), "bucket", "left")
@@ -110,6 +115,7 @@ def near_duplicates(
     score: str = "score",
     key: Sequence[str] = ("source", "source_id"),
     settings: NearDupSettings = NearDupSettings(),
+    tie: Sequence[str] | None = None,
 ) -> DataFrame:
     """Keys of the rows to drop, with the reason `near_dup` or `no_tokens`.
 
@@ -126,7 +132,7 @@ def near_duplicates(
     )
     # One range sort turns score and key into an ordered long.
     placed = materialise(
-        keyed.orderBy(*quality_order(score, key)).select(
+        keyed.orderBy(*near_dup_order(score, key, tie)).select(
             *key, F.monotonically_increasing_id().alias("place"), "bands"
         ),
         "placed",

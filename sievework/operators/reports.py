@@ -94,13 +94,17 @@ def tag_precision_report(
     """Per label with keywords: the share of its rows that hold one of them."""
     known = F.col(label).isin([name for name, _ in keywords])
     own = has_own_keyword(F.col(text), F.col(label), keywords)
+    # Groups are chosen by an aggregate: a condition on the label itself would move
+    # below the tagging and run it twice.
     return (
-        df.where(known)
-        .groupBy(label)
+        df.groupBy(label)
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.round(100 * F.avg(own.cast("int")), 1).alias("percent_confirmed"),
+            F.bool_or(known).alias("_known"),
         )
+        .where("_known")
+        .drop("_known")
     )
 
 

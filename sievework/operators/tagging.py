@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -15,14 +16,12 @@ from sievework import lexicons
 from sievework.config import EmbeddingSettings
 from sievework.functions.expr import let
 from sievework.functions.lexicon import count_words, found_words, has_word, may_share_text
+from sievework.worker import per_worker
 
 Keywords = Sequence[tuple[str, Sequence[str]]]
 # Takes texts, returns one vector per text.
 Encoder = Callable[[list[str]], np.ndarray]
 
-# Label vectors travel inside the task closure, so their number is bounded.
-MAX_LABELS = 10_000
-
 
 def keyword_hits(text: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS) -> Column:
     """Keyword matches per label, in the order of the labels.
@@ -82,9 +81,16 @@ def _pick(vectors: np.ndarray, label_vectors: np.ndarray) -> tuple[np.ndarray, n
     return best, cosines[np.arange(len(best)), best]
 
 
+def _named(
+    best: np.ndarray, cosine: np.ndarray, labels: Sequence[str], floor: float, fallback: str
+) -> np.ndarray:
+    """The names of the best labels, the fallback where the cosine is too low."""
+    return np.where(cosine < floor, fallback, np.array(labels, dtype=object)[best])
+
+
 def _checked_labels(labels: Sequence[str], vectors: np.ndarray) -> np.ndarray:
-    if not 0 < len(labels) <= MAX_LABELS:
-        raise ValueError(f"between 1 and {MAX_LABELS} labels expected, got {len(labels)}")
+    if not len(labels):
+        raise ValueError("no labels given")
     if len(labels) != len(vectors):
         raise ValueError("one vector per label expected")
     return _unit(vectors)
@@ -108,9 +114,7 @@ def nearest_label(
         present = vectors.notna()
         if present.any():
             best, cosine = _pick(np.stack(vectors[present].to_list()), targets)
-            out.loc[present, "label"] = [
-                labels[i] if c >= floor else fallback for i, c in zip(best, cosine)
-            ]
+            out.loc[present, "label"] = _named(best, cosine, labels, floor, fallback)
             out.loc[present, "similarity"] = cosine
         return out
 
@@ -118,16 +122,32 @@ def nearest_label(
 
 
 def label_centroids(
-    df: DataFrame, label: str, vector: str, dim: int
+    df: DataFrame, label: str, vector: str, labels: Sequence
 ) -> tuple[list[str], np.ndarray]:
-    """Mean vector per label, in label order. Reads at most MAX_LABELS rows."""
-    means = F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)])
-    rows = df.groupBy(label).agg(means.alias("mean")).limit(MAX_LABELS + 1).collect()
-    rows.sort(key=lambda row: row[label])
-    labels = [str(row[label]) for row in rows]
-    vectors = np.array([row["mean"] for row in rows])
-    _checked_labels(labels, vectors)
-    return labels, vectors
+    """Mean vector of each of `labels`, a declared list; rows with other labels
+    are not read. The driver gets one number per label and dimension."""
+    components = df.where(F.col(label).isin(list(labels))).select(
+        F.col(label).alias("label"), F.posexplode(vector).alias("pos", "x")
+    )
+    means = components.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    found: dict = {}
+    for row in means.orderBy("pos").collect():
+        found.setdefault(row["label"], []).append(row["mean"])
+    names = [name for name in labels if name in found]
+    vectors = np.array([found[name] for name in names])
+    _checked_labels(names, vectors)
+    return [str(name) for name in names], vectors
+
+
+def _encoder_of(make_encoder: Callable[[], Encoder]) -> Callable[[], Encoder]:
+    """A function that gives the encoder of this Python worker. It is made by the
+    first task of a worker and kept for the next ones."""
+    key = uuid.uuid4().hex
+
+    def get() -> Encoder:
+        return per_worker("encoder", key, make_encoder)
+
+    return get
 
 
 def encode_texts(
@@ -137,10 +157,11 @@ def encode_texts(
 ) -> Column:
     """One vector per text. The encoder is made once per Python worker and sees
     at most `batch_size` texts a call; null texts are passed over."""
+    encoder_here = _encoder_of(make_encoder)
 
     @pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = make_encoder()
+        encoder = encoder_here()
         for texts in batches:
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             present = texts[texts.notna()]
@@ -166,10 +187,11 @@ def tag_by_embedding(
     """
     labels = [label for label in labels if label != fallback]
     prompts = [settings.label_prompt.format(label=label) for label in labels]
+    encoder_here = _encoder_of(make_encoder)
 
     @pandas_udf("string")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = make_encoder()
+        encoder = encoder_here()
         targets = _checked_labels(labels, encoder(prompts))
         for texts in batches:
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
@@ -177,10 +199,7 @@ def tag_by_embedding(
             for start in range(0, len(present), settings.batch_size):
                 part = present.iloc[start : start + settings.batch_size]
                 best, cosine = _pick(encoder(part.to_list()), targets)
-                out.loc[part.index] = [
-                    labels[i] if c >= settings.floor else fallback
-                    for i, c in zip(best, cosine)
-                ]
+                out.loc[part.index] = _named(best, cosine, labels, settings.floor, fallback)
             yield out
 
     return tag(text)
@@ -211,16 +230,3 @@ def tag_two_pass(
     return df.withColumn("context", F.when(hit, F.col("_by_keyword")).otherwise(rest)).drop(
         "_by_keyword"
     )
-
-
-def sentence_transformer(model: str = "all-MiniLM-L6-v2") -> Callable[[], Encoder]:
-    """Encoder factory over a sentence-transformers model, if that is installed
-    on the executors."""
-
-    def make() -> Encoder:
-        from sentence_transformers import SentenceTransformer
-
-        loaded = SentenceTransformer(model)
-        return lambda texts: loaded.encode(texts, normalize_embeddings=True)
-
-    return make

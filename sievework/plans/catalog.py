@@ -35,8 +35,11 @@ BLOCKLIST = (
     "stupid", "disgusting",
 )
 META_PHRASES = ("license",)
+META_TALK = ("This sub is old.", "this submarine", "good karma", "karmas", "see Rule 5", "rule five", "an UPVOTE", "plain")
 EMBEDDING = EmbeddingSettings(floor=0.05)
 ENCODER_DIM = 64
+# The labels of the table of vectors.
+EMBEDDING_LABELS = tuple(range(10))
 CONFIG = CurationConfig(
     length=BOUNDS,
     near_dup=NEAR_DUP,
@@ -48,19 +51,12 @@ CONFIG = CurationConfig(
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out to all cores; any larger
-    scan as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return readers.read_corpus_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,17 +89,24 @@ def messy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_field_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation its first user turn as title, first answer as body."""
-    said = F.struct("turn", "text")
-
-    def first(role: str) -> Column:
-        return F.min(F.when(F.col("role") == role, said))["text"]
-
-    return (
-        table(spark, sf_dir, "conversations")
-        .groupBy(F.col("conv_id").alias("id"))
-        .agg(first("user").alias("title"), first("assistant").alias("selftext"))
+    """All turns of the conversations: each user turn as a title with the answer
+    that follows as its body. A turn without a partner has the other field null."""
+    turns = table(spark, sf_dir, "conversations")
+    answers = turns.where("role = 'assistant'")
+    asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"))
+    prompts_ = turns.where("role <> 'assistant'").alias("p")
+    following = F.expr("p.conv_id = a.conv_id AND a.turn = p.turn + 1 AND p.role = 'user'")
+    titled = prompts_.join(answers.alias("a"), following, "left").select(
+        F.concat_ws("-", "p.conv_id", "p.turn").alias("id"),
+        F.col("p.text").alias("title"),
+        F.col("a.text").alias("selftext"),
+    )
+    alone = answers.join(asked, ["conv_id", "turn"], "left_anti").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"),
+        F.lit(None).cast("string").alias("title"),
+        F.col("text").alias("selftext"),
     )
+    return titled.unionByName(alone)
 
 
 def on_messy(function: Callable[[Column], Column], name: str = "text") -> Query:
@@ -134,16 +137,24 @@ def filtered(condition: Callable[[Column], Column]) -> Query:
     return run
 
 
+class _Buckets(dict):
+    """Hash bucket of a word, worked out once per word."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = bucket = hashlib.md5(word.encode()).digest()[0] % ENCODER_DIM
+        return bucket
+
+
 class WordHashEncoder:
     """Counts words per hash bucket: a stand-in for a sentence model that every
     engine can reproduce."""
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), ENCODER_DIM))
-        for row, value in enumerate(texts):
-            for word in re.findall(r"\w+", value.lower()):
-                out[row, hashlib.md5(word.encode()).digest()[0] % ENCODER_DIM] += 1
-        return out
+        words, bucket_of = [re.findall(r"\w+", value.lower()) for value in texts], _Buckets()
+        row = np.repeat(np.arange(len(texts)), [len(found) for found in words])
+        bucket = np.fromiter((bucket_of[w] for found in words for w in found), np.int64, len(row))
+        counts = np.bincount(row * ENCODER_DIM + bucket, minlength=len(texts) * ENCODER_DIM)
+        return counts.reshape(len(texts), ENCODER_DIM).astype(float)
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +263,12 @@ def null_to_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unescape_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.unescape_entities(F.col("html")).alias("html"))
 
 
 def normalise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", text.normalise_text(F.col("html")).alias("text"))
 
 
@@ -297,6 +308,14 @@ def obfuscation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def meta_post_filter_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with some talk about the forum added, under the default rule."""
+    said = F.array(*[F.lit(x) for x in META_TALK])
+    talk = F.get(said, (F.col("doc_id") % len(META_TALK)).cast("int"))
+    noted = documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" "), talk).alias("text"))
+    return noted.where(rules.is_meta_post(F.col("text"))).select("doc_id")
+
+
 # --- duplicates --------------------------------------------------------------
 
 
@@ -355,9 +374,8 @@ def tag_by_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_by_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = spread(table(spark, sf_dir, "embeddings"))
-    dim = 64
-    labels, means = tagging.label_centroids(vectors, "label", "embedding", dim)
+    vectors = table(spark, sf_dir, "embeddings")
+    labels, means = tagging.label_centroids(vectors, "label", "embedding", EMBEDDING_LABELS)
     near = tagging.nearest_label(F.col("embedding"), labels, means)
     return vectors.select("vec_id", near.alias("near")).select("vec_id", "near.*")
 
@@ -370,10 +388,10 @@ def tag_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = documents(spark, sf_dir).select(
-        "doc_id", tagging.encode_texts(F.col("text"), WordHashEncoder).alias("vector")
+    vector = tagging.encode_texts(F.col("text"), WordHashEncoder)
+    return documents(spark, sf_dir).select(
+        "doc_id", F.array_join(vector.cast("array<int>").cast("array<string>"), ",").alias("vector")
     )
-    return vectors.select("doc_id", F.posexplode_outer("vector").alias("dim", "n")).where("n > 0")
 
 
 def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,6 +500,7 @@ QUERIES: dict[str, Query] = {
     "wordlist_filter": filtered(lambda t: rules.has_listed_word(t, BLOCKLIST)),
     "obfuscation_filter": obfuscation_filter,
     "meta_post_filter": filtered(lambda t: rules.is_meta_post(t, META_PHRASES, ())),
+    "meta_post_filter_default": meta_post_filter_default,
     "exact_dedup_keep_best": exact_dedup,
     "word_shingles": word_shingles,
     "minhash_signature": minhash_signature,

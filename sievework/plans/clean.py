@@ -22,15 +22,13 @@ from sievework.functions.rules import is_meta_post, is_offensive, row_drop_reaso
 from sievework.functions.text import normalise_text, word_count_normalised
 from sievework.operators.exact_dedup import exact_dedup_keep_best
 from sievework.operators.near_dup import near_duplicates, without_rows
-from sievework.operators.reports import STAGES, funnel_report
+from sievework.operators.reports import funnel_report
 from sievework.operators.tagging import Encoder, tag_two_pass
 from sievework.sources.writers import write_report_json
 from sievework.storage import materialise
 
 KEY = ("source", "source_id")
 ROW_KEY = (*KEY, "_text")
-# The report is one record, so the names in it pass through the driver.
-MAX_REPORT_NAMES = 100_000
 
 
 @dataclass(frozen=True)
@@ -77,7 +75,7 @@ def clean(
         .withColumn("_text", F.xxhash64("text"))
     )
     near = materialise(
-        near_duplicates(distinct, key=ROW_KEY, settings=config.near_dup), "near"
+        near_duplicates(distinct, key=ROW_KEY, tie=KEY, settings=config.near_dup), "near"
     )
 
     text = F.col("text")
@@ -123,27 +121,26 @@ def clean(
 
 def write_report(result: CleanResult, path: str) -> None:
     """Write the counts of a run as one JSON record."""
-    spark = result.rows.sparkSession
-    stages = {row["stage"]: row for row in result.funnel().collect()}
-    stats = {"raw": sum(r["dropped"] for r in stages.values()) + stages["final"]["remaining"]}
-    stats |= {f"dropped_{stage}": stages[stage]["dropped"] for stage in STAGES}
-    stats["final"] = stages["final"]["remaining"]
+    final = F.col("stage") == "final"
+    stats = result.funnel().select(
+        F.lit("stats").alias("part"),
+        F.when(final, F.col("stage")).otherwise(F.concat(F.lit("dropped_"), "stage")).alias("name"),
+        F.when(final, F.col("remaining")).otherwise(F.col("dropped")).alias("n"),
+    )
+    raw = stats.agg(F.sum("n").alias("n")).select(F.lit("stats").alias("part"), F.lit("raw").alias("name"), "n")
     # One pass over the cleaned rows; the groups are labels times sources.
     counts = result.rows.groupBy("context", "source").agg(
         F.count(F.lit(1)).alias("n"), F.count("score").alias("scored")
     )
     counts = materialise(counts, "distribution")
-    distributions = {}
-    for column in ("context", "source"):
-        sums = counts.groupBy(column).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), column)
-        listed = sums.limit(MAX_REPORT_NAMES + 1).collect()
-        if len(listed) > MAX_REPORT_NAMES:
-            raise ValueError(f"too many values of {column} for one record; use the report tables")
-        distributions[column] = {row[column]: row["n"] for row in listed}
-    with_scores = counts.agg(F.sum("scored")).first()[0] or 0
-    write_report_json(
-        spark, path, stats, distributions["context"], distributions["source"], with_scores
+    scored = counts.agg(F.sum("scored").alias("n")).select(
+        F.lit("with_scores").alias("part"), F.lit("").alias("name"), "n"
     )
+    report = stats.unionByName(raw).unionByName(scored)
+    for column in ("context", "source"):
+        sums = counts.groupBy(F.col(column).alias("name")).agg(F.sum("n").alias("n"))
+        report = report.unionByName(sums.select(F.lit(f"{column}_distribution").alias("part"), "name", "n"))
+    write_report_json(report, path)
 
 
 def _labels(config: CurationConfig) -> tuple[str, ...]:

@@ -10,7 +10,7 @@ from sievework import lexicons
 from sievework.config import NearDupSettings
 from sievework.functions.rules import LETTER_SWAPS
 from sievework.functions.shingles import MIX, odd_numbers, optimal_bands
-from sievework.plans.catalog import BLOCKLIST, BOUNDS, EMBEDDING, NEAR_DUP
+from sievework.plans.catalog import BLOCKLIST, BOUNDS, EMBEDDING, META_TALK, NEAR_DUP
 
 NOT_WORD = r"[^\p{L}\p{N}_]"
 TWO64 = "18446744073709551616::UHUGEINT"
@@ -99,13 +99,17 @@ SELECT CAST(item_id AS VARCHAR) AS source_id, text, CAST(NULL AS DOUBLE) AS scor
 FROM benchmark"""
 
 TWO_FIELD = """
-SELECT CAST(conv_id AS VARCHAR) AS source_id,
+SELECT conv_id || '-' || turn AS source_id,
        trim(trim(coalesce(title, '')) || ' ' || trim(coalesce(body, ''))) AS text,
        CAST(NULL AS DOUBLE) AS score, 'conversations' AS source
 FROM (
-  SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS title,
-         arg_min(text, turn) FILTER (role = 'assistant') AS body
-  FROM conversations GROUP BY conv_id
+  SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN text END AS title,
+    CASE WHEN role = 'assistant' THEN text
+      WHEN role = 'user' AND next_role = 'assistant' THEN next_text END AS body
+  FROM (
+    SELECT *, lead(text) OVER w AS next_text, lead(role) OVER w AS next_role, lag(role) OVER w AS last_role
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+  ) WHERE NOT (role = 'assistant' AND last_role IS NOT DISTINCT FROM 'user')
 )"""
 
 UNION = f"""
@@ -213,7 +217,7 @@ near AS (
 )"""
 
 
-PLACE = "row_number() OVER (ORDER BY score DESC NULLS LAST, source, source_id)"
+PLACE = "row_number() OVER (ORDER BY score DESC NULLS LAST, md5(source || chr(31) || source_id), source, source_id)"
 
 CLEANED = f"""
 {CORPUS.strip()},
@@ -419,6 +423,12 @@ SELECT doc_id, '<context> ' || lower(lang) || ' <joke> ' || trim(text, E' \t\n\r
     "wordlist_filter": f"SELECT doc_id FROM documents WHERE {has_word('text', BLOCKLIST)}",
     "obfuscation_filter": f"SELECT doc_id FROM documents WHERE {has_word('text', BLOCKLIST)}",
     "meta_post_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')",
+    "meta_post_filter_default": f"""
+SELECT doc_id FROM (
+  SELECT doc_id, lower(text || ' ' || ([{", ".join(map(text_literal, META_TALK))}])[doc_id % {len(META_TALK)} + 1]) AS t
+  FROM documents
+) WHERE {" OR ".join(f"contains(t, {text_literal(p)})" for p in lexicons.META_PHRASES)}
+  OR regexp_matches(t, 'this sub(reddit)?($|{NOT_WORD})|karma($|{NOT_WORD})|rule \\p{{Nd}}')""",
     "exact_dedup_keep_best": f"""
 WITH {CORPUS.strip()}
 SELECT source_id, text, score, source, copies FROM (
@@ -467,9 +477,12 @@ SELECT vec_id, CASE WHEN max(cosine) >= 0.25 THEN first(label ORDER BY cosine DE
 FROM cosines GROUP BY vec_id""",
     "tag_two_pass": f"WITH {TWO_PASS.strip()} SELECT source_id, context FROM tagged",
     "encode_batch": r"""
-SELECT doc_id, (('0x' || substr(md5(w), 1, 2))::INTEGER % 64)::INTEGER AS dim, count(*)::FLOAT AS n
-FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents)
-GROUP BY 1, 2""",
+SELECT doc_id, array_to_string(list_transform(range(64), lambda i: len(list_filter(dims, lambda d: d = i))), ',') AS vector
+FROM (
+  SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'),
+    lambda w: ('0x' || substr(md5(w), 1, 2))::INTEGER % 64) AS dims
+  FROM documents
+)""",
     "tag_coverage": f"""
 WITH {CORPUS.strip()}
 SELECT count(*) FILTER (tag <> '') AS n_tagged, count(*) AS n_rows,

@@ -22,6 +22,7 @@ def read_corpus_csv(
     spark: SparkSession, path: str, schema: T.StructType = CORPUS, multi_line: bool = True
 ) -> DataFrame:
     """A CSV with a header row, read by column name; other columns are ignored.
+    A cell that is not of its column's type, such as a score of "NA", is null.
 
     Quoted line breaks need `multi_line`, and then a file is one task: split big
     sources into many files, or keep them as Parquet with `write_raw_cached`.
@@ -30,7 +31,7 @@ def read_corpus_csv(
     reader = header.option("escape", '"').option("enforceSchema", False)
     present = reader.csv(path)
     return present.select(
-        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
+        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
     )
 
 
@@ -86,7 +87,7 @@ def limit_per_source(
     df: DataFrame, n: int, key: Sequence[str] = ("source", "source_id")
 ) -> DataFrame:
     """The first `n` rows of one source, in key order."""
-    return first_rows(df, n, [F.col(c).asc() for c in key])
+    return first_rows(df, n, [F.col(c) for c in key])
 
 
 def union_sources(sources: Sequence[DataFrame]) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.config import PromptFormat
@@ -46,14 +46,20 @@ def write_training_jsonl(df: DataFrame, path: str, fmt: PromptFormat = PromptFor
     writer.option("ignoreNullFields", False).json(path)
 
 
-def write_report_json(
-    spark: SparkSession,
-    path: str,
-    stats: Mapping[str, int],
-    contexts: Mapping[str, int],
-    sources: Mapping[str, int],
-    with_scores: int,
-) -> None:
-    """The counts of a run as one JSON record."""
-    row = (dict(stats), dict(contexts), dict(sources), with_scores)
-    spark.createDataFrame([row], REPORT_SCHEMA).coalesce(1).write.mode("overwrite").json(path)
+def write_report_json(counts: DataFrame, path: str) -> None:
+    """The counts of a run as one JSON record.
+
+    `counts(part, name, n)` has the fields of the record as parts; rows without a
+    name are left out, as a record cannot hold them. The record is put together
+    on an executor.
+    """
+    largest_first = F.struct((-F.col("n")).alias("_minus"), "name", "n")
+
+    def part(name: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("part") == name, largest_first)))
+        return F.map_from_entries(F.transform(rows, lambda r: F.struct(r["name"], r["n"])))
+
+    maps = [part(name).alias(name) for name in ("stats", "context_distribution", "source_distribution")]
+    scored = F.coalesce(F.sum(F.when(F.col("part") == "with_scores", F.col("n"))), F.lit(0))
+    record = counts.where("name IS NOT NULL").agg(*maps, scored.alias("with_scores"))
+    record.write.mode("overwrite").json(path)

@@ -7,6 +7,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, rows_of
+from sievework.plans.catalog import QUERIES
+from sievework.plans.oracles import ORACLES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,14 +22,15 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
 
 
 def test_entry(spark):
     assert entry(spark).count() == 7
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = queries()[name](spark, SF_DIR)
     ours = rows_of(df.columns, df.collect())

@@ -21,14 +21,14 @@ def test_prepare_then_clean(spark, tmp_path):
         spark,
         Namespace(
             one_liners=str(tmp_path / "short.csv"), posts=str(tmp_path / "posts.csv"),
-            out=raw, top_rows=2, force=False,
+            out=raw, top_rows=2, force=False, single_line=False,
         ),
     )
     run_clean(
         spark,
         Namespace(
             raw=[raw + "/one_liners", raw + "/posts", raw + "/absent"], out=out, limit=20,
-            no_embed=True, model="",
+            no_embed=True, encoder=None,
         ),
     )
     rows = spark.read.json(out + "/training").collect()
@@ -38,3 +38,15 @@ def test_prepare_then_clean(spark, tmp_path):
     assert report["stats"]["raw"] == 22 and report["stats"]["dropped_dead_or_empty"] == 1
     assert report["with_scores"] == 1
     assert sum(report["source_distribution"].values()) == report["stats"]["final"] == len(rows)
+
+
+def test_a_report_without_all_names(spark, tmp_path):
+    from sievework.plans.clean import clean, write_report
+
+    rows = [("1", "four words of coffee", 1.0, None), ("2", "four words of tea", None, "s")]
+    raw = spark.createDataFrame(rows, "source_id string, text string, score double, source string")
+    write_report(clean(raw), str(tmp_path / "report"))
+    (part,) = (tmp_path / "report").glob("*.json")
+    report = json.loads(part.read_text())
+    assert report["source_distribution"] == {"s": 1}
+    assert report["stats"]["final"] == 2 and report["with_scores"] == 1

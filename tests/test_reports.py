@@ -54,16 +54,25 @@ def test_null_labels_are_a_label(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 99, 100, 500, 1000, 2000])
-def test_first_rows_without_top_k(spark, n):
+def test_first_rows(spark, n):
     df = spark.range(1000, numPartitions=7).select((F.col("id") * 7919 % 1000).alias("id"))
-    got = select.first_rows(df, n, [F.col("id").asc()], top_k_rows=10 if n > 10 else 1000)
+    got = select.first_rows(df, n, [F.col("id")])
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["id"] for r in got.collect()) == list(range(min(n, 1000)))
 
 
 def test_top_n_by_score_puts_unscored_last(spark):
     df = spark.createDataFrame([("1", None), ("2", 5.0), ("3", 9.0), ("4", 5.0)], "source_id string, score double")
-    assert [r["source_id"] for r in select.top_n_by_score(df, 2).collect()] == ["3", "2"]
-    assert {r["source_id"] for r in select.top_n_by_score(df, 3, top_k_rows=0).collect()} == {"2", "3", "4"}
+    for n, want in ((2, "23"), (3, "234"), (4, "1234"), (9, "1234")):
+        assert sorted(r["source_id"] for r in select.top_n_by_score(df, n).collect()) == list(want)
+
+
+def test_first_rows_among_equal_ones(spark):
+    df = spark.createDataFrame([(1,), (1,), (1,), (None,), (0,)], "id int").repartition(3)
+    got = [[r["id"] for r in select.first_rows(df, n, [F.col("id")]).collect()] for n in range(6)]
+    assert [sorted(g, key=str) for g in got] == [
+        [], [None], [0, None], [0, 1, None], [0, 1, 1, None], [0, 1, 1, 1, None]
+    ]
 
 
 def test_quantiles(spark):

@@ -33,6 +33,13 @@ def test_csv_is_read_whole(spark, csv):
     ]
 
 
+def test_cells_of_another_type_are_null(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text(HEADER + "1,text,NA,posts,maybe\n2,text,1e2,posts,False\n3,text,,posts,False\n")
+    rows = readers.read_corpus_csv(spark, str(path)).orderBy("source_id").collect()
+    assert [r["score"] for r in rows] == [None, 100.0, None]
+
+
 def test_missing_sources(spark, csv, tmp_path):
     gone = str(tmp_path / "gone.csv")
     assert readers.load_corpus(spark, [gone, csv]).count() == 3
@@ -104,10 +111,14 @@ def test_training_records_on_disk(spark, tmp_path):
 
 def test_report_on_disk(spark, tmp_path):
     path = tmp_path / "report"
-    writers.write_report_json(spark, str(path), {"raw": 3}, {"a": 2}, {"s": 2}, 1)
+    rows = [
+        ("stats", "raw", 3), ("context_distribution", "b", 1), ("context_distribution", "a", 2),
+        ("source_distribution", "s", 2), ("source_distribution", None, 9), ("with_scores", "", 1),
+    ]
+    writers.write_report_json(spark.createDataFrame(rows, "part string, name string, n long"), str(path))
     (part,) = path.glob("*.json")
     assert json.loads(part.read_text()) == {
-        "stats": {"raw": 3}, "context_distribution": {"a": 2}, "source_distribution": {"s": 2}, "with_scores": 1,
+        "stats": {"raw": 3}, "context_distribution": {"a": 2, "b": 1}, "source_distribution": {"s": 2}, "with_scores": 1,
     }
 
 
