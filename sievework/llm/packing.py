@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bpe import Encoder
-from sievework.llm.worker import per_worker
 from sievework.storage import materialise
+from sievework.worker import per_worker
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def tokenised(df: DataFrame, path: str, id: str, text: str, settings: PackSettin
 
     def run(batches):
         end = np.array([end_id], dtype="<u4").tobytes()
-        encoder = per_worker(("bpe", path), lambda: Encoder(path))
+        encoder = per_worker("bpe", path, lambda: Encoder(path))
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             for first, ids, edges in encoder.encode(texts):

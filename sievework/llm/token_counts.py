@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.bpe import Encoder
-from sievework.llm.worker import per_worker
+from sievework.worker import per_worker
 
 
 def token_counts(
@@ -23,7 +23,7 @@ def token_counts(
     """
 
     def run(batches):
-        encoder = per_worker(("bpe", path), lambda: Encoder(path))
+        encoder = per_worker("bpe", path, lambda: Encoder(path))
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             counts = encoder.counts(texts.to_pylist())
