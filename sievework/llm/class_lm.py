@@ -94,12 +94,31 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, head: np.ndarray, settings: ModelSettings) -> np.ndarray:
-    """Square matrix of how often a unit follows another; its size is fixed."""
-    n = settings.n_units
+def head_of(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent words, up to `most` of them.
+
+    Words are counted per step of the logarithm of their count, a table of at most
+    a thousand rows; of those, all words of the highest steps are taken that fit.
+    """
+    words = vocabulary.where(F.col("word") != int(END)).withColumn("step", F.floor(16 * F.log2("n")).cast("int"))
+    least, taken = None, 0
+    for row in words.groupBy("step").count().orderBy(F.desc("step")).collect():
+        taken += row["count"]
+        if taken > most:
+            break
+        least = row["step"]
+    found = words.where(F.col("step") >= least if least is not None else F.lit(False)).select("word", "n").toPandas()
+    found = found.sort_values(["n", "word"], ascending=[False, True])
+    return found["word"].to_numpy(np.int64).view(np.uint64).copy(), found["n"].to_numpy(np.int64)
+
+
+def pair_counts(texts: DataFrame, head: np.ndarray, settings: ModelSettings) -> DataFrame:
+    """`pair, n`: how often a unit follows another, `pair` being first * units +
+    second. The number of pairs is bounded by the number of units."""
+    n, unit_words = settings.n_units, head[: settings.unit_words]
 
     def run(batches):
-        index = ragged.Index(head[: settings.unit_words])
+        index = ragged.Index(unit_words)
         totals = np.zeros(n * n, dtype=np.int64)
         for batch in batches:
             for _, data, offsets in ragged.text_portions(batch.column("text")):
@@ -113,10 +132,34 @@ def pair_counts(texts: DataFrame, head: np.ndarray, settings: ModelSettings) ->
         pair = totals.nonzero()[0]
         yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(totals[pair])], names=["pair", "n"])
 
-    found = texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    totals = np.zeros(n * n)
-    totals[found["pair"]] = found["n"]
-    return totals.reshape(n, n)
+    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def class_counts(pairs: DataFrame, settings: ModelSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each unit, counts of class pairs, and counts of units.
+
+    The exchange runs in one task: its input is the square matrix of unit pairs,
+    whose size is fixed by the settings, however large the corpus is.
+    """
+    s, n = settings, settings.n_units
+
+    def run(batches):
+        totals = np.zeros(n * n)
+        for batch in batches:
+            totals[batch.column("pair").to_numpy()] += batch.column("n").to_numpy()
+        totals = totals.reshape(n, n)
+        of = exchange(totals, s.classes, s.rounds)
+        one = np.eye(s.classes)[of]
+        grid = one.T @ totals @ one
+        rows = [of.tolist()], [grid.ravel().tolist()], [totals.sum(axis=0).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(row) for row in rows], names=["of", "grid", "units"])
+
+    stored = materialise(pairs, "unit-pairs").coalesce(1)
+    row = stored.mapInArrow(run, "of array<long>, grid array<double>, units array<double>").first()
+    if row is None:
+        # A table of no rows may have no task either.
+        return np.zeros(n, np.int64), np.zeros((s.classes, s.classes)), np.zeros(n)
+    return np.array(row["of"]), np.array(row["grid"]).reshape(s.classes, s.classes), np.array(row["units"])
 
 
 def _xlogx(values: np.ndarray) -> np.ndarray:
@@ -181,12 +224,9 @@ def exchange(pairs: np.ndarray, n_classes: int, rounds: int) -> np.ndarray:
 class ClassModel:
     """The fixed-size part of the model: classes, transitions and units."""
 
-    def __init__(self, pairs: np.ndarray, settings: ModelSettings):
-        s = settings
-        self.of = exchange(pairs, s.classes, s.rounds)
-        one = np.eye(s.classes)[self.of]
-        grid = one.T @ pairs @ one
-        units = pairs.sum(axis=0)
+    def __init__(self, of: np.ndarray, grid: np.ndarray, units: np.ndarray, settings: ModelSettings):
+        s, self.of = settings, of
+        one = np.eye(s.classes)[of]
         share = (grid.sum(axis=0) + 1) / (grid.sum() + s.classes)
         step = (grid + s.prior * share) / (grid.sum(axis=1, keepdims=True) + s.prior)
         self.step = np.log10(step)
@@ -220,13 +260,10 @@ def scored(
     ).first()
     n_train, n_types, once, twice = (int(x or 0) for x in sizes)
     discount = once / (once + 2 * twice) if once else 0.5
-    head = (
-        vocabulary.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(s.head_words).toPandas()
-    )
-    head_words, head_n = head["word"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
+    head_words, head_n = head_of(vocabulary, s.head_words)
     end_row = vocabulary.where(F.col("word") == int(END)).first()
     n_end = end_row["n"] if end_row else 0
-    model = ClassModel(pair_counts(texts, head_words, s), s)
+    model = ClassModel(*class_counts(pair_counts(texts, head_words, s), s), s)
     log_all = math.log10(n_train + n_types + 1)
 
     def score(batches):
