@@ -45,6 +45,17 @@ class EmbeddingSettings:
     label_prompt: str = "a joke about {label}"
 
 
+@dataclass(frozen=True)
+class ScoreSettings:
+    # Wanted words, similarity that counts as a copy, and weights.
+    least_words: int = 8
+    most_words: int = 40
+    copy_from: float = 0.85
+    weights: dict[str, float] = field(
+        default_factory=lambda: {"quality": 0.50, "relevance": 0.25, "novelty": 0.15, "clean": 0.10, "length": 0.0}
+    )
+
+
 @dataclass(frozen=True)
 class SplitSettings:
     # Held-out share and seed.

@@ -84,6 +84,16 @@ def is_meta_post(
     return let(caseless(text), test)
 
 
+def has_min_score(score: Column, least: float = 100) -> Column:
+    """A score from `least` on; a missing score is none."""
+    return F.coalesce(~F.isnan(score.cast("double")) & (score >= least), F.lit(False))
+
+
+def is_unflagged(flag: Column) -> Column:
+    """Not marked as unfit for work; a missing mark is none."""
+    return ~F.coalesce(flag.cast("boolean"), F.lit(False))
+
+
 def row_drop_reason(
     text: Column, bounds: LengthBounds = LengthBounds(), n_words: Column | None = None
 ) -> Column:

@@ -121,6 +121,16 @@ def nearest_label(
     return pick(vector)
 
 
+def similarity_floor_sweep(
+    df: DataFrame, floors: Sequence[float], label: str = "label", similarity: str = "similarity"
+) -> DataFrame:
+    """`label, floor, n_rows`: rows of a label that are at or above each floor. The
+    similarity is worked out once and compared with all floors in one aggregate."""
+    counts = [F.count_if(F.col(similarity) >= floor) for floor in floors]
+    listed = F.array(*[F.struct(F.lit(f).alias("floor"), n.alias("n_rows")) for f, n in zip(floors, counts)])
+    return df.groupBy(label).agg(listed.alias("_swept")).select(label, F.inline("_swept"))
+
+
 def label_centroids(
     df: DataFrame, label: str, vector: str, labels: Sequence
 ) -> tuple[list[str], np.ndarray]:

@@ -18,7 +18,7 @@ from sievework.config import (
     NearDupSettings,
 )
 from sievework.functions import prompts, rules, shingles, text
-from sievework.operators import near_dup, reports, select, split, tagging
+from sievework.operators import near_dup, reports, scoring, select, split, tagging
 from sievework.operators.exact_dedup import exact_dedup_keep_best
 from sievework.plans import clean as cleaning
 from sievework.sources import readers, writers
@@ -40,6 +40,7 @@ EMBEDDING = EmbeddingSettings(floor=0.05)
 ENCODER_DIM = 64
 # The labels of the table of vectors.
 EMBEDDING_LABELS = tuple(range(10))
+FLOORS = (0.0, 0.25, 0.5, 0.75)
 CONFIG = CurationConfig(
     length=BOUNDS,
     near_dup=NEAR_DUP,
@@ -443,7 +444,130 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.stratified_split(rows, "lang", ("doc_id",))
 
 
+# --- scores and samples ------------------------------------------------------
+
+
+def min_score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).where(rules.has_min_score(F.col("n_chars"), 5000)).select("doc_id")
+
+
+def nsfw_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    flagged = documents(spark, sf_dir).select("doc_id").join(labels, "doc_id", "left")
+    return flagged.where(rules.is_unflagged(F.col("toxic"))).select("doc_id")
+
+
+def sample_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "source")
+    return split.sample_per_label(rows, 20, "source", ("doc_id",))
+
+
+def balance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.balance_labels(documents(spark, sf_dir).select("doc_id", "lang"), "lang", ("doc_id",))
+
+
+def approx_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.approx_split(documents(spark, sf_dir).select("doc_id"), ("doc_id",))
+
+
+def similarity_floor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    labels, means = tagging.label_centroids(vectors, "label", "embedding", EMBEDDING_LABELS)
+    near = tagging.nearest_label(F.col("embedding"), labels, means, floor=-1.0)
+    return tagging.similarity_floor_sweep(vectors.select(near.alias("near")).select("near.*"), FLOORS)
+
+
+def relevance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    labels, means = tagging.label_centroids(vectors, "label", "embedding", EMBEDDING_LABELS)
+    names = [int(label) for label in labels]
+    score = scoring.relevance_score(F.col("embedding"), F.col("label"), names, means)
+    return vectors.select("vec_id", score.alias("relevance"))
+
+
+def novelty_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = unify_single_field_source(spark, sf_dir)
+    return scoring.novelty_score(candidates, corpus(spark, sf_dir), near_dup=NEAR_DUP)
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All answers of the conversations, scored by their length."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return said.select("conv_id", "turn", scoring.length_score(F.col("text")).alias("score"))
+
+
+def group_relative_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.group_relative_score(answers(spark, sf_dir), ("conv_id",), "score", ("turn",)).select(
+        "conv_id", "turn", "relative"
+    )
+
+
+def best_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = scoring.group_relative_score(answers(spark, sf_dir), ("conv_id",), "score", ("turn",))
+    return rated.where("best").select("conv_id", "turn", "score")
+
+
+def distinct_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.distinct_n(documents(spark, sf_dir), "lang")
+
+
+def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = documents(spark, sf_dir).select(
+        "source", "lang", scoring.length_score(F.col("text")).alias("length"), (F.col("n_chars") / 1000).alias("size")
+    )
+    return scoring.arm_comparison(rated, "source", "lang", ("length", "size"))
+
+
+def _probability(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("double").alias("label"))
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    model = scoring.text_classifier(rows.join(labels.where("label IS NOT NULL"), "doc_id"))
+    return scoring.with_probability(rows, model, "p")
+
+
+def train_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probability(spark, sf_dir, "quality").select("doc_id", F.col("p").alias("quality"))
+
+
+def toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probability(spark, sf_dir, "toxic").select("doc_id", F.col("p").alias("toxicity"))
+
+
+def clean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_score(spark, sf_dir).select("doc_id", (1 - F.col("toxicity")).alias("clean"))
+
+
+def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality, cleanliness and length of all documents under the usual weights."""
+    length = documents(spark, sf_dir).select("doc_id", scoring.length_score(F.col("text")).alias("length"))
+    scores = train_quality_classifier(spark, sf_dir).join(clean_score(spark, sf_dir), "doc_id").join(length, "doc_id")
+    parts = {name: F.col(name) for name in ("quality", "clean", "length")}
+    return scores.select("doc_id", scoring.composite_score(parts).alias("score"))
+
+
+# Learned scores, which SQL cannot express.
+WITHOUT_SQL = ("train_quality_classifier", "toxicity_score", "clean_score", "composite_score")
+
 QUERIES: dict[str, Query] = {
+    "min_score_filter": min_score_filter,
+    "nsfw_filter": nsfw_filter,
+    "sample_per_label": sample_per_label,
+    "balance_labels": balance_labels,
+    "approx_split": approx_split,
+    "similarity_floor_sweep": similarity_floor_sweep,
+    "length_score": on_documents(
+        "doc_id", lambda: scoring.length_score(F.col("text")).alias("length")
+    ),
+    "relevance_score": relevance_score,
+    "novelty_score": novelty_score,
+    "group_relative_score": group_relative_score,
+    "best_of_n": best_of_n,
+    "distinct_n": distinct_n,
+    "arm_comparison": arm_comparison,
+    "train_quality_classifier": train_quality_classifier,
+    "toxicity_score": toxicity_score,
+    "clean_score": clean_score,
+    "composite_score": composite_score,
     "funnel_report": funnel_report,
     "clean_corpus": clean_corpus,
     "drop_reason": drop_reason,

@@ -10,7 +10,7 @@ from sievework import lexicons
 from sievework.config import NearDupSettings
 from sievework.functions.rules import LETTER_SWAPS
 from sievework.functions.shingles import MIX, odd_numbers, optimal_bands
-from sievework.plans.catalog import BLOCKLIST, BOUNDS, EMBEDDING, META_TALK, NEAR_DUP
+from sievework.plans.catalog import BLOCKLIST, BOUNDS, EMBEDDING, FLOORS, META_TALK, NEAR_DUP
 
 NOT_WORD = r"[^\p{L}\p{N}_]"
 TWO64 = "18446744073709551616::UHUGEINT"
@@ -196,11 +196,11 @@ band AS (
 
 def greedy(rows: str, settings: NearDupSettings) -> str:
     """CTEs up to `near(id)`: rows of `rows(id, text)` that the greedy rule drops;
-    `id` is the place in quality order."""
+    `id` is the place in quality order, from 1. Rows below are left alone."""
     return bands(rows, settings) + f""",
 better AS (
   SELECT b.id, list(DISTINCT a.id) AS earlier
-  FROM band a JOIN band b ON a.bucket = b.bucket AND a.id < b.id GROUP BY b.id
+  FROM band a JOIN band b ON a.bucket = b.bucket AND a.id < b.id AND a.id > 0 GROUP BY b.id
 ),
 contested AS (SELECT *, row_number() OVER (ORDER BY id) AS step FROM better),
 walk(step, dropped) AS (
@@ -213,7 +213,7 @@ walk(step, dropped) AS (
 near AS (
   SELECT unnest(arg_max(dropped, step)) AS id FROM walk
   UNION
-  SELECT id FROM tokens WHERE len(t) = 0
+  SELECT id FROM tokens WHERE len(t) = 0 AND id > 0
 )"""
 
 
@@ -354,7 +354,77 @@ SELECT context, text AS joke, '<context> ' || context || ' <joke> ' || trim(text
   CAST(score AS BIGINT) AS score, source, split
 FROM ({split_sql("tagged", "context", "source || chr(31) || source_id")})"""
 
+def length_sql(x: str) -> str:
+    n = f"{n_words(x)}::DOUBLE"
+    return f"CASE WHEN {n} < 8 THEN {n} / 8 WHEN {n} <= 40 THEN 1.0::DOUBLE ELSE greatest(0, 1 - ({n} - 40) / 40) END"
+
+
+ANSWERS = f"(SELECT conv_id, turn, {length_sql('text')} AS score FROM conversations WHERE role = 'assistant')"
+
 ORACLES: dict[str, str] = {
+    "min_score_filter": "SELECT doc_id FROM documents WHERE n_chars >= 5000",
+    "nsfw_filter": "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0",
+    "sample_per_label": """
+SELECT doc_id, source FROM documents
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42' || chr(31) || doc_id)) <= 20""",
+    "balance_labels": """
+WITH sizes AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+SELECT doc_id, lang FROM documents
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42' || chr(31) || doc_id))
+  <= (SELECT n FROM sizes ORDER BY n DESC LIMIT 1 OFFSET 1)""",
+    "approx_split": f"""
+SELECT doc_id, CASE WHEN ('0x' || substr(md5('42' || chr(31) || doc_id), 1, 8))::BIGINT < {int(0.05 * (1 << 32))}
+  THEN 'test' ELSE 'train' END AS split FROM documents""",
+    "similarity_floor_sweep": f"""
+WITH means AS ({dimension_means()}),
+best AS (
+  SELECT vec_id, first(label ORDER BY cosine DESC, label)::VARCHAR AS label, max(cosine) AS similarity FROM (
+    SELECT vec_id, m.label, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS cosine
+    FROM embeddings CROSS JOIN means m) GROUP BY vec_id
+)
+SELECT label, floor, count(*) FILTER (similarity >= floor) AS n_rows
+FROM best, (VALUES {", ".join(f"({f}::DOUBLE)" for f in FLOORS)}) f(floor) GROUP BY label, floor""",
+    "length_score": f"SELECT doc_id, {length_sql('text')} AS length FROM documents",
+    "relevance_score": f"""
+WITH means AS ({dimension_means()})
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS relevance
+FROM embeddings JOIN means USING (label)""",
+    "novelty_score": f"""
+WITH RECURSIVE {CORPUS_PLACED.strip()},
+both_sides AS (SELECT id, text FROM placed UNION ALL SELECT -1 - item_id, text FROM benchmark),
+{greedy("both_sides", NEAR_DUP).strip()},
+grams AS (
+  SELECT id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END AS g
+  FROM tokens
+),
+alike AS (
+  SELECT c.id, max(len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(x.g || y.g))) AS most
+  FROM (SELECT DISTINCT c.id, k.id AS kept FROM band c JOIN band k USING (bucket)
+    WHERE c.id < 0 AND k.id > 0 AND k.id NOT IN (SELECT id FROM near)) c
+  JOIN grams x ON x.id = c.id JOIN grams y ON y.id = c.kept GROUP BY c.id
+)
+SELECT item_id::VARCHAR AS source_id, round(CASE WHEN most >= 0.85 THEN 0 ELSE 1 - coalesce(most, 0) END, 6)::DOUBLE AS novelty
+FROM benchmark LEFT JOIN alike ON alike.id = -1 - item_id""",
+    "group_relative_score": f"""
+SELECT conv_id, turn, CASE WHEN x = 0 THEN 0 ELSE x END AS relative
+FROM (SELECT conv_id, turn, round(score - avg(score) OVER (PARTITION BY conv_id), 6) AS x FROM {ANSWERS})""",
+    "best_of_n": f"""
+SELECT conv_id, turn, score FROM {ANSWERS}
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) = 1""",
+    "distinct_n": r"""
+WITH tokens AS (SELECT lang, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents),
+grams AS (
+  SELECT lang, n, unnest(CASE WHEN len(t) >= n
+    THEN list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' ')) ELSE [] END) AS g
+  FROM tokens, (VALUES (1), (2), (3)) s(n)
+)
+SELECT lang, n::INTEGER AS n, count(*) AS n_grams, count(DISTINCT g) AS n_distinct,
+  round(count(DISTINCT g)::DOUBLE / count(*), 6) AS distinct_share FROM grams GROUP BY lang, n""",
+    "arm_comparison": f"""
+SELECT source, lang, count(*) AS n_rows, round(avg({length_sql("text")}), 6) AS mean_length,
+  round(avg(n_chars / 1000::DOUBLE), 6) AS mean_size
+FROM documents GROUP BY GROUPING SETS ((source, lang), (source))""",
     "funnel_report": f"""
 WITH RECURSIVE {CLEANED.strip()}, {DROPS.strip()},
 running AS (
