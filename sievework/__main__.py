@@ -18,6 +18,7 @@ from sievework.operators.split import stratified_split
 from sievework.plans.clean import clean, write_report
 from sievework.sources import readers, writers
 from sievework.sources.schemas import ONE_LINERS
+from sievework.storage import scratch
 
 POSTS = T.StructType(
     [
@@ -58,12 +59,13 @@ def prepare(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_clean(spark: SparkSession, args: argparse.Namespace) -> None:
     """Clean, tag, split and write; print the funnel."""
-    raw = readers.load_corpus(spark, args.raw, args.limit, readers.read_corpus_parquet)
     encoder = None if args.no_embed else pkgutil.resolve_name(args.encoder)
-    result = clean(raw, make_encoder=encoder)
-    writers.write_training_jsonl(stratified_split(result.rows), f"{args.out}/training")
-    write_report(result, f"{args.out}/clean_report")
-    result.funnel().orderBy("step").show(truncate=False)
+    with scratch(spark):
+        raw = readers.load_corpus(spark, args.raw, args.limit, readers.read_corpus_parquet)
+        result = clean(raw, make_encoder=encoder)
+        writers.write_training_jsonl(stratified_split(result.rows), f"{args.out}/training")
+        write_report(result, f"{args.out}/clean_report")
+        result.funnel().orderBy("step").show(truncate=False)
 
 
 def main() -> None:

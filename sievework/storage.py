@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,38 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+# Per open `scratch` block the paths that were given out in it, with their names.
+_owned: list[list[tuple[str, str]]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append((name, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this program has written, through the Hadoop file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: Sequence[str] = ()) -> Iterator[None]:
+    """Delete the intermediate tables of the block at its end, but for those with a
+    name in `keep`, which an outer block owns then. What the block has computed
+    must be written by its end: DataFrames that still read its tables fail."""
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for name, path in _owned.pop():
+            if name not in keep:
+                remove(spark, path)
+            elif _owned:
+                _owned[-1].append((name, path))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

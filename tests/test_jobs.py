@@ -1,9 +1,15 @@
 from __future__ import annotations
 
 import json
+import os
 from argparse import Namespace
 
 from sievework.__main__ import prepare, run_clean
+from sievework.storage import materialise, scratch, shared_dir
+
+
+def local_folder(spark):
+    return shared_dir(spark).removeprefix("file:")
 
 
 def test_prepare_then_clean(spark, tmp_path):
@@ -24,6 +30,7 @@ def test_prepare_then_clean(spark, tmp_path):
             out=raw, top_rows=2, force=False, single_line=False,
         ),
     )
+    before = set(os.listdir(local_folder(spark)))
     run_clean(
         spark,
         Namespace(
@@ -31,6 +38,7 @@ def test_prepare_then_clean(spark, tmp_path):
             no_embed=True, encoder=None,
         ),
     )
+    assert set(os.listdir(local_folder(spark))) == before
     rows = spark.read.json(out + "/training").collect()
     assert {(r["source"], r["context"]) for r in rows} == {("one_liners", "coffee"), ("posts", "relationships")}
     (part,) = (tmp_path / "out" / "clean_report").glob("*.json")
@@ -50,3 +58,14 @@ def test_a_report_without_all_names(spark, tmp_path):
     report = json.loads(part.read_text())
     assert report["source_distribution"] == {"s": 1}
     assert report["stats"]["final"] == 2 and report["with_scores"] == 1
+
+
+def test_scratch_tables_go_at_the_end_of_their_block(spark):
+    before = set(os.listdir(local_folder(spark)))
+    with scratch(spark):
+        with scratch(spark, keep=("kept",)):
+            kept = materialise(spark.range(3), "kept")
+            materialise(spark.range(3), "other")
+        left = set(os.listdir(local_folder(spark))) - before
+        assert [name.split("-")[0] for name in left] == ["kept"] and kept.count() == 3
+    assert set(os.listdir(local_folder(spark))) == before
