@@ -16,7 +16,7 @@ from sievework.llm.language import UNKNOWN, identified
 from sievework.llm.mixing import mixed_documents
 from sievework.llm.packing import pack
 from sievework.llm.quality import judged
-from sievework.storage import materialise
+from sievework.storage import scratch, scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,8 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over the table `documents`."""
+    """The result of all stages over the table `documents`. What a stage needed on
+    its way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
