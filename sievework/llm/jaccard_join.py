@@ -75,11 +75,6 @@ def n_scanned(n: int, s: JoinSettings) -> int:
     return n - -(-s.percent * n // s.percent_of) + 1
 
 
-def n_filed(n: int, s: JoinSettings) -> int:
-    """Lists a set of n must be in to be found by the larger set of a pair."""
-    return n - least_overlap(n, n, s) + 1
-
-
 def subset_keys(grams: np.ndarray, sizes: list[int]) -> np.ndarray:
     """One number per subset of `grams` of one of the sizes."""
     spread = ragged.mix(grams + np.uint64(1))
@@ -146,8 +141,8 @@ def sketches(grams: np.ndarray, begins: np.ndarray) -> pa.Array:
 
 
 class Filing:
-    """The lists a set is filed in: `keys` of all lists, of which the first
-    `n_filed` make it known to larger sets, while in the others it only looks."""
+    """The lists a set is in: those of its subsets, if it is light, and those of
+    its first n-grams."""
 
     def __init__(self, frequent: np.ndarray, light: int, settings: JoinSettings):
         # `frequent` is in ascending order of frequency.
@@ -155,7 +150,8 @@ class Filing:
         self.light, self.settings = light, settings
 
     def keys(self, grams: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
-        """`place` is the position of each n-gram among the frequent ones, or -1."""
+        """Keys of all lists, and how many of them are of subsets. `place` is the
+        position of each n-gram among the frequent ones, or -1."""
         s, n = self.settings, len(grams)
         if not n:
             return grams, 0
@@ -169,7 +165,7 @@ class Filing:
             common = place >= 0
             rare = np.concatenate((rare, grams[common][np.argsort(place[common])]))[:scanned]
         keys = np.concatenate((*subsets, rare))
-        return keys, len(keys) - scanned + min(n_filed(n, s), scanned)
+        return keys, len(keys) - scanned
 
 
 def _lists(values: np.ndarray, begins: np.ndarray) -> pa.Array:
@@ -200,7 +196,7 @@ def with_sets(df: DataFrame, settings: JoinSettings) -> DataFrame:
 
 
 def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSettings) -> DataFrame:
-    """`id, n, digest, n_filed, keys, sketch` of each row of `df(id, text)`."""
+    """`id, n, digest, n_subsets, keys, sketch` of each row of `df(id, text)`."""
     k = settings.words
 
     def run(batches):
@@ -223,11 +219,11 @@ def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSet
                         _lists(keys, sizes),
                         sketches(grams, begins),
                     ],
-                    names=["id", "n", "digest", "n_filed", "keys", "sketch"],
+                    names=["id", "n", "digest", "n_subsets", "keys", "sketch"],
                 )
 
     return df.mapInArrow(
-        run, "id long, n long, digest long, n_filed int, keys array<long>, sketch array<tinyint>"
+        run, "id long, n long, digest long, n_subsets int, keys array<long>, sketch array<tinyint>"
     )
 
 
@@ -354,26 +350,53 @@ def _sets_of(df: DataFrame, pairs: DataFrame, settings: JoinSettings) -> DataFra
     return with_sets(texts, settings).select("digest", "grams")
 
 
+def _may_overlap(a: str, b: str, s: JoinSettings) -> str:
+    """Whether sets that meet in a list can be similar, if what they meet in is
+    their first common n-gram: from there on, both must hold enough n-grams. Any
+    similar pair meets in the list of that n-gram."""
+    need = f"{s.percent} * ({a}.n + {b}.n)"
+    return f"{s.percent + s.percent_of} * least({a}.rest, {b}.rest) >= {need}"
+
+
+def _star_pairs(members: DataFrame, settings: JoinSettings) -> DataFrame:
+    """For each set one pair with a head, the one it meets in most lists.
+
+    The head of a list is the set with most n-grams from there on: the one of a
+    group of near copies with the fewest changes of its own.
+    """
+    heads = materialise(
+        members.groupBy("key").agg(F.max(F.struct("rest", "n", "digest")).alias("head")).select("key", "head.*"),
+        "heads",
+    )
+    met = members.alias("m").join(heads.alias("h"), "key").where(
+        F.expr("m.digest <> h.digest") & F.expr(_may_overlap("m", "h", settings)) & F.expr(_can_link("m.n", "h.n", settings))
+    )
+    lists = met.groupBy(F.col("m.digest").alias("digest"), F.col("h.digest").alias("head")).agg(
+        F.count(F.lit(1)).alias("lists")
+    )
+    best = lists.groupBy("digest").agg(F.max(F.struct("lists", "head")).alias("best"))
+    return best.select(
+        F.least("best.head", "digest").alias("u"), F.greatest("best.head", "digest").alias("v")
+    ).distinct()
+
+
 def _cross_pairs(members: DataFrame, roots: DataFrame, seen: DataFrame, settings: JoinSettings) -> DataFrame:
     """Pairs of members of a list that are still in different components."""
     placed = (
         members.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
         .withColumn("root", F.coalesce("root", "digest"))
         .groupBy("key", "digest")
-        .agg(F.first("n").alias("n"), F.max("filed").alias("filed"), F.first("root").alias("root"))
+        .agg(F.first("n").alias("n"), F.max("rest").alias("rest"), F.first("root").alias("root"))
     )
     spans = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     open_lists = placed.join(spans.select("key"), "key", "left_semi")
-    a, b = open_lists.alias("a"), open_lists.alias("b")
-    # The smaller of the two must be filed, not just look.
-    pairs = a.join(b, "key").where(
-        F.expr("a.filed AND (a.n, a.digest) < (b.n, b.digest) AND a.root <> b.root")
+    pairs = open_lists.alias("a").join(open_lists.alias("b"), "key").where(
+        F.expr("a.digest < b.digest AND a.root <> b.root")
+        & F.expr(_may_overlap("a", "b", settings))
         & F.expr(_can_link("a.n", "b.n", settings))
     )
     return (
-        pairs.select(
-            F.expr("least(a.digest, b.digest)").alias("u"), F.expr("greatest(a.digest, b.digest)").alias("v")
-        )
+        pairs.select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"))
         .distinct()
         .join(seen, ["u", "v"], "left_anti")
     )
@@ -395,16 +418,17 @@ def jaccard_components(
     light = light_boundary(sample, share, frequent, settings)
     rows = materialise(with_keys(base, frequent, light, settings), "sets")
 
-    filed = rows.where("id IS NOT NULL").select("digest", "n", "n_filed", F.posexplode("keys").alias("pos", "key"))
-    postings = filed.select("key", "digest", "n", (F.col("pos") < F.col("n_filed")).alias("filed"))
-    heads = postings.groupBy("key").agg(F.min("digest").alias("head"), F.max("digest").alias("last"))
-    contested = materialise(heads.where("head <> last").select("key", "head"), "contested")
+    filed = rows.where("id IS NOT NULL").select(
+        "digest", "n", "n_subsets", F.posexplode("keys").alias("pos", "key")
+    )
+    # How many n-grams of the set there are from this one on, in the global order;
+    # a subset stands for the whole set.
+    rest = F.col("n") - F.greatest(F.col("pos") - F.col("n_subsets"), F.lit(0))
+    postings = filed.select("key", "digest", "n", rest.cast("int").alias("rest"))
+    ends = postings.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    contested = materialise(ends.where("low <> high").select("key"), "contested")
     members = materialise(postings.join(contested, "key"), "members")
-
-    # Each set is compared with one head first, the one it meets in most lists.
-    met = members.where("digest <> head").groupBy("digest", "head").agg(F.count(F.lit(1)).alias("lists"))
-    nearest = met.groupBy("digest").agg(F.max(F.struct("lists", "head")).alias("best"))
-    starred = materialise(nearest.select(F.col("best.head").alias("u"), F.col("digest").alias("v")), "pairs")
+    starred = materialise(_star_pairs(members, settings), "pairs")
     have = rows.where("id IS NOT NULL")
 
     def links_of(candidates: DataFrame) -> DataFrame:

@@ -133,4 +133,4 @@ def test_bounds_of_sizes():
                 assert m in join.sizes_of_partners(n, s)
                 need = join.least_overlap(n, m, s)
                 assert 100 * need >= 80 * (n + m - need) and 100 * (need - 1) < 80 * (n + m - need + 1)
-                assert join.n_filed(n, s) >= n - need + 1 and join.n_scanned(m, s) >= m - need + 1
+                assert join.n_scanned(n, s) >= n - need + 1 and join.n_scanned(m, s) >= m - need + 1
