@@ -13,8 +13,8 @@ A size-aware join of heavy and light sets, exact for every pair of texts:
   compared with scanning lists, as measured on a sample.
 
 Equal sets are one set from the start. The members of a list are compared with
-one of them first, and components are built; only members of a list that are
-then still in different components are compared with each other. A group of
+one of them first, some rounds long, and components are built; only members of a
+list that are then still in different components are compared with each other. A group of
 thousands of near copies is a star of links, not all its pairs.
 """
 
@@ -51,6 +51,9 @@ class JoinSettings:
     light_most: int = 12
     # Cost of checking one pair, in rows of a list.
     check_cost: float = 4.0
+    # How often each set is compared with one head of its lists before all that
+    # are still in different components are compared.
+    star_rounds: int = 3
     # Ids of texts that may be broadcast (8 bytes each); more are joined by shuffle.
     broadcast_ids: int = 1_000_000
 
@@ -358,39 +361,49 @@ def _may_overlap(a: str, b: str, s: JoinSettings) -> str:
     return f"{s.percent + s.percent_of} * least({a}.rest, {b}.rest) >= {need}"
 
 
-def _star_pairs(members: DataFrame, settings: JoinSettings) -> DataFrame:
-    """For each set one pair with a head, the one it meets in most lists.
+def _star_pairs(members: DataFrame, seen: DataFrame | None, settings: JoinSettings) -> DataFrame:
+    """For each set one new pair with a head in another component, of those the one
+    it meets in most lists.
 
     The head of a list is the set with most n-grams from there on: the one of a
     group of near copies with the fewest changes of its own.
     """
     heads = materialise(
-        members.groupBy("key").agg(F.max(F.struct("rest", "n", "digest")).alias("head")).select("key", "head.*"),
+        members.groupBy("key")
+        .agg(F.max(F.struct("rest", "n", "digest", "root")).alias("head"))
+        .select("key", "head.*"),
         "heads",
     )
     met = members.alias("m").join(heads.alias("h"), "key").where(
-        F.expr("m.digest <> h.digest") & F.expr(_may_overlap("m", "h", settings)) & F.expr(_can_link("m.n", "h.n", settings))
+        F.expr("m.root <> h.root") & F.expr(_may_overlap("m", "h", settings)) & F.expr(_can_link("m.n", "h.n", settings))
     )
     lists = met.groupBy(F.col("m.digest").alias("digest"), F.col("h.digest").alias("head")).agg(
         F.count(F.lit(1)).alias("lists")
     )
-    best = lists.groupBy("digest").agg(F.max(F.struct("lists", "head")).alias("best"))
-    return best.select(
-        F.least("best.head", "digest").alias("u"), F.greatest("best.head", "digest").alias("v")
-    ).distinct()
+    pair = (F.least("head", "digest").alias("u"), F.greatest("head", "digest").alias("v"))
+    new = lists.select("*", *pair)
+    if seen is not None:
+        new = new.join(seen, ["u", "v"], "left_anti")
+    best = new.groupBy("digest").agg(F.max(F.struct("lists", "head")).alias("best"))
+    return best.select("digest", "best.head").select(*pair).distinct()
 
 
-def _cross_pairs(members: DataFrame, roots: DataFrame, seen: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Pairs of members of a list that are still in different components."""
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members are in different components, with each set once."""
     placed = (
-        members.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+        members.drop("root")
+        .join(roots.withColumnRenamed("node", "digest"), "digest", "left")
         .withColumn("root", F.coalesce("root", "digest"))
         .groupBy("key", "digest")
-        .agg(F.first("n").alias("n"), F.max("rest").alias("rest"), F.first("root").alias("root"))
+        .agg(F.any_value("n").alias("n"), F.max("rest").alias("rest"), F.any_value("root").alias("root"))
     )
     spans = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    open_lists = placed.join(spans.select("key"), "key", "left_semi")
-    pairs = open_lists.alias("a").join(open_lists.alias("b"), "key").where(
+    return placed.join(spans.select("key"), "key", "left_semi")
+
+
+def _cross_pairs(members: DataFrame, seen: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Pairs of members of a list that are still in different components."""
+    pairs = members.alias("a").join(members.alias("b"), "key").where(
         F.expr("a.digest < b.digest AND a.root <> b.root")
         & F.expr(_may_overlap("a", "b", settings))
         & F.expr(_can_link("a.n", "b.n", settings))
@@ -427,8 +440,7 @@ def jaccard_components(
     postings = filed.select("key", "digest", "n", rest.cast("int").alias("rest"))
     ends = postings.groupBy("key").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
     contested = materialise(ends.where("low <> high").select("key"), "contested")
-    members = materialise(postings.join(contested, "key"), "members")
-    starred = materialise(_star_pairs(members, settings), "pairs")
+    members = materialise(postings.join(contested, "key").withColumn("root", F.col("digest")), "members")
     have = rows.where("id IS NOT NULL")
 
     def links_of(candidates: DataFrame) -> DataFrame:
@@ -436,9 +448,14 @@ def jaccard_components(
         sets = materialise(_sets_of(known, possible, settings), "grams")
         return materialise(_links(possible.select("u", "v"), sets, settings), "links")
 
-    links = links_of(starred)
-    roots = components(links)
-    crossing = materialise(_cross_pairs(members, roots, starred, settings), "pairs")
+    links = seen = None
+    for _ in range(settings.star_rounds):
+        starred = materialise(_star_pairs(members, seen, settings), "pairs")
+        seen = starred if seen is None else seen.unionByName(starred)
+        found = links_of(starred)
+        links = found if links is None else links.unionByName(found)
+        members = materialise(_open_members(members, components(links)), "members")
+    crossing = materialise(_cross_pairs(members, seen, settings), "pairs")
     roots = components(links.unionByName(links_of(crossing)))
 
     by_digest = have.groupBy("digest").agg(F.min("id").alias("least")).join(
