@@ -402,11 +402,26 @@ def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, seen: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Pairs of members of a list that are still in different components."""
-    pairs = members.alias("a").join(members.alias("b"), "key").where(
+    """Pairs of members of a list that are still in different components.
+
+    Each row carries the lists its set is in before this one, in the global order,
+    so that a pair is made in the first list it meets in, and not in the others.
+    Their number is bounded by the lists a set scans.
+    """
+    # Earlier lists have more n-grams to come; lists of subsets have as many each.
+    lists = members.groupBy("digest").agg(
+        F.any_value("n").alias("n"), F.any_value("root").alias("root"),
+        F.collect_list(F.struct("rest", "key")).alias("lists"),
+    )
+    listed = lists.select("digest", "n", "root", "lists", F.explode("lists").alias("at")).select(
+        F.col("at.key").alias("key"), "digest", "n", "root", F.col("at.rest").alias("rest"),
+        F.expr("transform(filter(lists, x -> x.rest > at.rest), x -> x.key)").alias("before"),
+    )
+    pairs = listed.alias("a").join(listed.alias("b"), "key").where(
         F.expr("a.digest < b.digest AND a.root <> b.root")
         & F.expr(_may_overlap("a", "b", settings))
         & F.expr(_can_link("a.n", "b.n", settings))
+        & F.expr("NOT arrays_overlap(a.before, b.before)")
     )
     return (
         pairs.select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"))
