@@ -1,15 +1,18 @@
 """Language-model scores with Brown classes: a class-based bigram model.
 
-Words are mapped to units: each of the most frequent words is one, all others
-share a unit with the words that end alike. Units are put into classes by exchange
-clustering, which moves one unit at a time to the class where the bigrams of
-classes become most likely. A word then has the probability
-
-    P(class | class before) * P(unit | class) * P(word | unit).
-
-Counts of all words and of all pairs of units are aggregates over the whole
-corpus. Frequent words are looked up in the task that scores a text; the rest of
-its words meet their counts in a join, and only sums come back.
+The most frequent words are put into classes by exchange clustering, which moves
+one word at a time to the class where the bigrams of classes become most likely.
+Every further word of sufficient count then goes to the class under which its own
+bigrams with those words are most likely; an aggregate over (word, class of its
+neighbour) tells, however many words there are. Only rarer words share a unit with
+the words that end alike, and its class. A word has the probability
+
+    P(class | class before) * P(unit | class) * P(word | unit),
+
+where a word with a class of its own is its own unit. Counts of words, of their
+neighbours and of pairs of classes are aggregates over the whole corpus. Frequent
+words are looked up in the task that scores a text; the rest of its words meet
+their counts and classes in a join, and only sums come back.
 """
 
 from __future__ import annotations
@@ -34,13 +37,15 @@ class ModelSettings:
     # Rows with this remainder of the checksum of their id are held out.
     folds: int = 7
     held_out_fold: int = 2
-    # Words that are a unit of their own, and units of all other words.
+    # Words of the exchange, and units that rare words share.
     unit_words: int = 1_000
     shared_units: int = 500
     classes: int = 48
     # Rounds of the exchange, at most; it ends when a round moves no unit.
     rounds: int = 12
-    # Words whose counts go to each task (16 bytes each); others are joined.
+    # Other words get a class of their own from this count on.
+    least_count: int = 5
+    # Words whose counts and classes go to each task (24 bytes each); others are joined.
     head_words: int = 400_000
     # Weight of the class distribution in a class transition, in tokens.
     prior: float = 20.0
@@ -81,21 +86,33 @@ def _training(df: DataFrame, id: str, text: str, settings: ModelSettings) -> Dat
     return df.where(fold != settings.held_out_fold).select(F.col(text).alias("text"))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """`word, n`: how often each word occurs, by its hash; END is one of them."""
+def word_counts(texts: DataFrame, settings: ModelSettings) -> DataFrame:
+    """`word, unit, n`: how often each word occurs, by its hash, and the unit it
+    shares if it is rare; END is one of them."""
 
     def run(batches):
         for batch in batches:
             for _, data, offsets in ragged.text_portions(batch.column("text")):
-                words, n = np.unique(Tokens(data, offsets).hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+                tokens = Tokens(data, offsets)
+                words, at, n = np.unique(tokens.hashes, return_index=True, return_counts=True)
+                unit = tokens.units(np.full(len(tokens.hashes), -1), settings)[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.view(np.int64)), pa.array(unit), pa.array(n)], names=["word", "unit", "n"]
+                )
+
+    counted = texts.mapInArrow(run, "word long, unit long, n long")
+    return counted.groupBy("word").agg(F.min("unit").alias("unit"), F.sum("n").alias("n"))
 
-    counted = texts.mapInArrow(run, "word long, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
+def core_of(vocabulary: DataFrame, most: int) -> np.ndarray:
+    """Hashes of the words of the exchange, the most frequent ones first."""
+    rows = vocabulary.where(F.col("word") != int(END)).orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    return np.array([row["word"] for row in rows], dtype=np.int64).view(np.uint64)
 
-def head_of(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent words, up to `most` of them.
+
+def head_of(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and classes of the most frequent words, up to `most` of them;
+    the class of a word that has none of its own is -1.
 
     Words are counted per step of the logarithm of their count, a table of at most
     a thousand rows; of those, all words of the highest steps are taken that fit.
@@ -107,18 +124,24 @@ def head_of(vocabulary: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if taken > most:
             break
         least = row["step"]
-    found = words.where(F.col("step") >= least if least is not None else F.lit(False)).select("word", "n").toPandas()
+    found = words.where(F.col("step") >= least if least is not None else F.lit(False)).select(
+        "word", "n", F.coalesce("class", F.lit(-1)).alias("class")
+    ).toPandas()
     found = found.sort_values(["n", "word"], ascending=[False, True])
-    return found["word"].to_numpy(np.int64).view(np.uint64).copy(), found["n"].to_numpy(np.int64)
+    return (
+        found["word"].to_numpy(np.int64).view(np.uint64).copy(),
+        found["n"].to_numpy(np.int64),
+        found["class"].to_numpy(np.int64),
+    )
 
 
-def pair_counts(texts: DataFrame, head: np.ndarray, settings: ModelSettings) -> DataFrame:
+def pair_counts(texts: DataFrame, core: np.ndarray, settings: ModelSettings) -> DataFrame:
     """`pair, n`: how often a unit follows another, `pair` being first * units +
     second. The number of pairs is bounded by the number of units."""
-    n, unit_words = settings.n_units, head[: settings.unit_words]
+    n = settings.n_units
 
     def run(batches):
-        index = ragged.Index(unit_words)
+        index = ragged.Index(core)
         totals = np.zeros(n * n, dtype=np.int64)
         for batch in batches:
             for _, data, offsets in ragged.text_portions(batch.column("text")):
@@ -135,8 +158,9 @@ def pair_counts(texts: DataFrame, head: np.ndarray, settings: ModelSettings) ->
     return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def class_counts(pairs: DataFrame, settings: ModelSettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each unit, counts of class pairs, and counts of units.
+def unit_classes(pairs: DataFrame, settings: ModelSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each unit, and counts of class pairs among the words of the exchange
+    and ends, so that no other word is in them.
 
     The exchange runs in one task: its input is the square matrix of unit pairs,
     whose size is fixed by the settings, however large the corpus is.
@@ -150,16 +174,189 @@ def class_counts(pairs: DataFrame, settings: ModelSettings) -> tuple[np.ndarray,
         totals = totals.reshape(n, n)
         of = exchange(totals, s.classes, s.rounds)
         one = np.eye(s.classes)[of]
+        one[s.unit_words : -1] = 0
         grid = one.T @ totals @ one
-        rows = [of.tolist()], [grid.ravel().tolist()], [totals.sum(axis=0).tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(row) for row in rows], names=["of", "grid", "units"])
+        rows = [of.tolist()], [grid.ravel().tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(row) for row in rows], names=["of", "grid"])
 
     stored = materialise(pairs, "unit-pairs").coalesce(1)
-    row = stored.mapInArrow(run, "of array<long>, grid array<double>, units array<double>").first()
+    row = stored.mapInArrow(run, "of array<long>, grid array<double>").first()
     if row is None:
         # A table of no rows may have no task either.
-        return np.zeros(n, np.int64), np.zeros((s.classes, s.classes)), np.zeros(n)
-    return np.array(row["of"]), np.array(row["grid"]).reshape(s.classes, s.classes), np.array(row["units"])
+        return np.zeros(n, np.int64), np.zeros((s.classes, s.classes))
+    return np.array(row["of"]), np.array(row["grid"]).reshape(s.classes, s.classes)
+
+
+def neighbour_counts(texts: DataFrame, core: np.ndarray, of: np.ndarray, settings: ModelSettings) -> DataFrame:
+    """`word, slot, n`: how often a word that is not in the exchange stands after
+    (slot = class) or before (slot = classes + class) a word of it or an end."""
+    s = settings
+
+    def run(batches):
+        index = ragged.Index(core)
+        for batch in batches:
+            for _, data, offsets in ragged.text_portions(batch.column("text")):
+                tokens = Tokens(data, offsets)
+                place = index.find(tokens.hashes)
+                inside = (place >= 0) | tokens.is_end
+                classes = of[np.where(tokens.is_end, s.n_units - 1, place)]
+                # A text begins after an end, and the last token is one.
+                after = np.append(True, inside[:-1]) & ~inside
+                ahead = np.append(inside[1:], False) & ~inside
+                slots = (
+                    np.append(of[-1], classes[:-1])[after],
+                    s.classes + np.append(classes[1:], 0)[ahead],
+                )
+                words, at = np.unique(np.append(tokens.hashes[after], tokens.hashes[ahead]), return_inverse=True)
+                key, n = np.unique(at * (2 * s.classes) + np.concatenate(slots), return_counts=True)
+                word, slot = words[key // (2 * s.classes)], key % (2 * s.classes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word.view(np.int64)), pa.array(slot.astype(np.int32)), pa.array(n)],
+                    names=["word", "slot", "n"],
+                )
+
+    return texts.mapInArrow(run, "word long, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+
+
+def best_classes(counts: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Per row of neighbour counts the class under which they are most likely."""
+    k = len(grid)
+    joint = grid + 0.5
+    # P(class | class before), P(class after | class) and, as all of a word's
+    # occurrences are of its class, its share of the class.
+    before = np.log(joint / joint.sum(axis=1, keepdims=True))
+    after = np.log(joint / joint.sum(axis=1, keepdims=True)).T
+    n = counts[:, :k].sum(axis=1, keepdims=True)
+    return (counts[:, :k] @ before + counts[:, k:] @ after - n * np.log(joint.sum(axis=0))).argmax(axis=1)
+
+
+def with_classes(
+    vocabulary: DataFrame, texts: DataFrame, core: np.ndarray, of: np.ndarray, grid: np.ndarray, settings: ModelSettings
+) -> DataFrame:
+    """Add `class` to the vocabulary: that of the exchange, or else that of the
+    word's bigrams; null for END, rare words and words that never stand beside a
+    word of the exchange or an end."""
+    s = settings
+
+    def choose(batches):
+        for batch in batches:
+            lists = batch.column("slots")
+            counts = np.zeros((batch.num_rows, 2 * s.classes))
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            counts[row, flat.field("slot").to_numpy()] = flat.field("n").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.array(best_classes(counts, grid))], names=["word", "class"]
+            )
+
+    # Counted over all words; those of sufficient count are known from the vocabulary.
+    enough = vocabulary.where((F.col("n") >= s.least_count) & (F.col("word") != int(END))).select("word")
+    counted = neighbour_counts(texts, core, of, s).join(enough, "word", "left_semi")
+    slots = counted.groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("slots"))
+    further = slots.mapInArrow(choose, "word long, class long")
+    own = [(int(word), int(c)) for word, c in zip(core.view(np.int64), of)]
+    classes = vocabulary.sparkSession.createDataFrame(own, "word long, class long").unionByName(further)
+    return vocabulary.join(classes, "word", "left")
+
+
+class Lookup:
+    """Counts and classes of the most frequent words, in a task."""
+
+    def __init__(self, words: np.ndarray, classes: np.ndarray, of: np.ndarray, settings: ModelSettings):
+        self.settings, self.of = settings, of
+        self.index, self.classes = ragged.Index(words), np.append(classes, -1)
+
+    def found(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per token its place among the words or -1, whether it is rare (to be
+        joined), its class of its own or -1, its shared unit, and its class as far
+        as is known here."""
+        place = self.index.find(tokens.hashes)
+        unit = tokens.units(np.full(len(place), -1), self.settings)
+        own = self.classes[place]
+        return place, (place < 0) & ~tokens.is_end, own, unit, np.where(own >= 0, own, self.of[unit])
+
+
+# A step of which some word is joined: `kind` is 1 if that is the first word, 2 if
+# it is the second, 3 if both are.
+STEP = "first long, first_class long, second long, second_class long, kind int"
+
+
+def _steps(tokens: Tokens, rare: np.ndarray, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Class before each token, kind of each step (0 if nothing is joined), and the
+    columns of STEP of the other steps."""
+    before = np.append(end, classes[:-1])
+    kind = (np.append(False, rare[:-1]) + 2 * rare).astype(np.int32)
+    at = np.flatnonzero(kind)
+    hashes = tokens.hashes.view(np.int64)
+    first = np.append(np.int64(0), hashes[:-1])
+    return before, kind, [pa.array(x[at]) for x in (first, before, hashes, classes, kind)]
+
+
+def _joined(steps: DataFrame, vocabulary: DataFrame, *carry: str) -> DataFrame:
+    """Steps with the true classes of both words. Where `is_word`, the second word
+    was joined, and `n` and `own`, its count and class of its own, are its.
+
+    Only words beyond the head are joined, so no key is frequent."""
+    words = vocabulary.select("word", "n", F.col("class").alias("own"))
+
+    def one(kind_is, word: str, other: str, is_word: bool):
+        return steps.where(kind_is).select(
+            *carry, F.col(word).alias("word"), F.col(f"{word}_class").alias("shared"),
+            F.col(f"{other}_class").alias("other"), F.lit(is_word).alias("is_word"),
+        )
+
+    firsts = words.select(F.col("word").alias("first"), F.col("own").alias("_own"))
+    both = steps.where("kind = 3").join(firsts, "first", "left").select(
+        *carry, F.col("second").alias("word"), F.col("second_class").alias("shared"),
+        F.coalesce("_own", "first_class").alias("other"), F.lit(True).alias("is_word"),
+    )
+    parts = one(F.col("kind") == 1, "first", "second", False).unionByName(one(F.col("kind") == 2, "second", "first", True)).unionByName(both)
+    known = F.coalesce("own", "shared")
+    return parts.join(words, "word", "left").select(
+        *carry, "is_word", "n", "own",
+        F.when(F.col("is_word"), F.col("other")).otherwise(known).alias("first_class"),
+        F.when(F.col("is_word"), known).otherwise(F.col("other")).alias("second_class"),
+    )
+
+
+def class_pairs(
+    texts: DataFrame, vocabulary: DataFrame, words: np.ndarray, classes: np.ndarray, of: np.ndarray, settings: ModelSettings
+) -> np.ndarray:
+    """How often a class follows another, over all tokens."""
+    k = settings.classes
+
+    def run(batches):
+        lookup = Lookup(words, classes, of, settings)
+        totals = np.zeros(k * k, dtype=np.int64)
+        for batch in batches:
+            for _, data, offsets in ragged.text_portions(batch.column("text")):
+                tokens = Tokens(data, offsets)
+                _, rare, _, _, found = lookup.found(tokens)
+                before, kind, columns = _steps(tokens, rare, found, of[-1])
+                sure = kind == 0
+                totals += np.bincount(before[sure] * k + found[sure], minlength=k * k)
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(np.ones(len(columns[0]), np.int64))],
+                    names=["first", "first_class", "second", "second_class", "kind", "n_steps"],
+                )
+        at = totals.nonzero()[0]
+        none = pa.array(np.zeros(len(at), np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [none, pa.array(at // k), none, pa.array(at % k), none.cast(pa.int32()), pa.array(totals[at])],
+            names=["first", "first_class", "second", "second_class", "kind", "n_steps"],
+        )
+
+    steps = materialise(
+        texts.mapInArrow(run, f"{STEP}, n_steps long")
+        .groupBy("first", "first_class", "second", "second_class", "kind").agg(F.sum("n_steps").alias("n_steps")),
+        "steps",
+    )
+    sure = steps.where("kind = 0").select("n_steps", "first_class", "second_class")
+    rest = _joined(steps.where("kind > 0"), vocabulary, "n_steps").select("n_steps", "first_class", "second_class")
+    grid = np.zeros((k, k))
+    for row in sure.unionByName(rest).groupBy("first_class", "second_class").agg(F.sum("n_steps").alias("n")).collect():
+        grid[row["first_class"], row["second_class"]] = row["n"]
+    return grid
 
 
 def _xlogx(values: np.ndarray) -> np.ndarray:
@@ -222,24 +419,24 @@ def exchange(pairs: np.ndarray, n_classes: int, rounds: int) -> np.ndarray:
 
 
 class ClassModel:
-    """The fixed-size part of the model: classes, transitions and units."""
+    """The fixed-size part of the model: transitions of classes, and what is in them."""
 
-    def __init__(self, of: np.ndarray, grid: np.ndarray, units: np.ndarray, settings: ModelSettings):
+    def __init__(self, vocabulary: DataFrame, of: np.ndarray, grid: np.ndarray, settings: ModelSettings):
         s, self.of = settings, of
-        one = np.eye(s.classes)[of]
         share = (grid.sum(axis=0) + 1) / (grid.sum() + s.classes)
         step = (grid + s.prior * share) / (grid.sum(axis=1, keepdims=True) + s.prior)
         self.step = np.log10(step)
-        in_class = one.T @ (units + 0.5)
-        self.unit = np.log10((units + 0.5) / in_class[self.of])
-        self.unit_size = units
-
-    def log_units(self, units: np.ndarray) -> np.ndarray:
-        """log10 of P(class | class before) * P(unit | class) of each token."""
-        classes = self.of[units]
-        before = np.empty_like(classes)
-        before[0], before[1:] = self.of[-1], classes[:-1]
-        return self.step[before, classes] + self.unit[units]
+        # Tokens of words that share a unit, and of END.
+        self.unit_size = np.zeros(s.n_units)
+        for row in vocabulary.where(F.col("class").isNull()).groupBy("unit").agg(F.sum("n").alias("n")).collect():
+            self.unit_size[row["unit"]] = row["n"]
+        shared = np.arange(s.n_units) >= s.unit_words
+        in_class = np.bincount(of, shared * (self.unit_size + 0.5), minlength=s.classes)
+        for row in vocabulary.groupBy("class").agg(F.sum(F.col("n") + 0.5).alias("n")).collect():
+            if row["class"] is not None:
+                in_class[row["class"]] += row["n"]
+        self.in_class = np.log10(np.maximum(in_class, 0.5))
+        self.unit = np.log10(self.unit_size + 0.5) - self.in_class[of]
 
 
 def scored(
@@ -254,41 +451,46 @@ def scored(
     """
     s = settings
     texts = _training(df, id, text, s)
-    vocabulary = materialise(word_counts(texts), "vocabulary")
+    counted = materialise(word_counts(texts, s), "word-counts")
+    core = core_of(counted, s.unit_words)
+    of, core_grid = unit_classes(pair_counts(texts, core, s), s)
+    vocabulary = materialise(with_classes(counted, texts, core, of, core_grid, s), "vocabulary")
     sizes = vocabulary.agg(
         F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
     ).first()
     n_train, n_types, once, twice = (int(x or 0) for x in sizes)
     discount = once / (once + 2 * twice) if once else 0.5
-    head_words, head_n = head_of(vocabulary, s.head_words)
+    head_words, head_n, head_class = head_of(vocabulary, s.head_words)
     end_row = vocabulary.where(F.col("word") == int(END)).first()
     n_end = end_row["n"] if end_row else 0
-    model = ClassModel(*class_counts(pair_counts(texts, head_words, s), s), s)
+    model = ClassModel(vocabulary, of, class_pairs(texts, vocabulary, head_words, head_class, of, s), s)
     log_all = math.log10(n_train + n_types + 1)
 
     def score(batches):
-        index = ragged.Index(head_words)
+        lookup = Lookup(head_words, head_class, of, s)
         counts = np.append(head_n, 0)
         log_base = np.log10(counts + 1) - log_all
-        log_own = np.log10(np.maximum(counts - discount, 1e-9))
+        log_count = np.log10(counts + 0.5)
+        log_less = np.log10(np.maximum(counts - discount, 1e-9))
         in_unit = np.log10(np.maximum(model.unit_size, 1))
         for batch in batches:
             for row, data, offsets in ragged.text_portions(batch.column("text")):
                 tokens = Tokens(data, offsets)
-                place = index.find(tokens.hashes)
-                units = tokens.units(place, s)
-                rare = (place < 0) & ~tokens.is_end
+                place, rare, own, units, classes = lookup.found(tokens)
+                before, kind, steps = _steps(tokens, rare, classes, of[-1])
                 base = np.where(rare, 0.0, log_base[place])
                 base[tokens.is_end] = math.log10(n_end + 1) - log_all
-                value = model.log_units(units)
                 # A word that shares its unit: its own count over that of the unit.
-                shares = ~tokens.is_end & (units >= s.unit_words)
-                value -= np.where(shares, in_unit[units], 0.0)
-                value += np.where(shares & ~rare, log_own[place], 0.0)
+                alone = np.where(tokens.is_end, 0.0, log_less[place] - in_unit[units])
+                word = np.where(own >= 0, log_count[place] - model.in_class[classes], model.unit[units] + alone)
+                value = np.where(rare, 0.0, word) + np.where(kind == 0, model.step[before, classes], 0.0)
                 known = np.where(tokens.is_end, n_end > 0, place >= 0)
                 first = tokens.firsts[:-1]
-                rare_at = np.flatnonzero(rare)
-                rare_first = np.searchsorted(rare_at, tokens.firsts)
+                at = np.flatnonzero(kind)
+                step_first = np.searchsorted(at, tokens.firsts)
+                # What a rare word without a class has besides its count.
+                steps.append(pa.array((model.unit[units] - in_unit[units])[at]))
+                names = ["first", "first_class", "second", "second_class", "kind", "in_unit"]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(row, len(first)),
@@ -297,38 +499,42 @@ def scored(
                         pa.array(np.add.reduceat(base, first)),
                         pa.array(np.add.reduceat(value, first)),
                         pa.ListArray.from_arrays(
-                            pa.array(rare_first.astype(np.int32)), pa.array(tokens.hashes[rare_at].view(np.int64))
+                            pa.array(step_first.astype(np.int32)), pa.StructArray.from_arrays(steps, names=names)
                         ),
                     ],
-                    names=["id", "n_tokens", "known", "base", "value", "rare"],
+                    names=["id", "n_tokens", "known", "base", "value", "steps"],
                 )
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     heads = materialise(
         rows.mapInArrow(
-            score, "id long, n_tokens long, known long, base double, value double, rare array<long>"
+            score,
+            "id long, n_tokens long, known long, base double, value double, "
+            f"steps array<struct<{STEP.replace(' ', ':').replace(',:', ',')},in_unit:double>>",
         ).withColumn("row", F.monotonically_increasing_id()),
         "scores",
     )
-    rest = (
-        heads.select("row", F.explode("rare").alias("word"))
-        .groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
-        .join(vocabulary, "word", "left")
-    )
+    spark = df.sparkSession
+    cells = [(i, j, float(model.step[i, j])) for i in range(s.classes) for j in range(s.classes)]
+    table = spark.createDataFrame(cells, "first_class long, second_class long, step double")
+    sizes_of = spark.createDataFrame([(c, float(x)) for c, x in enumerate(model.in_class)], "own long, in_class double")
+    rest = _joined(
+        heads.select("row", F.explode("steps").alias("step")).select("row", "step.*"), vocabulary, "row", "in_unit"
+    ).join(F.broadcast(table), ["first_class", "second_class"]).join(F.broadcast(sizes_of), "own", "left")
     n = F.coalesce("n", F.lit(0))
+    less = F.when(n > 0, F.log10(F.greatest(n - discount, F.lit(1e-9)))).otherwise(math.log10(discount))
+    word = F.when(F.col("own").isNotNull(), F.log10(n + 0.5) - F.col("in_class")).otherwise(F.col("in_unit") + less)
     sums = rest.groupBy("row").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * (F.log10(n + 1) - log_all)).alias("rare_base"),
-        F.sum(
-            F.col("times") * F.when(n > 0, F.log10(F.greatest(n - discount, F.lit(1e-9)))).otherwise(math.log10(discount))
-        ).alias("rare_value"),
+        F.count_if(F.col("is_word") & (n > 0)).alias("rare_known"),
+        F.sum(F.when(F.col("is_word"), F.log10(n + 1) - log_all).otherwise(0.0)).alias("rare_base"),
+        F.sum(F.col("step") + F.when(F.col("is_word"), word).otherwise(0.0)).alias("rare_value"),
     )
 
     def with_rest(name: str, more: str):
         return F.col(name) + F.coalesce(more, F.lit(0))
 
     fold = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(s.folds))
-    return heads.drop("rare").join(sums, "row", "left").select(
+    return heads.drop("steps").join(sums, "row", "left").select(
         F.col("id").alias(id),
         F.coalesce(fold == s.held_out_fold, F.lit(False)).alias("held_out"),
         "n_tokens",

@@ -59,6 +59,22 @@ def test_classes_beat_the_base_on_texts_not_seen(spark):
     assert gain > 0.2
 
 
+@pytest.mark.parametrize("head", [25, 10_000])
+def test_words_beyond_the_exchange_have_the_class_of_their_neighbours(spark, head):
+    """All further words end alike, so only their neighbours tell them apart."""
+    rng = random.Random(9)
+
+    def text(own, far):
+        return " ".join(f"{own}{rng.randrange(10)} {own}{rng.randrange(10)} {far}far{rng.randrange(30)}zz" for _ in range(20))
+
+    rows = [(i, text("xy"[i % 2], "xy"[i % 2]), "en", "a", 1) for i in range(300)]
+    held = [i for i in range(300, 400) if fold(i, 7) == 2][:10]
+    rows += [(i, text("x", "xy"[i in held[5:]]), "en", "a", 1) for i in held]
+    settings = class_lm.ModelSettings(unit_words=20, shared_units=5, classes=4, head_words=head)
+    got = {r["doc_id"]: r["score"] for r in class_lm.scored(documents(spark, rows), settings=settings).collect()}
+    assert min(got[i] for i in held[:5]) > max(got[i] for i in held[5:]) + 5
+
+
 def test_exchange_parts_two_languages():
     rng = np.random.default_rng(1)
     pairs = np.zeros((20, 20))
