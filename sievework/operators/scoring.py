@@ -78,6 +78,43 @@ def novelty_score(
     return met.select(id, F.round(novelty, 6).alias("novelty"))
 
 
+def exact_novelty_score(
+    candidates: DataFrame,
+    corpus: DataFrame,
+    text: str = "text",
+    id: str = "source_id",
+    shingle_size: int = 3,
+    settings: ScoreSettings = ScoreSettings(),
+) -> DataFrame:
+    """Per candidate its id and `novelty`: 1 less the largest Jaccard similarity to
+    any row of the corpus, and 0 from `copy_from` on.
+
+    Shingles are compared by 64-bit hashes. Equal sets of the corpus count once;
+    each then meets the candidates it shares a shingle with, and an aggregate counts
+    the shared ones, so no row is left out and no near copy stands for another.
+    """
+    grams = F.sort_array(F.transform(word_shingles(F.col(text), shingle_size), lambda gram: F.xxhash64(gram)))
+    asked = materialise(
+        candidates.select(F.col(id), F.monotonically_increasing_id().alias("_asked"), grams.alias("_grams")), "asked"
+    )
+    wanted = asked.select("_asked", F.size("_grams").alias("_mine"), F.explode("_grams").alias("_gram"))
+    sets = corpus.select(grams.alias("_grams")).distinct()
+    # Numbered before they are taken apart, and stored, so a number stays a set's.
+    sets = materialise(sets.withColumn("_set", F.monotonically_increasing_id()), "shingle-sets")
+    known = sets.select("_set", F.size("_grams").alias("_theirs"), F.explode("_grams").alias("_gram"))
+    alike = F.col("_common") / (F.col("_mine") + F.col("_theirs") - F.col("_common"))
+    best = (
+        known.join(wanted, "_gram")
+        .groupBy("_asked", "_mine", "_set", "_theirs").agg(F.count(F.lit(1)).alias("_common"))
+        .groupBy("_asked").agg(F.max(alike).alias("_alike"))
+    )
+    most = asked.select(id, "_asked").join(best, "_asked", "left").groupBy(id).agg(
+        F.coalesce(F.max("_alike"), F.lit(0.0)).alias("_most")
+    )
+    novelty = F.when(F.col("_most") >= settings.copy_from, 0.0).otherwise(1 - F.col("_most"))
+    return most.select(id, F.round(novelty, 6).alias("novelty"))
+
+
 def text_classifier(
     labelled: DataFrame, text: str = "text", label: str = "label", n_features: int = 1 << 16
 ) -> PipelineModel:

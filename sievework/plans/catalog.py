@@ -490,6 +490,10 @@ def novelty_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.novelty_score(candidates, corpus(spark, sf_dir), near_dup=NEAR_DUP)
 
 
+def exact_novelty_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.exact_novelty_score(unify_single_field_source(spark, sf_dir), corpus(spark, sf_dir))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All answers of the conversations, scored by their length."""
     said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
@@ -560,6 +564,7 @@ QUERIES: dict[str, Query] = {
     ),
     "relevance_score": relevance_score,
     "novelty_score": novelty_score,
+    "exact_novelty_score": exact_novelty_score,
     "group_relative_score": group_relative_score,
     "best_of_n": best_of_n,
     "distinct_n": distinct_n,

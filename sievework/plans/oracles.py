@@ -405,6 +405,21 @@ alike AS (
   JOIN grams x ON x.id = c.id JOIN grams y ON y.id = c.kept GROUP BY c.id
 )
 SELECT item_id::VARCHAR AS source_id, round(CASE WHEN most >= 0.85 THEN 0 ELSE 1 - coalesce(most, 0) END, 6)::DOUBLE AS novelty
+FROM benchmark LEFT JOIN alike ON alike.id = -1 - item_id""",
+    "exact_novelty_score": f"""
+WITH {CORPUS_PLACED.strip()},
+both_sides AS (SELECT id, text FROM placed UNION ALL SELECT -1 - item_id, text FROM benchmark),
+{bands("both_sides", NEAR_DUP).strip()},
+grams AS (
+  SELECT id, CASE WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END AS g
+  FROM tokens WHERE len(t) > 0
+),
+alike AS (
+  SELECT x.id, max(len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(x.g || y.g))) AS most
+  FROM grams x JOIN grams y ON x.id < 0 AND y.id > 0 GROUP BY x.id
+)
+SELECT item_id::VARCHAR AS source_id, round(CASE WHEN most >= 0.85 THEN 0 ELSE 1 - coalesce(most, 0) END, 6)::DOUBLE AS novelty
 FROM benchmark LEFT JOIN alike ON alike.id = -1 - item_id""",
     "group_relative_score": f"""
 SELECT conv_id, turn, CASE WHEN x = 0 THEN 0 ELSE x END AS relative

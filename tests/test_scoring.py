@@ -48,6 +48,21 @@ def test_novelty(spark):
     assert got == {"copy": 0.0, "near": round(1 - 48 / 68, 6), "new": 1.0, "none": 1.0}
 
 
+def test_exact_novelty_meets_rows_that_the_buckets_miss(spark):
+    """A row of similarity 0.41, far below the threshold, and a copy of a row that
+    the near-duplicate step drops."""
+    base = [f"w{i}" for i in range(60)]
+    corpus = spark.createDataFrame(
+        [("s", "1", " ".join(base), 2.0), ("s", "2", " ".join(["x", *base[1:]]), 1.0), ("s", "3", None, None)],
+        "source string, source_id string, text string, score double",
+    )
+    asked = [("far", " ".join([*base[:36], *[f"y{i}" for i in range(24)]])), ("copy", " ".join(["x", *base[1:]])),
+             ("new", "quite other words here"), ("none", ""), (None, None)]
+    candidates = spark.createDataFrame(asked, "source_id string, text string")
+    got = {r["source_id"]: r["novelty"] for r in scoring.exact_novelty_score(candidates, corpus).collect()}
+    assert got == {"far": round(1 - 34 / 82, 6), "copy": 0.0, "new": 1.0, "none": 1.0, None: 1.0}
+
+
 def test_group_relative_score_and_best(spark):
     rows = [("p", 1, 1.0), ("p", 2, 3.0), ("p", 3, 3.0), ("q", 1, 5.0)]
     df = spark.createDataFrame(rows, "prompt string, i int, s double")
