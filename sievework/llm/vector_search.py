@@ -105,9 +105,9 @@ def _grouped(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.select("id", "v").mapInArrow(run, "id long, v array<long>, cell int, d double")
 
 
-def _bounded(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, near: np.ndarray, settings: SearchSettings) -> DataFrame:
+def _bounded(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, near: np.ndarray, own: int, settings: SearchSettings) -> DataFrame:
     """Add `group`, and `least`, per pivot the distance from which a vector of its
-    group may be among the k best of the query."""
+    group may be among the k best of the query; `own` is the most rows of its id."""
     n_groups, k = settings.n_query_groups, settings.k
 
     def run(batches):
@@ -118,9 +118,9 @@ def _bounded(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, near: np
             norm = np.linalg.norm(q, axis=1)
             at_pivot = _as_wide(q, width) @ _as_wide(pivots, width).T
             lower = at_pivot[:, cells] - norm[:, None] * near
-            # The query itself may be one of the best, so one more than k.
-            rank = min(k + 1, lower.shape[1])
-            floor = -np.partition(-lower, rank - 1, axis=1)[:, rank - 1] if rank == k + 1 else np.full(len(q), -np.inf)
+            # All rows of the query's id may be among the best, so as many more than k.
+            rank = min(k + own, lower.shape[1])
+            floor = -np.partition(-lower, rank - 1, axis=1)[:, rank - 1] if rank == k + own else np.full(len(q), -np.inf)
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = (floor[:, None] - at_pivot) / norm[:, None]
             # A little less, for rounding; anything for a query of zeros.
@@ -193,7 +193,8 @@ def top_k(
     summary = nearest.where(F.col("_n") <= s.k + 1).select("cell", "d").collect()
     cells = np.array([row["cell"] for row in summary], dtype=np.int64)
     near = np.array([row["d"] for row in summary])
-    bounded = materialise(_bounded(queries, pivots, cells, near, s), "queries")
+    own = queries.groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    bounded = materialise(_bounded(queries, pivots, cells, near, own, s), "queries")
     sizes = {row["group"]: row["count"] for row in bounded.groupBy("group").count().collect()}
     n_chunks = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, math.ceil(n / s.queries))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     n_blocks = max(1, math.ceil(data.count() / s.vectors))

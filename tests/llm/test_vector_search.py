@@ -48,6 +48,17 @@ def test_a_common_vector_and_ties(spark):
     assert result(spark.createDataFrame(rows, SCHEMA), vectors=60) == brute(rows)
 
 
+def test_an_id_of_many_vectors_leaves_the_others(spark):
+    """More of the query's own vectors than k score higher than any candidate."""
+    rng = random.Random(8)
+    rows = [(20, [50.0 + rng.gauss(0, 0.1), 50.0], 0) for _ in range(40)]
+    rows += [(1 + i % 19 + 100 * i, [1.0 + rng.gauss(0, 0.1), 1.0], 0) for i in range(60)]
+    # As in SQL, the vectors of an id are ranked together.
+    every = sorted((-score, i) for _, _, i, score in brute(rows, 3))[:3]
+    expected = [(20, rank, i, -score) for rank, (score, i) in enumerate(every, 1)]
+    assert result(spark.createDataFrame(rows, SCHEMA), n_pivots=16, k=3) == expected
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
