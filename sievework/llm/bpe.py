@@ -117,9 +117,10 @@ class Merges:
 
 class Encoder:
     """Token ids of texts, as the tokenizers library gives them for the same
-    byte-level vocabulary file without added special tokens."""
+    byte-level vocabulary file without added special tokens. Strings of special
+    tokens inside a text are these tokens, or plain text without `specials`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -129,7 +130,7 @@ class Encoder:
         # The class of a code point is asked of the splitter itself, once.
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
-        added = {t["content"]: t["id"] for t in stored["added_tokens"]}
+        added = {t["content"]: t["id"] for t in stored["added_tokens"]} if specials else {}
         longest_first = sorted(added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, longest_first))) if added else None
         self.special_ids = added

@@ -30,6 +30,8 @@ from sievework.storage import materialise
 
 # Stands for the end of a text among the hashes of words.
 END = np.uint64(0)
+# Bytes worked on at a time where a token takes some twenty numbers.
+PORTION = 500_000
 
 
 @dataclass(frozen=True)
@@ -329,7 +331,7 @@ def class_pairs(
         lookup = Lookup(words, classes, of, settings)
         totals = np.zeros(k * k, dtype=np.int64)
         for batch in batches:
-            for _, data, offsets in ragged.text_portions(batch.column("text")):
+            for _, data, offsets in ragged.text_portions(batch.column("text"), PORTION):
                 tokens = Tokens(data, offsets)
                 _, rare, _, _, found = lookup.found(tokens)
                 before, kind, columns = _steps(tokens, rare, found, of[-1])
@@ -474,7 +476,7 @@ def scored(
         log_less = np.log10(np.maximum(counts - discount, 1e-9))
         in_unit = np.log10(np.maximum(model.unit_size, 1))
         for batch in batches:
-            for row, data, offsets in ragged.text_portions(batch.column("text")):
+            for row, data, offsets in ragged.text_portions(batch.column("text"), PORTION):
                 tokens = Tokens(data, offsets)
                 place, rare, own, units, classes = lookup.found(tokens)
                 before, kind, steps = _steps(tokens, rare, classes, of[-1])

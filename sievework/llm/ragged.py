@@ -20,6 +20,10 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 BASE = 0x9E3779B97F4A7C15 | 1
+# Bytes of a span that are hashed one after the other; a multiple of eight.
+LONG = 512
+# The first 0 to 8 bytes of a number.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 IS_SEPARATOR = np.zeros(256, dtype=bool)
 IS_SEPARATOR[list(SEPARATORS)] = True
@@ -83,20 +87,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, grown when needed."""
-    if len(_powers[0]) <= n:
-        size = 1 << int(n).bit_length()
-        for i, step in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            factors = np.full(size, step, dtype=np.uint64)
-            factors[0] = 1
-            _powers[i] = np.cumprod(factors, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mix(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
     values = values ^ (values >> np.uint64(33))
@@ -107,12 +97,41 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit number per span of `values` (bytes or code points): a polynomial
-    from running sums, so the cost does not hang on how long the spans are."""
-    powers, inverse = _powers_to(len(values))
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """One 64-bit number per span of `values` (bytes, code points or numbers).
+
+    Eight bytes a step go through a finaliser that is one to one, so spans of one
+    length up to eight bytes never share a number, and longer ones do only by
+    chance: no structure of a text, such as a word made of two halves in turn,
+    makes them meet. A span of more than LONG bytes is hashed in pieces, and then
+    as the row of their numbers, so that no span needs many steps.
+    """
+    width = values.itemsize
+    sizes = (ends - starts) * width
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    long = np.flatnonzero(sizes > LONG)
+    if len(long):
+        step = LONG // width
+        n_pieces = -(-(ends[long] - starts[long]) // step)
+        edges = np.concatenate(([0], np.cumsum(n_pieces)))
+        begins = np.repeat(starts[long], n_pieces) + ranges(np.zeros(len(long), np.int64), n_pieces) * step
+        pieces = span_hashes(values, begins, np.minimum(begins + step, np.repeat(ends[long], n_pieces)))
+        hashes[long] = span_hashes(pieces, edges[:-1], edges[1:])
+    # Bytes after the last one are there to be read and masked.
+    padded = np.append(np.ascontiguousarray(values).view(np.uint8), np.zeros(8, np.uint8))
+    eights = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded.data, strides=(1,))
+    rest = np.flatnonzero(sizes <= LONG)
+    at, left = starts[rest] * width, sizes[rest]
+    now = mix(left.astype(np.uint64) * np.uint64(BASE) + MIX_B)
+    while len(rest):
+        now = mix(now ^ (eights[at] & MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        if not more.any():
+            hashes[rest] = now
+            break
+        done = ~more
+        hashes[rest[done]] = now[done]
+        rest, now, at, left = rest[more], now[more], at[more] + 8, left[more] - 8
+    return hashes
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,6 +36,31 @@ def test_equal_words_have_equal_hashes_wherever_they_stand():
     assert firsts.tolist() == [0, 3, 5, 7]
 
 
+def turns(n):
+    """The word of 2^n letters in which each half is the other one turned round."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_of_a_regular_build_have_hashes_of_their_own():
+    one = turns(10)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rng = np.random.default_rng(2)
+    words = {one, other, one + other, other + one, "a" * 512, "a" * 513, "a" * 5000, "a" * 5001, "a" * 300_000}
+    words |= {"a" * n + "b" + "a" * (600 - n) for n in range(600)}
+    words |= {"".join(rng.choice(list("abc"), n)) for n in (1, 2, 3, 7, 8, 9, 15, 16, 17, 511) for _ in range(50)}
+    words = sorted(words)
+    data, offsets = ragged.text_bytes(pa.array([" ".join(words), "x " + " ".join(words)]))
+    hashes, firsts = ragged.word_hashes(data, offsets)
+    assert len(np.unique(hashes[: firsts[1]])) == len(words)
+    assert hashes[: firsts[1]].tolist() == hashes[firsts[1] + 1 :].tolist()
+    codes = np.array([ord(c) for c in one + other], dtype=np.uint32)
+    half = np.array([0, len(one)])
+    assert len(set(ragged.span_hashes(codes, half, half + len(one)).tolist())) == 2
+
+
 def test_portions_cover_all_rows_and_keep_long_ones_whole():
     offsets = np.array([0, 5, 5, 500, 501, 502])
     assert list(ragged.portions(offsets, 10)) == [(0, 2), (2, 3), (3, 5)]

@@ -44,6 +44,24 @@ def test_ids_are_those_of_the_library(library):
     assert encoder.counts(texts).tolist() == [len(ids) for ids in expected]
 
 
+def test_long_words_of_a_regular_build(library):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(Encoder(PATH), texts) == expected
+    assert len(expected[0]) != len(expected[1])
+
+
+def test_special_strings_as_plain_text(library):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>"]
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    expected = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(Encoder(PATH, specials=False), texts) == expected
+
+
 def test_the_store_may_start_anew(library, monkeypatch):
     monkeypatch.setattr("sievework.llm.bpe.KEPT", 10)
     monkeypatch.setattr("sievework.llm.bpe.PORTION", 50)
