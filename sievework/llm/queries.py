@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.llm.alignment import token_alignment
 from sievework.llm.class_lm import scored
 from sievework.llm.jaccard_join import jaccard_components
 from sievework.llm.language import identified
@@ -20,8 +21,9 @@ from sievework.llm.toxicity import toxicity
 from sievework.llm.vector_search import top_k
 
 
-# The vocabulary file the token queries are for; any path can be given.
+# The vocabulary files the token queries are for; any path can be given.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(documents(spark, sf_dir), VOCABULARY, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 # Lower case of A-Z only, and words, as DuckDB has them.
