@@ -15,6 +15,9 @@ from sievework.llm.language import identified
 from sievework.llm.mixing import mix
 from sievework.llm.packing import pack
 from sievework.llm.quality import BASE, judged
+from sievework.llm.secret_scan import (
+    ACCESS, ASSIGN, ASSIGN_LEAST, CANDIDATE, HEX, SecretSettings, secret_spans, term, with_digests,
+)
 from sievework.llm.sharding import shard
 from sievework.llm.token_counts import token_counts
 from sievework.llm.toxicity import toxicity
@@ -81,6 +84,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(documents(spark, sf_dir), VOCABULARY, PIECES)
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digests(secret_spans(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sharding": op2_sharding,
@@ -93,13 +100,85 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
     "op12_token_alignment": op12_token_alignment,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 # Lower case of A-Z only, and words, as DuckDB has them.
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD_LIST = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def secret_sql(settings: SecretSettings = SecretSettings()) -> str:
+    """The secret scan in SQL. Matches are placed by marks around them; each window
+    of a candidate is counted anew."""
+    cuts = " UNION ALL ".join(
+        f"SELECT rid, {quoted(kind)} AS kind, {place} AS place, string_split(regexp_replace(t, "
+        f"{quoted(pattern)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS p FROM texts"
+        for place, (kind, pattern) in enumerate(
+            (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("candidate", CANDIDATE))
+        )
+    )
+    allowed = " OR ".join(f"regexp_matches(value, {quoted(p)})" for p in settings.allowed)
+
+    def by_class(of) -> str:
+        whens = " ".join(f"WHEN regexp_matches(body, {quoted(c.pattern)}) THEN {of(c)}" for c in settings.classes)
+        return f"CASE {whens} END"
+
+    terms = ", ".join(str(term(n)) for n in range(1, max(c.window for c in settings.classes) + 1))
+    return f"""
+        WITH texts AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                replace(replace(coalesce(text, ''), chr(1), chr(3)), chr(2), chr(3)) AS t FROM documents),
+        cuts AS ({cuts}),
+        placed AS (
+            SELECT rid, kind, place, split_part(p[i], chr(2), 1) AS value,
+                list_sum(list_transform(p[1:i - 1], lambda x: length(x))) - (i - 2) AS start
+            FROM (SELECT *, unnest(range(2, len(p) + 1)) AS i FROM cuts)),
+        spans AS (SELECT *, start + length(value) AS stop FROM placed),
+        base AS (
+            SELECT * FROM spans WHERE place < 3 AND (kind <> 'assign'
+                OR length(regexp_extract(value, {quoted(ASSIGN)}, 2)) >= {ASSIGN_LEAST})),
+        candidates AS (
+            SELECT row_number() OVER () AS cid, rid, start, rtrim(value, '=') AS body FROM spans c
+            WHERE place = 3 AND NOT ({allowed}) AND NOT EXISTS (
+                SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start <= c.start AND b.stop >= c.stop)),
+        classed AS (
+            SELECT *, {by_class(lambda c: c.window)} AS width, {by_class(lambda c: c.most)} AS most,
+                {by_class(lambda c: "lower(body)" if c.name == "hex" else "body")} AS signs FROM candidates),
+        windows AS (
+            SELECT cid, rid, start, width, most, i, string_split(signs[i + 1:i + width], '') AS w
+            FROM (SELECT *, unnest(range(0, length(body) - width + 1)) AS i FROM classed)),
+        hot AS (
+            SELECT cid, rid, start + i AS start, start + i + width AS stop FROM windows
+            WHERE list_sum(list_transform(map_values(list_histogram(w)), lambda n: [{terms}][n::BIGINT])) <= most),
+        runs AS (
+            SELECT *, sum(CASE WHEN start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY cid ORDER BY start) AS run
+            FROM (SELECT *, lag(stop) OVER (PARTITION BY cid ORDER BY start) AS before FROM hot)),
+        entropy AS (
+            SELECT rid, 'entropy' AS kind, 3 AS place, min(start) AS start, max(stop) AS stop
+            FROM runs GROUP BY rid, cid, run),
+        kept AS (
+            SELECT rid, kind, place, start, stop FROM base UNION ALL
+            SELECT * FROM entropy e WHERE NOT EXISTS (
+                SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start < e.stop AND b.stop > e.start)),
+        joined AS (
+            SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                count(*) FILTER (kind = 'hex') AS n_hex,
+                string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place, stop) FILTER (place < 3) AS base,
+                string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, place, stop) AS spans
+            FROM kept GROUP BY rid)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+            coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM texts LEFT JOIN joined USING (rid)"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_secret_scan": secret_sql(),
     "op1_quality_rules": f"""
         WITH worded AS (
             SELECT doc_id, coalesce(text, '') AS t, {WORD_LIST.format("coalesce(text, '')")} AS w,
