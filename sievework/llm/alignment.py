@@ -184,27 +184,16 @@ class Aligner:
             for a, b in zip(text_ends[:-1].tolist(), text_ends[1:].tolist())
         ]
         owner = np.repeat(np.arange(len(texts)), n_groups)
-        same, same_n, same_edges = counted(owner[regular], link_a[regular], len(texts), len(self.a.sizes))
+        same, same_n, same_edges = ragged.counted(owner[regular], link_a[regular], len(texts), len(self.a.sizes))
         key = link_a[~regular] * len(self.b.sizes) + link_b[~regular]
-        pairs, pairs_n, pairs_edges = counted(owner[~regular], key, len(texts), len(self.a.sizes) * len(self.b.sizes))
+        pairs, pairs_n, pairs_edges = ragged.counted(owner[~regular], key, len(texts), len(self.a.sizes) * len(self.b.sizes))
         return [
             pa.array(np.diff(edges_a)), pa.array(np.diff(edges_b)), pa.array(n_groups), pa.array(shas, pa.string()),
-            listed(same.astype(np.int32), same_edges), listed(same_n, same_edges),
-            listed(pairs, pairs_edges), listed(pairs_n, pairs_edges),
+            ragged.listed(same.astype(np.int32), same_edges), ragged.listed(same_n, same_edges),
+            ragged.listed(pairs, pairs_edges), ragged.listed(pairs_n, pairs_edges),
         ]
 
 
-def counted(owner: np.ndarray, value: np.ndarray, n_owners: int, n_values: int):
-    """Distinct values of each owner, how often each is there, and where each owner
-    begins."""
-    found, n = np.unique(owner * n_values + value, return_counts=True)
-    return found % n_values, n, np.searchsorted(found, np.arange(n_owners + 1) * n_values)
-
-
-def listed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
-
-
 FIGURES = ("n_a", "n_b", "n_groups", "groups_sha256")
 LINKS = (
     "n_a long, n_b long, n_groups long, groups_sha256 string, same array<int>, same_n array<long>,"
@@ -323,7 +312,7 @@ def token_alignment(
             edges = np.searchsorted(owner[cold], np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(name) for name in ("row", "id", *FIGURES)], pa.array(sums[0]), pa.array(sums[1]),
-                 listed(pair[cold], edges), listed(times[cold], edges)],
+                 ragged.listed(pair[cold], edges), ragged.listed(times[cold], edges)],
                 names=["row", "id", *FIGURES, "n_best", "count_sum", "pairs", "pairs_n"],
             )
 

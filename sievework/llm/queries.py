@@ -12,6 +12,7 @@ from sievework.llm.alignment import token_alignment
 from sievework.llm.class_lm import scored
 from sievework.llm.jaccard_join import jaccard_components
 from sievework.llm.language import identified
+from sievework.llm.lexical_search import lexical_search
 from sievework.llm.mixing import mix
 from sievework.llm.packing import pack
 from sievework.llm.quality import BASE, judged
@@ -80,6 +81,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment(documents(spark, sf_dir), VOCABULARY, PIECES)
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_lexical_search": op11_lexical_search,
     "op12_token_alignment": op12_token_alignment,
     "op13_secret_scan": op13_secret_scan,
 }
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # Lower case of A-Z only, and words, as DuckDB has them.
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD_LIST = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+TERM_LIST = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
 
@@ -222,6 +229,24 @@ ORACLES: dict[str, str] = {
         ranked AS (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op11_lexical_search": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id, {TERM_LIST.format(LOWER_AZ)} AS terms FROM documents),
+        sizes AS (
+            SELECT count(*) FILTER (len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d),
+        tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM d) GROUP BY ALL),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM tf, sizes GROUP BY term, n_docs),
+        asked AS (SELECT DISTINCT item_id, unnest({TERM_LIST.format(LOWER_AZ)}) AS term FROM benchmark),
+        scored AS (
+            SELECT item_id, doc_id, rid, sum(w * ((1000000000 * tf)
+                // (1000 * tf + 8 * (100 - 90 + (90 * len(terms) * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN d USING (rid), sizes GROUP BY ALL),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+            FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
     "op10_jaccard_join": f"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, {WORD_LIST.format(LOWER_AZ)} AS w FROM documents),

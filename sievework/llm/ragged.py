@@ -69,13 +69,14 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray):
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_separator: np.ndarray = IS_SEPARATOR):
     """Starts and ends of all words, and per text the index of its first word
-    (with the number of words at the end)."""
+    (with the number of words at the end). `is_separator` says of each byte whether
+    it stands between words."""
     n = len(data)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    separator = IS_SEPARATOR[data]
+    separator = is_separator[data]
     before = np.empty(n, dtype=bool)
     before[0], before[1:] = True, separator[:-1]
     after = np.empty(n, dtype=bool)
@@ -154,6 +155,18 @@ def odd_numbers(name: str, n: int) -> np.ndarray:
     return mix(start + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
+def counted(owner: np.ndarray, value: np.ndarray, n_owners: int, n_values: int):
+    """Distinct values (below `n_values`) of each owner, how often each is there,
+    and where each owner begins."""
+    found, n = np.unique(owner * n_values + value, return_counts=True)
+    return found % n_values, n, np.searchsorted(found, np.arange(n_owners + 1) * n_values)
+
+
+def listed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Lists of an array cut at `edges`."""
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+
+
 class Index:
     """From 64-bit numbers to small ones, for whole arrays at a time: a table
     with linear probing, at most half full."""
