@@ -13,9 +13,10 @@ A size-aware join of heavy and light sets, exact for every pair of texts:
   compared with scanning lists, as measured on a sample.
 
 Equal sets are one set from the start. The members of a list are compared with
-one of them first, some rounds long, and components are built; only members of a
-list that are then still in different components are compared with each other. A group of
-thousands of near copies is a star of links, not all its pairs.
+one of them first, in rounds until none finds a link, and components are built; only
+members of a list that are then still in different components are compared with each
+other, and of those only pairs that a sketch of fixed size leaves room for. A group
+of thousands of near copies is a star of links, not all its pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from sievework.llm import ragged
 from sievework.llm.components import components
-from sievework.storage import materialise
+from sievework.llm.sampling import filled, in_share
+from sievework.storage import materialise, scratch
 
 
 @dataclass(frozen=True)
@@ -51,11 +53,10 @@ class JoinSettings:
     light_most: int = 12
     # Cost of checking one pair, in rows of a list.
     check_cost: float = 4.0
-    # How often each set is compared with one head of its lists before all that
-    # are still in different components are compared.
-    star_rounds: int = 3
-    # Ids of texts that may be broadcast (8 bytes each); more are joined by shuffle.
-    broadcast_ids: int = 1_000_000
+    # How often each set is compared with one head of its lists, at most, before
+    # all that are still in different components are compared. Rounds end when
+    # one finds no link.
+    star_rounds: int = 6
 
 
 def least_overlap(n: int, m: int, s: JoinSettings) -> int:
@@ -143,6 +144,25 @@ def sketches(grams: np.ndarray, begins: np.ndarray) -> pa.Array:
     )
 
 
+# Bits of a parity sketch, in numbers of 64.
+PARITY_WORDS = 16
+
+
+def parities(grams: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """Per set whether an odd number of its n-grams falls on each of 1,024 bits.
+
+    An n-gram that two sets share changes both alike, so they have at least as many
+    n-grams apart as they differ in bits. Of fixed size, this sketch can go with
+    every row of a list.
+    """
+    spread = ragged.mix(grams ^ ragged.MIX_A)
+    words = np.zeros((len(begins) - 1) * PARITY_WORDS, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    place = owner * PARITY_WORDS + (spread >> np.uint64(60)).astype(np.int64)
+    np.bitwise_xor.at(words, place, np.uint64(1) << (spread & np.uint64(63)))
+    return ragged.listed(words.view(np.int64), np.arange(len(begins)) * PARITY_WORDS)
+
+
 class Filing:
     """The lists a set is in: those of its subsets, if it is light, and those of
     its first n-grams."""
@@ -199,7 +219,7 @@ def with_sets(df: DataFrame, settings: JoinSettings) -> DataFrame:
 
 
 def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSettings) -> DataFrame:
-    """`id, n, digest, n_subsets, keys, sketch` of each row of `df(id, text)`."""
+    """`id, n, digest, n_subsets, keys, sketch, bits` of each row of `df(id, text)`."""
     k = settings.words
 
     def run(batches):
@@ -221,12 +241,14 @@ def with_keys(df: DataFrame, frequent: np.ndarray, light: int, settings: JoinSet
                         pa.array(np.array([n for _, n in filed], dtype=np.int32)),
                         _lists(keys, sizes),
                         sketches(grams, begins),
+                        parities(grams, begins),
                     ],
-                    names=["id", "n", "digest", "n_subsets", "keys", "sketch"],
+                    names=["id", "n", "digest", "n_subsets", "keys", "sketch", "bits"],
                 )
 
     return df.mapInArrow(
-        run, "id long, n long, digest long, n_subsets int, keys array<long>, sketch array<tinyint>"
+        run,
+        "id long, n long, digest long, n_subsets int, keys array<long>, sketch array<tinyint>, bits array<long>",
     )
 
 
@@ -234,7 +256,7 @@ def sample_of(df: DataFrame, settings: JoinSettings) -> tuple[DataFrame, float]:
     """About `sample_texts` rows, by the hash of their id, and their share."""
     n_rows = df.agg(F.count("id")).first()[0]
     share = min(1.0, settings.sample_texts / max(n_rows, 1))
-    return df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)), share
+    return filled(df.where(in_share(F.xxhash64("id"), share)), n_rows, "the order of n-grams"), share
 
 
 def frequent_grams(sample: DataFrame, settings: JoinSettings) -> np.ndarray:
@@ -347,9 +369,7 @@ def _possible(rows: DataFrame, pairs: DataFrame, settings: JoinSettings) -> Data
 def _sets_of(df: DataFrame, pairs: DataFrame, settings: JoinSettings) -> DataFrame:
     """`digest, grams` of the sets that occur in `pairs`, from one text each."""
     ids = materialise(pairs.select(F.explode(F.array("id_u", "id_v")).alias("id")).distinct(), "ids")
-    # Broadcast up to a stated size, else joined by shuffle.
-    few = ids.count() <= settings.broadcast_ids
-    texts = df.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    texts = df.join(ids, "id", "left_semi")
     return with_sets(texts, settings).select("digest", "grams")
 
 
@@ -401,27 +421,26 @@ def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(spans.select("key"), "key", "left_semi")
 
 
-def _cross_pairs(members: DataFrame, seen: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Pairs of members of a list that are still in different components.
+def _may_link(a: str, b: str, s: JoinSettings) -> str:
+    """Whether sets whose parities differ in that many bits can be similar."""
+    apart = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(PARITY_WORDS))
+    total = f"({a}.n + {b}.n)"
+    return f"{s.percent_of} * ({total} - ({apart})) >= {s.percent} * ({total} + ({apart}))"
 
-    Each row carries the lists its set is in before this one, in the global order,
-    so that a pair is made in the first list it meets in, and not in the others.
-    Their number is bounded by the lists a set scans.
-    """
-    # Earlier lists have more n-grams to come; lists of subsets have as many each.
-    lists = members.groupBy("digest").agg(
-        F.any_value("n").alias("n"), F.any_value("root").alias("root"),
-        F.collect_list(F.struct("rest", "key")).alias("lists"),
-    )
-    listed = lists.select("digest", "n", "root", "lists", F.explode("lists").alias("at")).select(
-        F.col("at.key").alias("key"), "digest", "n", "root", F.col("at.rest").alias("rest"),
-        F.expr("transform(filter(lists, x -> x.rest > at.rest), x -> x.key)").alias("before"),
+
+def _cross_pairs(members: DataFrame, rows: DataFrame, seen: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Pairs of members of a list that are still in different components and that
+    their parities leave room for, so that few pairs leave the join."""
+    wanted = members.select("digest").distinct()
+    bits = rows.select("digest", "bits").join(wanted, "digest", "left_semi").groupBy("digest").agg(
+        F.any_value("bits").alias("bits")
     )
+    listed = members.join(bits, "digest").select("key", "digest", "n", "rest", "root", "bits")
     pairs = listed.alias("a").join(listed.alias("b"), "key").where(
         F.expr("a.digest < b.digest AND a.root <> b.root")
-        & F.expr(_may_overlap("a", "b", settings))
         & F.expr(_can_link("a.n", "b.n", settings))
-        & F.expr("NOT arrays_overlap(a.before, b.before)")
+        & F.expr(_may_overlap("a", "b", settings))
+        & F.expr(_may_link("a", "b", settings))
     )
     return (
         pairs.select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"))
@@ -437,7 +456,9 @@ def jaccard_components(
     reachable by links. Other columns are not read. Runs jobs.
 
     A null or empty text has no n-gram and links with nothing. A row without an
-    id links with nothing and has no component. Repeated rows are each returned.
+    id links with nothing and has no component. Repeated rows are each returned;
+    no rows give no rows. Texts are read whole, with some 60 bytes of memory per
+    byte of text.
     """
     base = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     known = base.where("id IS NOT NULL")
@@ -463,15 +484,24 @@ def jaccard_components(
         sets = materialise(_sets_of(known, possible, settings), "grams")
         return materialise(_links(possible.select("u", "v"), sets, settings), "links")
 
+    spark = df.sparkSession
     links = seen = None
     for _ in range(settings.star_rounds):
-        starred = materialise(_star_pairs(members, seen, settings), "pairs")
-        seen = starred if seen is None else seen.unionByName(starred)
-        found = links_of(starred)
-        links = found if links is None else links.unionByName(found)
-        members = materialise(_open_members(members, components(links)), "members")
-    crossing = materialise(_cross_pairs(members, seen, settings), "pairs")
-    roots = components(links.unionByName(links_of(crossing)))
+        # What a round needs on its way is deleted at its end.
+        with scratch(spark, keep=("pairs", "links", "members")):
+            starred = materialise(_star_pairs(members, seen, settings), "pairs")
+            seen = starred if seen is None else seen.unionByName(starred)
+            found = links_of(starred)
+            links = found if links is None else links.unionByName(found)
+            done = found.isEmpty()
+            if not done:
+                members = materialise(_open_members(members, components(links)), "members")
+        if done:
+            break
+    with scratch(spark, keep=("links",)):
+        crossing = materialise(_cross_pairs(members, have, seen, settings), "pairs")
+        links = links.unionByName(links_of(crossing))
+    roots = components(links)
 
     by_digest = have.groupBy("digest").agg(F.min("id").alias("least")).join(
         roots.withColumnRenamed("node", "digest"), "digest", "left"
@@ -480,9 +510,11 @@ def jaccard_components(
     classes = by_digest.join(lowest, "root").select("digest", "component_id")
     # Texts without words all have the same empty set, and are no copies.
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
-    return rows.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(
-        classes, "digest", "left"
-    ).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    worded = rows.where("n > 0").select("id", "n", "digest").join(classes, "digest", "left")
+    wordless = rows.where("n = 0").select("digest", "id", "n", F.lit(None).cast("long").alias("component_id"))
+    return worded.unionByName(wordless).select(
+        F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id")
+    )
 
 
 def keep_one_per_component(
@@ -492,12 +524,14 @@ def keep_one_per_component(
     rows without an id stay. Of several rows with that id each text stays once.
     Runs jobs."""
     found = jaccard_components(df, id, text, settings)
-    keep = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
-    # Partitioned by id for both steps, so the text is shuffled once.
+    keep = found.where(F.col(id) == F.col("component_id")).select(F.col(id).alias("_id")).distinct()
+    # The row travels as one struct, so that no name of its columns matters; by
+    # id for both steps, so the text is shuffled once.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    rows = rows.withColumn("_id", F.col(f"_row.`{id}`").cast("long"))
     kept = (
-        df.withColumn("_text", F.xxhash64(F.col(text)))
-        .join(keep, id, "left_semi")
-        .dropDuplicates([id, "_text"])
-        .drop("_text")
+        rows.withColumn("_text", F.xxhash64(F.col(f"_row.`{text}`")))
+        .join(keep, "_id", "left_semi")
+        .dropDuplicates(["_id", "_text"])
     )
-    return kept.unionByName(df.where(F.col(id).isNull()))
+    return kept.select("_row").unionByName(rows.where("_id IS NULL").select("_row")).select("_row.*")

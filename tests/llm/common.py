@@ -52,5 +52,6 @@ def with_clashes(df):
     from pyspark.sql import functions as F
 
     names = ("id", "n", "size", "row", "word", "key", "digest", "group", "unit", "cell", "v", "h", "shard",
-             "copies", "kept", "score", "fold", "toxic_", "rate", "term", "label", "rank")
+             "copies", "kept", "score", "fold", "toxic_", "rate", "term", "label", "rank",
+             "_text", "_id", "_row", "_quality", "_parts", "_figures", "_language")
     return df.select("*", *[F.lit(1).alias(name) for name in names])

@@ -97,6 +97,36 @@ def test_a_large_group_of_near_copies_needs_few_pairs(spark, monkeypatch):
     assert sum(written["pairs"]) < 300 * 30 < 300 * 299 / 2
 
 
+def test_parities_never_say_more_than_is_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, changes in ((1, 0), (5, 1), (40, 9), (300, 20), (300, 300), (5000, 500)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[changes:], rng.integers(0, 1 << 63, changes).astype(np.uint64))))
+        both = join.parities(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])).to_pylist()
+        bits = sum(bin((x ^ y) & ((1 << 64) - 1)).count("1") for x, y in zip(*both))
+        apart = len(np.setxor1d(a, b))
+        assert bits <= apart and bits % 2 == apart % 2 and (bits >= apart / 2 or apart > 500)
+
+
+def test_unlike_texts_with_much_in_common_leave_few_pairs(spark, monkeypatch):
+    """Texts that share half of their n-grams meet in many lists."""
+    half = prose(5, 150)
+    rows = [(i, f"{half} {prose(100 + i, 150)}", "en", "a", 1) for i in range(60)]
+    written = []
+    keep = join.materialise
+
+    def counted(df, name):
+        out = keep(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(join, "materialise", counted)
+    assert result(documents(spark, rows)) == brute(rows)
+    assert [n for name, n in written if name == "pairs"][-1] < 10
+
+
 def test_odd_rows(spark):
     assert result(documents(spark)) == brute(odd_rows())
     assert result(documents(spark, [])) == []
