@@ -35,6 +35,10 @@ class NearDupSettings:
     # A bucket above this share of all memberships is joined by broadcast, so
     # at most 1 / hot_share rows of 24 bytes are ever broadcast.
     hot_share: float = 1e-5
+    # Whether a collision counts only if the shingle sets reach the threshold.
+    verify: bool = False
+    # Pairs that meet one copy of a kept row's shingles; more get more copies.
+    pairs_per_part: int = 50_000
 
 
 @dataclass(frozen=True)

@@ -100,8 +100,8 @@ def _lowest(hashes: np.ndarray, edges: np.ndarray, multipliers: np.ndarray) -> n
     return (lowest >> np.uint64(32)).astype(np.int64)
 
 
-def _signatures(texts: pd.Series, places: np.ndarray, multipliers: np.ndarray) -> Iterator:
-    """Index label and signature of each text that has words."""
+def _token_portions(texts: pd.Series) -> Iterator:
+    """Portions of the texts that have words: their index labels and words."""
     present = texts[texts.notna()]
     portions = (present.str.len().cumsum() // PORTION).to_numpy()
     for portion in np.unique(portions):
@@ -110,7 +110,13 @@ def _signatures(texts: pd.Series, places: np.ndarray, multipliers: np.ndarray) -
         labels = [label for label, found in zip(part.index, tokens) if found]
         tokens = [found for found in tokens if found]
         if tokens:
-            yield from zip(labels, _lowest(*_shingle_hashes(tokens, places), multipliers))
+            yield labels, tokens
+
+
+def _signatures(texts: pd.Series, places: np.ndarray, multipliers: np.ndarray) -> Iterator:
+    """Index label and signature of each text that has words."""
+    for labels, tokens in _token_portions(texts):
+        yield from zip(labels, _lowest(*_shingle_hashes(tokens, places), multipliers))
 
 
 def _per_text(return_type: T.DataType, num_perm: int, k: int, convert):
@@ -128,6 +134,23 @@ def _per_text(return_type: T.DataType, num_perm: int, k: int, convert):
     return run
 
 
+def shingle_hashes(text: Column, k: int = 3) -> Column:
+    """The set of word shingles of `text` as sorted 64-bit numbers, those that its
+    MinHash signature is made of; null for a text without words."""
+    places = odd_numbers("place", k)
+
+    @pandas_udf(T.ArrayType(T.LongType()))
+    def run(texts: pd.Series) -> pd.Series:
+        out: dict = dict.fromkeys(texts.index)
+        for labels, tokens in _token_portions(texts):
+            hashes, edges = _shingle_hashes(tokens, places)
+            for label, begin, end in zip(labels, edges[:-1], edges[1:]):
+                out[label] = np.unique(hashes[begin:end].view(np.int64))
+        return pd.Series(list(out.values()), dtype=object)
+
+    return run(text)
+
+
 def minhash_signature(text: Column, num_perm: int = 128, k: int = 3) -> Column:
     """MinHash over the word shingles of `text`; null for a text without words.
 

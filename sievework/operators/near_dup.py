@@ -12,18 +12,30 @@ that greedy rule in parallel rounds, without ever listing the pairs of a bucket:
 A bucket that holds a third of all rows is one group of a pre-aggregated minimum
 and one row on the small side of a join. Rows alone in all their buckets are
 settled before the first round.
+
+With `verify`, a collision is only a reason to look: a kept row is compared with
+the members of the buckets it heads, exactly, by shingle sets, and drops those that
+reach the threshold. It then leaves its buckets, and the rows that are left there
+elect their next head. That is again the greedy rule, with "shares a bucket with a
+kept row and is as similar as the threshold" as the reason to drop a row.
+
+`near_dup_clusters` is the other policy: rows are in one cluster if collisions link
+them, directly or by way of others, and each cluster keeps its best row. Members of
+a bucket need an edge to its head only, so there are as many edges as memberships.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.config import NearDupSettings
-from sievework.functions.shingles import lsh_keys, optimal_bands
+from sievework.functions.shingles import lsh_keys, optimal_bands, shingle_hashes
+from sievework.operators.components import components
 from sievework.operators.exact_dedup import nan_to_null, quality_order
 from sievework.storage import materialise
 
@@ -109,62 +121,129 @@ def _heads(members: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(
-    df: DataFrame,
-    text: str = "text",
-    score: str = "score",
-    key: Sequence[str] = ("source", "source_id"),
-    settings: NearDupSettings = NearDupSettings(),
-    tie: Sequence[str] | None = None,
-) -> DataFrame:
-    """Keys of the rows to drop, with the reason `near_dup` or `no_tokens`.
-
-    `key` must identify a row. Runs jobs: each round ends with a table in the
-    shared folder.
-    """
+def _placed(
+    df: DataFrame, text: str, score: str, key: Sequence[str], settings: NearDupSettings, tie: Sequence[str] | None
+) -> tuple[DataFrame, DataFrame]:
+    """`df` as `place`, the position in quality order, key and `bands`; and, with
+    `verify`, `row` and `grams`, where `row` is also with the places."""
     # Stored before it is sorted: a range sort reads its input twice, and the
     # signatures are the costly part.
-    keyed = materialise(
-        with_band_keys(
-            df.select(*key, text, nan_to_null(F.col(score)).alias(score)), text, settings
-        ).select(*key, score, "bands"),
-        "signatures",
-    )
+    grams = [shingle_hashes(F.col(text), settings.shingle_size).alias("grams")] if settings.verify else []
+    keyed = with_band_keys(
+        df.select(*key, text, nan_to_null(F.col(score)).alias(score)), text, settings
+    ).select(*key, score, "bands", *grams)
+    more = []
+    if settings.verify:
+        keyed, more = keyed.withColumn("row", F.monotonically_increasing_id()), ["row"]
+    keyed = materialise(keyed, "signatures")
     # One range sort turns score and key into an ordered long.
     placed = materialise(
         keyed.orderBy(*near_dup_order(score, key, tie)).select(
-            *key, F.monotonically_increasing_id().alias("place"), "bands"
+            *key, F.monotonically_increasing_id().alias("place"), "bands", *more
         ),
         "placed",
     )
+    return placed, keyed
+
+
+def _contested(placed: DataFrame, settings: NearDupSettings) -> DataFrame:
+    """`place, bucket` of the members of buckets that hold more than one row."""
     memberships = placed.select("place", F.explode("bands").alias("bucket"))
     contested = materialise(_heads(memberships).where("n > 1"), "contested")
     n_members = placed.count() * band_shape(settings)[0]
-    members = materialise(
+    return materialise(
         _join_buckets(memberships, contested, n_members, settings).select("place", "bucket"),
         "members",
     )
 
+
+def _leaders(rest: DataFrame, heads: DataFrame) -> DataFrame:
+    """`head` of the rows that head all their buckets."""
+    led = heads.groupBy("head").agg(F.count(F.lit(1)).alias("led"))
+    held = rest.groupBy(F.col("place").alias("head")).agg(F.count(F.lit(1)).alias("held"))
+    return led.join(held, "head").where("led = held").select("head")
+
+
+def _kept_by_collision(members: DataFrame, settings: NearDupSettings) -> list[DataFrame]:
+    """Tables of the places that are kept if every collision drops a row."""
     kept = []
     rest, n_rest = members, members.count()
     while n_rest:
         heads = materialise(_heads(rest), "heads")
-        led = heads.groupBy("head").agg(F.count(F.lit(1)).alias("led"))
-        held = rest.groupBy(F.col("place").alias("head")).agg(F.count(F.lit(1)).alias("held"))
-        leaders = led.join(held, "head").where("led = held")
         # Buckets whose head is kept. All their members are decided by that.
-        settled = materialise(heads.join(leaders, "head", "left_semi"), "settled")
+        settled = materialise(heads.join(_leaders(rest, heads), "head", "left_semi"), "settled")
         kept.append(settled.select(F.col("head").alias("place")))
         decided = _join_buckets(rest, settled, n_rest, settings).select("place").distinct()
         rest = materialise(rest.join(decided, "place", "left_anti"), "rest")
         n_rest = rest.count()
+    return kept
 
-    no_tokens = placed.where("bands IS NULL").select(*key, F.lit("no_tokens").alias("reason"))
-    if not kept:
-        return no_tokens
-    losers = members.select("place").join(
-        reduce(DataFrame.unionByName, kept), "place", "left_anti"
+
+def _alike(pairs: DataFrame, sets: DataFrame, settings: NearDupSettings) -> DataFrame:
+    """The `place`s of `pairs(place, head)` whose shingle sets are as similar as the
+    threshold. A head with very many pairs has copies of its set, and each pair
+    meets one of them."""
+    copies = pairs.groupBy("head").agg(
+        F.ceil(F.count(F.lit(1)) / settings.pairs_per_part).cast("int").alias("parts")
+    )
+    heads = copies.join(sets.withColumnRenamed("place", "head"), "head").select(
+        "head", "parts", F.col("grams").alias("theirs"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
+    asked = pairs.join(copies, "head").withColumn("part", F.pmod(F.xxhash64("place"), "parts").cast("int"))
+    met = asked.drop("parts").join(sets, "place").join(heads.drop("parts"), ["head", "part"])
+    mine, theirs = F.size("grams"), F.size("theirs")
+    common = F.size(F.array_intersect("grams", "theirs"))
+    # Sets of too unlike sizes need no look inside.
+    could = F.least(mine, theirs) / F.greatest(mine, theirs) >= settings.threshold
+    return met.where(could & (common / (mine + theirs - common) >= settings.threshold)).select("place").distinct()
+
+
+def _dropped_by_likeness(members: DataFrame, sets: DataFrame, settings: NearDupSettings) -> list[DataFrame]:
+    """Tables of the places that are dropped if a collision must be confirmed."""
+    dropped = []
+    rest, n_rest = members, members.count()
+    while n_rest:
+        heads = materialise(_heads(rest), "heads")
+        leaders = materialise(_leaders(rest, heads), "leaders")
+        settled = materialise(heads.where("n > 1").join(leaders, "head", "left_semi"), "settled")
+        pairs = _join_buckets(rest, settled, n_rest, settings).where("place <> head").select("place", "head").distinct()
+        dropped.append(materialise(_alike(materialise(pairs, "pairs"), sets, settings), "dropped"))
+        gone = dropped[-1].unionByName(leaders.withColumnRenamed("head", "place"))
+        rest = materialise(rest.join(gone, "place", "left_anti"), "rest")
+        n_rest = rest.count()
+    return dropped
+
+
+def near_duplicates(
+    df: DataFrame,
+    text: str = "text",
+    score: str = "score",
+    key: Sequence[str] = ("source", "source_id"),
+    settings: NearDupSettings = NearDupSettings(),
+    tie: Sequence[str] | None = None,
+) -> DataFrame:
+    """Keys of the rows to drop, with the reason `near_dup` or `no_tokens`.
+
+    `key` must identify a row. Runs jobs: each round ends with a table in the
+    shared folder. With `settings.verify` every dropped row is as similar as the
+    threshold to a kept one; a bucket of rows that are unlike takes a round for each
+    of them then, as each must be compared with those before it.
+    """
+    placed, keyed = _placed(df, text, score, key, settings, tie)
+    members = _contested(placed, settings)
+    no_tokens = placed.where("bands IS NULL").select(*key, F.lit("no_tokens").alias("reason"))
+    if settings.verify:
+        rows = placed.select("place", "row").join(members.select("place").distinct(), "place", "left_semi")
+        sets = materialise(keyed.select("row", "grams").join(rows, "row").select("place", "grams"), "sets")
+        tables = _dropped_by_likeness(members, sets, settings)
+        if not tables:
+            return no_tokens
+        losers = reduce(DataFrame.unionByName, tables)
+    else:
+        tables = _kept_by_collision(members, settings)
+        if not tables:
+            return no_tokens
+        losers = members.select("place").join(reduce(DataFrame.unionByName, tables), "place", "left_anti")
     return (
         placed.select(*key, "place")
         .join(losers.distinct(), "place")
@@ -173,6 +252,60 @@ def near_duplicates(
     )
 
 
+def near_dup_clusters(
+    df: DataFrame,
+    text: str = "text",
+    score: str = "score",
+    key: Sequence[str] = ("source", "source_id"),
+    settings: NearDupSettings = NearDupSettings(),
+    tie: Sequence[str] | None = None,
+) -> DataFrame:
+    """Per row its key, the key of the best row of its cluster as `best_<key>`, and
+    `n_rows`, the size of the cluster. Runs jobs.
+
+    `key` must identify a row. A row without words, as one without a collision, is
+    a cluster of its own. Clusters follow collisions of LSH buckets, also through
+    rows in between, so `settings.verify` has no effect here.
+    """
+    settings = replace(settings, verify=False)
+    placed, _ = _placed(df, text, score, key, settings, tie)
+    members = _contested(placed, settings)
+    heads = materialise(_heads(members), "heads")
+    linked = _join_buckets(members, heads, members.count(), settings).where("place <> head")
+    # Places are in quality order, so the lowest of a component is its best row.
+    roots = components(linked.select(F.col("place").alias("u"), F.col("head").alias("v")))
+    located = materialise(
+        placed.select(*key, "place")
+        .join(roots.withColumnRenamed("node", "place"), "place", "left")
+        .withColumn("root", F.coalesce("root", "place")),
+        "clusters",
+    )
+    # One row per cluster of more than one row; a cluster may hold a third of all
+    # rows, so its members are joined to that one row and can be split.
+    sizes = located.groupBy("root").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    best = located.where("place = root").select("root", *[F.col(c).alias(f"best_{c}") for c in key])
+    large = located.join(best.join(sizes, "root"), "root", "left")
+    alone = F.col("n_rows").isNull()
+    return large.select(
+        *key,
+        *[F.when(alone, F.col(c)).otherwise(F.col(f"best_{c}")).alias(f"best_{c}") for c in key],
+        F.coalesce("n_rows", F.lit(1).cast("long")).alias("n_rows"),
+    )
+
+
+def keep_best_of_clusters(
+    df: DataFrame,
+    text: str = "text",
+    score: str = "score",
+    key: Sequence[str] = ("source", "source_id"),
+    settings: NearDupSettings = NearDupSettings(),
+) -> DataFrame:
+    """`df` with the best row of each near-duplicate cluster only."""
+    clusters = near_dup_clusters(df, text, score, key, settings)
+    is_best = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"best_{c}")) for c in key])
+    return without_rows(df, clusters.where(~is_best), key)
+
+
 def without_rows(df: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
     """`df` without the rows whose key is in `gone`; null parts of a key match."""
     same = reduce(

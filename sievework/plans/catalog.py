@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -357,6 +358,16 @@ def near_dup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source", "source_id")
 
 
+def jaccard_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that stay if a collision must be confirmed by the shingle sets."""
+    kept = near_dup.drop_near_duplicates(corpus(spark, sf_dir), settings=replace(NEAR_DUP, verify=True))
+    return kept.select("source", "source_id")
+
+
+def near_dup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup_clusters(corpus(spark, sf_dir), settings=NEAR_DUP)
+
+
 # --- tags --------------------------------------------------------------------
 
 
@@ -636,6 +647,8 @@ QUERIES: dict[str, Query] = {
     "lsh_band_keys": lsh_band_keys,
     "lsh_buckets": lsh_buckets,
     "near_dup_keep_first": near_dup_keep_first,
+    "jaccard_verify": jaccard_verify,
+    "near_dup_clusters": near_dup_clusters,
     "keyword_hits": keyword_hits,
     "tag_by_keywords": tag_by_keywords,
     "tag_by_embedding": tag_by_embedding,

@@ -6,6 +6,8 @@ the ones the engine uses.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from sievework import lexicons
 from sievework.config import NearDupSettings
 from sievework.functions.rules import LETTER_SWAPS
@@ -194,14 +196,38 @@ band AS (
 )"""
 
 
+def likeness(settings: NearDupSettings) -> str:
+    """CTEs up to `alike(a, b)`: colliding rows whose shingle sets are as similar as
+    the threshold, a before b."""
+    return f"""
+met AS (SELECT DISTINCT a.id AS a, b.id AS b FROM band a JOIN band b ON a.bucket = b.bucket AND a.id < b.id AND a.id > 0),
+gram_sets AS (
+  SELECT id, list_distinct(CASE WHEN len(t) < {settings.shingle_size} THEN [array_to_string(t, ' ')]
+    ELSE list_transform(range(1, len(t) - {settings.shingle_size - 2}),
+      lambda i: array_to_string(t[i:i + {settings.shingle_size - 1}], ' ')) END) AS grams
+  FROM tokens WHERE len(t) > 0
+),
+alike AS (
+  SELECT a, b FROM (
+    SELECT m.a, m.b, len(list_intersect(x.grams, y.grams)) AS c, len(x.grams) + len(y.grams) AS n
+    FROM met m JOIN gram_sets x ON x.id = m.a JOIN gram_sets y ON y.id = m.b
+  ) WHERE c / (n - c) >= {settings.threshold}
+)"""
+
+
 def greedy(rows: str, settings: NearDupSettings) -> str:
     """CTEs up to `near(id)`: rows of `rows(id, text)` that the greedy rule drops;
     `id` is the place in quality order, from 1. Rows below are left alone."""
-    return bands(rows, settings) + f""",
+    if settings.verify:
+        start = bands(rows, settings) + "," + likeness(settings) + """,
+better AS (SELECT b AS id, list(a) AS earlier FROM alike GROUP BY b)"""
+    else:
+        start = bands(rows, settings) + """,
 better AS (
   SELECT b.id, list(DISTINCT a.id) AS earlier
   FROM band a JOIN band b ON a.bucket = b.bucket AND a.id < b.id AND a.id > 0 GROUP BY b.id
-),
+)"""
+    return start + """,
 contested AS (SELECT *, row_number() OVER (ORDER BY id) AS step FROM better),
 walk(step, dropped) AS (
   SELECT 0::BIGINT, []::BIGINT[]
@@ -544,6 +570,18 @@ JOIN placed USING (id)""",
     "near_dup_keep_first": f"""
 WITH RECURSIVE {CORPUS_PLACED.strip()}, {greedy("placed", NEAR_DUP).strip()}
 SELECT source, source_id FROM placed WHERE id NOT IN (SELECT id FROM near)""",
+    "jaccard_verify": f"""
+WITH RECURSIVE {CORPUS_PLACED.strip()}, {greedy("placed", replace(NEAR_DUP, verify=True)).strip()}
+SELECT source, source_id FROM placed WHERE id NOT IN (SELECT id FROM near)""",
+    "near_dup_clusters": f"""
+WITH RECURSIVE {CORPUS_PLACED.strip()}, {bands("placed", NEAR_DUP).strip()},
+edge AS (SELECT DISTINCT a.id AS x, b.id AS y FROM band a JOIN band b USING (bucket)),
+reached(id, other) AS (
+  SELECT id, id FROM placed UNION SELECT r.id, e.y FROM reached r JOIN edge e ON e.x = r.other
+),
+root AS (SELECT id, min(other) AS best, count(*) AS n_rows FROM reached GROUP BY id)
+SELECT p.source, p.source_id, b.source AS best_source, b.source_id AS best_source_id, n_rows
+FROM placed p JOIN root USING (id) JOIN placed b ON b.id = root.best""",
     "keyword_hits": "SELECT doc_id, {} FROM documents".format(
         ", ".join(
             f"{hits}::INTEGER AS {label.replace(' ', '_')}"

@@ -234,3 +234,144 @@ def test_ids_may_repeat_or_lack(spark):
     assert sorted(r["text"] for r in result.rows.collect()) == sorted(
         [body, "a text of its own", "and yet another text"]
     )
+
+
+def shingle_sets(df):
+    out = {}
+    for r in df.collect():
+        found = re.findall(r"\w+", r["text"].lower())
+        out[r["source_id"]] = {tuple(found[i : i + 3]) for i in range(max(len(found) - 2, 1))} if found else set()
+    return out
+
+
+def confirmed_greedy(df, settings):
+    """From best to worst, drop a row that shares a bucket with a kept row as
+    similar as the threshold; the rows that stay and, per dropped row, its best
+    similarity to one of those."""
+    sets = shingle_sets(df)
+    keyed = near_dup.with_band_keys(df, settings=settings).collect()
+
+    def place(r):
+        tie = hashlib.md5(f"{r['source']}\x1f{r['source_id']}".encode()).hexdigest()
+        return r["score"] is None, -(r["score"] or 0), tie, r["source"], r["source_id"]
+
+    kept, gone = [], {}
+    for row in sorted(keyed, key=place):
+        if not row["bands"]:
+            continue
+        mine = sets[row["source_id"]]
+        near = [
+            len(mine & sets[k]) / len(mine | sets[k]) for k, theirs in kept if set(theirs) & set(row["bands"])
+        ]
+        if near and max(near) >= settings.threshold:
+            gone[row["source_id"]] = max(near)
+        else:
+            kept.append((row["source_id"], row["bands"]))
+    return {k for k, _ in kept}, gone
+
+
+@pytest.mark.parametrize("seed,parts,per_part", [(1, 1, 50_000), (2, 5, 3)])
+def test_a_collision_must_be_confirmed(spark, seed, parts, per_part):
+    settings = NearDupSettings(threshold=0.6, num_perm=64, verify=True, pairs_per_part=per_part)
+    df = spark.createDataFrame(chains(seed, 250), SCHEMA).repartition(parts)
+    kept, gone = confirmed_greedy(df, settings)
+    got = {r["source_id"] for r in near_dup.drop_near_duplicates(df, settings=settings).collect()}
+    assert got == kept and min(gone.values()) >= 0.6
+    # Some collisions were of rows below the threshold.
+    loose = near_dup.drop_near_duplicates(df, settings=replace(settings, verify=False)).count()
+    assert loose < len(got) < 250
+
+
+def test_confirmed_with_a_large_group_of_copies(spark):
+    """A third of all rows differ in a word, and rows without words go."""
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [("s", "none", "!!", 1.0)]
+    for i in range(300):
+        words = list(base) if i % 3 == 0 else [f"x{draw.randrange(10**6)}" for _ in range(60)]
+        words[draw.randrange(60)] = f"y{i}"
+        rows.append(("s", f"{i:04d}", " ".join(words), float(draw.randrange(5))))
+    df = spark.createDataFrame(rows, SCHEMA)
+    settings = NearDupSettings(threshold=0.6, hot_share=0.01, verify=True, pairs_per_part=10)
+    kept, _ = confirmed_greedy(df, settings)
+    assert {r["source_id"] for r in near_dup.drop_near_duplicates(df, settings=settings).collect()} == kept
+    assert len(kept) < 240
+
+
+def test_confirmed_where_nothing_collides(spark):
+    settings = NearDupSettings(verify=True)
+    assert near_dup.near_duplicates(spark.createDataFrame([], SCHEMA), settings=settings).collect() == []
+    rows = [("s", "1", "one text of its own", 1.0), ("s", "2", "and quite another one", None)]
+    assert near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), settings=settings).collect() == []
+
+
+def collided(df, settings):
+    """Per row the best row of its cluster and the cluster's size, by search."""
+    keyed = [(r["source_id"], r["score"], r["source"], set(r["bands"] or ())) for r in
+             near_dup.with_band_keys(df, settings=settings).collect()]
+
+    def place(r):
+        tie = hashlib.md5(f"{r[2]}\x1f{r[0]}".encode()).hexdigest()
+        return r[1] is None, -(r[1] or 0), tie, r[2], r[0]
+
+    by_bucket = {}
+    for row in keyed:
+        for bucket in row[3]:
+            by_bucket.setdefault(bucket, []).append(row[0])
+    order, of = {r[0]: place(r) for r in keyed}, {}
+    buckets = {r[0]: r[3] for r in keyed}
+    for start in order:
+        if start in of:
+            continue
+        seen, todo = {start}, [start]
+        while todo:
+            for bucket in buckets[todo.pop()]:
+                new = set(by_bucket[bucket]) - seen
+                seen |= new
+                todo += new
+        best = min(seen, key=order.get)
+        of.update({row: (best, len(seen)) for row in seen})
+    return of
+
+
+@pytest.mark.parametrize("hot_share", [1e-5, 0.05])
+def test_clusters_against_a_search(spark, hot_share):
+    settings = NearDupSettings(threshold=0.6, num_perm=64, hot_share=hot_share)
+    rows = chains(6, 300) + [("s", "none", "?!", 3.0), ("t", "alone", "a text that is like no other here", None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r["source_id"]: (r["best_source_id"], r["n_rows"]) for r in near_dup.near_dup_clusters(df, settings=settings).collect()}
+    assert got == collided(df, settings)
+    best = {r["source_id"] for r in near_dup.keep_best_of_clusters(df, settings=settings).collect()}
+    assert best == {row for row, (b, _) in got.items() if row == b}
+    assert got["none"] == ("none", 1) and 2 < len(best) < 250
+
+
+def test_a_chain_and_a_star_of_a_thousand_are_two_clusters(spark):
+    """Versions that drift apart step by step, and copies of one text."""
+    draw, words, rows = random.Random(4), [f"w{i}" for i in range(60)], []
+    for i in range(1000):
+        words = list(words)
+        words[i % 60] = f"v{i}"
+        rows.append(("s", f"c{i:05d}", " ".join(words), None))
+    base = [f"x{i}" for i in range(60)]
+    for i in range(1000):
+        copy = list(base)
+        copy[draw.randrange(60)] = f"y{i}"
+        rows.append(("s", f"d{i:05d}", " ".join(copy), float(i == 7)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    # A band of one row: texts of similarity 0.9 share one of 64 for sure.
+    settings = NearDupSettings(num_perm=64, bands=64, rows=1)
+    out = near_dup.near_dup_clusters(df, settings=settings).collect()
+    sizes = {(r["source_id"][0], r["best_source_id"], r["n_rows"]) for r in out}
+    assert len(out) == 2000 and len(sizes) == 2
+    assert {(kind, n) for kind, _, n in sizes} == {("c", 1000), ("d", 1000)}
+    assert ("d", "d00007", 1000) in sizes
+
+
+def test_shingle_numbers_are_a_set(apply):
+    a, b, c, d, e = apply(
+        lambda t: shingles.shingle_hashes(t),
+        ["one two three four", "ONE, two three four! one two three four", "one two", None, " ?"],
+    )
+    assert set(a) < set(b) and len(b) == 4 and a == sorted(a) and b == sorted(b)
+    assert len(c) == 1 and d is None and e is None
