@@ -201,17 +201,18 @@ def likeness(settings: NearDupSettings) -> str:
     the threshold, a before b."""
     return f"""
 met AS (SELECT DISTINCT a.id AS a, b.id AS b FROM band a JOIN band b ON a.bucket = b.bucket AND a.id < b.id AND a.id > 0),
-gram_sets AS (
-  SELECT id, list_distinct(CASE WHEN len(t) < {settings.shingle_size} THEN [array_to_string(t, ' ')]
+gram AS MATERIALIZED (
+  SELECT DISTINCT id, unnest(CASE WHEN len(t) < {settings.shingle_size} THEN [array_to_string(t, ' ')]
     ELSE list_transform(range(1, len(t) - {settings.shingle_size - 2}),
-      lambda i: array_to_string(t[i:i + {settings.shingle_size - 1}], ' ')) END) AS grams
+      lambda i: array_to_string(t[i:i + {settings.shingle_size - 1}], ' ')) END) AS gram
   FROM tokens WHERE len(t) > 0
 ),
+gram_count AS (SELECT id, count(*) AS n FROM gram GROUP BY id),
+first_grams AS MATERIALIZED (SELECT m.a, m.b, x.gram FROM met m JOIN gram x ON x.id = m.a),
 alike AS (
   SELECT a, b FROM (
-    SELECT m.a, m.b, len(list_intersect(x.grams, y.grams)) AS c, len(x.grams) + len(y.grams) AS n
-    FROM met m JOIN gram_sets x ON x.id = m.a JOIN gram_sets y ON y.id = m.b
-  ) WHERE c / (n - c) >= {settings.threshold}
+    SELECT f.a, f.b, count(*) AS c FROM first_grams f JOIN gram y ON y.id = f.b AND y.gram = f.gram GROUP BY ALL
+  ) JOIN gram_count x ON x.id = a JOIN gram_count y ON y.id = b WHERE c / (x.n + y.n - c) >= {settings.threshold}
 )"""
 
 
