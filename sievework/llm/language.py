@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import ragged
+from sievework.llm.sampling import filled, in_share
 
 SPACE = 0x20
 # ASCII letters in lower case; bytes of other scripts as they are; the rest blank.
@@ -125,10 +126,10 @@ def fit(df: DataFrame, id: str, text: str, lang: str, settings: LanguageSettings
     if not sizes:
         return None
     languages = sorted(sizes)
-    limits = F.create_map(*[
-        F.lit(x) for name, n in sizes.items() for x in (name, int(1e6 * min(1, s.texts_per_language / n)))
-    ])
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(limits, F.col("lang")))
+    chosen = F.lit(False)
+    for name, n in sizes.items():
+        chosen = chosen | ((F.col("lang") == name) & in_share(F.xxhash64("id"), s.texts_per_language / n))
+    sample = filled(rows.where(chosen), sum(sizes.values()), "the languages")
 
     def count(batches):
         totals = np.zeros((len(languages), 1 << GRAM_BITS), dtype=np.int64)

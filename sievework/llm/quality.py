@@ -15,33 +15,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.sampling import in_share
+
 SPACES = r"[\x20\x09-\x0D]"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-# Words in windows of three that occur twice or more in the text. Sorted
-# numbers hold the hash of a window above and its place below, so equal windows
-# are neighbours; the words themselves are compared too. Texts in which all hashes
-# differ are done before anything is sorted.
+# Words in windows of three that occur twice or more in the text. Sorted pairs
+# hold the hash of a window and its place, so equal windows are neighbours; the words
+# themselves are compared too. Texts in which all hashes differ are done before
+# anything is sorted.
 REPEATED = """
 case when size(_parts.words) < 4 then 0 else
-  transform(array(named_struct(
-      'hashes', transform(sequence(0, size(_parts.words) - 3),
-                          i -> xxhash64(_parts.words[i], _parts.words[i + 1], _parts.words[i + 2])),
-      'bits', case when size(_parts.words) < 4096 then 12 when size(_parts.words) < 65536 then 16 else 31 end)),
-    h -> case when size(array_distinct(h.hashes)) = size(h.hashes) then 0 else
-      transform(array(sort_array(transform(h.hashes, (x, i) -> shiftleft(x, h.bits) | i))),
+  transform(array(transform(sequence(0, size(_parts.words) - 3),
+                            i -> xxhash64(_parts.words[i], _parts.words[i + 1], _parts.words[i + 2]))),
+    hashes -> case when size(array_distinct(hashes)) = size(hashes) then 0 else
+      transform(array(sort_array(transform(hashes, (x, i) -> named_struct('hash', x, 'at', i)))),
         keys -> aggregate(
           transform(
             array(sort_array(transform(
               filter(keys, (x, j) ->
-                (j > 0 and shiftright(x, h.bits) = shiftright(get(keys, j - 1), h.bits)
-                  and {same_before})
-                or (j + 1 < size(keys) and shiftright(x, h.bits) = shiftright(get(keys, j + 1), h.bits)
-                  and {same_after})),
-              x -> cast(x & (shiftleft(1L, h.bits) - 1) as int)))),
+                (j > 0 and x.hash = get(keys, j - 1).hash and {same_before})
+                or (j + 1 < size(keys) and x.hash = get(keys, j + 1).hash and {same_after})),
+              x -> x.at))),
             places -> transform(places, (p, j) -> least(3, coalesce(get(places, j + 1), p + 3) - p)))[0],
           0, (a, x) -> a + x))[0]
     end)[0]
@@ -50,10 +48,7 @@ end
 
 
 def _same_window(x: str, y: str) -> str:
-    def word(key: str, k: int) -> str:
-        return f"_parts.words[cast({key} & (shiftleft(1L, h.bits) - 1) as int) + {k}]"
-
-    return " and ".join(f"{word(x, k)} = {word(y, k)}" for k in range(3))
+    return " and ".join(f"_parts.words[{x}.at + {k}] = _parts.words[{y}.at + {k}]" for k in range(3))
 
 
 @dataclass(frozen=True)
@@ -131,8 +126,7 @@ def rule_order(df: DataFrame, text: str, settings: QualitySettings) -> list[Rule
     rules = list(settings.rules)
     n_rows = df.agg(F.count(F.lit(1))).first()[0]
     share = min(1.0, settings.sample_rows / max(n_rows, 1))
-    chosen = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000)
-    figures = with_figures(df.where(chosen), text, settings).where("NOT _figures.base_failed")
+    figures = with_figures(df.where(in_share(F.xxhash64(text), share)), text, settings).where("NOT _figures.base_failed")
     judged = figures.groupBy(*[F.expr(r.rejects).alias(f"r{i}") for i, r in enumerate(rules)]).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(r.work)).alias(f"w{i}") for i, r in enumerate(rules)]
     )

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import ragged
+from sievework.llm.sampling import filled, in_share
 from sievework.storage import materialise
 
 START = np.uint64(1)
@@ -82,13 +83,15 @@ def _labelled(df: DataFrame, labels: DataFrame, id: str, text: str, label: str,
     fold = F.pmod(F.crc32(F.col(id).cast("string")), F.lit(s.folds))
     known = labels.where(F.col(label).isin(0, 1)).select(
         F.col(id).alias("id"), (F.col(label) == 1).alias("toxic")
-    ).dropDuplicates(["id"]).where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(s.folds)) != s.held_out_fold)
+    # Of several labels the larger one counts.
+    ).groupBy("id").agg(F.max("toxic").alias("toxic")).where(
+        F.pmod(F.crc32(F.col("id").cast("string")), F.lit(s.folds)) != s.held_out_fold
+    )
     sizes = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
-    limit = F.lit(0)
+    within = F.lit(False)
     for toxic, n in sizes.items():
-        share = int(1e6 * min(1, s.texts_per_label / n))
-        limit = F.when(F.col("toxic") == toxic, share).otherwise(limit)
-    chosen = materialise(known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < limit), "chosen")
+        within = within | ((F.col("toxic") == toxic) & in_share(F.xxhash64("id"), s.texts_per_label / n))
+    chosen = filled(materialise(known.where(within), "chosen"), sum(sizes.values()), "the labels")
     rows = df.select(F.col(id).alias("id"), fold.alias("fold"), F.col(text).alias("text"))
     # At most about two times `texts_per_label` ids.
     return rows.join(F.broadcast(chosen), "id").select("fold", "toxic", "text")

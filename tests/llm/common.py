@@ -52,6 +52,13 @@ def with_clashes(df):
     from pyspark.sql import functions as F
 
     names = ("id", "n", "size", "row", "word", "key", "digest", "group", "unit", "cell", "v", "h", "shard",
-             "copies", "kept", "score", "fold", "toxic_", "rate", "term", "label", "rank",
-             "_text", "_id", "_row", "_quality", "_parts", "_figures", "_language")
+             "copies", "kept", "score", "fold", "toxic_", "rate", "term", "label", "rank")
+    return df.select("*", *[F.lit(1).alias(name) for name in names])
+
+
+def with_inner_clashes(df):
+    """Extra columns with names of what operators work out on their way."""
+    from pyspark.sql import functions as F
+
+    names = ("_text", "_id", "_row", "row", "_quality", "_parts", "_figures", "_language", "_held_out", "_letter", "_score")
     return df.select("*", *[F.lit(1).alias(name) for name in names])

@@ -7,7 +7,7 @@ import pytest
 from sievework.llm import jaccard_join as join
 from sievework.llm.components import components
 from sievework.llm.jaccard_join import JoinSettings, jaccard_components, keep_one_per_component
-from tests.llm.common import documents, lower_az, odd_rows, prose, with_clashes, words
+from tests.llm.common import documents, lower_az, odd_rows, prose, with_clashes, with_inner_clashes, words
 
 
 def grams(text, k=5):
@@ -135,7 +135,7 @@ def test_odd_rows(spark):
 
 def test_one_of_each_component_stays(spark):
     rows = families()
-    df = with_clashes(documents(spark, odd_rows() + [(i + 1000, *rest) for i, *rest in rows]))
+    df = with_inner_clashes(documents(spark, odd_rows() + [(i + 1000, *rest) for i, *rest in rows]))
     out = keep_one_per_component(df)
     assert out.columns == df.columns
     got = sorted(str(r["doc_id"]) for r in out.collect())

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sievework.llm import queries
-from tests.llm.common import SCHEMA, documents, odd_rows, prose, with_clashes
+from tests.llm.common import SCHEMA, documents, odd_rows, prose, with_clashes, with_inner_clashes
 from tests.llm.test_quality import kept
 
 
@@ -51,7 +51,9 @@ def test_stages_one_after_the_other(spark, tmp_path):
 
 
 def test_stages_take_odd_and_empty_tables(spark):
-    for make in (lambda: with_clashes(documents(spark)), lambda: documents(spark, [])):
+    for make in (
+        lambda: with_clashes(documents(spark)), lambda: with_inner_clashes(documents(spark)), lambda: documents(spark, []),
+    ):
         for number in range(4):
             docs = make()
             out = stage(spark, number, docs)
@@ -63,6 +65,6 @@ def test_stages_take_odd_and_empty_tables(spark):
 
 def test_all_operators_are_registered():
     names = sorted(queries.QUERIES, key=lambda name: int(name[2:].split("_")[0]))
-    assert [int(name[2:].split("_")[0]) for name in names] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in names] == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5

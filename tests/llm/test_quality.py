@@ -61,6 +61,31 @@ def test_against_brute_force(rows):
         assert (out[i]["failed_rule"] is None) == kept(text)
 
 
+def test_a_text_of_a_million_words(spark):
+    """Windows that are repeated here and there among a million that are not."""
+    found = [f"w{i}" for i in range(1_000_000)]
+    for at in range(1000, 990_000, 5000):
+        found[at + 2000 : at + 2003] = found[at : at + 3]
+    text = " ".join(found)
+    out = judged(documents(spark, [(1, text, "en", "a", 1)])).first()["_quality"]
+    assert out["n_repeat_words"] == figures(text)[-1] == 6 * len(range(1000, 990_000, 5000))
+
+
+def test_a_small_share_still_has_rows(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.llm.sampling import filled, in_share
+
+    numbers = spark.range(2_000_000).select(F.xxhash64("id").alias("h"))
+    found = numbers.where(in_share(F.col("h"), 1e-5)).count()
+    assert 5 < found < 45
+    assert numbers.where(in_share(F.col("h"), 2.0)).count() == 2_000_000
+    lowest = numbers.agg(F.min("h")).first()[0]
+    assert numbers.where(in_share(F.col("h"), (lowest + 2**63 + 1) / 2**64)).count() >= 1
+    with pytest.raises(ValueError):
+        filled(numbers.where("false"), 2_000_000, "a test")
+
+
 def test_order_follows_rejections_per_work(rows):
     settings = QualitySettings()
     order = rule_order(rows, "text", settings)
