@@ -4,12 +4,17 @@ Each stage takes the session, the documents that the stage before kept, and the
 folder of the tables, and returns documents with the same columns; the last
 returns the pieces of the packed sequences. Tables between stages are Parquet in
 the shared folder, so a lost executor costs tasks, not stages.
+
+Any stage takes documents with nulls in any column, with empty and very long texts,
+with repeated rows and with further columns of any name, which stay. No documents
+give no documents. A document without an id stays until it is judged by its text.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework.llm.jaccard_join import keep_one_per_component
 from sievework.llm.language import UNKNOWN, identified
@@ -21,15 +26,20 @@ from sievework.storage import scratch, scratch_path
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def as_row(docs: DataFrame) -> DataFrame:
+    """All columns as one struct, so that none can clash with what a stage adds."""
+    return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base test or a rule go."""
-    return judged(docs).where("_quality.kept").drop("_quality")
+    """Documents that fail the base test or a rule go. Without a word, a text fails."""
+    return judged(as_row(docs), text="row.text").where("_quality.kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language, or in two about equally, go."""
-    known = identified(docs).where(f"_language.lang_pred <> '{UNKNOWN}' AND NOT _language.ambiguous")
-    return known.drop("_language")
+    known = identified(as_row(docs), id="row.doc_id", text="row.text", lang="row.lang")
+    return known.where(f"_language.lang_pred <> '{UNKNOWN}' AND NOT _language.ambiguous").select("row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
