@@ -55,6 +55,10 @@ class ScoreSettings:
     least_words: int = 8
     most_words: int = 40
     copy_from: float = 0.85
+    # A shingle that more sets hold than this share of all that is compared, and
+    # than this number, is no key of a join.
+    hot_share: float = 1e-4
+    least_hot: int = 200
     weights: dict[str, float] = field(
         default_factory=lambda: {"quality": 0.50, "relevance": 0.25, "novelty": 0.15, "clean": 0.10, "length": 0.0}
     )

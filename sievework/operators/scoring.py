@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievework.config import NearDupSettings, ScoreSettings
 from sievework.functions.expr import let
-from sievework.functions.shingles import word_shingles
+from sievework.functions.shingles import shingle_hashes
 from sievework.functions.text import word_count, words
 from sievework.operators.near_dup import near_duplicates, with_band_keys, without_rows
 from sievework.storage import materialise
@@ -48,7 +48,7 @@ def relevance_score(vector: Column, label: Column, labels: Sequence, label_vecto
     return F.round(F.try_divide(dot(vector, F.try_element_at(known, label)), F.sqrt(dot(vector, vector))), 6)
 
 
-def novelty_score(
+def bucket_novelty_score(
     candidates: DataFrame,
     corpus: DataFrame,
     text: str = "text",
@@ -57,64 +57,37 @@ def novelty_score(
     near_dup: NearDupSettings = NearDupSettings(),
     settings: ScoreSettings = ScoreSettings(),
 ) -> DataFrame:
-    """Per candidate its id and `novelty`: 1 less the largest Jaccard similarity to
-    a row of the corpus, and 0 from `copy_from` on.
+    """Per candidate its id and `novelty` as far as LSH buckets tell: 1 less the
+    largest Jaccard similarity to a kept row of the corpus in a common bucket, and
+    0 from `copy_from` on. `novelty.novelty_score` compares with every row.
 
     After near duplicates are removed, an LSH bucket holds at most one row, so a
     candidate meets at most as many rows as there are bands. The similarity to
     those is exact; a row that shares no bucket counts as unlike.
     """
-    keyed = materialise(with_band_keys(corpus, text, near_dup), "corpus-bands")
+    def numbered(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        keyed = with_band_keys(df, text, near_dup).withColumn("grams", shingle_hashes(F.col(text), near_dup.shingle_size))
+        return materialise(keyed.select(*columns, "bands", "grams").withColumn(name, F.monotonically_increasing_id()), name)
+
+    keyed = numbered(corpus.select(*key, text), "row", *key)
     gone = materialise(near_duplicates(corpus, text, key=key, settings=near_dup), "near")
-    shingles = word_shingles(F.col(text), near_dup.shingle_size)
-    kept = without_rows(keyed, gone, key).select(F.explode("bands").alias("bucket"), shingles.alias("grams"))
-    asked = with_band_keys(candidates.select(id, text), text, near_dup).select(
-        F.col(id), F.explode_outer("bands").alias("bucket"), shingles.alias("mine")
+    asked = numbered(candidates.select(id, text), "asked", id)
+    buckets = without_rows(keyed, gone, key).select("row", F.explode("bands").alias("bucket"))
+    # Numbers meet first; the sets are fetched once for each pair.
+    pairs = asked.select("asked", F.explode("bands").alias("bucket")).join(buckets, "bucket").select("asked", "row").distinct()
+    both = pairs.join(asked.select("asked", F.col("grams").alias("mine")), "asked").join(
+        keyed.select("row", F.col("grams").alias("theirs")), "row"
+    )
+    common = F.size(F.array_intersect("mine", "theirs"))
+    alike = common / (F.size("mine") + F.size("theirs") - common)
+    best = both.groupBy("asked").agg(F.max(alike).alias("alike"))
+    met = asked.select(id, "asked").join(best, "asked", "left").groupBy(id).agg(
+        F.coalesce(F.max("alike"), F.lit(0.0)).alias("most")
     )
-    common = F.size(F.array_intersect("mine", "grams"))
-    alike = common / (F.size("mine") + F.size("grams") - common)
-    met = asked.join(kept, "bucket", "left").groupBy(id).agg(F.coalesce(F.max(alike), F.lit(0.0)).alias("most"))
     novelty = F.when(F.col("most") >= settings.copy_from, 0.0).otherwise(1 - F.col("most"))
     return met.select(id, F.round(novelty, 6).alias("novelty"))
 
 
-def exact_novelty_score(
-    candidates: DataFrame,
-    corpus: DataFrame,
-    text: str = "text",
-    id: str = "source_id",
-    shingle_size: int = 3,
-    settings: ScoreSettings = ScoreSettings(),
-) -> DataFrame:
-    """Per candidate its id and `novelty`: 1 less the largest Jaccard similarity to
-    any row of the corpus, and 0 from `copy_from` on.
-
-    Shingles are compared by 64-bit hashes. Equal sets of the corpus count once;
-    each then meets the candidates it shares a shingle with, and an aggregate counts
-    the shared ones, so no row is left out and no near copy stands for another.
-    """
-    grams = F.sort_array(F.transform(word_shingles(F.col(text), shingle_size), lambda gram: F.xxhash64(gram)))
-    asked = materialise(
-        candidates.select(F.col(id), F.monotonically_increasing_id().alias("_asked"), grams.alias("_grams")), "asked"
-    )
-    wanted = asked.select("_asked", F.size("_grams").alias("_mine"), F.explode("_grams").alias("_gram"))
-    sets = corpus.select(grams.alias("_grams")).distinct()
-    # Numbered before they are taken apart, and stored, so a number stays a set's.
-    sets = materialise(sets.withColumn("_set", F.monotonically_increasing_id()), "shingle-sets")
-    known = sets.select("_set", F.size("_grams").alias("_theirs"), F.explode("_grams").alias("_gram"))
-    alike = F.col("_common") / (F.col("_mine") + F.col("_theirs") - F.col("_common"))
-    best = (
-        known.join(wanted, "_gram")
-        .groupBy("_asked", "_mine", "_set", "_theirs").agg(F.count(F.lit(1)).alias("_common"))
-        .groupBy("_asked").agg(F.max(alike).alias("_alike"))
-    )
-    most = asked.select(id, "_asked").join(best, "_asked", "left").groupBy(id).agg(
-        F.coalesce(F.max("_alike"), F.lit(0.0)).alias("_most")
-    )
-    novelty = F.when(F.col("_most") >= settings.copy_from, 0.0).otherwise(1 - F.col("_most"))
-    return most.select(id, F.round(novelty, 6).alias("novelty"))
-
-
 def text_classifier(
     labelled: DataFrame, text: str = "text", label: str = "label", n_features: int = 1 << 16
 ) -> PipelineModel:

@@ -19,7 +19,7 @@ from sievework.config import (
     NearDupSettings,
 )
 from sievework.functions import prompts, rules, shingles, text
-from sievework.operators import near_dup, reports, scoring, select, split, tagging
+from sievework.operators import near_dup, novelty, reports, scoring, select, split, tagging
 from sievework.operators.exact_dedup import exact_dedup_keep_best
 from sievework.plans import clean as cleaning
 from sievework.sources import readers, writers
@@ -497,12 +497,12 @@ def relevance_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def novelty_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = unify_single_field_source(spark, sf_dir)
-    return scoring.novelty_score(candidates, corpus(spark, sf_dir), near_dup=NEAR_DUP)
+    return novelty.novelty_score(unify_single_field_source(spark, sf_dir), corpus(spark, sf_dir))
 
 
-def exact_novelty_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.exact_novelty_score(unify_single_field_source(spark, sf_dir), corpus(spark, sf_dir))
+def bucket_novelty_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = unify_single_field_source(spark, sf_dir)
+    return scoring.bucket_novelty_score(candidates, corpus(spark, sf_dir), near_dup=NEAR_DUP)
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -575,7 +575,9 @@ QUERIES: dict[str, Query] = {
     ),
     "relevance_score": relevance_score,
     "novelty_score": novelty_score,
-    "exact_novelty_score": exact_novelty_score,
+    # The same under the name it had beside the form by buckets.
+    "exact_novelty_score": novelty_score,
+    "bucket_novelty_score": bucket_novelty_score,
     "group_relative_score": group_relative_score,
     "best_of_n": best_of_n,
     "distinct_n": distinct_n,

@@ -388,6 +388,22 @@ def length_sql(x: str) -> str:
 
 ANSWERS = f"(SELECT conv_id, turn, {length_sql('text')} AS score FROM conversations WHERE role = 'assistant')"
 
+NOVELTY = f"""
+WITH {CORPUS_PLACED.strip()},
+both_sides AS (SELECT id, text FROM placed UNION ALL SELECT -1 - item_id, text FROM benchmark),
+{bands("both_sides", NEAR_DUP).strip()},
+grams AS (
+  SELECT id, CASE WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END AS g
+  FROM tokens WHERE len(t) > 0
+),
+alike AS (
+  SELECT x.id, max(len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(x.g || y.g))) AS most
+  FROM grams x JOIN grams y ON x.id < 0 AND y.id > 0 GROUP BY x.id
+)
+SELECT item_id::VARCHAR AS source_id, round(CASE WHEN most >= 0.85 THEN 0 ELSE 1 - coalesce(most, 0) END, 6)::DOUBLE AS novelty
+FROM benchmark LEFT JOIN alike ON alike.id = -1 - item_id"""
+
 ORACLES: dict[str, str] = {
     "min_score_filter": "SELECT doc_id FROM documents WHERE n_chars >= 5000",
     "nsfw_filter": "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(toxic, 0) = 0",
@@ -416,7 +432,7 @@ FROM best, (VALUES {", ".join(f"({f}::DOUBLE)" for f in FLOORS)}) f(floor) GROUP
 WITH means AS ({dimension_means()})
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS relevance
 FROM embeddings JOIN means USING (label)""",
-    "novelty_score": f"""
+    "bucket_novelty_score": f"""
 WITH RECURSIVE {CORPUS_PLACED.strip()},
 both_sides AS (SELECT id, text FROM placed UNION ALL SELECT -1 - item_id, text FROM benchmark),
 {greedy("both_sides", NEAR_DUP).strip()},
@@ -433,21 +449,8 @@ alike AS (
 )
 SELECT item_id::VARCHAR AS source_id, round(CASE WHEN most >= 0.85 THEN 0 ELSE 1 - coalesce(most, 0) END, 6)::DOUBLE AS novelty
 FROM benchmark LEFT JOIN alike ON alike.id = -1 - item_id""",
-    "exact_novelty_score": f"""
-WITH {CORPUS_PLACED.strip()},
-both_sides AS (SELECT id, text FROM placed UNION ALL SELECT -1 - item_id, text FROM benchmark),
-{bands("both_sides", NEAR_DUP).strip()},
-grams AS (
-  SELECT id, CASE WHEN len(t) < 3 THEN [array_to_string(t, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) END AS g
-  FROM tokens WHERE len(t) > 0
-),
-alike AS (
-  SELECT x.id, max(len(list_intersect(x.g, y.g))::DOUBLE / len(list_distinct(x.g || y.g))) AS most
-  FROM grams x JOIN grams y ON x.id < 0 AND y.id > 0 GROUP BY x.id
-)
-SELECT item_id::VARCHAR AS source_id, round(CASE WHEN most >= 0.85 THEN 0 ELSE 1 - coalesce(most, 0) END, 6)::DOUBLE AS novelty
-FROM benchmark LEFT JOIN alike ON alike.id = -1 - item_id""",
+    "novelty_score": NOVELTY,
+    "exact_novelty_score": NOVELTY,
     "group_relative_score": f"""
 SELECT conv_id, turn, CASE WHEN x = 0 THEN 0 ELSE x END AS relative
 FROM (SELECT conv_id, turn, round(score - avg(score) OVER (PARTITION BY conv_id), 6) AS x FROM {ANSWERS})""",

@@ -3,15 +3,17 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.config import NearDupSettings, SplitSettings
+from sievework.config import NearDupSettings, ScoreSettings, SplitSettings
 from sievework.functions import rules
 from sievework.operators import scoring, split, tagging
+from sievework.operators.novelty import novelty_score
 
 
 def test_length_score(apply):
@@ -32,7 +34,7 @@ def test_relevance(spark):
     assert {r["i"]: r["s"] for r in df.select("i", score.alias("s")).collect()} == {1: 0.6, 2: None, 3: None}
 
 
-def test_novelty(spark):
+def test_novelty_by_buckets(spark):
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     near = [*base[:50], *[f"x{i}" for i in range(10)]]
@@ -41,7 +43,7 @@ def test_novelty(spark):
         "source string, source_id string, text string, score double",
     )
     asked = [("copy", " ".join(base)), ("near", " ".join(near)), ("new", "quite other words here"), ("none", "")]
-    out = scoring.novelty_score(
+    out = scoring.bucket_novelty_score(
         spark.createDataFrame(asked, "source_id string, text string"), corpus, near_dup=NearDupSettings(threshold=0.4)
     )
     got = {r["source_id"]: r["novelty"] for r in out.collect()}
@@ -59,10 +61,54 @@ def test_exact_novelty_meets_rows_that_the_buckets_miss(spark):
     asked = [("far", " ".join([*base[:36], *[f"y{i}" for i in range(24)]])), ("copy", " ".join(["x", *base[1:]])),
              ("new", "quite other words here"), ("none", ""), (None, None)]
     candidates = spark.createDataFrame(asked, "source_id string, text string")
-    got = {r["source_id"]: r["novelty"] for r in scoring.exact_novelty_score(candidates, corpus).collect()}
+    got = {r["source_id"]: r["novelty"] for r in novelty_score(candidates, corpus).collect()}
     assert got == {"far": round(1 - 34 / 82, 6), "copy": 0.0, "new": 1.0, "none": 1.0, None: 1.0}
 
 
+@pytest.mark.parametrize("least_hot,hot_share", [(10**9, 1.0), (3, 1e-9), (20, 1e-9)])
+def test_novelty_against_all_pairs(spark, least_hot, hot_share):
+    """With a passage in a third of all rows, a shingle in most of them, copies,
+    and candidates that share only such shingles with any row."""
+    rng = random.Random(7)
+
+    def prose(n, words=4000):
+        return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+
+    passage, common = prose(25), "in most of the rows"
+    rows = [f"{prose(rng.randint(3, 30))} {common}" for _ in range(150)]
+    rows += [f"{prose(rng.randint(1, 20), 50)} {passage} {prose(rng.randint(0, 20))}" for _ in range(80)]
+    rows += rows[:20] + ["", None, "one", "one two", passage]
+    asked = rows[:5] + [rows[160], rows[161] + " a few more words"]
+    asked += [" ".join(rows[i].split()[2:] + [prose(3)]) for i in range(10, 40)]
+    asked += [f"{prose(5)} {passage} {prose(40)}", f"{prose(30)} {common}", common, passage + " " + common, prose(40)]
+    asked += [" ".join(passage.split()[3:12]) + " " + prose(5), "one", "two one", "", None]
+
+    def grams(text):
+        found = re.findall(r"\w+", (text or "").lower())
+        return {tuple(found[i : i + 3]) for i in range(max(len(found) - 2, 1))} if found else set()
+
+    sets = [g for g in map(grams, rows) if g]
+    expected = {}
+    for i, text in enumerate(asked):
+        mine = grams(text)
+        most = max((len(mine & g) / len(mine | g) for g in sets), default=0) if mine else 0
+        expected[str(i)] = 0.0 if most >= 0.85 else round(1 - most, 6)
+    candidates = spark.createDataFrame([(str(i), t) for i, t in enumerate(asked)], "source_id string, text string")
+    corpus = spark.createDataFrame([(t,) for t in rows], "text string")
+    settings = ScoreSettings(least_hot=least_hot, hot_share=hot_share)
+    got = {r["source_id"]: r["novelty"] for r in novelty_score(candidates, corpus, settings=settings).collect()}
+    assert got == pytest.approx(expected, abs=1e-6)
+    assert len(set(expected.values())) > 20
+
+
+def test_novelty_of_nothing_and_against_nothing(spark):
+    none = spark.createDataFrame([], "source_id string, text string")
+    some = spark.createDataFrame([("a", "some words here"), ("a", "other words"), ("b", None)], none.schema)
+    assert novelty_score(none, some).collect() == []
+    assert {tuple(r) for r in novelty_score(some, none).collect()} == {("a", 1.0), ("b", 1.0)}
+    assert {tuple(r) for r in novelty_score(some, some.limit(1)).collect()} == {("a", 0.0), ("b", 1.0)}
+
+
 def test_group_relative_score_and_best(spark):
     rows = [("p", 1, 1.0), ("p", 2, 3.0), ("p", 3, 3.0), ("q", 1, 5.0)]
     df = spark.createDataFrame(rows, "prompt string, i int, s double")
