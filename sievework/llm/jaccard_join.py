@@ -56,7 +56,7 @@ class JoinSettings:
     # How often each set is compared with one head of its lists, at most, before
     # all that are still in different components are compared. Rounds end when
     # one finds no link.
-    star_rounds: int = 6
+    star_rounds: int = 3
 
 
 def least_overlap(n: int, m: int, s: JoinSettings) -> int:
@@ -145,22 +145,28 @@ def sketches(grams: np.ndarray, begins: np.ndarray) -> pa.Array:
 
 
 # Bits of a parity sketch, in numbers of 64.
-PARITY_WORDS = 16
+PARITY_WORDS = 8
 
 
 def parities(grams: np.ndarray, begins: np.ndarray) -> pa.Array:
-    """Per set whether an odd number of its n-grams falls on each of 1,024 bits.
+    """Per set whether an odd number of its n-grams falls on each of 512 bits.
 
     An n-gram that two sets share changes both alike, so they have at least as many
     n-grams apart as they differ in bits. Of fixed size, this sketch can go with
     every row of a list.
     """
     spread = ragged.mix(grams ^ ragged.MIX_A)
-    words = np.zeros((len(begins) - 1) * PARITY_WORDS, dtype=np.uint64)
-    owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-    place = owner * PARITY_WORDS + (spread >> np.uint64(60)).astype(np.int64)
-    np.bitwise_xor.at(words, place, np.uint64(1) << (spread & np.uint64(63)))
-    return ragged.listed(words.view(np.int64), np.arange(len(begins)) * PARITY_WORDS)
+    bits, n, step = PARITY_WORDS * 64, len(begins) - 1, 1024
+    place = (spread >> np.uint64(32)).astype(np.int64) % bits
+    packed = []
+    # Some sets at a time, as each has a number per bit here.
+    for first in range(0, n, step):
+        last = min(first + step, n)
+        owner = np.repeat(np.arange(last - first), np.diff(begins[first : last + 1]))
+        counts = np.bincount(owner * bits + place[begins[first] : begins[last]], minlength=(last - first) * bits)
+        packed.append(np.packbits((counts & 1).astype(np.uint8), bitorder="little"))
+    words = np.concatenate(packed).view("<i8") if packed else np.zeros(0, np.int64)
+    return ragged.listed(words, np.arange(n + 1) * PARITY_WORDS)
 
 
 class Filing:
