@@ -86,5 +86,12 @@ class CurationConfig:
     meta_patterns: tuple[tuple[str, str], ...] = lexicons.META_PATTERNS
     keywords: tuple[tuple[str, tuple[str, ...]], ...] = lexicons.CONTEXT_KEYWORDS
     fallback_label: str = lexicons.FALLBACK_LABEL
+    # What may follow a keyword or blocked word: see `functions.lexicon`.
+    match: str = "prefix"
+    # Whether an "edit:" note must be at a word start.
+    strict: bool = False
+    # Whether content rules come before both dedup stages, so that a blocked row
+    # takes none of its near copies with it.
+    filters_first: bool = False
     # Fixed value: a score from here on counts as a positive example.
     positive_score: int = 100

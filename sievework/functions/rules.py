@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievework import lexicons
 from sievework.config import LengthBounds
 from sievework.functions.expr import caseless, contains_any, let
-from sievework.functions.lexicon import at_word_start, has_word, quote, with_lead
+from sievework.functions.lexicon import WORD_END, at_word_start, has_word, quote, with_lead
 from sievework.functions.text import SPACE_CHARS, word_count
 
 TOMBSTONES = ("[removed]", "[deleted]")
@@ -45,26 +45,31 @@ def length_ok(
     return (F.length(text) <= bounds.max_chars) & in_words
 
 
-def has_listed_word(text: Column, words: Iterable[str] = lexicons.BLOCKLIST) -> Column:
-    return has_word(text, words)
+def has_listed_word(
+    text: Column, words: Iterable[str] = lexicons.BLOCKLIST, match: str = "prefix"
+) -> Column:
+    return has_word(text, words, match)
 
 
 def has_obfuscated_word(
-    text: Column, patterns: Iterable[str] = lexicons.OBFUSCATIONS
+    text: Column, patterns: Iterable[str] = lexicons.OBFUSCATIONS, match: str = "prefix"
 ) -> Column:
-    """A word starts with one of `patterns`, which are given in lower case."""
+    """A word starts with one of `patterns`, which are given in lower case, or, with
+    `match="word"`, is one of them."""
     patterns = tuple(patterns)
     if not patterns:
         return F.lit(False)
-    return with_lead(text).rlike(at_word_start("|".join(patterns)))
+    any_of = "|".join(patterns)
+    return with_lead(text).rlike(at_word_start(f"(?:{any_of}){WORD_END}" if match == "word" else any_of))
 
 
 def is_offensive(
     text: Column,
     words: Iterable[str] = lexicons.BLOCKLIST,
     patterns: Iterable[str] = lexicons.OBFUSCATIONS,
+    match: str = "prefix",
 ) -> Column:
-    return has_listed_word(text, words) | has_obfuscated_word(text, patterns)
+    return has_listed_word(text, words, match) | has_obfuscated_word(text, patterns, match)
 
 
 def is_meta_post(

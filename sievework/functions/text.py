@@ -46,6 +46,8 @@ FOLD_INERT = r"^[\x00-\x7f\u00c0-\u00ff\u2013\u2014\u2018\u2019\u201c\u201d]*+$"
 
 URL = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 EDIT_NOTE = rf"(?isu)edit[{SPACE}]*+(?:\p{{Nd}}++[{SPACE}]*+)?:.*$"
+# The same at a word start only, so that "credit: ten" stays.
+STRICT_EDIT_NOTE = EDIT_NOTE.replace("edit", r"(?<!\p{L})edit", 1)
 REPEATED_PUNCT = r"([!?.,])\1{2,}"
 
 
@@ -113,9 +115,10 @@ def strip_urls(text: Column) -> Column:
     return let(text, fix)
 
 
-def strip_edit_note(text: Column) -> Column:
+def strip_edit_note(text: Column, strict: bool = False) -> Column:
     """Delete from an "edit:" note, with the asterisks and blanks that lead to
-    it, to the end of the text."""
+    it, to the end of the text. With `strict`, no letter may stand before it."""
+    note = STRICT_EDIT_NOTE if strict else EDIT_NOTE
 
     def cut(t: Column) -> Column:
         def marks_off(head: Column) -> Column:
@@ -123,10 +126,10 @@ def strip_edit_note(text: Column) -> Column:
             # Line breaks before the asterisks go too, other blanks there stay.
             return F.when(plain == head, head).otherwise(F.rtrim(plain, F.lit("\n")))
 
-        return let(F.rtrim(F.regexp_replace(t, EDIT_NOTE, ""), F.lit(SPACE_CHARS)), marks_off)
+        return let(F.rtrim(F.regexp_replace(t, note, ""), F.lit(SPACE_CHARS)), marks_off)
 
     def fix(t: Column) -> Column:
-        noted = F.contains(caseless(t), F.lit("edit")) & t.rlike(EDIT_NOTE)
+        noted = F.contains(caseless(t), F.lit("edit")) & t.rlike(note)
         return F.when(noted, cut(t)).otherwise(t)
 
     return let(text, fix)
@@ -168,14 +171,14 @@ def collapse_whitespace(text: Column) -> Column:
     return let(blanks_to_spaces(text), fix)
 
 
-def normalise_text(text: Column) -> Column:
-    """All of the above in order."""
+def normalise_text(text: Column, strict: bool = False) -> Column:
+    """All of the above in order; `strict` is for `strip_edit_note`."""
     text = null_to_empty(text)
     text = _only_where(_has_entity(text) | _may_fold(text), _decoded_and_folded, text)
     for step in (
         strip_invisible,
         strip_urls,
-        strip_edit_note,
+        lambda t: strip_edit_note(t, strict),
         cap_repeated_punct,
         collapse_whitespace,
     ):

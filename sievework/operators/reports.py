@@ -14,6 +14,7 @@ from sievework.storage import materialise
 
 # Stages in the order in which they drop rows.
 STAGES = ("dead_or_empty", "length", "exact_dup", "near_dup", "offensive", "meta")
+FILTERS_FIRST = ("dead_or_empty", "length", "offensive", "meta", "exact_dup", "near_dup")
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -21,14 +22,14 @@ def percent(part: Column, whole: Column) -> Column:
     return F.round(F.try_divide(100.0 * part, whole), 1)
 
 
-def funnel_report(drops: DataFrame) -> DataFrame:
+def funnel_report(drops: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
     """Funnel from `drops(stage, dropped)`, which holds the stage "final" for the
     rows that remain: dropped and remaining rows per stage, in order."""
-    order = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("stage"))
+    order = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage"))
     totals = drops.groupBy("stage").agg(F.sum("dropped").alias("dropped"))
-    listed = drops.sparkSession.createDataFrame([(s,) for s in (*STAGES, "final")], "stage string")
+    listed = drops.sparkSession.createDataFrame([(s,) for s in (*stages, "final")], "stage string")
     rows = listed.join(totals, "stage", "left").select(
-        F.when(F.col("stage") == "final", len(STAGES) + 1)
+        F.when(F.col("stage") == "final", len(stages) + 1)
         .otherwise(order)
         .cast("int")
         .alias("step"),

@@ -23,20 +23,23 @@ Keywords = Sequence[tuple[str, Sequence[str]]]
 Encoder = Callable[[list[str]], np.ndarray]
 
 
-def keyword_hits(text: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS) -> Column:
-    """Keyword matches per label, in the order of the labels.
+def keyword_hits(
+    text: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS, match: str = "prefix"
+) -> Column:
+    """Keyword matches per label, in the order of the labels; `match` says what may
+    follow a keyword (see `functions.lexicon`).
 
     One pass extracts the words of all labels; each label is then counted in
     that short extract.
     """
     lists = [kws for _, kws in keywords]
-    if may_share_text(lists):
-        return F.array(*[count_words(text, kws) for kws in lists])
+    if match == "marked" or may_share_text(lists):
+        return F.array(*[count_words(text, kws, match) for kws in lists])
     none = F.array(*[F.lit(0) for _ in lists])
     return let(
-        found_words(text, lists),
+        found_words(text, lists, match),
         lambda found: F.when(found == "", none).otherwise(
-            F.array(*[count_words(found, kws) for kws in lists])
+            F.array(*[count_words(found, kws, match) for kws in lists])
         ),
     )
 
@@ -52,18 +55,20 @@ def tag_by_hits(hits: Column, labels: Sequence[str]) -> Column:
     return let(hits, pick)
 
 
-def tag_by_keywords(text: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS) -> Column:
+def tag_by_keywords(
+    text: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS, match: str = "prefix"
+) -> Column:
     """The label whose keywords occur most often in `text`."""
-    return tag_by_hits(keyword_hits(text, keywords), [label for label, _ in keywords])
+    return tag_by_hits(keyword_hits(text, keywords, match), [label for label, _ in keywords])
 
 
 def has_own_keyword(
-    text: Column, label: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS
+    text: Column, label: Column, keywords: Keywords = lexicons.CONTEXT_KEYWORDS, match: str = "prefix"
 ) -> Column:
     """Whether a text holds a keyword of the label it carries."""
     own = F.lit(False)
     for name, kws in keywords:
-        own = F.when(label == name, has_word(text, kws)).otherwise(own)
+        own = F.when(label == name, has_word(text, kws, match)).otherwise(own)
     return own
 
 
@@ -223,6 +228,7 @@ def tag_two_pass(
     labels: Sequence[str] = lexicons.LABELS,
     settings: EmbeddingSettings = EmbeddingSettings(),
     fallback: str = lexicons.FALLBACK_LABEL,
+    match: str = "prefix",
 ) -> DataFrame:
     """Add `context`: by keywords, and for rows without a hit by embedding, or
     the fallback label if there is no encoder.
@@ -230,7 +236,7 @@ def tag_two_pass(
     Rows with a hit reach the encoder as nulls, so one scan serves both passes
     and only the rest is encoded.
     """
-    df = df.withColumn("_by_keyword", tag_by_keywords(F.col(text), keywords))
+    df = df.withColumn("_by_keyword", tag_by_keywords(F.col(text), keywords, match))
     hit = F.col("_by_keyword") != ""
     if make_encoder is None:
         rest = F.lit(fallback)

@@ -35,6 +35,11 @@ BLOCKLIST = (
     "idiot", "moron", "scum", "clown", "trash", "loser", "worthless", "pathetic",
     "stupid", "disgusting",
 )
+# Short words that many words of the documents begin with or are.
+WHOLE_WORDS = (
+    ("articles", ("the", "der", "la", "le", "der an")), ("linking", ("and", "und", "et", "in", "on", "in the")),
+)
+MARKED_WORDS = ("thea ", "then ", "schei", "queno ")
 META_PHRASES = ("license",)
 META_TALK = ("This sub is old.", "this submarine", "good karma", "karmas", "see Rule 5", "rule five", "an UPVOTE", "plain")
 EMBEDDING = EmbeddingSettings(floor=0.05)
@@ -184,6 +189,11 @@ def read_corpus_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_corpus_csv(spark, csv_copy(spark, sf_dir))
 
 
+def read_wide_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same file, each split of which cuts its own records."""
+    return readers.read_corpus_csv(spark, csv_copy(spark, sf_dir), wide=True)
+
+
 def skip_missing_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [scratch_path(spark, "never-written"), csv_copy(spark, sf_dir)]
     return readers.load_corpus(spark, paths)
@@ -381,6 +391,19 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keyword_hits_whole_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords that end where a word does."""
+    hits = tagging.keyword_hits(F.col("text"), WHOLE_WORDS, match="word")
+    rows = documents(spark, sf_dir).select("doc_id", hits.alias("hits"))
+    return rows.select("doc_id", *[F.col("hits")[i].alias(name) for i, (name, _) in enumerate(WHOLE_WORDS)])
+
+
+def wordlist_filter_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocked words of which those listed with a blank end where a word does."""
+    found = rules.has_listed_word(F.col("text"), MARKED_WORDS, match="marked")
+    return documents(spark, sf_dir).where(found).select("doc_id")
+
+
 def tag_by_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).select("source_id", "context")
 
@@ -429,6 +452,15 @@ def clean_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", "source_id", "score", "context", "text")
 
 
+def funnel_filters_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning.clean(corpus(spark, sf_dir), replace(CONFIG, filters_first=True)).funnel()
+
+
+def clean_filters_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cleaning.clean(corpus(spark, sf_dir), replace(CONFIG, filters_first=True)).rows
+    return rows.select("source", "source_id", "score", "text")
+
+
 def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.label_distribution(with_fallback(spark, sf_dir))
 
@@ -590,6 +622,7 @@ QUERIES: dict[str, Query] = {
     "clean_corpus": clean_corpus,
     "drop_reason": drop_reason,
     "read_corpus_csv": read_corpus_csv,
+    "read_wide_csv": read_wide_csv,
     "read_corpus_parquet": lambda spark, sf_dir: corpus(spark, sf_dir),
     "skip_missing_source": skip_missing_source,
     "limit_per_source": limit_per_source,
@@ -639,6 +672,12 @@ QUERIES: dict[str, Query] = {
     ),
     "length_filter": filtered(lambda t: rules.length_ok(t)),
     "length_filter_wide": filtered(lambda t: rules.length_ok(t, BOUNDS)),
+    "wordlist_filter_whole_words": filtered(lambda t: rules.has_listed_word(t, BLOCKLIST, "word")),
+    "wordlist_filter_marked": wordlist_filter_marked,
+    "keyword_hits_whole_words": keyword_hits_whole_words,
+    "funnel_filters_first": funnel_filters_first,
+    "clean_filters_first": clean_filters_first,
+    "strip_edit_note_strict": on_messy(lambda t: text.strip_edit_note(F.concat(F.lit("Credit: "), t), strict=True)),
     "wordlist_filter": filtered(lambda t: rules.has_listed_word(t, BLOCKLIST)),
     "obfuscation_filter": obfuscation_filter,
     "meta_post_filter": filtered(lambda t: rules.is_meta_post(t, META_PHRASES, ())),

@@ -2,7 +2,10 @@
 
 The order is part of the result: normalise, drop tombstones and empty rows, drop
 by length, exact duplicates, near duplicates, blocked words, meta posts, tag. A
-blocked row with a high score therefore still removes its near copies.
+blocked row with a high score therefore still removes its near copies. With
+`filters_first`, blocked words and meta posts are row rules like the length: they are
+judged before the one aggregate that removes copies, and blocked rows never reach the
+tables of near duplicates.
 
 The text is shuffled twice: once to meet its copies, once to leave out the near
 duplicates. The near-duplicate rounds move hashes only.
@@ -13,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import lexicons
@@ -22,7 +25,7 @@ from sievework.functions.rules import is_meta_post, is_offensive, row_drop_reaso
 from sievework.functions.text import normalise_text, word_count_normalised
 from sievework.operators.exact_dedup import exact_dedup_keep_best
 from sievework.operators.near_dup import near_duplicates, without_rows
-from sievework.operators.reports import funnel_report
+from sievework.operators.reports import FILTERS_FIRST, STAGES, funnel_report
 from sievework.operators.tagging import Encoder, tag_two_pass
 from sievework.sources.writers import write_report_json
 from sievework.storage import materialise
@@ -37,19 +40,28 @@ class CleanResult:
 
     rows: DataFrame
     drops: DataFrame
+    stages: tuple[str, ...] = STAGES
 
     def funnel(self) -> DataFrame:
-        return funnel_report(self.drops)
+        return funnel_report(self.drops, self.stages)
+
+
+def content_reason(text: Column, config: CurationConfig) -> Column:
+    """The first content rule that a normalised text fails, or null."""
+    return F.when(
+        is_offensive(text, config.blocklist, config.obfuscations, config.match), "offensive"
+    ).when(is_meta_post(text, config.meta_phrases, config.meta_patterns), "meta")
 
 
 def normalised_with_reason(df: DataFrame, config: CurationConfig) -> DataFrame:
     """Shared columns with the text normalised and `reason`, the first row rule
     it fails."""
-    base = df.select("source_id", normalise_text(F.col("text")).alias("text"), "score", "source")
+    base = df.select("source_id", normalise_text(F.col("text"), config.strict).alias("text"), "score", "source")
     text = F.col("text")
-    return base.withColumn(
-        "reason", row_drop_reason(text, config.length, word_count_normalised(text))
-    )
+    reason = row_drop_reason(text, config.length, word_count_normalised(text))
+    if config.filters_first:
+        reason = F.coalesce(reason, content_reason(text, config))
+    return base.withColumn("reason", reason)
 
 
 def clean(
@@ -81,9 +93,7 @@ def clean(
     text = F.col("text")
     rest = without_rows(distinct, near, ROW_KEY).drop("_text").withColumn(
         "reason",
-        F.when(is_offensive(text, config.blocklist, config.obfuscations), "offensive").when(
-            is_meta_post(text, config.meta_phrases, config.meta_patterns), "meta"
-        ),
+        F.lit(None).cast("string") if config.filters_first else content_reason(text, config),
     )
     # Tagged in the same pass, dropped rows as nulls, and stored: later readers
     # must not run the encoder again.
@@ -96,6 +106,7 @@ def clean(
             labels=_labels(config),
             settings=config.embedding,
             fallback=config.fallback_label,
+            match=config.match,
         ).drop("_clean"),
         "filtered",
     )
@@ -116,7 +127,7 @@ def clean(
         .unionByName(near_count.select(F.lit("near_dup").alias("stage"), "dropped"))
         .unionByName(late)
     )
-    return CleanResult(rows, drops)
+    return CleanResult(rows, drops, FILTERS_FIRST if config.filters_first else STAGES)
 
 
 def write_report(result: CleanResult, path: str) -> None:

@@ -12,7 +12,10 @@ from sievework import lexicons
 from sievework.config import NearDupSettings
 from sievework.functions.rules import LETTER_SWAPS
 from sievework.functions.shingles import MIX, odd_numbers, optimal_bands
-from sievework.plans.catalog import BLOCKLIST, BOUNDS, EMBEDDING, FLOORS, META_TALK, NEAR_DUP
+from sievework.operators.reports import FILTERS_FIRST, STAGES
+from sievework.plans.catalog import (
+    BLOCKLIST, BOUNDS, EMBEDDING, FLOORS, MARKED_WORDS, META_TALK, NEAR_DUP, WHOLE_WORDS,
+)
 
 NOT_WORD = r"[^\p{L}\p{N}_]"
 TWO64 = "18446744073709551616::UHUGEINT"
@@ -39,6 +42,13 @@ def without_edit(x: str) -> str:
     return rf"regexp_replace({x}, '(?is)\n*\**\s*edit\s*\d*\s*:.*$', '')"
 
 
+def without_strict_edit(x: str) -> str:
+    """As above, where no letter comes before it."""
+    note = r"edit\s*\d*\s*:.*$"
+    x = rf"regexp_replace({x}, '(?is)(?:\n+\**\s*|\*+\s*|\s+){note}', '')"
+    return rf"regexp_replace({x}, '(?is)(^|[^\p{{L}}\s*]){note}', '\1')"
+
+
 def capped(x: str) -> str:
     for mark, pattern in (("!", "!"), ("?", r"\?"), (".", r"\."), (",", ",")):
         x = f"regexp_replace({x}, '{pattern}{{3,}}', '{mark}{mark}', 'g')"
@@ -71,6 +81,19 @@ def count_words(x: str, words) -> str:
     return f"len(regexp_extract_all(' ' || lower({x}), {text_literal(word_start(words))}))"
 
 
+def has_closed_word(x: str, closed, open_=()) -> str:
+    """Whether a word is one of `closed` or begins with one of `open_`."""
+    parts = [f"(?:{'|'.join(closed)}){NOT_WORD}", *open_]
+    return f"regexp_matches(' ' || lower({x}) || ' ', {text_literal(NOT_WORD + '(?:' + '|'.join(parts) + ')')})"
+
+
+def count_closed_words(x: str, words) -> str:
+    """Each sign between words is doubled, so that two words do not share one."""
+    doubled = f"regexp_replace(' ' || lower({x}) || ' ', '({NOT_WORD})', '\\1\\1', 'g')"
+    longest = sorted((w.replace(" ", "  ") for w in words), key=len, reverse=True)
+    return f"len(regexp_extract_all({doubled}, {text_literal(NOT_WORD + '(?:' + '|'.join(longest) + ')' + NOT_WORD)}))"
+
+
 def in_bounds(x: str, low: int, high: int, chars: int) -> str:
     return f"({n_words(x)} BETWEEN {low} AND {high} AND length({x}) <= {chars})"
 
@@ -246,10 +269,18 @@ near AS (
 
 PLACE = "row_number() OVER (ORDER BY score DESC NULLS LAST, md5(source || chr(31) || source_id), source, source_id)"
 
-CLEANED = f"""
+LATE = f"""CASE WHEN {OFFENSIVE} THEN 'offensive' WHEN contains(lower(text), 'license') THEN 'meta' END"""
+
+
+def cleaned(filters_first: bool = False) -> str:
+    """CTEs of a run up to `rest`, whose rows without a `late` reason stay."""
+    reason, late = row_reason("text"), LATE
+    if filters_first:
+        reason, late = f"coalesce({reason}, {LATE})", "NULL"
+    return f"""
 {CORPUS.strip()},
 judged AS (
-  SELECT * REPLACE (text AS text), {row_reason("text")} AS reason
+  SELECT * REPLACE (text AS text), {reason} AS reason
   FROM (SELECT source_id, {normalised("text")} AS text, score, source FROM corpus)
 ),
 best AS (
@@ -260,25 +291,42 @@ best AS (
 ),
 placed AS (SELECT *, {PLACE} AS id FROM best),
 {greedy("placed", NEAR_DUP).strip()},
-rest AS (
-  SELECT *, CASE WHEN {OFFENSIVE} THEN 'offensive'
-    WHEN contains(lower(text), 'license') THEN 'meta' END AS late
-  FROM placed WHERE id NOT IN (SELECT id FROM near)
-)"""
+rest AS (SELECT *, {late} AS late FROM placed WHERE id NOT IN (SELECT id FROM near))"""
+
+
+CLEANED = cleaned()
 
-DROPS = """
+
+def drops(stages) -> str:
+    """CTE `drops(step, stage, n)` after `cleaned`, the stages in the given order."""
+    counts = {
+        "exact_dup": "(SELECT count(*) FROM judged WHERE reason IS NULL) - (SELECT count(*) FROM best)",
+        "near_dup": "(SELECT count(*) FROM near)",
+    }
+    by_reason = "(SELECT count(*) FROM judged WHERE reason = '{0}') + (SELECT count(*) FROM rest WHERE late = '{0}')"
+    rows = " UNION ALL ".join(
+        f"SELECT {step}, '{stage}', {counts.get(stage, by_reason.format(stage))}" for step, stage in enumerate(stages, 1)
+    )
+    return f"""
 drops(step, stage, n) AS (
-  SELECT 1, 'dead_or_empty', (SELECT count(*) FROM judged WHERE reason = 'dead_or_empty')
-  UNION ALL SELECT 2, 'length', (SELECT count(*) FROM judged WHERE reason = 'length')
-  UNION ALL SELECT 3, 'exact_dup',
-    (SELECT count(*) FROM judged WHERE reason IS NULL) - (SELECT count(*) FROM best)
-  UNION ALL SELECT 4, 'near_dup', (SELECT count(*) FROM near)
-  UNION ALL SELECT 5, 'offensive', (SELECT count(*) FROM rest WHERE late = 'offensive')
-  UNION ALL SELECT 6, 'meta', (SELECT count(*) FROM rest WHERE late = 'meta')
-  UNION ALL SELECT 7, 'final', (SELECT count(*) FROM rest WHERE late IS NULL)
+  {rows} UNION ALL SELECT {len(stages) + 1}, 'final', (SELECT count(*) FROM rest WHERE late IS NULL)
 )"""
 
 
+def funnel(stages, filters_first: bool = False) -> str:
+    """The funnel of a run."""
+    return f"""
+WITH RECURSIVE {cleaned(filters_first).strip()}, {drops(stages).strip()},
+running AS (
+  SELECT step, stage, n, sum(n) OVER () AS total, sum(n) OVER (ORDER BY step) AS gone FROM drops
+)
+SELECT step::INTEGER AS step, stage,
+  (CASE WHEN stage = 'final' THEN 0 ELSE n END)::BIGINT AS dropped,
+  (CASE WHEN stage = 'final' THEN n ELSE total - gone END)::BIGINT AS remaining,
+  round(100.0::DOUBLE * (CASE WHEN stage = 'final' THEN n ELSE total - gone END) / total, 1) AS percent_of_raw
+FROM running"""
+
+
 def embedding_tags(rows: str) -> str:
     """CTEs up to `embedded(source_id, context)` for all of `rows`."""
     prompts = ", ".join(
@@ -470,16 +518,10 @@ SELECT lang, n::INTEGER AS n, count(*) AS n_grams, count(DISTINCT g) AS n_distin
 SELECT source, lang, count(*) AS n_rows, round(avg({length_sql("text")}), 6) AS mean_length,
   round(avg(n_chars / 1000::DOUBLE), 6) AS mean_size
 FROM documents GROUP BY GROUPING SETS ((source, lang), (source))""",
-    "funnel_report": f"""
-WITH RECURSIVE {CLEANED.strip()}, {DROPS.strip()},
-running AS (
-  SELECT step, stage, n, sum(n) OVER () AS total, sum(n) OVER (ORDER BY step) AS gone FROM drops
-)
-SELECT step::INTEGER AS step, stage,
-  (CASE WHEN stage = 'final' THEN 0 ELSE n END)::BIGINT AS dropped,
-  (CASE WHEN stage = 'final' THEN n ELSE total - gone END)::BIGINT AS remaining,
-  round(100.0::DOUBLE * (CASE WHEN stage = 'final' THEN n ELSE total - gone END) / total, 1) AS percent_of_raw
-FROM running""",
+    "funnel_report": funnel(STAGES),
+    "funnel_filters_first": funnel(FILTERS_FIRST, filters_first=True),
+    "clean_filters_first": f"""
+WITH RECURSIVE {cleaned(filters_first=True).strip()} SELECT source, source_id, score, text FROM rest""",
     "clean_corpus": f"""
 WITH RECURSIVE {CLEANED.strip()},
 final AS (SELECT source, source_id, score, text FROM rest WHERE late IS NULL),
@@ -490,6 +532,7 @@ FROM by_keyword k JOIN embedded e USING (source_id)""",
     "drop_reason": f"""
 WITH {MESSY.strip()}, n AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, {normalised("text")} AS text FROM messy)
 SELECT source_id, {row_reason("text")} AS reason FROM n""",
+    "read_wide_csv": f"WITH {CORPUS.strip()} SELECT * FROM corpus",
     "read_corpus_csv": f"WITH {CORPUS.strip()} SELECT * FROM corpus",
     "read_corpus_parquet": f"WITH {CORPUS.strip()} SELECT * FROM corpus",
     "skip_missing_source": f"WITH {CORPUS.strip()} SELECT * FROM corpus",
@@ -506,7 +549,7 @@ UNION ALL (SELECT * FROM double_field ORDER BY source, source_id LIMIT 25)""",
     "write_raw_cached": f"WITH {CORPUS.strip()} SELECT * FROM corpus",
     "write_training_jsonl": f"WITH {FALLBACK_ROWS.strip()} {SPLIT_LINE}",
     "write_report_json": f"""
-WITH RECURSIVE {CLEANED.strip()}, {DROPS.strip()},
+WITH RECURSIVE {CLEANED.strip()}, {drops(STAGES).strip()},
 final AS (
   SELECT source, score, CASE WHEN tag = '' THEN '{lexicons.FALLBACK_LABEL}' ELSE tag END AS context
   FROM {keyword_tags("(SELECT * FROM rest WHERE late IS NULL)")}
@@ -522,6 +565,7 @@ UNION ALL SELECT 'with_scores', '', count(score) FROM final""",
     "strip_invisible": r"SELECT doc_id, replace(text, E'\n', ' ') AS text FROM documents",
     "strip_urls": on_messy(without_urls("text")),
     "strip_edit_note": on_messy(without_edit("text")),
+    "strip_edit_note_strict": on_messy(without_strict_edit("'Credit: ' || text")),
     "cap_repeated_punct": on_messy(capped("text")),
     "collapse_whitespace": on_messy(collapsed("text")),
     "normalise_text": on_messy(normalised("text")),
@@ -535,6 +579,13 @@ SELECT doc_id, '<context> ' || lower(lang) || ' <joke> ' || trim(text, E' \t\n\r
     "is_empty": "SELECT doc_id, doc_id % 3 = 0 OR trim(text) = '' AS is_empty FROM documents",
     "length_filter": f"SELECT doc_id FROM documents WHERE {in_bounds('text', 4, 60, 400)}",
     "length_filter_wide": f"SELECT doc_id FROM documents WHERE {in_bounds('text', *WIDE)}",
+    "wordlist_filter_whole_words": f"SELECT doc_id FROM documents WHERE {has_closed_word('text', BLOCKLIST)}",
+    "wordlist_filter_marked": "SELECT doc_id FROM documents WHERE {}".format(has_closed_word(
+        "text", [w.strip() for w in MARKED_WORDS if w != w.strip()], [w for w in MARKED_WORDS if w == w.strip()]
+    )),
+    "keyword_hits_whole_words": "SELECT doc_id, {} FROM documents".format(
+        ", ".join(f"{count_closed_words('text', words)}::INTEGER AS {name}" for name, words in WHOLE_WORDS)
+    ),
     "wordlist_filter": f"SELECT doc_id FROM documents WHERE {has_word('text', BLOCKLIST)}",
     "obfuscation_filter": f"SELECT doc_id FROM documents WHERE {has_word('text', BLOCKLIST)}",
     "meta_post_filter": "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')",

@@ -14,19 +14,25 @@ from sievework.functions.text import SPACE_CHARS
 from sievework.operators.exact_dedup import nan_to_null
 from sievework.operators.select import first_rows
 from sievework.sources.schemas import CORPUS
+from sievework.sources.wide_csv import read_wide_csv
 
 log = logging.getLogger(__name__)
 
 
 def read_corpus_csv(
-    spark: SparkSession, path: str, schema: T.StructType = CORPUS, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType = CORPUS, multi_line: bool = True, wide: bool = False
 ) -> DataFrame:
     """A CSV with a header row, read by column name; other columns are ignored.
     A cell that is not of its column's type, such as a score of "NA", is null.
 
-    Quoted line breaks need `multi_line`, and then a file is one task: split big
-    sources into many files, or keep them as Parquet with `write_raw_cached`.
+    Quoted line breaks need `multi_line`, and then a file is one task; or `wide`,
+    with which a file is as many tasks as it has splits, but is read twice.
     """
+    if wide:
+        present = read_wide_csv(spark, path)
+        return present.select(
+            *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]
+        )
     header = spark.read.option("header", True).option("multiLine", multi_line)
     reader = header.option("escape", '"').option("enforceSchema", False)
     present = reader.csv(path)

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import json
+import random
+from csv import QUOTE_ALL
+from csv import writer as csv_writer
 from pathlib import Path
 
 import pytest
@@ -8,6 +11,7 @@ import pytest
 from sievework.functions import prompts
 from sievework.sources import readers, writers
 from sievework.sources.schemas import ONE_LINERS
+from sievework.sources.wide_csv import read_wide_csv
 
 HEADER = "source_id,text,score,source,nsfw\n"
 
@@ -132,3 +136,52 @@ def test_prompt_format(apply):
 def test_score_to_int(spark):
     df = spark.createDataFrame([(1.9,), (None,), (float("nan"),)], "s double")
     assert [r[0] for r in df.select(prompts.score_to_int(df.s)).collect()] == [1, None, None]
+
+
+@pytest.fixture
+def small_splits(spark):
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    yield lambda size: [spark.conf.set(name, n) for name, n in zip(kept, (str(size), "1"))]
+    for name, value in kept.items():
+        spark.conf.set(name, value)
+
+
+def odd_cells(seed):
+    draw = random.Random(seed)
+    parts = ["a", "b c", '"', '""', ",", "\n", "\n\n", "é漢", "x" * 30, ";", "\\", "it's"]
+    return ["".join(draw.choice(parts) for _ in range(draw.randint(0, 12))) for _ in range(4)]
+
+
+@pytest.mark.parametrize("size,ending", [(97, "\n"), (400, "\r\n"), (100_000, "\n")])
+def test_a_wide_csv_has_the_rows_of_the_plain_reader(spark, tmp_path, small_splits, size, ending):
+    for number in range(2):
+        with open(tmp_path / f"{number}.csv", "w", newline="") as file:
+            out = csv_writer(file, lineterminator=ending, quoting=QUOTE_ALL)
+            out.writerow(["id", "text", "more, of it", "last"])
+            for i in range(40):
+                out.writerow([f"{number}-{i}", *odd_cells(number * 1000 + i)[:3]])
+    plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    expected = sorted(map(tuple, plain.collect()))
+    small_splits(size)
+    wide = read_wide_csv(spark, str(tmp_path))
+    assert wide.columns == plain.columns
+    assert sorted(map(tuple, wide.collect())) == expected and len(expected) == 80
+    if size == 97:
+        assert wide.rdd.getNumPartitions() > 20
+
+
+def test_a_record_over_many_splits_and_cells_without_quotes(spark, tmp_path, small_splits):
+    long = "\n".join(f"line {i}, of it" for i in range(40))
+    path = tmp_path / "a.csv"
+    path.write_text(f'﻿source_id,text,score,source\n1,plain,2.5,s\n\n2,"{long}",,s\n3,"",NA,s\n4,"open to the end\nof it')
+    small_splits(80)
+    rows = {r["source_id"]: tuple(r)[1:] for r in readers.read_corpus_csv(spark, str(path), wide=True).collect()}
+    assert rows["1"] == ("plain", 2.5, "s") and rows["2"] == (long, None, "s")
+    assert rows["3"][1] is None and rows["4"][0].startswith("open to the end\nof it") and len(rows) == 4
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(Exception, match="expected the header"):
+        read_wide_csv(spark, str(tmp_path)).collect()
