@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from sievework.config import NearDupSettings, ScoreSettings
 from sievework.functions.expr import let
@@ -31,21 +33,40 @@ def length_score(text: Column, settings: ScoreSettings = ScoreSettings()) -> Col
     return let(word_count(text), score)
 
 
-def relevance_score(vector: Column, label: Column, labels: Sequence, label_vectors: np.ndarray) -> Column:
-    """Cosine of a vector and the vector of its label, rounded to 6 digits; null
-    for a label that is not declared."""
+def cosines_to_labels(vectors: np.ndarray, names: pd.Series, labels: Sequence, label_vectors: np.ndarray) -> np.ndarray:
+    """Cosine of each vector and the vector of its label; NaN for a label that is
+    not declared and for a vector of length 0."""
     length = np.linalg.norm(label_vectors, axis=1)
     units = label_vectors / np.where(length == 0, 1, length)[:, None]
-    known = F.create_map(*[
-        x for name, unit in zip(labels, units) for x in (F.lit(name), F.array(*[F.lit(float(v)) for v in unit]))
-    ])
+    place = names.map({name: i for i, name in enumerate(labels)}).to_numpy(dtype=float)
+    known = ~np.isnan(place)
+    # Of each row the product with its own label.
+    dots = np.einsum("ij,ij->i", vectors[known], units[place[known].astype(int)])
+    norms = np.sqrt(np.einsum("ij,ij->i", vectors[known], vectors[known]))
+    out = np.full(len(vectors), np.nan)
+    out[known] = np.divide(dots, norms, out=np.full(len(dots), np.nan), where=norms > 0)
+    return out
 
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda total, x: total + x
-        )
 
-    return F.round(F.try_divide(dot(vector, F.try_element_at(known, label)), F.sqrt(dot(vector, vector))), 6)
+def relevance_score(vector: Column, label: Column, labels: Sequence, label_vectors: np.ndarray) -> Column:
+    """Cosine of a vector and the vector of its label, rounded to 6 digits; null
+    for a label that is not declared.
+
+    The label vectors travel with the function, not as literals, so the plan is the
+    same for ten labels and for ten thousand.
+    """
+    labels, targets = list(labels), np.asarray(label_vectors, dtype=np.float64)
+
+    @pandas_udf("double")
+    def cosine(vectors: pd.Series, names: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=vectors.index)
+        present = vectors[vectors.notna()]
+        if len(present):
+            stacked = np.array(present.to_list(), dtype=np.float64)
+            out.loc[present.index] = cosines_to_labels(stacked, names.loc[present.index], labels, targets)
+        return out
+
+    return F.round(cosine(vector, label), 6)
 
 
 def bucket_novelty_score(
@@ -134,29 +155,27 @@ def group_relative_score(df: DataFrame, group: Sequence[str], score: str, key: S
     )
 
 
-def distinct_n(df: DataFrame, group: str, text: str = "text", sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
+def distinct_n(
+    df: DataFrame, group: str | Sequence[str], text: str = "text", sizes: Sequence[int] = (1, 2, 3)
+) -> DataFrame:
     """Per group and n the n-grams of words, the distinct ones, and their share.
 
-    Counted per n-gram first, so a group of any size is spread over all tasks.
+    One scan gives the n-grams of all n. They are counted per n-gram first, so a
+    group of any size is spread over all tasks.
     """
+    groups = [group] if isinstance(group, str) else list(group)
 
-    def grams(n: int):
-        def of(tokens: Column) -> Column:
-            starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-            runs = F.transform(starts, lambda at: F.xxhash64(F.slice(tokens, at, n)))
-            return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<bigint>"))
-
-        return of
+    def grams(n: int, tokens: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
+        runs = F.transform(
+            starts, lambda at: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(tokens, at, n)).alias("gram"))
+        )
+        return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<struct<n:int,gram:bigint>>"))
 
-    tokens = words(F.col(text))
-    parts = [
-        df.select(F.col(group), F.lit(n).alias("n"), F.explode(let(tokens, grams(n))).alias("gram")) for n in sizes
-    ]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
-    counts = rows.groupBy(group, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
-    return counts.groupBy(group, "n").agg(
+    every = let(words(F.col(text)), lambda tokens: F.concat(*[grams(n, tokens) for n in sizes]))
+    rows = df.select(*groups, F.explode(every).alias("_gram")).select(*groups, "_gram.n", "_gram.gram")
+    counts = rows.groupBy(*groups, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+    return counts.groupBy(*groups, "n").agg(
         F.sum("times").alias("n_grams"),
         F.count(F.lit(1)).alias("n_distinct"),
         F.round(F.count(F.lit(1)) / F.sum("times"), 6).alias("distinct_share"),
@@ -169,3 +188,38 @@ def arm_comparison(df: DataFrame, arm: str, context: str, scores: Sequence[str])
     means = [F.round(F.avg(s), 6).alias(f"mean_{s}") for s in scores]
     sets = [[F.col(arm), F.col(context)], [F.col(arm)]]
     return df.groupingSets(sets, arm, context).agg(F.count(F.lit(1)).alias("n_rows"), *means)
+
+
+def compare_arms(
+    df: DataFrame,
+    arm: str,
+    context: str,
+    scores: Sequence[str],
+    arms: Sequence,
+    contexts: Sequence,
+    text: str = "text",
+    sizes: Sequence[int] = (1, 2, 3),
+) -> DataFrame:
+    """The declared `arms` side by side over the held-out `contexts`: `metric` and a
+    column per arm, for each context and, where the context is null, for all of them.
+
+    Metrics are the number of rows, the mean of each score and the share of distinct
+    n-grams of each size. Rows of other arms and contexts take no part. An arm without
+    rows has null, and so has a mean of nulls.
+    """
+    held_out = df.where(F.col(context).isin(list(contexts)) & F.col(arm).isin(list(arms)))
+    # Each row once for its context and once for all.
+    rows = held_out.select(
+        F.col(arm).alias("arm"), F.col(text).alias("text"), *scores,
+        F.explode(F.array(F.col(context), F.lit(None).cast(df.schema[context].dataType))).alias("context"),
+    )
+    metrics = [F.struct(F.lit("n_rows").alias("metric"), F.count(F.lit(1)).cast("double").alias("value"))]
+    metrics += [
+        F.struct(F.lit(f"mean_{s}").alias("metric"), F.round(F.avg(s), 6).alias("value")) for s in scores
+    ]
+    means = rows.groupBy("context", "arm").agg(F.array(*metrics).alias("all")).select("context", "arm", F.inline("all"))
+    diversity = distinct_n(rows, ("context", "arm"), "text", sizes).select(
+        "context", "arm", F.concat(F.lit("distinct_"), F.col("n").cast("string")).alias("metric"),
+        F.col("distinct_share").alias("value"),
+    )
+    return means.unionByName(diversity).groupBy("context", "metric").pivot("arm", list(arms)).agg(F.max("value"))

@@ -154,7 +154,7 @@ def label_centroids(
     return [str(name) for name in names], vectors
 
 
-def _encoder_of(make_encoder: Callable[[], Encoder]) -> Callable[[], Encoder]:
+def encoder_of(make_encoder: Callable[[], Encoder]) -> Callable[[], Encoder]:
     """A function that gives the encoder of this Python worker. It is made by the
     first task of a worker and kept for the next ones."""
     key = uuid.uuid4().hex
@@ -172,7 +172,7 @@ def encode_texts(
 ) -> Column:
     """One vector per text. The encoder is made once per Python worker and sees
     at most `batch_size` texts a call; null texts are passed over."""
-    encoder_here = _encoder_of(make_encoder)
+    encoder_here = encoder_of(make_encoder)
 
     @pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -202,7 +202,7 @@ def tag_by_embedding(
     """
     labels = [label for label in labels if label != fallback]
     prompts = [settings.label_prompt.format(label=label) for label in labels]
-    encoder_here = _encoder_of(make_encoder)
+    encoder_here = encoder_of(make_encoder)
 
     @pandas_udf("string")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

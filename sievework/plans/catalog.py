@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from sievework.config import (
     NearDupSettings,
 )
 from sievework.functions import prompts, rules, shingles, text
-from sievework.operators import near_dup, novelty, reports, scoring, select, split, tagging
+from sievework.operators import near_dup, novelty, reports, reward, scoring, select, split, tagging
 from sievework.operators.exact_dedup import exact_dedup_keep_best
 from sievework.plans import clean as cleaning
 from sievework.sources import readers, writers
@@ -46,6 +47,9 @@ EMBEDDING = EmbeddingSettings(floor=0.05)
 ENCODER_DIM = 64
 # The labels of the table of vectors.
 EMBEDDING_LABELS = tuple(range(10))
+# Arms to compare, and the sources they are compared on.
+ARMS = ("en", "de", "fr", "es")
+HELD_OUT = ("src1", "src2", "src3")
 FLOORS = (0.0, 0.25, 0.5, 0.75)
 CONFIG = CurationConfig(
     length=BOUNDS,
@@ -565,11 +569,23 @@ def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.arm_comparison(rated, "source", "lang", ("length", "size"))
 
 
-def _probability(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+def arm_comparison_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages side by side over three sources."""
+    rated = documents(spark, sf_dir).select(
+        "source", "lang", "text", scoring.length_score(F.col("text")).alias("length"), (F.col("n_chars") / 1000).alias("size")
+    )
+    return scoring.compare_arms(rated, "lang", "source", ("length", "size"), ARMS, HELD_OUT)
+
+
+def _model(spark: SparkSession, sf_dir: str, label: str) -> PipelineModel:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("double").alias("label"))
     rows = documents(spark, sf_dir).select("doc_id", "text")
-    model = scoring.text_classifier(rows.join(labels.where("label IS NOT NULL"), "doc_id"))
-    return scoring.with_probability(rows, model, "p")
+    return scoring.text_classifier(rows.join(labels.where("label IS NOT NULL"), "doc_id"))
+
+
+def _probability(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", "text")
+    return scoring.with_probability(rows, _model(spark, sf_dir, label), "p")
 
 
 def train_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -585,11 +601,23 @@ def clean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality, cleanliness and length of all documents under the usual weights."""
-    length = documents(spark, sf_dir).select("doc_id", scoring.length_score(F.col("text")).alias("length"))
-    scores = train_quality_classifier(spark, sf_dir).join(clean_score(spark, sf_dir), "doc_id").join(length, "doc_id")
-    parts = {name: F.col(name) for name in ("quality", "clean", "length")}
-    return scores.select("doc_id", scoring.composite_score(parts).alias("score"))
+    """All five parts of the score of the benchmark's items, as candidates beside the
+    documents, and their sum under the usual weights."""
+    candidates = tagging.tag_two_pass(
+        unify_single_field_source(spark, sf_dir), make_encoder=WordHashEncoder, settings=EMBEDDING
+    )
+    quality, toxic = (_model(spark, sf_dir, label) for label in ("quality", "toxic"))
+    return reward.reward(
+        candidates, corpus(spark, sf_dir), quality, toxic, WordHashEncoder, embedding=EMBEDDING
+    )
+
+
+def relevance_to_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of each document and the prompt of a label."""
+    labels = [label for label in lexicons.LABELS if label != lexicons.FALLBACK_LABEL]
+    label = F.array(*map(F.lit, labels))[(F.col("doc_id") % len(labels)).cast("int")]
+    score = reward.relevance_to_label(F.col("text"), label, WordHashEncoder, labels, EMBEDDING)
+    return documents(spark, sf_dir).select("doc_id", score.alias("relevance"))
 
 
 # Learned scores, which SQL cannot express.
@@ -618,6 +646,8 @@ QUERIES: dict[str, Query] = {
     "toxicity_score": toxicity_score,
     "clean_score": clean_score,
     "composite_score": composite_score,
+    "relevance_to_label": relevance_to_label,
+    "arm_comparison_held_out": arm_comparison_held_out,
     "funnel_report": funnel_report,
     "clean_corpus": clean_corpus,
     "drop_reason": drop_reason,

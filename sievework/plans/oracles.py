@@ -14,7 +14,7 @@ from sievework.functions.rules import LETTER_SWAPS
 from sievework.functions.shingles import MIX, odd_numbers, optimal_bands
 from sievework.operators.reports import FILTERS_FIRST, STAGES
 from sievework.plans.catalog import (
-    BLOCKLIST, BOUNDS, EMBEDDING, FLOORS, MARKED_WORDS, META_TALK, NEAR_DUP, WHOLE_WORDS,
+    ARMS, BLOCKLIST, BOUNDS, EMBEDDING, FLOORS, HELD_OUT, MARKED_WORDS, META_TALK, NEAR_DUP, WHOLE_WORDS,
 )
 
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -436,6 +436,12 @@ def length_sql(x: str) -> str:
 
 ANSWERS = f"(SELECT conv_id, turn, {length_sql('text')} AS score FROM conversations WHERE role = 'assistant')"
 
+RELEVANCE_TO_LABEL = f"""
+WITH numbered AS (SELECT doc_id::VARCHAR AS source_id, text FROM documents),
+{embedding_tags("numbered").strip()}
+SELECT c.source_id::BIGINT AS doc_id, CASE WHEN tl.len > 0 THEN cosine END AS relevance
+FROM cosines c LEFT JOIN text_len tl USING (source_id) WHERE c.ord = c.source_id::BIGINT % (SELECT count(*) FROM prompt)"""
+
 NOVELTY = f"""
 WITH {CORPUS_PLACED.strip()},
 both_sides AS (SELECT id, text FROM placed UNION ALL SELECT -1 - item_id, text FROM benchmark),
@@ -514,6 +520,26 @@ grams AS (
 )
 SELECT lang, n::INTEGER AS n, count(*) AS n_grams, count(DISTINCT g) AS n_distinct,
   round(count(DISTINCT g)::DOUBLE / count(*), 6) AS distinct_share FROM grams GROUP BY lang, n""",
+    "arm_comparison_held_out": rf"""
+WITH rated AS (
+  SELECT lang AS arm, unnest([source, NULL]) AS context, {length_sql("text")} AS length, n_chars / 1000::DOUBLE AS size,
+    regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS t
+  FROM documents WHERE source IN ({", ".join(map(text_literal, HELD_OUT))}) AND lang IN ({", ".join(map(text_literal, ARMS))})
+),
+grams AS (
+  SELECT context, arm, n, unnest(CASE WHEN len(t) >= n
+    THEN list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' ')) ELSE [] END) AS g
+  FROM rated, (VALUES (1), (2), (3)) s(n)
+),
+metrics AS (
+  SELECT context, arm, 'n_rows' AS metric, count(*)::DOUBLE AS value FROM rated GROUP BY ALL
+  UNION ALL SELECT context, arm, 'mean_length', round(avg(length), 6) FROM rated GROUP BY ALL
+  UNION ALL SELECT context, arm, 'mean_size', round(avg(size), 6) FROM rated GROUP BY ALL
+  UNION ALL SELECT context, arm, 'distinct_' || n, round(count(DISTINCT g)::DOUBLE / count(*), 6) FROM grams GROUP BY context, arm, n
+)
+SELECT context, metric, {", ".join(f"max(value) FILTER (arm = '{arm}') AS {arm}" for arm in ARMS)}
+FROM metrics GROUP BY context, metric""",
+    "relevance_to_label": RELEVANCE_TO_LABEL,
     "arm_comparison": f"""
 SELECT source, lang, count(*) AS n_rows, round(avg({length_sql("text")}), 6) AS mean_length,
   round(avg(n_chars / 1000::DOUBLE), 6) AS mean_size

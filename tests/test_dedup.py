@@ -215,6 +215,25 @@ def test_a_blocked_best_copy_removes_its_clean_copies(spark):
     assert [r["source_id"] for r in result.rows.collect()] == ["3"]
 
 
+def test_filters_first_leaves_the_clean_copies(spark):
+    from sievework.config import CurationConfig
+    from sievework.plans.clean import clean
+
+    body = " ".join(f"w{i}" for i in range(50))
+    rows = [
+        ("s", "1", body + " idiot", 9.0), ("s", "2", body + " friend", 1.0), ("s", "3", "a text of its own", 1.0),
+        ("s", "4", "a text of its own", 0.5), ("s", "5", "no", 1.0), ("s", "6", "please upvote this post of mine", 1.0),
+    ]
+    config = CurationConfig(
+        blocklist=("idiot",), meta_phrases=("upvote",), near_dup=NearDupSettings(threshold=0.5), filters_first=True
+    )
+    result = clean(spark.createDataFrame(rows, SCHEMA), config)
+    assert sorted(r["source_id"] for r in result.rows.collect()) == ["2", "3"]
+    funnel = {r["stage"]: (r["step"], r["dropped"], r["remaining"]) for r in result.funnel().collect()}
+    assert funnel["length"] == (2, 1, 5) and funnel["offensive"] == (3, 1, 4) and funnel["meta"] == (4, 1, 3)
+    assert funnel["exact_dup"] == (5, 1, 2) and funnel["near_dup"] == (6, 0, 2) and funnel["final"][2] == 2
+
+
 def test_word_pattern_of_the_two_shingle_forms_agree(apply):
     texts = ["Caf" + chr(0xE9) + " na" + chr(0xEF) + "ve_x 12" + chr(0xBD), "e" + chr(0x301) + "a", "a'b-c"]
     from sievework.functions.text import words

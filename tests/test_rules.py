@@ -72,6 +72,23 @@ def test_empty_lists_match_nothing(apply):
     assert apply(lambda t: rules.is_meta_post(t, (), ()), ["upvote"]) == [False]
 
 
+def test_whole_words_and_marked_entries(apply):
+    texts = ["such an idiot", "idiotic", "an-idiot!", "a clown car", "clown cars", "idiot", "x idiot_", "idiot5", "IDIOT?"]
+    want = [True, False, True, True, False, True, False, False, True]
+    assert apply(lambda t: rules.has_listed_word(t, WORDS, "word"), texts) == want
+    marked = ("idiot ", "clown")
+    want = [True, False, True, True, True, True, False, False, True]
+    assert apply(lambda t: rules.has_listed_word(t, marked, "marked"), texts) == want
+    assert apply(lambda t: rules.has_obfuscated_word(t, rules.obfuscation_patterns(("idiot",)), "word"), ["1d10t", "1d10ts"]) == [True, False]
+
+
+def test_a_longer_word_does_not_hide_a_shorter_one(apply):
+    words = ("rock band", "rock", "rock bands of old")
+    texts = ["a rock bandit", "rock band", "rock bands of oldies", "rocks", "rock rock band rock"]
+    assert apply(lambda t: lexicon.count_words(t, words, "word"), texts) == [1, 1, 1, 0, 3]
+    assert apply(lambda t: lexicon.count_words(t, ("cat", "category "), "marked"), ["category cat cats"]) == [3]
+
+
 ALPHABET = st.text(alphabet="ab -", min_size=1, max_size=6).map(str.strip).filter(
     lambda w: w and w[0] in "ab" and w[-1] in "ab"
 )
@@ -89,6 +106,19 @@ def test_counts_equal_plain_alternation(spark, words, texts):
     assert [r["n"] for r in got] == [len(plain.findall(t)) for t in texts]
 
 
+@settings(max_examples=10, deadline=None)
+@given(
+    words=st.lists(ALPHABET, min_size=1, max_size=5),
+    texts=st.lists(st.text(alphabet="ab -.", max_size=20), min_size=10, max_size=30),
+)
+def test_closed_counts_equal_plain_alternation(spark, words, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = rows.select("i", lexicon.count_words(F.col("t"), words, "word").alias("n")).orderBy("i").collect()
+    longest = sorted(words, key=len, reverse=True)
+    plain = re.compile(r"\b(" + "|".join(re.escape(w) for w in longest) + r")(?!\w)")
+    assert [r["n"] for r in got] == [len(plain.findall(t)) for t in texts]
+
+
 def test_lists_that_share_text_are_noticed():
     assert lexicon.may_share_text([["date night"], ["night club"]])
     assert not lexicon.may_share_text([["final exam", "exam"], ["rock band"], ["band"]])

@@ -4,17 +4,22 @@ import hashlib
 import math
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from sievework.config import NearDupSettings, ScoreSettings, SplitSettings
+from sievework.config import EmbeddingSettings, NearDupSettings, ScoreSettings, SplitSettings
 from sievework.functions import rules
-from sievework.operators import scoring, split, tagging
+from sievework.operators import reward, scoring, split, tagging
 from sievework.operators.novelty import novelty_score
 
+# The encoder below travels to the workers by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def test_length_score(apply):
     texts = [" ".join(["w"] * n) for n in (0, 4, 8, 40, 60, 80, 200)]
@@ -131,6 +136,65 @@ def test_arm_comparison(spark):
     assert got == {("x", "c"): (1, 1.0), ("x", "d"): (1, 3.0), ("y", "c"): (1, 5.0), ("x", None): (2, 2.0), ("y", None): (1, 5.0)}
 
 
+def test_arms_side_by_side(spark):
+    rows = [
+        ("x", "c", "one two one", 1.0), ("x", "d", "one two three", 3.0), ("y", "c", "a b", None),
+        ("x", "other", "not looked at", 9.0), ("z", "c", "no arm", 9.0), ("x", None, "no context", 9.0),
+    ]
+    df = spark.createDataFrame(rows, "who string, ctx string, body string, s double")
+    out = scoring.compare_arms(df, "who", "ctx", ["s"], ["x", "y", "w"], ["c", "d", "e"], "body", (1, 2))
+    assert out.columns == ["context", "metric", "x", "y", "w"]
+    got = {(r["context"], r["metric"]): (r["x"], r["y"], r["w"]) for r in out.collect()}
+    assert got[None, "n_rows"] == (2.0, 1.0, None) and got["d", "n_rows"] == (1.0, None, None)
+    assert got[None, "mean_s"] == (2.0, None, None) and got["c", "mean_s"] == (1.0, None, None)
+    assert got[None, "distinct_1"] == (0.5, 1.0, None) and got["c", "distinct_1"] == (round(2 / 3, 6), 1.0, None)
+    assert got["d", "distinct_2"] == (1.0, None, None) and len(got) == 12
+
+
+def letters_encoder():
+    return lambda texts: np.array([[t.count(c) for c in "abc"] for t in texts], dtype=float)
+
+
+def test_relevance_to_labels(spark):
+    vectors = [([1.0, 0.0], "p"), ([3.0, 4.0], "q"), ([0.0, 0.0], "p"), ([1.0, 1.0], "none"), (None, "p"), ([1.0, 1.0], None)]
+    df = spark.createDataFrame([(i, *v) for i, v in enumerate(vectors)], "i int, v array<double>, l string")
+    score = scoring.relevance_score(F.col("v"), F.col("l"), ["p", "q"], np.array([[2.0, 0.0], [0.0, 5.0]]))
+    assert [r["s"] for r in df.select("i", score.alias("s")).orderBy("i").collect()] == [1.0, 0.8, None, None, None, None]
+    many = np.random.default_rng(1).random((2000, 64))
+    plan = df.select(scoring.relevance_score(F.col("v"), F.col("l"), list(range(2000)), many))._jdf.queryExecution().toString()
+    assert len(plan) < 5000
+
+    texts = [("aab", "b"), ("abc", "zzz"), ("xyz", "a"), (None, "a"), ("", "a"), ("ccc", "c")]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, t string, l string")
+    settings = EmbeddingSettings(batch_size=2, label_prompt="{label}")
+    near = reward.relevance_to_label(F.col("t"), F.col("l"), letters_encoder, ["a", "b", "c"], settings)
+    got = [r["s"] for r in rows.select("i", near.alias("s")).orderBy("i").collect()]
+    assert got == [round(1 / math.sqrt(5), 6), None, None, None, None, 1.0]
+
+
+def test_all_five_parts_in_one_score(spark):
+    rng = random.Random(6)
+    labelled = []
+    for i in range(200):
+        found = [f"w{rng.randrange(40)}" for _ in range(10)] + [("good", "bad")[i % 2]]
+        labelled.append((f"r{i}", " ".join(found), float(i % 2 == 0), float(i % 2)))
+    df = spark.createDataFrame(labelled, "source_id string, text string, quality double, toxic double")
+    quality = scoring.text_classifier(df.withColumnRenamed("quality", "label"), n_features=1 << 10)
+    toxic = scoring.text_classifier(df.withColumnRenamed("toxic", "label"), n_features=1 << 10)
+    asked = [("new", "good a b c and more new words here now", "a"), ("copy", labelled[0][1], "b"), ("bad", "bad c", "c"), (None, None, "a")]
+    candidates = spark.createDataFrame(asked, "source_id string, text string, context string")
+    out = reward.reward(
+        candidates, df, quality, toxic, letters_encoder, labels=["a", "b", "c"], embedding=EmbeddingSettings(label_prompt="{label}"),
+    ).collect()
+    got = {r["source_id"]: r for r in out}
+    assert set(got) == {"new", "copy", "bad", None} and got["copy"]["novelty"] == 0.0 and got["new"]["novelty"] == 1.0
+    assert got["new"]["quality"] > 0.5 > got["bad"]["quality"] and got["new"]["clean"] > 0.5 > got["bad"]["clean"]
+    assert got["bad"]["length"] == 0.25 and got["new"]["length"] == 1.0 and 0 < got["new"]["relevance"] < 1
+    weights = ScoreSettings().weights
+    for r in out:
+        assert r["score"] == pytest.approx(sum(weights[name] * r[name] for name in reward.PARTS))
+
+
 def test_classifier_on_texts_not_seen(spark):
     rng = random.Random(5)
     rows = []

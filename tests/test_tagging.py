@@ -53,6 +53,19 @@ def test_hits_equal_a_count_per_label(apply, keywords):
     assert apply(lambda t: tagging.keyword_hits(t, keywords), texts) == want
 
 
+def test_whole_word_hits_equal_a_count_per_label(apply):
+    keywords = (("one", ("date night", "date", "cat")), ("two", ("night club", "club", "the cat")), ("three", ("cat",)))
+    texts = ["category cat", "date night club club", "dates the cat", "the cat, the cats", "date night", ""]
+    want = [
+        [len(re.findall(r"\b(?:" + "|".join(sorted(map(re.escape, kws), key=len, reverse=True)) + r")(?!\w)", t)) for _, kws in keywords]
+        for t in texts
+    ]
+    assert apply(lambda t: tagging.keyword_hits(t, keywords, "word"), texts) == want
+    marked = (("one", ("cat ",)), ("two", ("cat",)))
+    assert apply(lambda t: tagging.keyword_hits(t, marked, "marked"), ["category cat"]) == [[1, 2]]
+    assert apply(lambda t: tagging.tag_by_keywords(t, keywords, "word"), ["category", "the cat"]) == ["", "one"]
+
+
 def axis_encoder():
     """Three axes: a, b, c; a text is the sum of the axes it names."""
     return lambda texts: np.array([[t.count(ch) for ch in "abc"] for t in texts], dtype=float)

@@ -125,3 +125,12 @@ def test_row_functions_run_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["t"] for r in spark.table("normalised").collect()] == ["a b & c"]
+
+
+def test_a_strict_edit_note_is_at_a_word_start(apply):
+    texts = ["credit: ten", "fine. EDIT: more", "x **edit 2: y", "edit: all", "he edited: it", "credit: a\nedit: b"]
+    assert apply(lambda t: text.strip_edit_note(t, strict=True), texts) == [
+        "credit: ten", "fine.", "x ", "", "he edited: it", "credit: a",
+    ]
+    assert apply(text.strip_edit_note, texts[:1]) == ["cr"]
+    assert apply(lambda t: text.normalise_text(t, strict=True), ["credit:  ten"]) == ["credit: ten"]
