@@ -394,3 +394,15 @@ def test_shingle_numbers_are_a_set(apply):
     )
     assert set(a) < set(b) and len(b) == 4 and a == sorted(a) and b == sorted(b)
     assert len(c) == 1 and d is None and e is None
+
+
+def test_components_of_chains_and_stars_in_any_order(spark):
+    from sievework.operators.components import components
+
+    draw = random.Random(2)
+    names = list(range(300))
+    draw.shuffle(names)
+    edges = list(zip(names, names[1:])) + [(1000 + i, 1000) for i in range(1, 200)] + [(1000, 1001), (7, 7)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**{n: 0 for n in range(1, 300)}, **{1000 + i: 1000 for i in range(1, 200)}}
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
