@@ -79,15 +79,17 @@ def scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def integer_vectors(df: DataFrame, id: str, vector: str, settings: SearchSettings) -> DataFrame:
-    """`id, v, h` of the rows that take part, each pair of id and vector once; `h`
-    is a hash of the vector."""
+    """`id, v, h, n` of the rows that take part, each pair of id and vector once; `h`
+    is a hash of the vector, `n` says how often the pair is there."""
     x = F.col(vector)
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = df.where(F.col(id).isNotNull() & x.isNotNull() & whole).select(
         F.col(id).cast("long").alias("id"),
         F.transform(x, lambda c: F.floor(settings.scale * c.cast("double")).cast("long")).alias("v"),
     )
-    return rows.withColumn("h", F.xxhash64("v")).dropDuplicates(["id", "h"])
+    return rows.withColumn("h", F.xxhash64("v")).groupBy("id", "h").agg(
+        F.first("v").alias("v"), F.count(F.lit(1)).alias("n")
+    )
 
 
 def _grouped(df: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -98,11 +100,12 @@ def _grouped(df: DataFrame, pivots: np.ndarray) -> DataFrame:
             far = _distances(_matrix(batch.column("v")), pivots)
             cell = far.argmin(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("v"), pa.array(cell), pa.array(far[np.arange(len(cell)), cell])],
-                names=["id", "v", "cell", "d"],
+                [batch.column("id"), batch.column("v"), batch.column("n"), pa.array(cell),
+                 pa.array(far[np.arange(len(cell)), cell])],
+                names=["id", "v", "n", "cell", "d"],
             )
 
-    return df.select("id", "v").mapInArrow(run, "id long, v array<long>, cell int, d double")
+    return df.select("id", "v", "n").mapInArrow(run, "id long, v array<long>, n long, cell int, d double")
 
 
 def _bounded(queries: DataFrame, pivots: np.ndarray, cells: np.ndarray, near: np.ndarray, own: int, settings: SearchSettings) -> DataFrame:
@@ -140,11 +143,12 @@ def _best(k: int):
     """The k best vectors of each query of a block, ties to the smaller id."""
 
     def run(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        found: list[np.ndarray] = [np.zeros((3, 0), dtype=np.int64)]
+        found: list[np.ndarray] = [np.zeros((4, 0), dtype=np.int64)]
         if queries.num_rows and vectors.num_rows:
             ids = vectors.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, data = ids[order], _matrix(vectors.column("v"))[order]
+            times = vectors.column("n").to_numpy()[order]
             query_ids, q = queries.column("id").to_numpy(), _matrix(queries.column("v"))
             for first in range(0, len(q), 64):
                 points = scores(q[first : first + 64], data)
@@ -156,9 +160,9 @@ def _best(k: int):
                         at = at[row[at] >= cut]
                     # Ids ascend, so a stable sort leaves ties in their order.
                     at = at[np.argsort(-row[at], kind="stable")][:k]
-                    found.append(np.stack((np.full(len(at), query), ids[at], row[at])))
+                    found.append(np.stack((np.full(len(at), query), ids[at], row[at], times[at])))
         all_ = np.concatenate(found, axis=1)
-        return pa.table({"query_id": all_[0], "vec_id": all_[1], "score": all_[2]})
+        return pa.table({"query_id": all_[0], "vec_id": all_[1], "score": all_[2], "n": all_[3]})
 
     return run
 
@@ -169,8 +173,9 @@ def top_k(
     """`query_id, rank, vec_id, score` of the k best vectors of each query. Runs jobs.
 
     Null vectors, vectors with a null or non-finite component and rows without
-    an id take no part. Equal rows count once. Rows with the id of the query are
-    its own and are no candidates. An empty table gives an empty result.
+    an id take no part. A repeated row is a candidate as often as it is there; a
+    repeated query is answered once. Rows with the id of the query are its own and are
+    no candidates. Other columns are not read; an empty table gives an empty result.
     """
     s = settings
     rows = materialise(integer_vectors(df, id, vector, s), "vectors")
@@ -209,18 +214,23 @@ def top_k(
     copied = (
         data.join(materialise(bounds, "bounds"), "cell")
         .where("d >= least")
-        .select("group", "chunk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "v")
+        .select("group", "chunk", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), "id", "v", "n")
     )
     spread = chunked.select(
         "group", "chunk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "id", "v"
     )
     keys = ("group", "chunk", "block")
     met = spread.groupBy(*keys).cogroup(copied.groupBy(*keys)).applyInArrow(
-        _best(s.k), "query_id long, vec_id long, score long"
+        _best(s.k), "query_id long, vec_id long, score long, n long"
     )
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= s.k)
+
+    # Of the k best, each is there as often as its row is.
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(s.k).cast("long"))))
     return (
-        met.withColumn("rank", F.row_number().over(by_score))
-        .where(F.col("rank") <= s.k)
+        best(best(met).select("query_id", "vec_id", "score", each.alias("copy")))
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )

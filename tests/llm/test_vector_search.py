@@ -16,9 +16,10 @@ def brute(rows, k=20):
 
     import numpy as np
 
-    data = {(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v, _ in rows if i is not None and ok(v)}
+    # Each row is a candidate, and each different query is answered once.
+    data = [(i, tuple(math.floor(64 * float(np.float32(x))) for x in v)) for i, v, _ in rows if i is not None and ok(v)]
     out = []
-    for query, q in data:
+    for query, q in set(data):
         if query % 20 == 0:
             found = sorted((-sum(a * b for a, b in zip(q, x)), i) for i, x in data if i != query)[:k]
             out += [(query, rank, i, -score) for rank, (score, i) in enumerate(found, 1)]
@@ -70,6 +71,14 @@ def test_odd_rows(spark):
     assert result(spark.createDataFrame([(20, [1.0], 0)], SCHEMA)) == []
 
 
+def test_repeated_rows_are_candidates_as_often_as_they_are_there(spark):
+    rows = vectors(60)
+    rows += [(107, [2.0] * 6, 0)] * 3 + [(109, [2.0] * 6, 0)] * 30 + [rows[20]] * 2 + [rows[33]] * 2
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert result(df) == brute(rows)
+    assert result(df, k=4, n_pivots=5) == brute(rows, 4)
+
+
 def test_pruning_copies_less_than_everything(spark):
     rng = random.Random(5)
     rows = []
