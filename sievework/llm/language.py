@@ -185,7 +185,8 @@ def identified(
 
     A null text, one without a letter, and any text if nothing could be learned,
     is `und` with score 0. A row with a null id is not learned from and not held
-    out. Repeated rows are rows like any other.
+    out. Repeated rows are rows like any other, and no rows give no rows. Texts are
+    read whole. `df` keeps its columns, of which none may be named `_language`.
     """
     model = fit(df, id, text, lang, settings)
     names = model.languages if model else []

@@ -211,7 +211,8 @@ def mix(
 
     Null texts have size 0; a null source is a source, the last. The same rows
     give the same mix in any order and partitioning; of repeated rows any may be
-    the one that is taken.
+    the one that is taken. A text of any length is taken whole or not at all.
+    Other columns are not read, whatever their names; no rows give no rows.
     """
     sized = materialise(sizes(df, id, text, source), "sizes")
     targets = source_targets(sized, settings)
@@ -225,7 +226,8 @@ def mixed_documents(
     df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
     settings: MixSettings = MixSettings(),
 ) -> DataFrame:
-    """The rows of `df`, each as many times as the mix takes it. Runs jobs."""
+    """The rows of `df`, with all columns of any name, each as many times as the mix
+    takes it. Runs jobs. No rows give no rows."""
     sized = materialise(sizes(df, id, text, source), "sizes")
     taken = copies(sized, source_targets(sized, settings), settings)
     # Equal rows, of which there may be several, get the copies in any order.

@@ -111,7 +111,8 @@ def pack(
     `sequence_id` and `offset`. Runs jobs; only lengths and checksums are shuffled.
 
     A null or empty text is the end id alone. Rows with a null id and repeated
-    rows are documents like any other.
+    rows are documents like any other. A text longer than a sequence is cut.
+    Other columns are not read, whatever their names; no rows give no rows.
     """
     length = settings.length
     # The row number is stored, so that groups stay the same if a task runs again.

@@ -150,7 +150,9 @@ def judged(df: DataFrame, text: str = "text", settings: QualitySettings = Qualit
     `failed_rule`, the first rule of the cascade that rejects. Runs one job.
 
     A null or empty text has no words and fails the base test. Each row is judged
-    on its own, so repeated rows are judged alike; no row is dropped.
+    on its own, so repeated rows are judged alike; no row is dropped, and no rows give
+    no rows. Texts of any length are judged whole. `df` keeps its columns, of which none
+    may be named `_quality`, `_parts` or `_figures`.
     """
     order = rule_order(df, text, settings)
     first = F.when(F.col("_figures.base_failed"), F.lit("base"))

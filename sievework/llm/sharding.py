@@ -130,7 +130,9 @@ def shard(
     the shard (gapless from 0), `grown_shard` (null) and `virtual_slot`. Runs jobs.
 
     The law is `bytes`: the sizes of the shards are near equal. A null text is an
-    empty one; rows with a null id and repeated rows are records like any other.
+    empty one; rows with a null id and repeated rows are records like any other. A text
+    of any length is one record and is not cut.
+    Other columns are not read, whatever their names; no rows give no rows.
     """
     spark = df.sparkSession
     rows = materialise(records(df, id, text, settings), "records")

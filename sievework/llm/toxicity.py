@@ -265,7 +265,10 @@ def toxicity(
 
     A null text is an empty one, which gets what the curve says of no words. A row
     with a null id is scored, but neither learned from nor held out. Repeated rows
-    are rows like any other; of several labels of an id one is taken.
+    are rows like any other; of several labels of an id the larger one counts, and null
+    labels are none. Without any label all scores are that of no evidence. A text is
+    read whole, with some 60 bytes of memory per byte.
+    Other columns are not read, whatever their names; no rows give no rows.
     """
     s = settings
     model = fit(df, labels, id, text, label, s)
