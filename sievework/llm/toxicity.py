@@ -1,11 +1,15 @@
 """Toxicity by two language models with Kneser-Ney smoothing.
 
-One model is of toxic texts, one of ordinary texts. A word is predicted from the
-word before; where that pair is rare, from how many texts the word is in; where the word is
-rare, from the same figure of its beginning; and all of them fall back on
-counts that both models share, so rare expressions
-say little. The difference of the two log-likelihoods per word is turned
-into a probability by a logistic curve, fitted on texts the models have not seen.
+One model is of toxic texts, one of ordinary texts; both are interpolated bigram
+models. What a model has seen of a pair is discounted, by how often the pair occurs
+as in modified Kneser-Ney, and the rest goes to the word alone, by how many different
+words it follows in that class. What is discounted there goes to a level that both
+models share: how many different words it follows in all texts. So of a rare
+expression both models say about the same, and it cancels.
+
+The difference of the two log-likelihoods, per word of the text, and the share of
+words that are strong evidence at both levels, are turned into a probability by a
+logistic curve, fitted on texts that the models have not seen.
 """
 
 from __future__ import annotations
@@ -31,23 +35,13 @@ class ToxicSettings:
     folds: int = 5
     held_out_fold: int = 0
     curve_fold: int = 4
-    # Texts per label that are learned from, about.
-    texts_per_label: int = 6_000
-    # Bytes of a word's beginning.
-    stem: int = 5
-    # Terms (pairs, words, stems) a model keeps: those that occur so often, and
-    # at most so many of the most frequent of each kind.
-    least_count: int = 3
-    most_terms: int = 300_000
-    # Pairs count after words that so many texts of each label have.
-    least_context: int = 50
-    # Standard errors by which a ratio is taken to be nearer to none.
-    chance: float = 2.0
-    # What one word may tell for an ordinary and for a toxic text, in natural
-    # logarithms, and from where on it is strong evidence.
-    least_per_word: float = -0.2
-    most_per_word: float = 8.0
-    strong: float = 1.0
+    # Texts per label that are learned from, about. All their pairs of words are
+    # kept, and go to each task (16 bytes a pair).
+    texts_per_label: int = 3_000
+    # From where on, in natural logarithms, a word is strong evidence: the value
+    # that suits the texts of the curve best, and the one without such texts.
+    strong: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0)
+    usual_strong: float = 3.5
 
 
 LETTER_OR_BYTE = np.zeros(256, dtype=bool)
@@ -56,26 +50,25 @@ for _first, _last in ("az", "AZ", "09"):
     LETTER_OR_BYTE[ord(_first) : ord(_last) + 1] = True
 
 
-KINDS = ("pair", "word", "stem")
-
-
 class Words:
-    """Words without the signs around them: per word its hash, that of its
-    beginning, and that of the pair with the word before."""
+    """Words without the signs around them: per word its hash, that of the word
+    before, and that of both."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, stem: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         lower = ragged.LOWER[data]
         plain = np.where(LETTER_OR_BYTE[data], lower, np.uint8(ord(" ")))
         starts, ends, self.firsts = ragged.word_spans(plain, offsets)
         self.word = ragged.span_hashes(plain, starts, ends)
-        # Salted, so that a short word and a beginning are not the same term.
-        self.stem = ragged.mix(ragged.span_hashes(plain, starts, np.minimum(ends, starts + stem)) ^ ragged.MIX_A)
         self.before = np.empty_like(self.word)
         if len(self.word):
             self.before[1:] = self.word[:-1]
             firsts = self.firsts[:-1]
             self.before[firsts[firsts < len(self.word)]] = START
-        self.pair = ragged.mix(self.before * np.uint64(0x9E3779B97F4A7C15) + self.word)
+        self.pair = pair_hashes(self.before, self.word)
+
+
+def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return ragged.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def _labelled(df: DataFrame, labels: DataFrame, id: str, text: str, label: str, s: ToxicSettings) -> DataFrame:
@@ -97,162 +90,167 @@ def _labelled(df: DataFrame, labels: DataFrame, id: str, text: str, label: str,
     return rows.join(F.broadcast(chosen), "id").select("fold", "toxic", "text")
 
 
-def _once_per_text(term: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Places that hold each term of each text once."""
-    order = np.lexsort((term, owner))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (np.diff(term[order]) != 0) | (np.diff(owner[order]) != 0)
-    return order[new]
-
-
-def _terms(texts: DataFrame, s: ToxicSettings) -> DataFrame:
-    """`kind, term, before, word` with the number of texts of each label that it
-    is in: `n0` ordinary, `n1` toxic. Only pairs have a `before` and a `word`."""
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """`before, word, n0, n1`: how often a word follows another in ordinary and in
+    toxic texts."""
 
     def run(batches):
         for batch in batches:
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-            for row, data, offsets in ragged.text_portions(batch.column("text")):
-                words = Words(data, offsets, s.stem)
+            for row, data, offsets in ragged.text_portions(batch.column("text"), 500_000):
+                words = Words(data, offsets)
                 owner = np.repeat(np.arange(len(offsets) - 1), np.diff(words.firsts))
-                for kind, name in enumerate(KINDS):
-                    at = _once_per_text(getattr(words, name), owner)
-                    of_pair = [x[at] if name == "pair" else np.zeros(len(at), np.uint64) for x in (words.before, words.word)]
-                    columns = [getattr(words, name)[at], *of_pair]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), kind, np.int32)), *[pa.array(x.view(np.int64)) for x in columns],
-                         pa.array(toxic[row + owner[at]])],
-                        names=["kind", "term", "before", "word", "toxic"],
-                    )
-
-    rows = texts.mapInArrow(run, "kind int, term long, before long, word long, toxic long")
-    return rows.groupBy("kind", "term", "before", "word").agg(
-        F.sum("toxic").alias("n1"), F.sum(1 - F.col("toxic")).alias("n0")
-    )
-
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(words.before.view(np.int64)), pa.array(words.word.view(np.int64)), pa.array(toxic[row + owner])],
+                    names=["before", "word", "toxic"],
+                )
 
-class Counts:
-    """The most frequent terms of a kind with their counts, ordinary first."""
+    rows = texts.mapInArrow(run, "before long, word long, toxic long")
+    return rows.groupBy("before", "word").agg(
+        F.sum(1 - F.col("toxic")).cast("int").alias("n0"), F.sum("toxic").cast("int").alias("n1")
+    )
 
-    def __init__(self, terms: DataFrame, s: ToxicSettings):
-        both = F.col("n0") + F.col("n1")
-        kept = terms.where(both >= s.least_count).orderBy(F.desc(both), "term").limit(s.most_terms).toPandas()
-        self.hashes = {c: kept[c].to_numpy(np.int64).view(np.uint64) for c in ("term", "before", "word")}
-        self.n = kept[["n0", "n1"]].to_numpy(np.float64).T
 
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What modified Kneser-Ney takes from a count of 0, 1, 2, and 3 or more, from
+    how many counts there are of each; kept inside bounds that leave something of
+    each count, and take something."""
+    once, twice, thrice, more = (max(int((n == i).sum()), 1) for i in (1, 2, 3, 4))
+    y = once / (once + 2 * twice)
+    taken = [1 - 2 * y * twice / once, 2 - 3 * y * thrice / twice, 3 - 4 * y * more / thrice]
+    return np.array([0.0, *[min(max(d, 0.1), i - 0.01) for i, d in enumerate(taken, 1)]])
 
-class Level:
-    """Kneser-Ney of one kind of term: `P = own + weight * lower` per label."""
 
-    def __init__(self, n: np.ndarray, size: np.ndarray, types: np.ndarray, lower: np.ndarray, settings: ToxicSettings):
-        """`n` are counts per label and term. `size` and `types` are, per label,
-        counts of all terms and how many there are, also of those not kept; or the
-        same per term, after its context. `lower` is what stands below."""
-        once, twice = (n == 1).sum(), (n == 2).sum()
-        discount = np.clip(once / max(once + 2 * twice, 1), 0.5, 0.9)
-        seen = size > 0
-        safe = np.maximum(size, 1)
-        weight = np.where(seen, discount * types / safe, 1.0)
-        self.p = np.where(seen, np.maximum(n - discount, 0) / safe, 0.0) + weight * lower
-        ratio = np.log(np.maximum(self.p[1], 1e-12)) - np.log(np.maximum(self.p[0], 1e-12))
-        # A difference that the counts may well show by chance says nothing.
-        chance = settings.chance * np.sqrt((1 / (n + 0.5)).sum(axis=0))
-        self.ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - chance, 0)
+def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts without their discounts, and the discounts."""
+    taken = discounts(n)[np.minimum(n, 3)]
+    return np.maximum(n - taken, 0.0), taken
 
 
 class ToxicModel:
-    """Log-likelihood ratios of pairs, words and stems, ready to be looked up."""
-
-    def __init__(self, terms: DataFrame, s: ToxicSettings):
-        self.settings = s
-        sums = [F.sum(f"n{i}").alias(f"n{i}") for i in (0, 1)]
-        some = [F.count_if(F.col(f"n{i}") > 0).alias(f"t{i}") for i in (0, 1)]
-
-        def lower_level(kind: int) -> tuple[Counts, Level]:
-            table = terms.where(F.col("kind") == kind)
-            total = table.agg(*sums, *some).first()
-            size, types = (np.array([[float(total[f"{x}{i}"] or 0)] for i in (0, 1)]) for x in "nt")
-            kept = Counts(table, s)
-            # The counts of both labels together, as what both fall back on.
-            shared = kept.n.sum(axis=0) / max(size.sum(), 1)
-            return kept, Level(kept.n, size, types, shared, s)
-
-        words, word_level = lower_level(1)
-        stems, stem_level = lower_level(2)
-        all_pairs = terms.where(F.col("kind") == 0)
-        pairs = Counts(all_pairs, s)
-        # Only words that both labels have often tell what follows them.
-        context = (
-            all_pairs.groupBy("before").agg(*sums, *some)
-            .where(F.least("n0", "n1") >= s.least_context)
-            .orderBy(F.desc(F.col("n0") + F.col("n1")), "before").limit(s.most_terms).toPandas()
-        )
-        word_index = ragged.Index(words.hashes["term"])
-        at = ragged.Index(context["before"].to_numpy(np.int64).view(np.uint64)).find(pairs.hashes["before"])
-        below = word_index.find(pairs.hashes["word"])
-        whole = (at >= 0) & (below >= 0)
-        after = [context[[f"{x}0", f"{x}1"]].to_numpy(np.float64).T[:, at[whole]] for x in "nt"]
-        pair_level = Level(pairs.n[:, whole], *after, word_level.p[:, below[whole]], s)
-        # From the most to the least special; the first that says something counts.
-        self.levels = [
-            ("pair", ragged.Index(pairs.hashes["term"][whole]), pair_level.ratio),
-            ("word", word_index, word_level.ratio),
-            ("stem", ragged.Index(stems.hashes["term"]), stem_level.ratio),
-        ]
-
-    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text the mean log-likelihood ratio of a word, the share of words
-        that are strong evidence, and the logarithm of the number of words."""
-        words = Words(data, offsets, self.settings.stem)
-        ratio = np.zeros(len(words.word))
-        for name, index, ratios in reversed(self.levels):
-            at = index.find(getattr(words, name))
-            if len(ratios):
-                said = np.where(at >= 0, ratios[at], 0.0)
-                ratio = np.where(said != 0, said, ratio)
-        s = self.settings
+    """Both models over all pairs of the sample, and the curve."""
+
+    def __init__(self, pairs, settings: ToxicSettings):
+        """`pairs` holds the columns `before`, `word`, `n0` and `n1` of all pairs."""
+        self.settings = settings
+        before, word = (pairs[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word"))
+        counts = [pairs[f"n{k}"].to_numpy(np.int64) for k in (0, 1)]
+        words, of_word = np.unique(word, return_inverse=True)
+        contexts, of_context = np.unique(before, return_inverse=True)
+        self.words, self.contexts = ragged.Index(words), ragged.Index(contexts)
+
+        # The level that both share: different words before, in all texts.
+        left, taken = _discounted(np.bincount(of_word, minlength=len(words)))
+        total = max(len(word), 1)
+        even = (taken.sum() / total if len(word) else 1.0) / (len(words) + 1)
+        shared = np.append(left / total + even, even)
+        self.of_word, self.rest, seen = [], [], []
+        for n in counts:
+            # The word alone: different words before it in this class. The last
+            # entry is of words that no text has.
+            left, taken = _discounted(np.bincount(of_word[n > 0], minlength=len(words)))
+            size = max(int((n > 0).sum()), 1)
+            weight = taken.sum() / size if (n > 0).any() else 1.0
+            self.of_word.append(np.append(left, 0.0) / size + weight * shared)
+            # The pair, and what is left for the word after each context.
+            left, taken = _discounted(n)
+            size = np.bincount(of_context, n, minlength=len(contexts))
+            mass = np.bincount(of_context, taken, minlength=len(contexts))
+            self.rest.append(np.append(np.where(size > 0, mass / np.maximum(size, 1), 1.0), 1.0))
+            seen.append(left / np.maximum(size, 1)[of_context])
+        # Sorted keys take a third of the memory of an index.
+        key = pair_hashes(before, word)
+        order = np.argsort(key)
+        self.pairs, self.of_pair = key[order], [p[order].astype(np.float32) for p in seen]
+        self.strong = settings.usual_strong
+        self.centre, self.spread, self.weights = np.zeros(3), np.ones(3), np.array([0.0, 1.0, 0.0, 0.0])
+
+    def ratios(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Per word the logarithm of how much likelier it is after the word before in
+        a toxic text, and the same for the word alone."""
+        at, context = self.words.find(words.word), self.contexts.find(words.before)
+        alone = [p[at] for p in self.of_word]
+        if len(self.pairs):
+            place = np.minimum(np.searchsorted(self.pairs, words.pair), len(self.pairs) - 1)
+            known = self.pairs[place] == words.pair
+        else:
+            place, known = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        both = []
+        for seen, rest, word in zip(self.of_pair, self.rest, alone):
+            own = np.zeros(len(at))
+            own[known] = seen[place[known]]
+            both.append(own + rest[context] * word)
+        return np.log(both[1] / both[0]), np.log(alone[1] / alone[0])
+
+    def features(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per text the difference of the log-likelihoods per word and the logarithm
+        of the number of words; and the share of strong words for each of
+        `settings.strong`."""
+        words = Words(data, offsets)
         n = np.diff(words.firsts)
-        mean = ragged.sums_by(np.clip(ratio, s.least_per_word, s.most_per_word), words.firsts) / np.maximum(n, 1)
-        strong = ragged.sums_by(ratio > s.strong, words.firsts) / np.maximum(n, 1)
-        return np.stack((mean, np.sqrt(strong), np.log1p(n)), axis=1)
-
-    def fit_curve(self, features: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic regression on the features, by Newton steps."""
-        x = np.column_stack((np.ones(len(features)), features))
-        self.centre = x[:, 1:].mean(axis=0) if len(x) else np.zeros(3)
-        self.spread = np.maximum(x[:, 1:].std(axis=0), 1e-9) if len(x) else np.ones(3)
-        x[:, 1:] = (x[:, 1:] - self.centre) / self.spread
-        self.weights = np.array([0.0, 1.0, 0.0, 0.0])
-        if 0 < toxic.sum() < len(toxic):
+        pair, alone = self.ratios(words)
+        mean = ragged.sums_by(pair, words.firsts) / np.maximum(n, 1)
+        # A word must be strong after the word before, and alone.
+        least = np.minimum(pair, alone)
+        shares = [ragged.sums_by(least > s, words.firsts) / np.maximum(n, 1) for s in self.settings.strong]
+        return np.stack((mean, np.log1p(n)), axis=1), np.stack(shares, axis=1)
+
+    def _chosen(self, features: np.ndarray, shares: np.ndarray, strong: float) -> np.ndarray:
+        share = shares[:, self.settings.strong.index(strong)]
+        return np.column_stack((features[:, 0], np.sqrt(share), features[:, 1]))
+
+    def fit_curve(self, features: np.ndarray, shares: np.ndarray, toxic: np.ndarray) -> None:
+        """Logistic regression by Newton steps, for each value of `settings.strong`;
+        the one that makes the labels likeliest counts."""
+        if not 0 < toxic.sum() < len(toxic):
+            return
+        best = None
+        for strong in self.settings.strong:
+            x = self._chosen(features, shares, strong)
+            centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+            x = np.column_stack((np.ones(len(x)), (x - centre) / spread))
+            weights = np.array([0.0, 1.0, 0.0, 0.0])
             for _ in range(50):
-                p = 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-                slope = x.T @ (toxic - p) - 1e-3 * self.weights
+                p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+                slope = x.T @ (toxic - p) - 1e-3 * weights
                 bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(4)
-                self.weights += np.linalg.solve(bend, slope)
+                weights = weights + np.linalg.solve(bend, slope)
+            p = np.clip(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))), 1e-6, 1 - 1e-6)
+            likely = np.log(np.where(toxic > 0, p, 1 - p)).sum()
+            if best is None or likely > best:
+                best, self.strong = likely, strong
+                self.centre, self.spread, self.weights = centre, spread, weights
 
-    def probability(self, features: np.ndarray) -> np.ndarray:
-        x = np.column_stack((np.ones(len(features)), (features - self.centre) / self.spread))
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+    def probability(self, features: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        x = (self._chosen(features, shares, self.strong) - self.centre) / self.spread
+        return 1 / (1 + np.exp(-np.clip(np.column_stack((np.ones(len(x)), x)) @ self.weights, -30, 30)))
 
 
 def fit(df: DataFrame, labels: DataFrame, id: str, text: str, label: str, s: ToxicSettings) -> ToxicModel:
-    """The models and the curve. The driver sees kept terms, of bounded number,
-    and three figures per text of the bounded sample."""
+    """The models and the curve. The driver sees the pairs of the bounded sample,
+    and some figures per text of it."""
     sample = materialise(_labelled(df, labels, id, text, label, s), "labelled")
-    model = ToxicModel(materialise(_terms(sample.where(F.col("fold") != s.curve_fold), s), "terms"), s)
+    counted = materialise(pair_counts(sample.where(F.col("fold") != s.curve_fold)), "pairs")
+    model = ToxicModel(counted.toPandas(), s)
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in ragged.text_portions(batch.column("text")):
-                found = model.features(data, offsets)
+            for row, data, offsets in ragged.text_portions(batch.column("text"), 500_000):
+                found, shares = model.features(data, offsets)
+                edges = np.arange(len(found) + 1) * shares.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("toxic").slice(row, len(found)), *[pa.array(column) for column in found.T.copy()]],
-                    names=["toxic", "mean", "strong", "size"],
+                    [batch.column("toxic").slice(row, len(found)), *[pa.array(column) for column in found.T.copy()],
+                     ragged.listed(shares.ravel(), edges)],
+                    names=["toxic", "mean", "size", "shares"],
                 )
 
-    unseen = sample.where(F.col("fold") == s.curve_fold).mapInArrow(run, "toxic boolean, mean double, strong double, size double")
+    unseen = sample.where(F.col("fold") == s.curve_fold).mapInArrow(
+        run, "toxic boolean, mean double, size double, shares array<double>"
+    )
     points = unseen.toPandas()
-    model.fit_curve(points[["mean", "strong", "size"]].to_numpy(np.float64), points["toxic"].to_numpy(np.float64))
+    if len(points):
+        shares = np.stack(points["shares"].to_list())
+        model.fit_curve(points[["mean", "size"]].to_numpy(np.float64), shares, points["toxic"].to_numpy(np.float64))
     return model
 
 
@@ -275,8 +273,8 @@ def toxicity(
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in ragged.text_portions(batch.column("text")):
-                score = model.probability(model.features(data, offsets))
+            for row, data, offsets in ragged.text_portions(batch.column("text"), 500_000):
+                score = model.probability(*model.features(data, offsets))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(row, len(score)), pa.array(score)], names=["id", "score"]
                 )

@@ -8,9 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sievework.llm import class_lm, language, toxicity
+from sievework.llm import class_lm, language, ragged, toxicity
 from tests.llm.common import documents, lower_az, odd_rows, prose, with_clashes, words
 
 
@@ -173,3 +174,72 @@ def test_toxicity_of_odd_rows_and_odd_labels(spark):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.toxicity(documents(spark), none).count() == len(odd_rows())
     assert toxicity.toxicity(documents(spark, []), none).collect() == []
+
+
+def plain_models(texts):
+    """Both interpolated models from dictionaries: P(word | before) and P(word)."""
+    pairs = [Counter(), Counter()]
+    for toxic, found in texts:
+        pairs[toxic].update(zip(["<start>", *found], found))
+
+    def discount(counts):
+        n = Counter(counts.values())
+        n1, n2, n3, n4 = (max(n[i], 1) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        d = [0] + [min(max(d[i], 0.1), i - 0.01) for i in (1, 2, 3)]
+        return lambda c: d[min(c, 3)]
+
+    every = set(pairs[0]) | set(pairs[1])
+    follows = Counter(w for _, w in every)
+    d0 = discount(follows)
+    even = sum(map(d0, follows.values())) / len(every) / (len(follows) + 1)
+
+    def shared(w):
+        return max(follows[w] - d0(follows[w]), 0) / len(every) + even
+
+    def alone(k, w):
+        own = Counter(x for _, x in pairs[k])
+        d, size = discount(own), len(pairs[k])
+        return max(own[w] - d(own[w]), 0) / size + sum(map(d, own.values())) / size * shared(w)
+
+    def after(k, v, w):
+        d, here = discount(pairs[k]), [n for (x, _), n in pairs[k].items() if x == v]
+        if not here:
+            return alone(k, w)
+        n = pairs[k][v, w]
+        return max(n - d(n), 0) / sum(here) + sum(map(d, here)) / sum(here) * alone(k, w)
+
+    return alone, after
+
+
+def test_both_likelihoods_by_dictionaries(spark):
+    rng = random.Random(12)
+    texts = [(int(i % 3 == 0), [f"w{int(rng.expovariate(0.15))}" for _ in range(25)]) for i in range(40)]
+    rows = spark.createDataFrame([(bool(t), " ".join(found)) for t, found in texts], "toxic boolean, text string").repartition(3)
+    model = toxicity.ToxicModel(toxicity.pair_counts(rows).toPandas(), toxicity.ToxicSettings())
+    alone, after = plain_models(texts)
+    asked = [found for _, found in texts[:6]] + [["never", "w1", "never", "seen", "w3", "w0"], [], ["w2"]]
+    column = pa.array([" ".join(found) for found in asked])
+    words = toxicity.Words(*ragged.text_bytes(column))
+    pair, word = model.ratios(words)
+    expected = [
+        (math.log(after(1, v, w) / after(0, v, w)), math.log(alone(1, w) / alone(0, w)))
+        for found in asked for v, w in zip(["<start>", *found], found)
+    ]
+    assert len(pair) == len(expected)
+    assert np.allclose(pair, [a for a, _ in expected], atol=1e-5) and np.allclose(word, [b for _, b in expected], atol=1e-9)
+    # Each model is a distribution over all words and one that is not known.
+    known = sorted({w for _, found in texts for w in found})
+    for k in (0, 1):
+        assert sum(alone(k, w) for w in [*known, "unknown"]) == pytest.approx(1)
+        assert sum(after(k, "w1", w) for w in [*known, "unknown"]) == pytest.approx(1)
+
+
+def test_words_that_both_classes_hardly_know_say_little(spark):
+    texts = [(i % 2, [f"w{(i * 7 + j) % 30}" for j in range(20)]) for i in range(60)]
+    texts[0] = (0, [*texts[0][1], "rare"])
+    rows = spark.createDataFrame([(bool(t), " ".join(f)) for t, f in texts], "toxic boolean, text string")
+    model = toxicity.ToxicModel(toxicity.pair_counts(rows).toPandas(), toxicity.ToxicSettings())
+    words = toxicity.Words(*ragged.text_bytes(pa.array(["rare unseen"])))
+    assert (np.abs(model.ratios(words)[1]) < 1.5).all()
