@@ -36,8 +36,9 @@ class ToxicSettings:
     held_out_fold: int = 0
     curve_fold: int = 4
     # Texts per label that are learned from, about. All their pairs of words are
-    # kept, and go to each task (16 bytes a pair).
-    texts_per_label: int = 3_000
+    # kept, and go to each task (16 bytes a pair); the driver needs some 500 bytes a
+    # pair to make the models.
+    texts_per_label: int = 1_000
     # From where on, in natural logarithms, a word is strong evidence: the value
     # that suits the texts of the curve best, and the one without such texts.
     strong: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0)
@@ -134,7 +135,8 @@ class ToxicModel:
         """`pairs` holds the columns `before`, `word`, `n0` and `n1` of all pairs."""
         self.settings = settings
         before, word = (pairs[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word"))
-        counts = [pairs[f"n{k}"].to_numpy(np.int64) for k in (0, 1)]
+        counts = [pairs[f"n{k}"].to_numpy(np.int32) for k in (0, 1)]
+        del pairs
         words, of_word = np.unique(word, return_inverse=True)
         contexts, of_context = np.unique(before, return_inverse=True)
         self.words, self.contexts = ragged.Index(words), ragged.Index(contexts)
