@@ -38,7 +38,7 @@ class ToxicSettings:
     # Texts per label that are learned from, about. All their pairs of words are
     # kept, and go to each task (16 bytes a pair); the driver needs some 500 bytes a
     # pair to make the models.
-    texts_per_label: int = 1_000
+    texts_per_label: int = 800
     # From where on, in natural logarithms, a word is strong evidence: the value
     # that suits the texts of the curve best, and the one without such texts.
     strong: tuple[float, ...] = (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0)
@@ -128,6 +128,14 @@ def _discounted(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(n - taken, 0.0), taken
 
 
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number is among sorted keys, and whether it is."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return place, keys[place] == wanted
+
+
 class ToxicModel:
     """Both models over all pairs of the sample, and the curve."""
 
@@ -139,7 +147,9 @@ class ToxicModel:
         del pairs
         words, of_word = np.unique(word, return_inverse=True)
         contexts, of_context = np.unique(before, return_inverse=True)
-        self.words, self.contexts = ragged.Index(words), ragged.Index(contexts)
+        self.words = ragged.Index(words)
+        # Sorted keys take a third of the memory of an index.
+        self.contexts = contexts
 
         # The level that both share: different words before, in all texts.
         left, taken = _discounted(np.bincount(of_word, minlength=len(words)))
@@ -160,7 +170,6 @@ class ToxicModel:
             mass = np.bincount(of_context, taken, minlength=len(contexts))
             self.rest.append(np.append(np.where(size > 0, mass / np.maximum(size, 1), 1.0), 1.0))
             seen.append(left / np.maximum(size, 1)[of_context])
-        # Sorted keys take a third of the memory of an index.
         key = pair_hashes(before, word)
         order = np.argsort(key)
         self.pairs, self.of_pair = key[order], [p[order].astype(np.float32) for p in seen]
@@ -170,13 +179,12 @@ class ToxicModel:
     def ratios(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Per word the logarithm of how much likelier it is after the word before in
         a toxic text, and the same for the word alone."""
-        at, context = self.words.find(words.word), self.contexts.find(words.before)
+        at = self.words.find(words.word)
         alone = [p[at] for p in self.of_word]
-        if len(self.pairs):
-            place = np.minimum(np.searchsorted(self.pairs, words.pair), len(self.pairs) - 1)
-            known = self.pairs[place] == words.pair
-        else:
-            place, known = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        context, known = _places(self.contexts, words.before)
+        # The last entry is of contexts that no text has.
+        context[~known] = -1
+        place, known = _places(self.pairs, words.pair)
         both = []
         for seen, rest, word in zip(self.of_pair, self.rest, alone):
             own = np.zeros(len(at))
