@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from sievework.config import NearDupSettings, ScoreSettings
 from sievework.functions.expr import let
-from sievework.functions.shingles import shingle_hashes
+from sievework.functions.shingles import odd_numbers, shingle_hashes
 from sievework.functions.text import word_count, words
 from sievework.operators.near_dup import near_duplicates, with_band_keys, without_rows
 from sievework.storage import materialise
 
+# Words whose n-grams are worked on at a time.
+PORTION = 500_000
+# Parts the n-grams of a group are counted in, at least.
+PARTS = 256
+
 
 def length_score(text: Column, settings: ScoreSettings = ScoreSettings()) -> Column:
     """1 inside the wanted number of words, falling off in proportion outside."""
@@ -160,28 +168,96 @@ def distinct_n(
 ) -> DataFrame:
     """Per group and n the n-grams of words, the distinct ones, and their share.
 
-    One scan gives the n-grams of all n. They are counted per n-gram first, so a
-    group of any size is spread over all tasks.
+    One scan gives the n-grams of all n as numbers. Each is in one of many parts, and
+    the numbers of a part come together once for each portion of the texts, not as a
+    row per n-gram; so a group of any size is spread over all tasks.
     """
     groups = [group] if isinstance(group, str) else list(group)
-
-    def grams(n: int, tokens: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        runs = F.transform(
-            starts, lambda at: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(tokens, at, n)).alias("gram"))
-        )
-        return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<struct<n:int,gram:bigint>>"))
-
-    every = let(words(F.col(text)), lambda tokens: F.concat(*[grams(n, tokens) for n in sizes]))
-    rows = df.select(*groups, F.explode(every).alias("_gram")).select(*groups, "_gram.n", "_gram.gram")
-    counts = rows.groupBy(*groups, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+    hashes = F.transform(words(F.col(text)), lambda word: F.xxhash64(word))
+    found = gram_sets(df.select(*groups, hashes.alias("_words")), groups, sizes)
+    fields = [field for field in found.schema.fields if field.name not in ("_part", "_grams", "_times")]
+    schema = T.StructType([*fields, *(T.StructField(name, T.LongType()) for name in ("_times", "_distinct"))])
+
+    def united(part: pa.Table) -> pa.Table:
+        grams = np.concatenate([np.frombuffer(row.as_buffer(), dtype=np.int64) for row in part["_grams"]])
+        own = part.slice(0, 1).select([field.name for field in fields])
+        own = own.append_column("_times", pa.array([pc.sum(part["_times"]).as_py()]))
+        return own.append_column("_distinct", pa.array([len(np.unique(grams))]))
+
+    counts = found.groupBy(*groups, "n", "_part").applyInArrow(united, schema)
     return counts.groupBy(*groups, "n").agg(
-        F.sum("times").alias("n_grams"),
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.round(F.count(F.lit(1)) / F.sum("times"), 6).alias("distinct_share"),
+        F.sum("_times").alias("n_grams"),
+        F.sum("_distinct").alias("n_distinct"),
+        F.round(F.sum("_distinct") / F.sum("_times"), 6).alias("distinct_share"),
     )
 
 
+def _codes(batch: pa.RecordBatch, groups: Sequence[str]) -> np.ndarray:
+    """A number per row, the same for rows of one group only."""
+    codes = np.zeros(batch.num_rows, dtype=np.int64)
+    for name in groups:
+        try:
+            column = batch.column(name).dictionary_encode(null_encoding="encode").indices
+        except (pa.ArrowNotImplementedError, pa.ArrowInvalid):
+            # Values that Arrow cannot tell apart: Spark does, row by row.
+            return np.arange(batch.num_rows)
+        place = column.to_numpy(zero_copy_only=False)
+        codes = np.unique(codes * (int(place.max(initial=0)) + 1) + place, return_inverse=True)[1]
+    return codes
+
+
+def gram_sets(df: DataFrame, groups: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """`*groups, n, _part, _grams, _times` of the n-grams in `_words`, the word hashes of
+    a text: per group and portion of the texts the distinct ones of each part, as 64-bit
+    numbers in a row of bytes, and how many there are with repeats."""
+    # A part must fit into one task, so more partitions make more parts.
+    n_parts = max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, codes = batch.column("_words"), _codes(batch, groups)
+            n_words = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            hashes_of = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            firsts = np.concatenate(([0], np.cumsum(n_words, dtype=np.int64)))
+            row = 0
+            while row < batch.num_rows:
+                # A portion of the texts, or one longer text.
+                last = max(int(np.searchsorted(firsts, firsts[row] + PORTION, side="right")) - 1, row + 1)
+                hashes = hashes_of[firsts[row] : firsts[last]]
+                text = np.repeat(np.arange(row, last), n_words[row:last])
+                # A row to name each group by.
+                named, group_of = np.unique(codes[row:last], return_index=True, return_inverse=True)[1:]
+                for n in sizes:
+                    n_grams = max(len(hashes) - n + 1, 0)
+                    within = text[:n_grams] == text[len(text) - n_grams :]
+                    grams = np.zeros(n_grams, dtype=np.uint64)
+                    for j, place in enumerate(odd_numbers("place", n)):
+                        grams += hashes[j : j + n_grams] * place
+                    grams, of = grams[within], group_of[text[:n_grams][within] - row]
+                    for k, at in enumerate(named):
+                        yield from packed(batch.slice(row + at, 1).select(groups), n, grams[of == k])
+                row = last
+
+    def packed(own: pa.RecordBatch, n: int, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(grams):
+            return
+        # The high half, so that a part has numbers of all kinds below it.
+        found, times = np.unique(grams, return_counts=True)
+        part = ((found >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+        parts, begins = np.unique(part, return_index=True)
+        edges = np.append(begins, len(found))
+        data = pa.py_buffer(np.ascontiguousarray(found).view(np.uint8))
+        sets = pa.BinaryArray.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer((edges * 8).astype(np.int32)), data])
+        rows = own.take(pa.array(np.zeros(len(parts), dtype=np.int64)))
+        columns = [np.full(len(parts), n, np.int32), parts.astype(np.int32), sets, np.add.reduceat(times, begins)]
+        names = [*own.schema.names, "n", "_part", "_grams", "_times"]
+        yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, columns)], names=names)
+
+    made = [("n", T.IntegerType()), ("_part", T.IntegerType()), ("_grams", T.BinaryType()), ("_times", T.LongType())]
+    schema = T.StructType([*df.select(*groups).schema.fields, *(T.StructField(*field) for field in made)])
+    return df.mapInArrow(run, schema)
+
+
 def arm_comparison(df: DataFrame, arm: str, context: str, scores: Sequence[str]) -> DataFrame:
     """Rows and mean scores of each arm per context, and over all contexts where
     the context is null."""

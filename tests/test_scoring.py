@@ -254,3 +254,45 @@ def test_floor_sweep(spark):
     df = spark.createDataFrame([("a", 0.9), ("a", 0.2), ("b", 0.5)], "label string, similarity double")
     got = {tuple(r) for r in tagging.similarity_floor_sweep(df, (0.0, 0.5)).collect()}
     assert got == {("a", 0.0, 2), ("a", 0.5, 1), ("b", 0.0, 1), ("b", 0.5, 1)}
+
+
+def test_novelty_makes_the_sets_once_per_task(spark, monkeypatch):
+    from sievework.operators import novelty
+
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(novelty, "materialise", seen)
+    df = spark.createDataFrame([("a b c d",), ("?",), (None,)], "text string")
+    assert [row["size"] for row in novelty._sets(df, "text", 3, "row").collect()] == [2]
+    assert len(plans) == 1 and plans[0].count("ArrowEvalPython") == 1
+
+
+def test_distinct_n_of_many_portions_and_groups(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [
+        (draw.choice(["a", "b", None]), draw.choice([1.5, None]), " ".join(draw.choice("uvwxyz") for _ in range(draw.randrange(12))))
+        for _ in range(300)
+    ]
+    monkeypatch.setattr(scoring, "PORTION", 40)
+    df = spark.createDataFrame(rows, "g string, h double, text string").repartition(3)
+    want = {}
+    for g, h, text in rows:
+        found = text.split()
+        for n in (1, 2, 3):
+            for i in range(len(found) - n + 1):
+                want.setdefault((g, h, n), []).append(tuple(found[i : i + n]))
+    got = {(r["g"], r["h"], r["n"]): (r["n_grams"], r["n_distinct"]) for r in scoring.distinct_n(df, ("g", "h")).collect()}
+    assert got == {key: (len(grams), len(set(grams))) for key, grams in want.items()}
+
+
+def test_distinct_n_shuffles_no_row_per_gram(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([("a", text)], "g string, text string")
+    plan = scoring.distinct_n(df, "g")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan
+    words = df.selectExpr("g", "transform(split(text, ' '), x -> xxhash64(x)) AS _words")
+    assert 256 < scoring.gram_sets(words, ["g"], (1, 2, 3)).count() <= 3 * 256
