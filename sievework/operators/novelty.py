@@ -33,10 +33,12 @@ def _similarity(common: Column, a: Column, b: Column) -> Column:
 def _sets(df: DataFrame, text: str, k: int, name: str) -> DataFrame:
     """`<name>, size, grams` of the distinct shingle sets. Numbered before they are
     taken apart, and stored, so a number stays a set's."""
-    grams = df.select(shingle_hashes(F.col(text), k).alias("grams")).where("grams IS NOT NULL").distinct()
+    grams = df.select(shingle_hashes(F.col(text), k).alias("grams")).distinct()
+    # Texts without words go after the table is stored: Spark tests a condition below
+    # the sets, with a second Python worker per task that computes them all again.
     return materialise(
         grams.select(F.monotonically_increasing_id().alias(name), F.size("grams").alias("size"), "grams"), f"{name}-sets"
-    )
+    ).where("grams IS NOT NULL")
 
 
 def _best_of_pairs(pairs: DataFrame, best: DataFrame, hot_of: DataFrame, hot_in: DataFrame) -> DataFrame:
