@@ -406,3 +406,33 @@ def test_components_of_chains_and_stars_in_any_order(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{n: 0 for n in range(1, 300)}, **{1000 + i: 1000 for i in range(1, 200)}}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_shingles_of_a_large_batch_need_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    # Called here, as a worker calls it, with a batch of 1.2 million words.
+    monkeypatch.setattr(shingles, "arrow_udf", lambda kind: lambda function: function)
+    text = " ".join(f"word{i % 700}" for i in range(3000))
+    texts = pa.array([f"{i} {text}" for i in range(400)] + [None, "?"])
+    for function in (lambda t: shingles.lsh_keys(t, 4, 2, 8), shingles.shingle_hashes):
+        tracemalloc.start()
+        found = function(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 402 and found.null_count == 2
+        # A number and some Python objects per word would be 100 MB.
+        assert peak < 30_000_000
+
+
+def test_long_text_without_a_portion_of_its_own(monkeypatch, apply):
+    texts = ["a b c d e f g h", "x y z", None, "a b"]
+    expected = apply(lambda t: shingles.shingle_hashes(t), texts)
+    monkeypatch.setattr(shingles, "arrow_udf", lambda kind: lambda function: function)
+    monkeypatch.setattr(shingles, "PORTION", 6)
+    monkeypatch.setattr(shingles, "KEPT_WORDS", 2)
+    import pyarrow as pa
+
+    assert shingles.shingle_hashes(pa.array(texts)).to_pylist() == expected
