@@ -434,25 +434,41 @@ def _may_link(a: str, b: str, s: JoinSettings) -> str:
     return f"{s.percent_of} * ({total} - ({apart})) >= {s.percent} * ({total} + ({apart}))"
 
 
-def _cross_pairs(members: DataFrame, rows: DataFrame, seen: DataFrame, settings: JoinSettings) -> DataFrame:
-    """Pairs of members of a list that are still in different components and that
-    their parities leave room for, so that few pairs leave the join."""
+# Earlier n-grams of its set that go with a row of a list.
+BEFORE = 2
+
+
+def _meetings(members: DataFrame, rows: DataFrame, settings: JoinSettings) -> DataFrame:
+    """`(u, v)` of members of a list that are still in different components and that
+    their parities leave room for, so that few pairs leave the join.
+
+    Two sets that share a passage meet in list after list. Of these meetings only
+    the first is of use: with an earlier common n-gram, both hold more n-grams from
+    there on, so whatever admits the pair here admits it there. So it is left out
+    where one of the last n-grams before this list is common to both.
+    """
     wanted = members.select("digest").distinct()
-    bits = rows.select("digest", "bits").join(wanted, "digest", "left_semi").groupBy("digest").agg(
-        F.any_value("bits").alias("bits")
+    filed = F.any_value(F.struct("bits", "n_subsets", "keys")).alias("filed")
+    sets = rows.select("digest", "bits", "n_subsets", "keys").join(wanted, "digest", "left_semi").groupBy("digest").agg(filed)
+    # The n-grams of a set are filed after its subsets, which have none before them.
+    at = F.col("n") - F.col("rest")
+    before = F.slice("filed.keys", F.col("filed.n_subsets") + 1 + F.greatest(at - BEFORE, F.lit(0)), F.least(at, F.lit(BEFORE)))
+    listed = members.join(sets, "digest").select(
+        "key", "digest", "n", "rest", "root", F.col("filed.bits").alias("bits"), before.alias("before")
     )
-    listed = members.join(bits, "digest").select("key", "digest", "n", "rest", "root", "bits")
     pairs = listed.alias("a").join(listed.alias("b"), "key").where(
         F.expr("a.digest < b.digest AND a.root <> b.root")
         & F.expr(_can_link("a.n", "b.n", settings))
         & F.expr(_may_overlap("a", "b", settings))
         & F.expr(_may_link("a", "b", settings))
+        & ~F.arrays_overlap("a.before", "b.before")
     )
-    return (
-        pairs.select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"))
-        .distinct()
-        .join(seen, ["u", "v"], "left_anti")
-    )
+    return pairs.select(F.col("a.digest").alias("u"), F.col("b.digest").alias("v"))
+
+
+def _cross_pairs(members: DataFrame, rows: DataFrame, seen: DataFrame, settings: JoinSettings) -> DataFrame:
+    """The new pairs of `_meetings`."""
+    return _meetings(members, rows, settings).distinct().join(seen, ["u", "v"], "left_anti")
 
 
 def jaccard_components(

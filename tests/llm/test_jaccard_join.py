@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import jaccard_join as join
 from sievework.operators.components import components
@@ -164,3 +166,23 @@ def test_bounds_of_sizes():
                 need = join.least_overlap(n, m, s)
                 assert 100 * need >= 80 * (n + m - need) and 100 * (need - 1) < 80 * (n + m - need + 1)
                 assert join.n_scanned(n, s) >= n - need + 1 and join.n_scanned(m, s) >= m - need + 1
+
+
+def test_two_sets_meet_in_few_of_their_common_lists(spark):
+    settings = JoinSettings()
+    tokens = [f"w{i}" for i in range(300)]
+    other = list(tokens)
+    for i in range(30, 300, 45):
+        other[i] = f"x{i}"
+    # Not similar enough to link, yet too similar to be told apart by parities.
+    df = spark.createDataFrame([(1, " ".join(tokens)), (2, " ".join(other))], "id long, text string")
+    rows = join.with_keys(df, np.zeros(0, np.uint64), 0, settings).localCheckpoint()
+    rest = F.expr("cast(n - greatest(pos - n_subsets, 0) as int)")
+    members = rows.select("digest", "n", "n_subsets", F.posexplode("keys").alias("pos", "key")).select(
+        "key", "digest", "n", rest.alias("rest"), F.col("digest").alias("root")
+    )
+    admitted = members.alias("a").join(members.alias("b"), "key").where(
+        F.expr("a.digest < b.digest") & F.expr(join._may_overlap("a", "b", settings))
+    )
+    met = join._meetings(members, rows, settings)
+    assert admitted.count() >= 15 and 1 <= met.count() <= 5 and met.distinct().count() == 1
