@@ -436,3 +436,19 @@ def test_long_text_without_a_portion_of_its_own(monkeypatch, apply):
     import pyarrow as pa
 
     assert shingles.shingle_hashes(pa.array(texts)).to_pylist() == expected
+
+
+def test_verifying_reads_the_words_once(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(near_dup, "materialise", seen)
+    df = spark.createDataFrame([("s", "1", "a b c d e", 1.0), ("s", "2", "?", 1.0)], SCHEMA)
+    _, keyed = near_dup._placed(df, "text", "score", ("source", "source_id"), NearDupSettings(verify=True), None)
+    one, none = keyed.orderBy("source_id").collect()
+    assert len(one["grams"]) == 3 and len(one["bands"]) > 1 and none["grams"] is None and none["bands"] is None
+    assert len(set(re.findall(r"\b(?:run|lsh_keys\w*|shingle_hashes)\(text#\d+\)", plans["signatures"]))) == 1
+    assert plans["signatures"].count("ArrowEvalPython") == 1 and plans["signatures"].count("run(text") == 1
