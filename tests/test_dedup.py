@@ -324,6 +324,47 @@ def test_confirmed_where_nothing_collides(spark):
     assert near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), settings=settings).collect() == []
 
 
+def unlike_in_common_buckets(n):
+    """Texts that share half their words, so buckets of one row hold most of them; a
+    third have a near copy."""
+    draw, rows = random.Random(11), []
+    base = [f"w{i}" for i in range(40)]
+    for i in range(n):
+        words = base[: draw.randrange(28, 34)] + [f"u{i}x{j}" for j in range(20)]
+        rows.append(("s", f"{i:04d}", " ".join(words), float(draw.randrange(4))))
+        if i % 3 == 0:
+            words[draw.randrange(len(words))] = "changed"
+            rows.append(("s", f"{i:04d}c", " ".join(words), float(draw.randrange(4))))
+    return rows
+
+
+def test_confirming_unlike_rows_takes_few_rounds(spark, monkeypatch):
+    tables, widths, store, width_of = [], [], near_dup.materialise, near_dup._width
+    monkeypatch.setattr(near_dup, "materialise", lambda df, name: tables.append(name) or store(df, name))
+    monkeypatch.setattr(near_dup, "_width", lambda *args: widths.append(width_of(*args)) or widths[-1])
+    df = spark.createDataFrame(unlike_in_common_buckets(24), SCHEMA)
+    settings = NearDupSettings(threshold=0.7, num_perm=32, bands=32, rows=1, verify=True, least_pairs=3000)
+    kept, gone = confirmed_greedy(df, settings)
+    assert {r["source_id"] for r in near_dup.drop_near_duplicates(df, settings=settings).collect()} == kept
+    # Most rows stay in a bucket with most others; it was a round for each of them.
+    assert len(kept) == 24 and len(gone) == 8 and tables.count("pairs") < 12
+    # Fronts of one row, of some rows of a bucket, and of all.
+    assert widths[0] == 1 and any(1 < w < 16 for w in widths) and widths[-1] > 16
+
+
+def test_a_chain_of_copies_in_one_front(spark):
+    """Each version is like the next only, and is better than it."""
+    words, rows = [f"w{i}" for i in range(40)], []
+    for i in range(12):
+        rows.append(("s", f"{i:02d}", " ".join(words), float(-i)))
+        words = words[4:] + [f"v{i}x{j}" for j in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    settings = NearDupSettings(threshold=0.8, num_perm=64, bands=64, rows=1, verify=True)
+    kept, _ = confirmed_greedy(df, settings)
+    assert kept == {f"{i:02d}" for i in range(0, 12, 2)}
+    assert {r["source_id"] for r in near_dup.drop_near_duplicates(df, settings=settings).collect()} == kept
+
+
 def collided(df, settings):
     """Per row the best row of its cluster and the cluster's size, by search."""
     keyed = [(r["source_id"], r["score"], r["source"], set(r["bands"] or ())) for r in
