@@ -365,6 +365,16 @@ def test_a_chain_of_copies_in_one_front(spark):
     assert {r["source_id"] for r in near_dup.drop_near_duplicates(df, settings=settings).collect()} == kept
 
 
+def test_only_the_sets_asked_for_leave_their_place(spark):
+    numbers = [0, 1, 7, 8, 255, 256, 32767, 32768, 32769, 65536, 65537, 1 << 33, (1 << 33) + 32768, 5 << 33]
+    sets = spark.createDataFrame([(n, [n]) for n in numbers], "row long, grams array<long>").repartition(3)
+    for asked in (numbers[::2], numbers[1::2], numbers[:1], []):
+        rows = spark.createDataFrame([(n,) for n in asked * 2], "row long")
+        found = near_dup._only(sets, rows)
+        assert sorted((r["row"], r["grams"]) for r in found.collect()) == [(n, [n]) for n in asked]
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def collided(df, settings):
     """Per row the best row of its cluster and the cluster's size, by search."""
     keyed = [(r["source_id"], r["score"], r["source"], set(r["bands"] or ())) for r in
